@@ -1,3 +1,471 @@
-from clipgrid.catalog.base import Case
+"""Masks as runs: statistics, overlap, choice, change over time."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from clipgrid.catalog.base import (
+    EVENT_CLIPS,
+    HEIGHT,
+    KEY_BOXES,
+    MASK_FRAMES,
+    PIXELS,
+    WIDTH,
+    Case,
+    event_clips,
+    key_boxes,
+    mask_frames,
+    register,
+    runs,
+    table,
+)
+from clipgrid.operators import chunks as K
+from clipgrid.operators import overlap as O
+from clipgrid.operators import spans as S
+from clipgrid.operators import tubes as T
+from clipgrid.operators.report import frames_per_tube as tube_frame_counts
+from clipgrid.operators.report import tubes_per_set as set_counts
+from clipgrid.sinks.tables import tube_set_tables
 
 CASES: dict[str, Case] = {}
+
+_ISLANDS = """
+SELECT {keys}, y, min(x) AS x0, max(x) + 1 AS x1
+FROM (SELECT *, x - row_number() OVER (PARTITION BY {keys}, y ORDER BY x) AS g FROM {source})
+GROUP BY {keys}, y, g"""
+
+
+def _islands(source: str, keys: str = "vid, tube_id, frame_idx") -> str:
+    return _ISLANDS.format(source=source, keys=keys)
+
+
+@register(CASES, f"WITH {PIXELS} {_islands('pixels')}")
+def mask_union(spark, folder):
+    return runs(spark, folder)
+
+
+@register(
+    CASES,
+    f"""
+    WITH {PIXELS}, {MASK_FRAMES},
+    sums AS (SELECT vid, tube_id, frame_idx, count(*) AS area, min(x) AS xmin, min(y) AS ymin, max(x) AS xmax, max(y) AS ymax
+      FROM pixels GROUP BY ALL)
+    SELECT f.vid, f.tube_id, f.frame_idx, coalesce(area, 0) AS area, round(coalesce(area, 0) * 100 / ({HEIGHT} * {WIDTH})::DOUBLE, 6) AS coverage,
+      xmin, ymin, xmax, ymax
+    FROM mask_frames f LEFT JOIN sums s ON f.vid = s.vid AND f.tube_id = s.tube_id AND f.frame_idx = s.frame_idx
+    """,
+)
+def mask_area_box(spark, folder):
+    stats = S.mask_stats(runs(spark, folder), mask_frames(spark, folder))
+    return stats.withColumn("coverage", F.round("coverage", 6))
+
+
+@register(
+    CASES,
+    f"""
+    WITH {PIXELS}, {MASK_FRAMES}, {KEY_BOXES},
+    clamped AS (SELECT vid, frame_idx, greatest(0, least(xmin, {WIDTH} - 1)) AS x1, greatest(0, least(ymin, {HEIGHT} - 1)) AS y1,
+      greatest(0, least(xmax, {WIDTH})) AS x2, greatest(0, least(ymax, {HEIGHT})) AS y2 FROM boxes),
+    sums AS (SELECT p.vid, p.tube_id, p.frame_idx, count(*) AS area,
+        count(*) FILTER (x >= x1 AND x < x2 AND y >= y1 AND y < y2) AS inter
+      FROM pixels p JOIN clamped b ON p.vid = b.vid AND p.frame_idx = b.frame_idx GROUP BY ALL)
+    SELECT f.vid, f.tube_id, f.frame_idx, coalesce(area, 0) AS area, coalesce(inter, 0) AS inter,
+      round(CASE WHEN x2 <= x1 OR y2 <= y1 THEN 0 ELSE coalesce(inter, 0) / (coalesce(area, 0) + (x2 - x1) * (y2 - y1) - coalesce(inter, 0))::DOUBLE END, 6) AS iou
+    FROM mask_frames f JOIN clamped b ON f.vid = b.vid AND f.frame_idx = b.frame_idx
+    LEFT JOIN sums s ON f.vid = s.vid AND f.tube_id = s.tube_id AND f.frame_idx = s.frame_idx
+    """,
+)
+def mask_iou(spark, folder):
+    scores = O.mask_box_iou(runs(spark, folder), mask_frames(spark, folder), key_boxes(spark, folder))
+    return scores.select("vid", "tube_id", "frame_idx", "area", "inter", F.round("iou", 6).alias("iou"))
+
+
+_RATIOS = f"""
+{PIXELS}, {MASK_FRAMES}, {KEY_BOXES},
+clamped AS (SELECT vid, frame_idx, greatest(0, xmin) AS x1, greatest(0, ymin) AS y1, least({WIDTH}, xmax) AS x2,
+  least({HEIGHT}, ymax) AS y2 FROM boxes),
+sums AS (SELECT p.vid, p.tube_id, p.frame_idx, count(*) AS area,
+    count(*) FILTER (x >= x1 AND x < x2 AND y >= y1 AND y < y2) AS inter
+  FROM pixels p JOIN clamped b ON p.vid = b.vid AND p.frame_idx = b.frame_idx GROUP BY ALL),
+ratios AS (SELECT f.vid, f.tube_id, f.frame_idx,
+    CASE WHEN area > 0 THEN inter / area::DOUBLE ELSE 0 END AS relative,
+    CASE WHEN x2 > x1 AND y2 > y1 THEN coalesce(inter, 0) / ((x2 - x1) * (y2 - y1))::DOUBLE ELSE 0 END AS absolute
+  FROM mask_frames f JOIN clamped b ON f.vid = b.vid AND f.frame_idx = b.frame_idx
+  LEFT JOIN sums s ON f.vid = s.vid AND f.tube_id = s.tube_id AND f.frame_idx = s.frame_idx)"""
+
+
+def _ratios(spark, folder, mode):
+    return O.tube_scores(runs(spark, folder), mask_frames(spark, folder), key_boxes(spark, folder), mode)
+
+
+@register(CASES, f"WITH {_RATIOS} SELECT vid, tube_id, frame_idx, round(relative, 6) AS ratio FROM ratios")
+def overlap_ratio_relative(spark, folder):
+    return _ratios(spark, folder, "relative").select("vid", "tube_id", "frame_idx", F.round("ratio", 6).alias("ratio"))
+
+
+@register(CASES, f"WITH {_RATIOS} SELECT vid, tube_id, frame_idx, round(absolute, 6) AS ratio FROM ratios")
+def overlap_ratio_absolute(spark, folder):
+    return _ratios(spark, folder, "absolute").select("vid", "tube_id", "frame_idx", F.round("ratio", 6).alias("ratio"))
+
+
+@register(
+    CASES,
+    f"""
+    WITH {_RATIOS},
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY vid ORDER BY relative DESC, tube_id) AS r FROM ratios)
+    SELECT vid, tube_id, round(relative, 6) AS score FROM ranked WHERE r = 1 AND relative >= 0.3
+    """,
+)
+def best_tube(spark, folder):
+    picks = O.pick_tubes(_ratios(spark, folder, "relative"), 0.3)
+    return picks.select("vid", "tube_id", F.round("score", 6).alias("score"))
+
+
+@register(
+    CASES,
+    f"""
+    WITH {PIXELS}, {MASK_FRAMES}, {KEY_BOXES},
+    clamped AS (SELECT vid, frame_idx, greatest(0, least(xmin, {WIDTH} - 1)) AS x1, greatest(0, least(ymin, {HEIGHT} - 1)) AS y1,
+      greatest(0, least(xmax, {WIDTH})) AS x2, greatest(0, least(ymax, {HEIGHT})) AS y2 FROM boxes),
+    sums AS (SELECT p.vid, p.tube_id, p.frame_idx, count(*) AS area,
+        count(*) FILTER (x >= x1 AND x < x2 AND y >= y1 AND y < y2) AS inter
+      FROM pixels p JOIN clamped b ON p.vid = b.vid AND p.frame_idx = b.frame_idx GROUP BY ALL),
+    ious AS (SELECT f.vid, f.tube_id, CASE WHEN x2 <= x1 OR y2 <= y1 THEN 0
+        ELSE coalesce(inter, 0) / (coalesce(area, 0) + (x2 - x1) * (y2 - y1) - coalesce(inter, 0))::DOUBLE END AS iou
+      FROM mask_frames f JOIN clamped b ON f.vid = b.vid AND f.frame_idx = b.frame_idx
+      LEFT JOIN sums s ON f.vid = s.vid AND f.tube_id = s.tube_id AND f.frame_idx = s.frame_idx),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY vid ORDER BY iou DESC, tube_id) AS r,
+      count(*) OVER (PARTITION BY vid) AS num_candidates FROM ious)
+    SELECT vid, tube_id, round(iou, 6) AS iou, num_candidates FROM ranked WHERE r = 1
+    """,
+)
+def best_candidate(spark, folder):
+    scores = O.mask_box_iou(runs(spark, folder), mask_frames(spark, folder), key_boxes(spark, folder))
+    return O.pick_candidates(scores).select("vid", "tube_id", F.round("iou", 6).alias("iou"), "num_candidates")
+
+
+@register(
+    CASES,
+    f"""
+    WITH {KEY_BOXES},
+    lines AS (SELECT vid, frame_idx, greatest(0, xmin) AS x0, xmax AS x1, greatest(0, ymin) AS y0, ymax FROM boxes)
+    SELECT vid, frame_idx, unnest(range(y0, ymax)) AS y, x0, x1 FROM lines WHERE x1 > x0
+    """,
+)
+def box_mask(spark, folder):
+    return S.box_runs(key_boxes(spark, folder), ["vid", "frame_idx"])
+
+
+@register(
+    CASES,
+    f"""
+    WITH {PIXELS},
+    xs AS (SELECT tx, CAST(floor(tx * {WIDTH} / 60::DOUBLE) AS BIGINT) AS sx FROM range(60) t(tx)),
+    ys AS (SELECT ty, CAST(floor(ty * {HEIGHT} / 31::DOUBLE) AS BIGINT) AS sy FROM range(31) t(ty)),
+    resized AS (SELECT vid, tube_id, frame_idx, ty AS y, tx AS x FROM pixels JOIN xs ON x = sx JOIN ys ON y = sy)
+    {_islands("resized")}
+    """,
+)
+def mask_resize(spark, folder):
+    sized = runs(spark, folder).withColumns({"height": F.lit(HEIGHT), "width": F.lit(WIDTH)})
+    return S.union_runs(S.resize_runs(sized, F.lit(31), F.lit(60)))
+
+
+@register(
+    CASES,
+    f"""
+    WITH {PIXELS}, {MASK_FRAMES},
+    ordered AS (SELECT *, row_number() OVER (PARTITION BY vid, tube_id, frame_idx ORDER BY y, x) - 1 AS i,
+      count(*) OVER (PARTITION BY vid, tube_id, frame_idx) AS n FROM pixels),
+    wanted AS (SELECT DISTINCT vid, tube_id, frame_idx, n, CASE WHEN j = 4 THEN n - 1 ELSE CAST(floor(j * ((n - 1) / 4::DOUBLE)) AS BIGINT) END AS i
+      FROM ordered, range(5) t(j) WHERE n > 5),
+    picked AS (SELECT o.vid, o.tube_id, o.frame_idx, o.i AS point, o.x, o.y FROM ordered o
+      JOIN wanted w ON o.vid = w.vid AND o.tube_id = w.tube_id AND o.frame_idx = w.frame_idx AND o.i = w.i
+      UNION ALL SELECT vid, tube_id, frame_idx, i, x, y FROM ordered WHERE n <= 5)
+    SELECT * FROM picked
+    UNION ALL SELECT f.vid, f.tube_id, f.frame_idx, 0, {WIDTH // 2}, {HEIGHT // 2} FROM mask_frames f
+      ANTI JOIN pixels p ON f.vid = p.vid AND f.tube_id = p.tube_id AND f.frame_idx = p.frame_idx
+    """,
+)
+def sample_points(spark, folder):
+    return S.sample_points(runs(spark, folder), mask_frames(spark, folder))
+
+
+@register(
+    CASES,
+    f"""
+    WITH {PIXELS},
+    shared AS (SELECT vid, frame_idx, y, x FROM pixels GROUP BY ALL HAVING count(*) = 2)
+    {_islands("shared", "vid, frame_idx")}
+    """,
+)
+def mask_intersection(spark, folder):
+    masks = runs(spark, folder)
+    return S.intersect_runs(masks.filter("tube_id = 0"), masks.filter("tube_id = 1"), ["vid", "frame_idx"])
+
+
+@register(
+    CASES,
+    f"""
+    WITH {EVENT_CLIPS},
+    prompts AS (SELECT vid, num_frames, key_frame_idx, unnest(range(user_id % 5, user_id % 5 + 3)) AS y, user_id % 20 AS x0,
+      user_id % 20 + user_id % 7 AS x1 FROM clips),
+    frames AS (SELECT vid, key_frame_idx, unnest(range(num_frames)) AS frame_idx FROM clips)
+    SELECT f.vid, f.frame_idx, f.frame_idx >= f.key_frame_idx AS forward, p.y, p.x0, p.x1
+    FROM frames f LEFT JOIN (SELECT * FROM prompts WHERE x1 > x0) p ON f.vid = p.vid
+    """,
+)
+def hold_both_ways(spark, folder):
+    clips = event_clips(spark, folder).withColumns({"height": F.lit(20), "width": F.lit(40)})
+    u = F.col("user_id")
+    box = F.struct((u % 20).alias("xmin"), (u % 5).alias("ymin"), (u % 20 + u % 7).alias("xmax"), (u % 5 + 3).alias("ymax"))
+    prompt = S.box_runs(clips.withColumn("bbox", box), ["vid"])
+    frames, spans = T.hold(clips, prompt)
+    return frames.join(spans, ["vid", "frame_idx"], "left").select("vid", "frame_idx", "forward", "y", "x0", "x1")
+
+
+# Tubes of the masks on a clip of six frames, two frames later than they were made.
+_TUBES = f"""
+{PIXELS},
+shifted AS (SELECT vid, tube_id, frame_idx + 2 AS frame_idx, y, x FROM pixels),
+owned AS (SELECT DISTINCT 'o' || l_orderkey AS vid, CAST(l_linenumber % 2 AS BIGINT) AS tube_id, l_linenumber // 4 + 2 AS frame_idx
+  FROM lineitem)"""
+
+
+def _tubes(spark, folder):
+    frames = mask_frames(spark, folder).filter("tube_id < 9").withColumn("frame_idx", F.col("frame_idx") + 2)
+    spans = runs(spark, folder).withColumn("frame_idx", F.col("frame_idx") + 2)
+    clips = table(spark, folder, "orders").select(
+        F.concat(F.lit("o"), "o_orderkey").alias("vid"), F.lit(6).cast("long").alias("num_frames")
+    )
+    return clips, frames, spans
+
+
+@register(
+    CASES,
+    f"""
+    WITH {_TUBES},
+    ends AS (SELECT vid, tube_id, min(frame_idx) AS first, max(frame_idx) AS last FROM owned GROUP BY ALL),
+    added AS (SELECT vid, tube_id, f AS frame_idx, CASE WHEN f < first THEN first ELSE last END AS source
+      FROM ends, range(6) t(f) WHERE f < first OR f > last),
+    grown AS (SELECT a.vid, a.tube_id, a.frame_idx, s.y, s.x FROM added a JOIN shifted s
+        ON a.vid = s.vid AND a.tube_id = s.tube_id AND a.source = s.frame_idx UNION ALL SELECT * FROM shifted)
+    {_islands("grown")}
+    """,
+)
+def tube_extend(spark, folder):
+    _, spans = T.extend_tubes(*_tubes(spark, folder))
+    return spans
+
+
+@register(
+    CASES,
+    f"""
+    WITH {_TUBES},
+    ends AS (SELECT vid, tube_id, min(frame_idx) AS first, max(frame_idx) AS last FROM owned GROUP BY ALL)
+    SELECT vid, tube_id, count(*) AS frames, min(f) AS first_frame, max(f) AS last_frame FROM (
+      SELECT vid, tube_id, f FROM ends, range(6) t(f) WHERE f < first OR f > last
+      UNION ALL SELECT * FROM owned) GROUP BY ALL
+    """,
+)
+def tube_extend_frames(spark, folder):
+    frames, _ = T.extend_tubes(*_tubes(spark, folder))
+    return frames.groupBy("vid", "tube_id").agg(
+        F.count(F.lit(1)).alias("frames"), F.min("frame_idx").alias("first_frame"), F.max("frame_idx").alias("last_frame")
+    )
+
+
+@register(
+    CASES,
+    f"""
+    WITH {PIXELS},
+    owned AS (SELECT DISTINCT vid, frame_idx, tube_id FROM raw_runs),
+    last AS (SELECT vid, frame_idx, max(tube_id) AS tube_id FROM owned GROUP BY ALL)
+    SELECT p.vid, p.frame_idx, count(*) AS area, CAST(sum(x) AS BIGINT) AS x_sum, CAST(sum(y) AS BIGINT) AS y_sum
+    FROM pixels p JOIN last l ON p.vid = l.vid AND p.frame_idx = l.frame_idx AND p.tube_id = l.tube_id GROUP BY ALL
+    """,
+)
+def later_write_wins(spark, folder):
+    frames = mask_frames(spark, folder).filter("tube_id < 9").withColumnRenamed("tube_id", "write_rank")
+    spans = runs(spark, folder).withColumnRenamed("tube_id", "write_rank")
+    _, kept = T.later_write_wins(frames, spans)
+    length = F.col("x1") - F.col("x0")
+    return kept.groupBy("vid", "frame_idx").agg(
+        F.sum(length).alias("area"),
+        F.sum((length * (F.col("x0") + F.col("x1") - 1) / 2).cast("long")).alias("x_sum"),
+        F.sum(length * F.col("y")).alias("y_sum"),
+    )
+
+
+@register(
+    CASES,
+    f"""
+    WITH {EVENT_CLIPS},
+    have AS (SELECT DISTINCT 'u' || user_id AS vid, event_id % 50 AS frame_idx, 100 + user_id AS height, 200 AS width FROM events
+      WHERE user_id % 4 > 0),
+    grid AS (SELECT vid, user_id, unnest(range(num_frames)) AS frame_idx FROM clips)
+    SELECT g.vid, g.frame_idx, CASE WHEN user_id % 4 > 0 THEN 100 + user_id ELSE 480 END AS height,
+      CASE WHEN user_id % 4 > 0 THEN 200 ELSE 640 END AS width, h.vid IS NULL AS filled
+    FROM grid g LEFT JOIN have h ON g.vid = h.vid AND g.frame_idx = h.frame_idx
+    """,
+)
+def gap_fill(spark, folder):
+    have = (
+        table(spark, folder, "events")
+        .filter("user_id % 4 > 0")
+        .select(
+            F.concat(F.lit("u"), "user_id").alias("vid"),
+            (F.col("event_id") % 50).alias("frame_idx"),
+            (F.col("user_id") + 100).alias("height"),
+            F.lit(200).cast("long").alias("width"),
+        )
+        .distinct()
+    )
+    return T.fill_missing(event_clips(spark, folder), have)
+
+
+# Two overlapping chunks per order: tube 0 holds the earlier masks, tube 1 the new ones, on frames 0 to 3.
+_OLD_NEW = """
+frames4 AS (
+  SELECT DISTINCT 'o' || l_orderkey AS vid, CAST(l_linenumber % 2 AS BIGINT) AS side, l_suppkey % 4 AS frame_idx, l_orderkey
+  FROM lineitem),
+pixels4 AS (
+  SELECT DISTINCT vid, side, frame_idx, y, unnest(range(x0, x1)) AS x FROM (
+    SELECT 'o' || l_orderkey AS vid, CAST(l_linenumber % 2 AS BIGINT) AS side, l_suppkey % 4 AS frame_idx,
+      unnest(range(l_partkey % 3, l_partkey % 3 + 2)) AS y, l_partkey % 10 AS x0, l_partkey % 10 + CAST(l_quantity AS BIGINT) AS x1
+    FROM lineitem)),
+sides AS (
+  SELECT vid, frame_idx, l_orderkey, count(*) FILTER (side = 0) > 0 AS has_old, count(*) FILTER (side = 1) > 0 AS has_new
+  FROM frames4 GROUP BY ALL),
+weighed AS (
+  SELECT *, CASE WHEN l_orderkey % 2 = 0 THEN CASE WHEN frame_idx < 1 THEN 1 ELSE least(1, (frame_idx - 1) / 4::DOUBLE) END
+    ELSE CASE WHEN frame_idx >= 3 THEN 1 ELSE greatest(0, least(1, (3 - frame_idx) / 4::DOUBLE)) END END AS w FROM sides),
+merged AS (
+  SELECT p.vid, p.frame_idx, p.y, p.x FROM pixels4 p JOIN weighed w ON p.vid = w.vid AND p.frame_idx = w.frame_idx
+  GROUP BY p.vid, p.frame_idx, p.y, p.x, has_old, has_new, w
+  HAVING CASE WHEN NOT has_new OR NOT has_old THEN TRUE
+    ELSE (1 - w) * count(*) FILTER (side = 0) + w * count(*) FILTER (side = 1) > 0.5 END)"""
+
+
+@register(CASES, f"WITH {_OLD_NEW} {_islands('merged', 'vid, frame_idx')}")
+def chunk_merge(spark, folder):
+    items = table(spark, folder, "lineitem").withColumns(
+        {
+            "vid": F.concat(F.lit("o"), "l_orderkey"),
+            "tube_id": (F.col("l_linenumber") % 2).cast("long"),
+            "frame_idx": F.col("l_suppkey") % 4,
+        }
+    )
+    size = {"height": F.lit(6).cast("long"), "width": F.lit(64).cast("long")}
+    frames = items.select("vid", "tube_id", "frame_idx", "l_orderkey").distinct().withColumns(size)
+    first, left = F.col("l_partkey") % 3, F.col("l_partkey") % 10
+    spans = S.union_runs(
+        items.select(
+            "vid",
+            "tube_id",
+            "frame_idx",
+            F.explode(F.sequence(first, first + 1)).alias("y"),
+            left.alias("x0"),
+            (left + F.col("l_quantity").cast("long")).alias("x1"),
+        )
+    )
+    backward = F.col("l_orderkey") % 2 == 0
+    new_frames = frames.filter("tube_id = 1").withColumns(
+        {"backward": backward, "boundary": F.when(backward, F.lit(1)).otherwise(F.lit(3))}
+    )
+    _, merged = K.merge_chunk_masks(
+        frames.filter("tube_id = 0"), spans.filter("tube_id = 0"), new_frames, spans.filter("tube_id = 1"), overlap=4
+    )
+    return merged
+
+
+@register(
+    CASES,
+    f"""
+    WITH {EVENT_CLIPS}
+    SELECT vid, unnest(range(num_frames)) AS frame_idx, 3 AS y, user_id % 9 AS x0, user_id % 9 + 4 AS x1 FROM clips
+    """,
+)
+def chunk_waves(spark, folder):
+    """Chunk hand-over with the holding propagator: every frame of every clip ends up with the prompt mask."""
+    clips = event_clips(spark, folder)
+    left = (F.col("user_id") % 9).cast("long")
+    at = {"frame_idx": F.col("key_frame_idx"), "height": F.lit(8).cast("long"), "width": F.lit(16).cast("long")}
+    frames = clips.withColumns(at).select("vid", "frame_idx", "height", "width")
+    spans = clips.withColumns(at).select(
+        "vid", "frame_idx", F.lit(3).cast("long").alias("y"), left.alias("x0"), (left + 4).alias("x1")
+    )
+
+    def hold_in_chunk(chunks, prompt_frames, prompt_spans):
+        sized = chunks.join(prompt_frames.select("vid", "height", "width"), "vid").select(
+            "vid",
+            (F.col("chunk_end") - F.col("chunk_start")).alias("num_frames"),
+            (F.col("prompt_idx") - F.col("chunk_start")).alias("key_frame_idx"),
+            "height",
+            "width",
+            "chunk_start",
+        )
+        held_frames, held_spans = T.hold(sized, prompt_spans)
+        start = sized.select("vid", "chunk_start")
+        frame = (F.col("frame_idx") + F.col("chunk_start")).alias("frame_idx")
+        return (
+            held_frames.join(start, "vid").select("vid", frame, "height", "width"),
+            held_spans.join(start, "vid").select("vid", frame, "y", "x0", "x1"),
+        )
+
+    _, result = K.propagate_in_chunks(clips, frames, spans, hold_in_chunk, size=40, overlap=10)
+    return result
+
+
+@register(
+    CASES,
+    f"""
+    WITH {MASK_FRAMES}
+    SELECT vid, count(DISTINCT tube_id) AS num_tubes, count(*) AS num_masks FROM mask_frames GROUP BY vid
+    """,
+)
+def tubes_per_set(spark, folder):
+    return set_counts(mask_frames(spark, folder))
+
+
+@register(
+    CASES,
+    f"""
+    WITH {MASK_FRAMES}
+    SELECT vid, tube_id, count(*) AS num_frames, min(frame_idx) AS first_frame, max(frame_idx) AS last_frame
+    FROM mask_frames GROUP BY ALL
+    """,
+)
+def frames_per_tube(spark, folder):
+    return tube_frame_counts(mask_frames(spark, folder))
+
+
+@register(
+    CASES,
+    r"""
+    WITH items AS (SELECT DISTINCT l_orderkey, l_linenumber % 2 AS tube_id, l_suppkey % 4 AS frame_idx FROM lineitem WHERE l_orderkey % 3 > 0)
+    SELECT o_orderkey AS set_id, CASE WHEN o_orderkey % 5 = 0 THEN 'given' ELSE
+      regexp_replace(regexp_replace(regexp_replace(trim(lower(o_orderpriority)), '[^\p{L}\p{N}_\-]', '_', 'g'), '_+', '_', 'g'), '^_+|_+$', '', 'g') END AS object_name,
+      count(DISTINCT tube_id) AS num_tubes, count(tube_id) AS num_masks, 0 AS start_frame_idx
+    FROM orders LEFT JOIN items ON o_orderkey = l_orderkey GROUP BY ALL
+    """,
+)
+def tube_set_headers(spark, folder):
+    frames = (
+        table(spark, folder, "lineitem")
+        .filter("l_orderkey % 3 > 0")
+        .select(
+            F.col("l_orderkey").alias("set_id"),
+            (F.col("l_linenumber") % 2).alias("tube_id"),
+            (F.col("l_suppkey") % 4).alias("frame_idx"),
+        )
+        .distinct()
+    )
+    sets = table(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("set_id"),
+        F.col("o_orderpriority").alias("prompt"),
+        F.when(F.col("o_orderkey") % 5 == 0, "given").alias("object_name"),
+    )
+    header, _ = tube_set_tables(sets, frames)
+    return header.select("set_id", "object_name", "num_tubes", "num_masks", "start_frame_idx")
+

@@ -103,42 +103,45 @@ def merge_chunk_masks(
     new_spans: DataFrame,
     overlap: int,
     keys: Sequence[str] = ("vid", "frame_idx"),
+    carry: Sequence[str] = (),
+    settle: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> tuple[DataFrame, DataFrame]:
     """Merge the masks of a newly propagated chunk into the masks of the clip.
 
     ``new_frames`` carries ``boundary`` and ``backward``. Returns frames and spans; a frame only one side has
-    keeps that side.
+    keeps that side. ``carry`` names further columns both frame tables have. The choice per frame serves both
+    results, so ``settle`` may write it out first.
     """
-    key = list(keys)
-    old = old_frames.select(*key, F.col("height").alias("_oh"), F.col("width").alias("_ow"))
-    both = old.withColumn("_old", F.lit(True)).join(new_frames.withColumn("_new", F.lit(True)), key, "full")
-    chosen = both.withColumn(
-        "source",
+    key, extra = list(keys), ["height", "width", *carry]
+    old = old_frames.select(*key, *[F.col(c).alias(f"_old_{c}") for c in extra], F.lit(True).alias("_old"))
+    new = new_frames.select(*key, *extra, "boundary", "backward", F.lit(True).alias("_new"))
+    source = (
         F.when(F.col("_new").isNull(), F.lit("old"))
         .when(F.col("_old").isNull(), F.lit("new"))
-        .otherwise(merge_source(F.col("frame_idx"), F.col("boundary"), F.col("backward"), overlap)),
-    ).select(
-        *key,
-        F.coalesce("_oh", "height").alias("height"),
-        F.coalesce("_ow", "width").alias("width"),
-        "source",
+        .otherwise(merge_source(F.col("frame_idx"), F.col("boundary"), F.col("backward"), overlap))
     )
-    span_cols = [*key, "y", "x0", "x1"]
-    sides = old_spans.select(*span_cols, F.lit("old").alias("_side")).unionByName(
-        new_spans.select(*span_cols, F.lit("new").alias("_side"))
+    chosen = settle(
+        old.join(new, key, "full").select(
+            *key, *[F.coalesce(f"_old_{c}", c).alias(c) for c in extra], source.alias("source")
+        )
+    )
+    runs = ["y", "x0", "x1"]
+    sides = old_spans.select(*key, *runs, F.lit("old").alias("_side")).unionByName(
+        new_spans.select(*key, *runs, F.lit("new").alias("_side"))
     )
-    kept = join_by_group(sides, chosen.select(*key, "source"), key, ["y", "x0", "_side"]).filter(
+    kept = join_by_group(sides, chosen.select(*key, *carry, "source"), key, ["y", "x0", "_side"]).filter(
         (F.col("source") == F.col("_side")) | (F.col("source") == "both")
     )
-    single = kept.filter("source <> 'both'").select(*span_cols)
-    shared = covered_runs(kept.filter("source = 'both'").select(*span_cols), [*key, "y"], F.lit(2))
-    return chosen, single.unionByName(shared.select(*span_cols))
+    need = F.when(F.col("source") == "both", F.lit(2)).otherwise(F.lit(1))
+    merged = covered_runs(kept, [*key, *carry, "y", "source"], need)
+    return chosen.select(*key, *extra), merged.select(*key, *carry, *runs)
 
 
 Propagate = Callable[[DataFrame, DataFrame, DataFrame], tuple[DataFrame, DataFrame]]
 
 _FRAME_COLS = ["vid", "frame_idx", "height", "width"]
 _SPAN_COLS = ["vid", "frame_idx", "y", "x0", "x1"]
+_CARRY = ["num_frames", "main_chunk"]
 
 
 def propagate_in_chunks(
@@ -153,80 +156,76 @@ def propagate_in_chunks(
 
     Chunks depend on their neighbour, clips do not: wave ``k`` handles the chunk ``k`` steps away from the main
     chunk of all clips in one job, first toward the start, then toward the end. A chunk is prompted with the merged
-    mask at its boundary frame and skipped if that frame has no mask. Only frames the next wave can still change
-    stay in the loop, so a wave costs one chunk per clip; each is written to the checkpoint folder, so neither
-    lineage nor a lost executor makes earlier waves run again.
+    mask at its boundary frame and skipped if that frame has no mask. Only frames the next wave can still read or
+    change stay in the loop, so a wave costs one chunk per clip; each is written to the checkpoint folder, so
+    neither lineage nor a lost executor makes earlier waves run again.
 
     ``clips`` has ``vid, num_frames, key_frame_idx``; prompts hold the mask at the key frame. ``propagate(chunks,
     frames, spans)`` gets chunk rows (``vid, chunk_id, chunk_start, chunk_end, prompt_idx``) with prompt masks and
-    returns mask frames and spans keyed by ``vid, frame_idx``, with frame numbers of the clip.
+    returns mask frames and canonical runs keyed by ``vid, frame_idx``, with frame numbers of the clip.
     """
-    count = chunk_count(F.col("num_frames"), size, overlap)
-    main = clips.select(
-        "vid",
-        "num_frames",
-        "key_frame_idx",
-        main_chunk(F.col("key_frame_idx"), F.col("num_frames"), size, overlap).alias("main_chunk"),
-        count.alias("_chunks"),
-    ).filter("main_chunk IS NOT NULL")
-    main = cut_lineage(main)
-    before, after = main.agg(F.max("main_chunk"), F.max(F.col("_chunks") - 1 - F.col("main_chunk"))).first()
+    total, frame = F.col("num_frames"), F.col("frame_idx")
+    main = cut_lineage(
+        clips.select(
+            "vid",
+            "num_frames",
+            "key_frame_idx",
+            main_chunk(F.col("key_frame_idx"), total, size, overlap).alias("main_chunk"),
+        ).filter("main_chunk IS NOT NULL")
+    )
+    last = chunk_count(total, size, overlap) - 1
+    before, after = main.agg(F.max("main_chunk"), F.max(last - F.col("main_chunk"))).first()
     if before is None:
         return prompt_frames.select(*_FRAME_COLS).limit(0), prompt_spans.select(*_SPAN_COLS).limit(0)
 
-    def bounded(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("chunk_start", chunk_start(F.col("chunk_id"), size, overlap)).withColumn(
-            "chunk_end", chunk_end(F.col("chunk_id"), F.col("num_frames"), size, overlap)
+    def chunk_rows(rows: DataFrame, chunk: Column, prompt_idx: Column) -> DataFrame:
+        return rows.select(
+            "vid",
+            *_CARRY,
+            chunk.alias("chunk_id"),
+            chunk_start(chunk, size, overlap).alias("chunk_start"),
+            chunk_end(chunk, total, size, overlap).alias("chunk_end"),
+            prompt_idx.alias("prompt_idx"),
         )
 
-    def split(rows: DataFrame, wave: int, backward: bool, spread: list[str]) -> tuple[DataFrame, DataFrame]:
-        """Rows that wave ``wave`` may read or change, and the others."""
-        chunk = F.col("main_chunk") + F.lit(-wave if backward else wave)
-        exists = (chunk >= 0) & (chunk < F.col("_chunks"))
-        start = chunk_start(chunk, size, overlap)
-        near = (F.col("frame_idx") < start + size) if backward else (F.col("frame_idx") >= start)
-        # Going forward the prompt frame lies just before the end of the previous chunk, at or after this start.
-        edge = main.select("vid", "main_chunk", "_chunks")
-        tagged = join_by_group(rows, edge, ["vid"], spread).withColumn("_live", exists & near)
-        columns = rows.columns
-        return tagged.filter("_live").select(*columns), tagged.filter("NOT _live").select(*columns)
-
-    first = bounded(main.withColumn("chunk_id", F.col("main_chunk"))).withColumn("prompt_idx", F.col("key_frame_idx"))
-    frames, spans = propagate(first, prompt_frames, prompt_spans)
-    done_f, done_s = [cut_lineage(frames.select(*_FRAME_COLS))], [cut_lineage(spans.select(*_SPAN_COLS))]
+    frames, spans = propagate(
+        chunk_rows(main, F.col("main_chunk"), F.col("key_frame_idx")), prompt_frames, prompt_spans
+    )
+    place = main.select("vid", *_CARRY)
+    frames = cut_lineage(join_by_group(frames.select(*_FRAME_COLS), place, ["vid"], ["frame_idx"]))
+    spans = cut_lineage(join_by_group(spans.select(*_SPAN_COLS), place, ["vid"], ["frame_idx", "y", "x0"]))
+    done_f, done_s = [frames], [spans]
     for backward, waves in ((True, before), (False, after)):
         for wave in range(1, waves + 1):
-            if wave == 1:
-                frames, rest_f = split(_union(done_f), wave, backward, ["frame_idx"])
-                spans, rest_s = split(_union(done_s), wave, backward, ["frame_idx", "y", "x0"])
-                done_f, done_s = [rest_f], [rest_s]
             chunk = F.col("main_chunk") + F.lit(-wave if backward else wave)
-            step = bounded(main.withColumn("chunk_id", chunk).filter("chunk_id >= 0 AND chunk_id < _chunks"))
-            neighbour = F.col("chunk_id") + F.lit(1 if backward else -1)
+            start = chunk_start(chunk, size, overlap)
+            # The frames this chunk can meet; they include its prompt frame.
+            live = (chunk >= 0) & (chunk <= last) & ((frame < start + size) if backward else (frame >= start))
+            if wave == 1:
+                frames, spans = _union(done_f), _union(done_s)
+                done_f, done_s = [], []
+            done_f.append(frames.filter(~live))
+            done_s.append(spans.filter(~live))
+            frames, spans = frames.filter(live), spans.filter(live)
             if backward:
-                step = step.withColumn("boundary", chunk_start(neighbour, size, overlap))
-                step = step.withColumn("prompt_idx", F.col("boundary"))
+                boundary = chunk_start(chunk + 1, size, overlap)
+                prompt_idx = boundary
             else:
-                step = step.withColumn("boundary", chunk_end(neighbour, F.col("num_frames"), size, overlap))
-                step = step.withColumn("prompt_idx", F.col("boundary") - 1)
-            at = step.select("vid", F.col("prompt_idx").alias("frame_idx"))
-            prompt_f = frames.join(at, ["vid", "frame_idx"], "left_semi")
-            prompt_s = spans.join(at, ["vid", "frame_idx"], "left_semi")
-            ready = step.join(prompt_f.select("vid"), "vid", "left_semi")
-            new_f, new_s = propagate(ready, prompt_f, prompt_s)
-            edges = ready.select("vid", "boundary").withColumn("backward", F.lit(backward))
+                boundary = chunk_end(chunk - 1, total, size, overlap)
+                prompt_idx = boundary - 1
+            at = frames.filter(frame == prompt_idx)
+            ready = chunk_rows(at, chunk, prompt_idx)
+            new_f, new_s = propagate(ready, at.select(*_FRAME_COLS), spans.filter(frame == prompt_idx).select(*_SPAN_COLS))
+            edges = at.select("vid", *_CARRY, boundary.alias("boundary"), F.lit(backward).alias("backward"))
             new_f = join_by_group(new_f.select(*_FRAME_COLS), edges, ["vid"], ["frame_idx"])
-            merged_f, merged_s = merge_chunk_masks(frames, spans, new_f, new_s.select(*_SPAN_COLS), overlap)
-            merged_f = cut_lineage(merged_f.select(*_FRAME_COLS))
-            merged_s = cut_lineage(merged_s.select(*_SPAN_COLS))
-            frames, rest_f = split(merged_f, wave + 1, backward, ["frame_idx"])
-            spans, rest_s = split(merged_s, wave + 1, backward, ["frame_idx", "y", "x0"])
-            done_f.append(rest_f)
-            done_s.append(rest_s)
-            if wave == waves:
-                done_f.append(frames)
-                done_s.append(spans)
-    return _union(done_f), _union(done_s)
+            frames, spans = merge_chunk_masks(
+                frames, spans, new_f, new_s.select(*_SPAN_COLS), overlap, carry=_CARRY, settle=cut_lineage
+            )
+            spans = cut_lineage(spans)
+        if waves:
+            done_f.append(frames)
+            done_s.append(spans)
+    return _union(done_f).select(*_FRAME_COLS), _union(done_s).select(*_SPAN_COLS)
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:

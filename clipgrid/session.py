@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,7 +45,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+def shared_folder(spark: SparkSession, purpose: str) -> str:
+    """A fresh folder name below the checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the checkpoint folder, so that a lost executor costs no recomputation of its past."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the checkpoint folder and read it back.
+
+    A lost executor then costs no recomputation of the past. A written table is computed once, where a checkpoint
+    would run its job twice, and later reads can prune its columns.
+    """
+    folder = shared_folder(df.sparkSession, "cut")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
