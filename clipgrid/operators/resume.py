@@ -54,7 +54,10 @@ def take_first(clips: DataFrame, limit: int | None, numeric: bool = True) -> Dat
     if limit is None:
         return clips
     vid = F.col("vid")
-    order = [base_vid(vid), clip_idx(vid).try_cast("long"), vid] if numeric else [vid]
+    # A scan knows which part is the number; a bare identifier is split at its last underscore.
+    placed = {"base_vid", "idx"} <= set(clips.columns)
+    base, idx = (F.col("base_vid"), F.col("idx")) if placed else (base_vid(vid), clip_idx(vid))
+    order = [base, idx.try_cast("long"), vid] if numeric else [vid]
     return clips.orderBy(*order).limit(limit)
 
 
