@@ -90,8 +90,10 @@ def run_scorers(records: DataFrame, registry: Registry, method: str = "method")
                 for name, rows in batch.groupby(method, sort=False):
                     if name not in models:
                         models[name] = plugins[name].load()
-                    out = _score_or_explain(plugins[name], models[name], rows)
-                    yield out.reindex(columns=_RAW_FIELDS)
+                    out = _score_or_explain(plugins[name], models[name], rows).reindex(columns=_RAW_FIELDS)
+                    # An absent box must be None: the struct column takes no NaN.
+                    out["bbox"] = [box if isinstance(box, dict) else None for box in out["bbox"]]
+                    yield out
         finally:
             for name, model in models.items():
                 plugins[name].close(model)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -16,6 +17,7 @@ from clipgrid.operators.overlap import pick_tubes, tube_scores
 from clipgrid.operators.skew import join_by_group
 from clipgrid.operators.spans import box_runs
 from clipgrid.operators.tubes import hold
+from clipgrid.session import cut_lineage
 from clipgrid.sources.tubes import attach_tube_sets
 
 
@@ -38,9 +40,12 @@ def propagate(
     mode: str,
     threshold: float,
     sentence_type: str = "declarative",
+    settle: Callable[[DataFrame], DataFrame] = cut_lineage,
 ) -> Propagation:
     """Pick a ready tube where one fits the box, else hold the box over the clip; clips without a box fail.
 
+    The decision per clip is one small row that all results start from, so ``settle`` writes it out once.
+
     ``media`` has ``video_path, num_frames, height, width``; tubes are keyed by ``set_id, tube_id, frame_idx``.
     """
     joined = with_grounding(key_frames, grounding).withColumns(
@@ -68,12 +73,10 @@ def propagate(
     runs_on_key = join_by_group(tube_spans, place, ["set_id", "frame_idx"], ["tube_id", "y", "x0"])
     scores = tube_scores(runs_on_key, on_key, at.select("vid", "frame_idx", "bbox"), mode)
     picks = pick_tubes(scores, threshold).select("vid", F.col("tube_id").alias("selected_tube_id"), "score")
-    decided = clips.join(picks, "vid", "left").withColumn(
-        "method",
-        propagation_method(
-            F.col("box_ok"), F.col("bbox").isNotNull(), F.col("tubes_ok"), F.col("selected_tube_id")
-        ),
+    method = propagation_method(
+        F.col("box_ok"), F.col("bbox").isNotNull(), F.col("tubes_ok"), F.col("selected_tube_id")
     )
+    decided = settle(clips.join(picks, "vid", "left").withColumn("method", method))
     chosen = decided.filter((F.col("method") == TUBE_SELECTION) & F.col("selected_tube_id").isNotNull()).select(
         "vid", "set_id", F.col("selected_tube_id").alias("tube_id")
     )
