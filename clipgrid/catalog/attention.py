@@ -15,7 +15,7 @@ CASES: dict[str, Case] = {}
 @register(
     CASES,
     """
-    SELECT l_orderkey AS vid, l_suppkey % 2 AS layer, l_partkey % 5 AS pos, round(avg(l_extendedprice / 1000), 6) AS w
+    SELECT l_orderkey AS vid, l_suppkey % 2 AS layer, l_partkey % 5 AS pos, round(avg(l_extendedprice / 7919), 6) AS w
     FROM lineitem GROUP BY ALL
     """,
 )
@@ -26,7 +26,7 @@ def mean_attention(spark, folder):
         (F.col("l_suppkey") % 2).alias("layer"),
         (F.col("l_partkey") % 5).alias("pos"),
         F.col("l_linenumber").alias("head"),
-        (F.col("l_extendedprice") / 1000).alias("w"),
+        (F.col("l_extendedprice") / 7919).alias("w"),
     )
     return A.mean_attention(weights).withColumn("w", F.round("w", 6))
 

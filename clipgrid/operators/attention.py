@@ -1,4 +1,7 @@
-"""Attention weights as rows: averaging, grids, fusion and thresholds."""
+"""Attention weights as rows: averaging, grids, fusion and thresholds.
+
+A map or vector is bounded by the grid or sequence it comes from, so joins by clip and layer need no salt.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clipgrid.operators.sampling import normalise_by_group
-from clipgrid.operators.skew import join_by_group, with_group_stats
+from clipgrid.operators.skew import with_group_stats
 from clipgrid.operators.spans import pixels_to_runs
 
 # Fewest image positions assumed in a sequence (a grid of 16 by 16).
@@ -48,7 +51,7 @@ def grid_side(count: Column) -> Column:
 def to_grid(vectors: DataFrame, counts: DataFrame, keys: Sequence[str] = ("vid", "layer")) -> DataFrame:
     """Lay the leading positions out row by row on a square grid; cells beyond the count are 0."""
     side = grid_side(F.col("num_positions"))
-    given = join_by_group(vectors.select(*keys, "pos", "w"), counts, keys, ["pos"]).filter("pos < num_positions")
+    given = vectors.select(*keys, "pos", "w").join(counts, list(keys)).filter("pos < num_positions")
     padding = (
         counts.withColumn("_cells", side * side)
         .filter("_cells > num_positions")
@@ -82,11 +85,11 @@ def fuse_layers(
     )
     extent = F.col("_high") - F.col("_low")
     scaled = F.when(extent > 1e-8, (F.col("w") - F.col("_low")) / extent).otherwise(F.lit(0.0))
-    spread = join_by_group(maps, checked.drop("_known", "_found"), [*key, "layer"], ["y", "x"])
-    return spread.groupBy(*key, "y", "x").agg(F.sum(F.col("_weight") * scaled).alias("w"))
+    weighted = maps.join(checked.drop("_known", "_found"), [*key, "layer"])
+    return weighted.groupBy(*key, "y", "x").agg(F.sum(F.col("_weight") * scaled).alias("w"))
 
 
 def threshold_runs(maps: DataFrame, threshold: float, keys: Sequence[str] = ("vid",)) -> DataFrame:
     """Mask of the cells whose scaled value reaches the threshold, as runs."""
-    scaled = normalise_by_group(maps, keys, "w", "_scaled", 0.0, ["y", "x"])
+    scaled = normalise_by_group(maps, keys, "w", "_scaled", 0.0, ["y", "x"], salts=1)
     return pixels_to_runs(scaled.filter(F.col("_scaled") >= threshold), keys)

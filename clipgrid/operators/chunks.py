@@ -129,11 +129,11 @@ def merge_chunk_masks(
     sides = old_spans.select(*key, *runs, F.lit("old").alias("_side")).unionByName(
         new_spans.select(*key, *runs, F.lit("new").alias("_side"))
     )
-    kept = join_by_group(sides, chosen.select(*key, *carry, "source"), key, ["y", "x0", "_side"]).filter(
+    kept = sides.join(chosen.select(*key, *carry, "source"), key).filter(
         (F.col("source") == F.col("_side")) | (F.col("source") == "both")
     )
     need = F.when(F.col("source") == "both", F.lit(2)).otherwise(F.lit(1))
-    merged = covered_runs(kept, [*key, *carry, "y", "source"], need)
+    merged = covered_runs(kept, [*key, *carry, "y", "source"], need, together=key)
     return chosen.select(*key, *extra), merged.select(*key, *carry, *runs)
 
 

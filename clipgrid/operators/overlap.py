@@ -17,28 +17,22 @@ _MASK = ["vid", "tube_id", "frame_idx"]
 def _sums_at_box(spans: DataFrame, frames: DataFrame, boxes: DataFrame, clamp) -> DataFrame:
     """One row per mask on a box's frame: ``area``, ``inter`` and ``box_pixels``.
 
-    An equi-join on clip and frame meets each run with its one box; lines are compared by a condition, and the
-    sums are combined on the map side.
+    Masks find their box by clip and frame, then runs find their mask by its key, which bounds a group to one
+    image. The sums follow the join in the same partitions, and masks without runs keep their row.
     """
     at = ["vid", "frame_idx"]
     box = boxes.select(*at, "bbox")
     sized = join_by_group(frames.select(*_MASK, "height", "width"), box, at, ["tube_id"])
-    sized = sized.withColumn("bbox", clamp(F.col("bbox"), F.col("width"), F.col("height")))
-    clamped = sized.select(*_MASK, "bbox")
-    length, shared = box_overlap(spans, F.col("bbox"))
-    sums = (
-        join_by_group(spans, clamped, _MASK, ["y", "x0"])
-        .groupBy(*_MASK)
-        .agg(F.sum(length).alias("area"), F.sum(shared).alias("inter"))
-    )
-    box_pixels = F.greatest(F.lit(0), F.col("bbox.xmax") - F.col("bbox.xmin")).cast("long") * F.greatest(
-        F.lit(0), F.col("bbox.ymax") - F.col("bbox.ymin")
+    clamped = clamp(F.col("bbox"), F.col("width"), F.col("height"))
+    pixels = F.greatest(F.lit(0), clamped["xmax"] - clamped["xmin"]).cast("long") * F.greatest(
+        F.lit(0), clamped["ymax"] - clamped["ymin"]
     )
-    return sized.join(sums, _MASK, "left").select(
-        *_MASK,
-        F.coalesce("area", F.lit(0)).alias("area"),
-        F.coalesce("inter", F.lit(0)).alias("inter"),
-        box_pixels.alias("box_pixels"),
+    sized = sized.select(*_MASK, clamped.alias("bbox"), pixels.alias("box_pixels"))
+    length, shared = box_overlap(spans, F.col("bbox"))
+    return (
+        sized.join(spans, _MASK, "left")
+        .groupBy(*_MASK, "box_pixels")
+        .agg(F.coalesce(F.sum(length), F.lit(0)).alias("area"), F.coalesce(F.sum(shared), F.lit(0)).alias("inter"))
     )
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clipgrid.operators.skew import number_rows, unfold, with_group_stats
+from clipgrid.operators.skew import SALTS, number_rows, unfold, with_group_stats
 
 SOURCE_FPS = 30.0
 TARGET_FPS = 3.0
@@ -99,6 +99,7 @@ def normalise_by_group(
     name: str,
     constant: float,
     spread: Sequence[str],
+    salts: int = SALTS,
 ) -> DataFrame:
     """Min-max scale ``value`` per group; a constant group gives ``constant`` (0.5 for scores, 0 for maps)."""
     stats = [F.min(value).alias("_low"), F.max(value).alias("_high")]
@@ -107,7 +108,7 @@ def normalise_by_group(
     # Scores count as constant below 1e-8, maps at or below it.
     varies = extent > 1e-8 if constant == 0 else extent >= 1e-8
     return (
-        with_group_stats(rows, keys, stats, spread)
+        with_group_stats(rows, keys, stats, spread, salts)
         .withColumn(name, F.when(varies, scaled).otherwise(F.lit(constant)))
         .drop("_low", "_high")
     )

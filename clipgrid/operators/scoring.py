@@ -66,14 +66,15 @@ _RAW_FIELDS = [f.name for f in RAW_GROUNDING.fields]
 
 
 def _score_or_explain(plugin: Plugin, model: Any, rows: pd.DataFrame) -> pd.DataFrame:
-    """Score a batch; if it fails, score its rows one by one so that only the faulty ones become failures."""
+    """Score a batch; if it fails, score its halves, so that in the end only the faulty rows become failures."""
     try:
         return plugin.apply(model, rows)
     except Exception as error:  # noqa: BLE001 - any model error becomes a failure row
         if len(rows) == 1:
             return pd.DataFrame({"vid": [rows["vid"].iloc[0]], "success": [False], "failure_reason": [str(error)]})
-        parts = [_score_or_explain(plugin, model, rows.iloc[[i]]) for i in range(len(rows))]
-        return pd.concat(parts, ignore_index=True)
+        middle = len(rows) // 2
+        halves = [_score_or_explain(plugin, model, part) for part in (rows.iloc[:middle], rows.iloc[middle:])]
+        return pd.concat(halves, ignore_index=True)
 
 
 def run_scorers(records: DataFrame, registry: Registry, method: str = "method") -> DataFrame:

@@ -38,6 +38,8 @@ def join_by_group(
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how!r}")
+    if salts == 1:
+        return rows.join(groups, list(keys), how)
     left = rows.withColumn("_salt", hash_salt(spread, salts))
     right = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
@@ -50,7 +52,10 @@ def with_group_stats(
     spread: Sequence[str | Column],
     salts: int = SALTS,
 ) -> DataFrame:
-    """Add per-key aggregates to every row (what an unordered window would do) without gathering a key."""
+    """Add per-key aggregates to every row (what an unordered window would do) without gathering a key.
+
+    ``salts=1`` is for keys of bounded size, such as the cells of one map.
+    """
     return join_by_group(rows, rows.groupBy(*keys).agg(*stats), keys, spread, "inner", salts)
 
 

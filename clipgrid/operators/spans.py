@@ -13,15 +13,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from clipgrid.operators.skew import join_by_group
 from clipgrid.schemas import MASK_KEYS
 
 
-def covered_runs(spans: DataFrame, line: Sequence[str], need: Column) -> DataFrame:
+def covered_runs(
+    spans: DataFrame, line: Sequence[str], need: Column, together: Sequence[str] | None = None
+) -> DataFrame:
     """Maximal runs of every line that at least ``need`` of the given runs cover.
 
     Run ends are summed per position before the sweep, with map-side combine, so a line holds at most one row per
-    pixel column however many copies of a run come in. ``need`` may use the columns of ``line``.
+    pixel column however many copies of a run come in. ``need`` may use the columns of ``line``. ``together`` names
+    the columns to distribute the result by, when what follows works on whole masks; it must be part of ``line``.
     """
     ends = (
         spans.filter(F.col("x1") > F.col("x0"))
@@ -38,6 +40,8 @@ def covered_runs(spans: DataFrame, line: Sequence[str], need: Column) -> DataFra
         .groupBy(*line, "x")
         .agg(F.sum("step").alias("step"))
     )
+    if together:
+        ends = ends.repartition(*together)
     along = Window.partitionBy(*line).orderBy("x")
     return (
         ends.withColumn("_inside", F.sum("step").over(along) >= need)
@@ -50,8 +54,12 @@ def covered_runs(spans: DataFrame, line: Sequence[str], need: Column) -> DataFra
 
 
 def union_runs(spans: DataFrame, keys: Sequence[str] = MASK_KEYS) -> DataFrame:
-    """Canonical masks: overlapping and touching runs of a line become one."""
-    return covered_runs(spans, [*keys, "y"], F.lit(1))
+    """Canonical masks: overlapping and touching runs of a line become one.
+
+    The result is distributed by mask, so joins and aggregates per mask need no further shuffle. A canonical mask
+    is bounded by the pixels of its image; a hot clip is spread over its frames.
+    """
+    return covered_runs(spans, [*keys, "y"], F.lit(1), together=keys)
 
 
 def intersect_runs(left: DataFrame, right: DataFrame, keys: Sequence[str] = MASK_KEYS) -> DataFrame:
@@ -180,8 +188,7 @@ def close_open(
     another shuffle.
     """
     key = list(keys)
-    sized = join_by_group(union_runs(spans, key), frames.select(*key, "height", "width"), key, ["y", "x0"])
-    steps = sized.repartition(*key)
+    steps = union_runs(spans, key).join(frames.select(*key, "height", "width"), key)
     for operation, radius in ((dilate, close), (erode, close), (erode, open_), (dilate, open_)):
         steps = operation(steps, radius, key)
     return steps.select(*key, "y", "x0", "x1")

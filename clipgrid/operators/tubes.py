@@ -104,7 +104,7 @@ def later_write_wins(
         F.max(rank).alias(rank), F.max_by(F.struct(*[F.col(c) for c in rest]), F.col(rank)).alias("_row")
     )
     kept = last.select(*key, rank, *[F.col(f"_row.{c}").alias(c) for c in rest])
-    return kept.drop(rank), join_by_group(spans, last.select(*key, rank), [*key, rank], ["y", "x0"]).drop(rank)
+    return kept.drop(rank), spans.join(last.select(*key, rank), [*key, rank], "left_semi").drop(rank)
 
 
 def fill_missing(clips: DataFrame, frames: DataFrame) -> DataFrame:
