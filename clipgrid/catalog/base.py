@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clipgrid.operators.skew import spread
+
 Case = tuple[Callable[[SparkSession, str], DataFrame], str | None]
 
 
@@ -118,7 +120,7 @@ def replies(spark: SparkSession, folder: str) -> DataFrame:
         .when(kind == 7, F.lit(""))
         .otherwise(F.format_string("TARGET: NONE <|box_start|> (1,2),(3,4) <|box_end|> (9,9),(8,8) <|box_start|>(%d,%d),(%d,%d)<|box_end|>", a, b, c, d))
     )
-    return table(spark, folder, "lineitem").select(
+    return spread(table(spark, folder, "lineitem")).select(
         "l_orderkey",
         "l_linenumber",
         "l_partkey",
@@ -156,7 +158,7 @@ HEIGHT, WIDTH = 12, 96
 
 def raw_runs(spark: SparkSession, folder: str) -> DataFrame:
     first = F.col("l_partkey") % 6
-    return table(spark, folder, "lineitem").select(
+    return spread(table(spark, folder, "lineitem")).select(
         F.concat(F.lit("o"), "l_orderkey").alias("vid"),
         (F.col("l_linenumber") % 2).cast("long").alias("tube_id"),
         F.floor(F.col("l_linenumber") / 4).alias("frame_idx"),

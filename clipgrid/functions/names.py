@@ -19,7 +19,7 @@ def strip(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Split on runs of white space; blank text gives an empty array."""
-    return F.filter(F.split(text, rf"[{SPACE}]+"), lambda w: w != "")
+    return F.array_remove(F.split(text, rf"[{SPACE}]+"), "")
 
 
 def base_vid(vid: Column) -> Column:

@@ -129,12 +129,9 @@ def answer_words(reply: Column) -> Column:
 def answer_of_words(answer: Column) -> Column:
     """The last word, or the one before it when the last is a stop word; null if only stop words are left."""
     stop = F.array(*[F.lit(w) for w in ANSWER_STOP_WORDS])
-    telling = F.exists(answer, lambda w: ~F.array_contains(stop, w))
+    telling = F.size(F.array_except(answer, stop)) > 0
     last = F.try_element_at(answer, F.lit(-1))
-    return F.when(
-        telling,
-        F.when(last.isin(*ANSWER_STOP_WORDS), F.try_element_at(answer, F.lit(-2))).otherwise(last),
-    )
+    return F.when(~last.isin(*ANSWER_STOP_WORDS), last).when(telling, F.try_element_at(answer, F.lit(-2)))
 
 
 def question_answer(reply: Column) -> Column:
@@ -152,9 +149,7 @@ def _last_match(text: Column, pattern: str) -> Column:
 
 def denies_target(reply: Column) -> Column:
     """The reply states that there is no target."""
-    lowered = F.lower(reply)
-    stated = lowered.contains("target: none") | lowered.contains("target:none")
-    return stated & reply.rlike(rf"[Tt]arget{_S}*:{_S}*[Nn]one")
+    return F.lower(reply).rlike("target: ?none") & reply.rlike(rf"[Tt]arget{_S}*:{_S}*[Nn]one")
 
 
 def box_numbers(reply: Column) -> Column:
@@ -165,10 +160,7 @@ def box_numbers(reply: Column) -> Column:
 
 def failure_reason(reply: Column) -> Column:
     """Why a reply gave no box."""
-    lowered = F.lower(reply)
-    absent = F.lit(False)
-    for phrase in NOT_FOUND_PHRASES:
-        absent = absent | lowered.contains(phrase)
+    absent = F.lower(reply).rlike("|".join(NOT_FOUND_PHRASES))
     return (
         F.when(reply.isNull() | (reply == ""), F.lit("bbox_parsing_failed"))
         .when(absent, F.lit("subject_not_found"))

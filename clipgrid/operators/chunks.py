@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clipgrid.operators.skew import join_by_group, unfold
+from clipgrid.operators.skew import join_by_group, not_broadcast, unfold
 from clipgrid.operators.spans import covered_runs
 from clipgrid.session import cut_lineage
 
@@ -129,7 +129,7 @@ def merge_chunk_masks(
     sides = old_spans.select(*key, *runs, F.lit("old").alias("_side")).unionByName(
         new_spans.select(*key, *runs, F.lit("new").alias("_side"))
     )
-    kept = sides.join(chosen.select(*key, *carry, "source"), key).filter(
+    kept = sides.join(not_broadcast(chosen.select(*key, *carry, "source")), key).filter(
         (F.col("source") == F.col("_side")) | (F.col("source") == "both")
     )
     need = F.when(F.col("source") == "both", F.lit(2)).otherwise(F.lit(1))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clipgrid.functions.boxes import clamp_box, clamp_box_for_iou
-from clipgrid.operators.skew import join_by_group
+from clipgrid.operators.skew import join_by_group, not_broadcast
 from clipgrid.operators.spans import box_overlap
 
 _MASK = ["vid", "tube_id", "frame_idx"]
@@ -30,7 +30,7 @@ def _sums_at_box(spans: DataFrame, frames: DataFrame, boxes: DataFrame, clamp) -
     sized = sized.select(*_MASK, clamped.alias("bbox"), pixels.alias("box_pixels"))
     length, shared = box_overlap(spans, F.col("bbox"))
     return (
-        sized.join(spans, _MASK, "left")
+        sized.join(not_broadcast(spans), _MASK, "left")
         .groupBy(*_MASK, "box_pixels")
         .agg(F.coalesce(F.sum(length), F.lit(0)).alias("area"), F.coalesce(F.sum(shared), F.lit(0)).alias("inter"))
     )

@@ -7,16 +7,21 @@ from dataclasses import dataclass
 from typing import Any
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+import clipgrid
 from clipgrid.functions.scores import confidence, dot, match_probability
 from clipgrid.operators.skew import join_by_group
 from clipgrid.schemas import GROUNDING_COLUMNS, RAW_GROUNDING
 
 DEFAULT_REASON = "scorer_failed"
 
+# Functions of this package travel to the workers with the job, so the package need not be installed there.
+cloudpickle.register_pickle_by_value(clipgrid)
+
 
 @dataclass(frozen=True)
 class Plugin:
@@ -65,6 +70,13 @@ class Registry:
 _RAW_FIELDS = [f.name for f in RAW_GROUNDING.fields]
 
 
+def _plain_text(frame: pd.DataFrame, columns: Iterable[str]) -> pd.DataFrame:
+    """Text columns as plain objects with None, whatever string type the plug-in used."""
+    for name in columns:
+        frame[name] = frame[name].astype(object).where(frame[name].notna(), None)
+    return frame
+
+
 def _score_or_explain(plugin: Plugin, model: Any, rows: pd.DataFrame) -> pd.DataFrame:
     """Score a batch; if it fails, score its halves, so that in the end only the faulty rows become failures."""
     try:
@@ -94,7 +106,7 @@ def run_scorers(records: DataFrame, registry: Registry, method: str = "method")
                     out = _score_or_explain(plugins[name], models[name], rows).reindex(columns=_RAW_FIELDS)
                     # An absent box must be None: the struct column takes no NaN.
                     out["bbox"] = [box if isinstance(box, dict) else None for box in out["bbox"]]
-                    yield out
+                    yield _plain_text(out, ("vid", "failure_reason"))
         finally:
             for name, model in models.items():
                 plugins[name].close(model)
@@ -175,7 +187,7 @@ def run_propagators(inputs: DataFrame, registry: Registry, backend: str = "backe
                     for i in range(len(rows)):
                         out = plugins[name].apply(models[name], rows.iloc[[i]])
                         for part in [out] if isinstance(out, pd.DataFrame) else out:
-                            yield part.reindex(columns=[f.name for f in RUNS.fields])
+                            yield _plain_text(part.reindex(columns=[f.name for f in RUNS.fields]), ("vid",))
         finally:
             for name, model in models.items():
                 plugins[name].close(model)

@@ -17,6 +17,24 @@ SALTS = 16
 BLOCK = 32768
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Deal rows over the cores when the input has fewer partitions than there are cores.
+
+    For costly work on few files; an input of many files is left where it is.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
+def not_broadcast(rows: DataFrame) -> DataFrame:
+    """Mark a join side that must be shuffled.
+
+    The planner's size estimate ignores how many rows an ``explode`` makes, so it could broadcast unfolded frames or
+    runs that are far larger than it believes.
+    """
+    return rows.hint("merge")
+
+
 def hash_salt(spread: Sequence[str | Column], salts: int = SALTS) -> Column:
     """A salt computed from row content: a re-run task assigns the same salt again."""
     return F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
@@ -32,9 +50,10 @@ def join_by_group(
 ) -> DataFrame:
     """Join many rows per key with the few rows of that key in ``groups``.
 
-    ``groups`` is repeated once per salt and the rows of a key are dealt over the salts. When ``groups`` proves
-    small at run time the adaptive planner broadcasts it and the salt costs nothing; else a hot key is split
-    ``salts`` ways, and further by the adaptive skew join. ``how`` must keep the left side.
+    ``groups`` is repeated once per salt and the rows of a key are dealt over the salts. When ``groups`` is below the
+    session's broadcast threshold the salt costs nothing; else a hot key is split ``salts`` ways, and further by the
+    adaptive skew join. ``how`` must keep the left side. ``groups`` should hold whole rows per key, not unfolded
+    ones; mark it with :func:`not_broadcast` if its size is not known.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how!r}")
@@ -83,7 +102,7 @@ def number_rows(
     )
     local = tagged.withColumn("_local", F.row_number().over(Window.partitionBy(*cell).orderBy(*order)))
     return (
-        local.join(offsets, cell)
+        local.join(not_broadcast(offsets), cell)
         .withColumn(name, F.col("_offset") + F.col("_local") + F.lit(start - 1))
         .drop("_segment", "_offset", "_local")
     )

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from clipgrid.operators.skew import not_broadcast
 from clipgrid.schemas import MASK_KEYS
 
 
@@ -93,7 +94,7 @@ def mask_stats(spans: DataFrame, frames: DataFrame, keys: Sequence[str] = MASK_K
         F.max("y").alias("ymax"),
     )
     area = F.coalesce(F.col("area"), F.lit(0))
-    return frames.select(*key, "height", "width").join(sums, key, "left").select(
+    return frames.select(*key, "height", "width").join(not_broadcast(sums), key, "left").select(
         *key,
         area.alias("area"),
         (F.try_divide(area, F.col("height") * F.col("width")) * 100).alias("coverage"),
@@ -188,7 +189,7 @@ def close_open(
     another shuffle.
     """
     key = list(keys)
-    steps = union_runs(spans, key).join(frames.select(*key, "height", "width"), key)
+    steps = union_runs(spans, key).join(not_broadcast(frames.select(*key, "height", "width")), key)
     for operation, radius in ((dilate, close), (erode, close), (erode, open_), (dilate, open_)):
         steps = operation(steps, radius, key)
     return steps.select(*key, "y", "x0", "x1")

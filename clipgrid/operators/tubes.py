@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clipgrid.operators.skew import join_by_group, unfold
+from clipgrid.operators.skew import join_by_group, not_broadcast, unfold
 from clipgrid.operators.validate import in_range
 
 # Size of a mask when a clip has none to copy the size from.
@@ -37,8 +37,9 @@ def hold(clips: DataFrame, prompt_spans: DataFrame) -> tuple[DataFrame, DataFram
     frames = unfold(valid, F.col("num_frames"), "frame_idx", ["vid"]).select(
         "vid", "frame_idx", "height", "width", (F.col("frame_idx") >= F.col("key_frame_idx")).alias("forward")
     )
-    runs = prompt_spans.select("vid", "y", "x0", "x1")
-    spans = join_by_group(frames.select("vid", "frame_idx"), runs, ["vid"], ["frame_idx"])
+    # Each run of the prompt is unfolded over the frames by itself: the frames need not be joined.
+    runs = prompt_spans.select("vid", "y", "x0", "x1").join(valid.select("vid", "num_frames"), "vid")
+    spans = unfold(runs, F.col("num_frames"), "frame_idx", ["vid", "y", "x0"])
     return frames, spans.select("vid", "frame_idx", "y", "x0", "x1")
 
 
@@ -48,7 +49,7 @@ def keep_existing(existing: DataFrame, new: DataFrame, owned: DataFrame, keys: S
     The same rule serves mask frames and spans; ``owned`` lists the owned frames by ``keys``.
     """
     columns = existing.columns
-    added = new.join(owned.select(*keys), list(keys), "left_anti")
+    added = new.join(not_broadcast(owned.select(*keys)), list(keys), "left_anti")
     return existing.unionByName(added.select(*columns))
 
 
@@ -79,19 +80,23 @@ def extend_tubes(clips: DataFrame, frames: DataFrame, spans: DataFrame) -> tuple
         ),
         "height",
         "width",
-        F.when(is_backward, F.col("_start")).otherwise(F.col("_end")).alias("_source"),
     )
-    edge = join_by_group(spans, ends.select(*tube, "_start", "_end"), tube, ["frame_idx", "y", "x0"]).filter(
+    edge = join_by_group(spans, ends.select(*tube, "_start", "_end", "num_frames"), tube, ["frame_idx", "y", "x0"]).filter(
         "frame_idx = _start OR frame_idx = _end"
     )
-    edge = edge.select(*tube, F.col("frame_idx").alias("_source"), "y", "x0", "x1")
-    new_spans = join_by_group(
-        new_frames.select(*tube, "frame_idx", "_source"), edge, [*tube, "_source"], ["frame_idx"]
-    ).drop("_source")
+    # Runs of the first mask fill the frames before it, those of the last mask the frames after it. They unfold by
+    # themselves, and as no tube owns a frame there, nothing existing is met.
+    at_start, at_end = F.col("frame_idx") == F.col("_start"), F.col("frame_idx") == F.col("_end")
+    before = F.when(at_start, F.col("_start")).otherwise(F.lit(0))
+    after = F.when(at_end, F.greatest(F.lit(0), F.col("num_frames") - 1 - F.col("_end"))).otherwise(F.lit(0))
+    held = unfold(edge.withColumn("_before", before), F.col("_before") + after, "_step", [*tube, "y", "x0"])
+    past = F.col("_end") + 1 + F.col("_step") - F.col("_before")
+    new_spans = held.select(
+        *tube, F.when(F.col("_step") < F.col("_before"), F.col("_step")).otherwise(past).alias("frame_idx"), "y", "x0", "x1"
+    )
     key = [*tube, "frame_idx"]
-    owned = frames.select(*key)
-    all_frames = keep_existing(frames.select(*key, "height", "width"), new_frames.drop("_source"), owned, key)
-    return all_frames, keep_existing(spans.select(*key, "y", "x0", "x1"), new_spans, owned, key)
+    all_frames = frames.select(*key, "height", "width").unionByName(new_frames)
+    return all_frames, spans.select(*key, "y", "x0", "x1").unionByName(new_spans)
 
 
 def later_write_wins(
@@ -104,7 +109,7 @@ def later_write_wins(
         F.max(rank).alias(rank), F.max_by(F.struct(*[F.col(c) for c in rest]), F.col(rank)).alias("_row")
     )
     kept = last.select(*key, rank, *[F.col(f"_row.{c}").alias(c) for c in rest])
-    return kept.drop(rank), spans.join(last.select(*key, rank), [*key, rank], "left_semi").drop(rank)
+    return kept.drop(rank), spans.join(not_broadcast(last.select(*key, rank)), [*key, rank], "left_semi").drop(rank)
 
 
 def fill_missing(clips: DataFrame, frames: DataFrame) -> DataFrame:
@@ -118,7 +123,7 @@ def fill_missing(clips: DataFrame, frames: DataFrame) -> DataFrame:
     sized = clips.select("vid", "num_frames").join(size, "vid", "left")
     grid = unfold(sized, F.col("num_frames"), "frame_idx", ["vid"])
     have = frames.select("vid", "frame_idx", "height", "width", F.lit(False).alias("filled"))
-    return grid.join(have, ["vid", "frame_idx"], "left").select(
+    return grid.join(not_broadcast(have), ["vid", "frame_idx"], "left").select(
         "vid",
         "frame_idx",
         F.coalesce("height", "_h", F.lit(EMPTY_HEIGHT)).cast("long").alias("height"),

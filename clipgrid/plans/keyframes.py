@@ -10,6 +10,7 @@ from clipgrid.functions.text import is_question, target_object
 from clipgrid.operators.resume import drop_finished_key_frames
 from clipgrid.operators.sampling import TARGET_FPS, pick_key_frames, sample_frames
 from clipgrid.operators.scoring import similarity_scores
+from clipgrid.operators.skew import not_broadcast
 
 
 def score_frames(frames: DataFrame, queries: DataFrame) -> DataFrame:
@@ -32,7 +33,9 @@ def find_key_frames(
     """
     pending = clips if finished is None else drop_finished_key_frames(clips, finished, ["vid"])
     sampled = sample_frames(pending, fps_target=fps).select("vid", "sample_idx", "frame_idx")
-    scores = score_frames(sampled.join(frames.select("vid", "frame_idx", "vector"), ["vid", "frame_idx"]), queries)
+    # The sampled frames are unfolded, so their size is not known to the planner.
+    chosen = frames.select("vid", "frame_idx", "vector").join(not_broadcast(sampled), ["vid", "frame_idx"])
+    scores = score_frames(chosen, queries)
     picks = pick_key_frames(scores).withColumnRenamed("frame_idx", "original_frame_idx")
     question = is_question(F.col("text_query"))
     reply = F.col("reply") if "reply" in clips.columns else F.lit(None).cast("string")
