@@ -241,6 +241,24 @@ def _tubes(spark, folder):
     return clips, frames, spans
 
 
+@register(
+    CASES,
+    f"""
+    WITH {PIXELS},
+    owned AS (SELECT DISTINCT 'o' || l_orderkey AS vid, l_linenumber // 4 AS frame_idx FROM lineitem WHERE l_linenumber % 2 = 0),
+    kept AS (SELECT vid, frame_idx, y, x FROM pixels WHERE tube_id = 0
+      UNION ALL SELECT p.vid, p.frame_idx, y, x FROM pixels p ANTI JOIN owned o ON p.vid = o.vid AND p.frame_idx = o.frame_idx WHERE tube_id = 1)
+    {_islands("kept", "vid, frame_idx")}
+    """,
+)
+def keep_existing(spark, folder):
+    """The masks of one tube, and those of the other on frames the first does not own."""
+    masks = runs(spark, folder)
+    owned = mask_frames(spark, folder).filter("tube_id = 0").select("vid", "frame_idx")
+    existing, new = masks.filter("tube_id = 0").drop("tube_id"), masks.filter("tube_id = 1").drop("tube_id")
+    return T.keep_existing(existing, new, owned, ["vid", "frame_idx"])
+
+
 @register(
     CASES,
     f"""
