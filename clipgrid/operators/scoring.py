@@ -89,12 +89,17 @@ def _score_or_explain(plugin: Plugin, model: Any, rows: pd.DataFrame) -> pd.Data
         return pd.concat(halves, ignore_index=True)
 
 
-def run_scorers(records: DataFrame, registry: Registry, method: str = "method") -> DataFrame:
+def run_scorers(
+    records: DataFrame, registry: Registry, method: str = "method", partitions: int | None = None
+) -> DataFrame:
     """Raw scorer output, one row per record, routed by the method named in the row.
 
-    One pass over the records; a task loads a model when it first meets its method and closes all at its end.
+    Scoring a record costs far more than moving it, so records are dealt evenly over ``partitions`` tasks (default:
+    the session's shuffle partitions). One pass over the records; a task loads a model when it first meets its
+    method and closes all at its end.
     """
     plugins = registry.subset()
+    tasks = partitions or int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         models: dict[str, Any] = {}
@@ -111,7 +116,8 @@ def run_scorers(records: DataFrame, registry: Registry, method: str = "method")
             for name, model in models.items():
                 plugins[name].close(model)
 
-    return records.filter(registry.known(F.col(method))).mapInPandas(score, RAW_GROUNDING)
+    known = records.filter(registry.known(F.col(method)))
+    return known.repartition(tasks).mapInPandas(score, RAW_GROUNDING)
 
 
 def grounding_rows(
@@ -169,8 +175,10 @@ RUNS = T.StructType(
 )
 
 
-def run_propagators(inputs: DataFrame, registry: Registry, backend: str = "backend") -> DataFrame:
-    """Runs of the propagated masks.
+def run_propagators(
+    inputs: DataFrame, registry: Registry, backend: str = "backend", partitions: int | None = None
+) -> DataFrame:
+    """Runs of the propagated masks, computed by ``partitions`` tasks (default: the session's shuffle partitions).
 
     An input row is a clip or, for long clips, one chunk of it, so a single clip can be spread over many tasks. A
     propagator yields its frames piece by piece and nothing gathers a clip.
@@ -192,7 +200,9 @@ def run_propagators(inputs: DataFrame, registry: Registry, backend: str = "backe
             for name, model in models.items():
                 plugins[name].close(model)
 
-    return inputs.filter(registry.known(F.col(backend))).mapInPandas(propagate, RUNS)
+    tasks = partitions or int(inputs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = inputs.filter(registry.known(F.col(backend)))
+    return known.repartition(tasks).mapInPandas(propagate, RUNS)
 
 
 def similarity_scores(frames: DataFrame, queries: DataFrame, key: str = "vid", vector: str = "vector") -> DataFrame:

@@ -20,7 +20,8 @@ BLOCK = 32768
 def spread(rows: DataFrame) -> DataFrame:
     """Deal rows over the cores when the input has fewer partitions than there are cores.
 
-    For costly work on few files; an input of many files is left where it is.
+    For costly work right behind a scan of few files; a scan of many files is left as it is. Not for plans with a
+    shuffle, which would run to count their partitions.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
     return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
@@ -75,7 +76,8 @@ def with_group_stats(
 
     ``salts=1`` is for keys of bounded size, such as the cells of one map.
     """
-    return join_by_group(rows, rows.groupBy(*keys).agg(*stats), keys, spread, "inner", salts)
+    # Every row has its group; as a left join only the groups can be broadcast, never the rows.
+    return join_by_group(rows, rows.groupBy(*keys).agg(*stats), keys, spread, "left", salts)
 
 
 def number_rows(

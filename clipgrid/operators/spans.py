@@ -44,10 +44,11 @@ def covered_runs(
     if together:
         ends = ends.repartition(*together)
     along = Window.partitionBy(*line).orderBy("x")
+    # Positions are unique per line, so the depth just before one is its depth without its own step.
     return (
-        ends.withColumn("_inside", F.sum("step").over(along) >= need)
-        .withColumn("_was", F.lag("_inside", 1, False).over(along))
-        .filter("_inside <> _was")
+        ends.withColumn("_depth", F.sum("step").over(along))
+        .withColumn("_inside", F.col("_depth") >= need)
+        .filter(F.col("_inside") != (F.col("_depth") - F.col("step") >= need))
         .withColumn("_next", F.lead("x").over(along))
         .filter("_inside")
         .select(*line, F.col("x").alias("x0"), F.col("_next").alias("x1"))

@@ -44,7 +44,8 @@ def propagate(
 ) -> Propagation:
     """Pick a ready tube where one fits the box, else hold the box over the clip; clips without a box fail.
 
-    The decision per clip is one small row that all results start from, so ``settle`` writes it out once.
+    The state and the decision of a clip are one small row each that several results start from, so ``settle`` writes
+    them out once.
 
     ``media`` has ``video_path, num_frames, height, width``; tubes are keyed by ``set_id, tube_id, frame_idx``.
     """
@@ -58,12 +59,14 @@ def propagate(
         }
     )
     sized = joined.join(media.select("video_path", "num_frames", "height", "width"), "video_path")
-    clips = attach_tube_sets(sized, tube_sets, tube_frames).withColumns(
-        {
-            "box_ok": F.col("success"),
-            "tubes_ok": F.col("tube_state") == "tubes",
-            "bbox": clamp_box(F.col("bbox"), F.col("width"), F.col("height")),
-        }
+    clips = settle(
+        attach_tube_sets(sized, tube_sets, tube_frames).withColumns(
+            {
+                "box_ok": F.col("success"),
+                "tubes_ok": F.col("tube_state") == "tubes",
+                "bbox": clamp_box(F.col("bbox"), F.col("width"), F.col("height")),
+            }
+        )
     )
     at = clips.filter("box_ok AND tubes_ok AND bbox IS NOT NULL").select(
         "set_id", "vid", F.col("key_frame_idx").alias("frame_idx"), "bbox"

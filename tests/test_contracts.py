@@ -216,10 +216,10 @@ def test_models_are_closed_and_errors_stay_with_their_row(spark, records, tmp_pa
         return _ok(model, rows)
 
     registry = Registry({"m": Plugin(score, load=lambda: 0.5, close=close)})
-    got = {r["vid"]: r for r in ground(records.coalesce(1), registry, "m").collect()}
+    got = {r["vid"]: r for r in ground(records, registry, "m").collect()}
     assert got["b_1"]["failure_reason"] == "no such frame"
     assert got["a_1"]["success"] and got["c_1"]["confidence"] == 0.5
-    assert open(marker).read() == "x"
+    assert 1 <= len(open(marker).read()) <= 3
 
 
 def test_propagator_may_yield_nothing(spark):
