@@ -2,7 +2,7 @@
 
 A mask is a set of rows ``(vid, tube_id, frame_idx, y, x0, x1)``: the pixels ``x0 <= x < x1`` of line ``y`` are set.
 ``mask_frames`` holds one row per mask with its height and width, so an empty mask still exists. Area, overlap and
-extent are plain aggregates; union, intersection, dilation and erosion all come from one sweep along a line.
+extent are plain aggregates; union, intersection, dilation and erosion all come from a sweep along a line.
 """
 
 from __future__ import annotations
@@ -46,7 +46,7 @@ def covered_runs(
     along = Window.partitionBy(*line).orderBy("x")
     # Positions are unique per line, so the depth just before one is its depth without its own step.
     return (
-        ends.withColumn("_depth", F.sum("step").over(along))
+        ends.withColumn("_depth", F.sum("step").over(along.rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("_inside", F.col("_depth") >= need)
         .filter(F.col("_inside") != (F.col("_depth") - F.col("step") >= need))
         .withColumn("_next", F.lead("x").over(along))
@@ -55,13 +55,33 @@ def covered_runs(
     )
 
 
+def joined_runs(spans: DataFrame, line: Sequence[str], together: Sequence[str] | None = None) -> DataFrame:
+    """The same for ``need`` = 1, with half the rows: runs are joined while they begin within what came before.
+
+    Of the runs that begin at one position the longest is found on the map side first.
+    """
+    runs = spans.filter(F.col("x1") > F.col("x0")).groupBy(*line, "x0").agg(F.max("x1").alias("x1"))
+    if together:
+        runs = runs.repartition(*together)
+    along = Window.partitionBy(*line).orderBy("x0")
+    reach = F.max("x1").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    begins = (reach.isNull() | (F.col("x0") > reach)).cast("int")
+    return (
+        runs.withColumn("_begins", begins)
+        .withColumn("_island", F.sum("_begins").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+        .groupBy(*line, "_island")
+        .agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"))
+        .drop("_island")
+    )
+
+
 def union_runs(spans: DataFrame, keys: Sequence[str] = MASK_KEYS) -> DataFrame:
     """Canonical masks: overlapping and touching runs of a line become one.
 
     The result is distributed by mask, so joins and aggregates per mask need no further shuffle. A canonical mask
     is bounded by the pixels of its image; a hot clip is spread over its frames.
     """
-    return covered_runs(spans, [*keys, "y"], F.lit(1), together=keys)
+    return joined_runs(spans, [*keys, "y"], together=keys)
 
 
 def intersect_runs(left: DataFrame, right: DataFrame, keys: Sequence[str] = MASK_KEYS) -> DataFrame:
@@ -161,7 +181,7 @@ def dilate(spans: DataFrame, radius: int, keys: Sequence[str] = MASK_KEYS) -> Da
         F.greatest(F.lit(0), F.col("x0") - radius).alias("x0"),
         F.least(F.col("width"), F.col("x1") + radius).alias("x1"),
     )
-    return covered_runs(grown, [*mask, "y"], F.lit(1))
+    return joined_runs(grown, [*mask, "y"])
 
 
 def erode(spans: DataFrame, radius: int, keys: Sequence[str] = MASK_KEYS) -> DataFrame:
