@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clipgrid.functions.boxes import box_of, decode_coordinates
+from clipgrid.functions.boxes import SIDES, decode_coordinates
 from clipgrid.functions.names import SPACE, WORD, strip, words
 
 # Word lists and reply notations that decide results.
@@ -192,12 +192,16 @@ def parse_replies(
 ) -> DataFrame:
     """Add ``answer``, ``bbox``, ``success`` and ``failure_reason`` to rows of replies.
 
-    The numbers are extracted in a step of their own, so each pattern runs once per row.
+    The numbers are extracted and cast in a step of their own, so each pattern runs once per row and the generated
+    code of the next step stays small.
     """
-    staged = rows.withColumn("_numbers", box_numbers(F.col(reply))).withColumn("_words", answer_words(F.col(reply)))
-    number = [F.try_element_at(F.col("_numbers"), F.lit(i)) for i in range(1, 5)]
+    numbers = box_numbers(F.col(reply)).try_cast("array<int>")
+    staged = rows.withColumn("_numbers", numbers).withColumn("_words", answer_words(F.col(reply)))
+    number = [F.col("_numbers")[i] for i in range(4)]
+    complete = number[0].isNotNull() & number[1].isNotNull() & number[2].isNotNull() & number[3].isNotNull()
+    stated = F.struct(*[n.alias(side) for n, side in zip(number, SIDES)])
     return (
-        staged.withColumn("_stated", box_of(*number))
+        staged.withColumn("_stated", F.when(complete, stated))
         .withColumn("bbox", decode_coordinates(F.col("_stated"), F.col(width), F.col(height), mode))
         .withColumn(
             "answer",
