@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,24 +35,28 @@ def small_slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 <
             yield batch.slice(a, b - a)
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = 200_000) -> Iterator[pa.Table]:
-    """Sorted batches of a partition as tables of at least ``rows`` rows that never cut through a value of ``key``."""
+def whole_groups(
+    batches: Iterator[pa.RecordBatch], key: str | Callable[[pa.Table], np.ndarray], rows: int = 200_000, most: int = 32 << 20
+) -> Iterator[pa.Table]:
+    """Sorted batches of a partition as tables of about ``rows`` rows or ``most`` bytes that never cut through a key."""
+    of = key if callable(key) else lambda t: t.column(key).to_numpy()
     held: list[pa.RecordBatch] = []
-    count = 0
+    count = size = 0
     for batch in batches:
         held.append(batch)
-        count += batch.num_rows
-        if count < rows:
+        count, size = count + batch.num_rows, size + batch.nbytes
+        if count < rows and size < most:
             continue
         whole = pa.Table.from_batches(held)
-        values = whole.column(key).to_numpy()
-        last = len(values) - int(np.argmax(values[::-1] != values[-1])) if (values != values[-1]).any() else 0
+        values = of(whole)
+        differ = values[::-1] != values[-1]
+        last = len(values) - int(np.argmax(differ)) if differ.any() else 0
         if last:
             yield whole.slice(0, last)
             rest = whole.slice(last).combine_chunks()
-            held, count = rest.to_batches(), rest.num_rows
-        else:  # one value so far: wait for its end
-            held = whole.combine_chunks().to_batches()
+            held, count, size = rest.to_batches(), rest.num_rows, rest.nbytes
+        else:  # one value so far: wait for its end, and look again when there is twice as much
+            rows, most = max(rows, 2 * count), max(most, 2 * size)
     if count:
         yield pa.Table.from_batches(held)
 

@@ -6,10 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clipgrid.llm import byte_bpe, mixing, simhash, weak_rules
+from clipgrid.llm import byte_bpe, curves, lang_id, line_blocks, mixing, resampling, simhash, suffix_dedup, warc, weak_rules
 from clipgrid.llm.common import table
 
 
+def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.removal_report(table(spark, folder, "documents"))
+
+
+def op2_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return resampling.resample(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, folder, "pages"))
+
+
 def op4_weak_rules(spark: SparkSession, folder: str) -> DataFrame:
     return weak_rules.verdicts(table(spark, folder, "documents"))
 
@@ -18,18 +30,39 @@ def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def op6_hilbert_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return curves.nearest_neighbours(table(spark, folder, "embeddings"))
+
+
 def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_line_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    return line_blocks.extract(table(spark, folder, "pages"), ["page_id", "url"])
+
+
 def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return byte_bpe.token_report(table(spark, folder, "documents"))
 
 
+def op10_language(spark: SparkSession, folder: str) -> DataFrame:
+    return lang_id.identify(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op4_weak_rules": op4_weak_rules,
-    "op5_simhash": op5_simhash,
-    "op7_mixing": op7_mixing,
-    "op9_byte_bpe": op9_byte_bpe,
+    f.__name__: f
+    for f in (
+        op1_suffix_dedup,
+        op2_importance_resampling,
+        op3_warc,
+        op4_weak_rules,
+        op5_simhash,
+        op6_hilbert_neighbours,
+        op7_mixing,
+        op8_line_blocks,
+        op9_byte_bpe,
+        op10_language,
+    )
 }
 SQL: dict[str, str] = {"op4_weak_rules": weak_rules.verdicts_sql(), "op7_mixing": mixing.MIX_SQL}
