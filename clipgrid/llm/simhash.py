@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clipgrid.llm.common import small_slices, starts_of, utf8, whole_groups
@@ -63,14 +63,19 @@ def fingerprint(text: bytes, width: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp long, one row per document."""
+    """doc_id, fp long, and tag long (a hash of the text), one row per document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
         for batch in small_slices(batches, "text"):
-            found = [fingerprint(t) for t in utf8(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["doc_id", "fp"])
+            texts = utf8(batch.column(1))
+            found = pa.array([fingerprint(t) for t in texts], pa.int64())
+            tags = pa.array(np.array([xxh64_intdigest(t, SEED) for t in texts], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), found, tags], ["doc_id", "fp", "tag"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return rows.mapInArrow(run, "doc_id long, fp long, tag long")
 
 
 def _differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -163,14 +168,31 @@ def links(prints: DataFrame, block: int = BLOCK) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, fp, tag, and root, which rows of one group share; one row per document."""
+    prints = cut_lineage(fingerprints(docs))
+    distinct = cut_lineage(prints.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).select("fp"))
+    groups = components(links(distinct)).select(F.col("node").alias("fp"), "root")
+    return prints.join(groups, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id, one row per document."""
-    prints = cut_lineage(fingerprints(docs))
-    distinct = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    groups = components(links(distinct)).select(F.col("node").alias("fp"), F.col("root"))
-    rooted = distinct.join(groups, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return prints.join(classes, "fp").select(
+    rows = cut_lineage(grouped(docs))
+    least = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(least, "root").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay: of each group that of the smallest doc_id, one row where it repeats."""
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tag")
+    first = grouped(docs).groupBy("root").agg(F.min(place).alias("p")).select("p.doc_id", "p.tag")
+    first = cut_lineage(first.select(F.col("doc_id").alias("_doc"), F.col("tag").alias("_tag")))
+    own = docs.select(F.struct(*docs.columns).alias("_row")).withColumn("_text", F.xxhash64(F.coalesce(F.col("_row.text").cast("string"), F.lit(""))))
+    same = (F.coalesce(F.col("_row.doc_id"), F.lit(-1)) == F.coalesce("_doc", F.lit(-1))) & (F.col("_text") == F.col("_tag"))
+    same = same & F.col("_row.doc_id").eqNullSafe(F.col("_doc"))
+    found = own.join(first, same, "left_semi")
+    once = F.row_number().over(Window.partitionBy("_row.doc_id", "_text").orderBy(F.lit(1)))
+    return found.withColumn("_once", once).where("_once = 1").select("_row.*")

@@ -361,8 +361,24 @@ def match(stretches: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "doc long, at long, a long")
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (default: all but the text), n_bytes, spans (begin and end of what goes) and kept (binary)."""
+def _whole_characters(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans without bytes of characters that they hold in part."""
+    found = []
+    for begin, end in spans:
+        while begin < end and text[begin] & 0xC0 == 0x80:
+            begin += 1
+        while begin < end < len(text) and text[end] & 0xC0 == 0x80:
+            end -= 1
+        if begin < end:
+            found.append((begin, end))
+    return found
+
+
+def remove_repeats(docs: DataFrame, text: str = "text", keep: list[str] | None = None, whole_characters: bool = False) -> DataFrame:
+    """The columns ``keep`` (default: all but the text), n_bytes, spans (begin and end of what goes) and kept (binary).
+
+    With ``whole_characters`` a character stays unless all its bytes go, so that what is kept is a text.
+    """
     rest = [c for c in (keep if keep is not None else docs.columns) if c not in (text, "n_bytes", "spans", "kept")]
     names = [f"_c{i}" for i in range(len(rest))]
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc")
@@ -395,6 +411,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", keep: list[str] | None =
                     own = list(zip(begin[cuts[row[i]] : cuts[row[i] + 1]].tolist(), end[cuts[row[i]] : cuts[row[i] + 1]].tolist(), strict=True))
                 last = row[i]
                 whole = codec.decompress(packed[i].as_buffer(), n, asbytes=True) if n else b""
+                if whole_characters:
+                    own = _whole_characters(whole, own)
                 edges = [0, *(x for span in own for x in span), n]
                 kept.append(b"".join(whole[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)))
                 spans.append(own)

@@ -8,8 +8,8 @@ whatever the corpus; one iteration is one aggregate over that table.
 
 Texts are handled whole in their own row: repeated three-word windows are found by sorting their hashes, not by joins, so
 neither a long text nor a hot source moves any row. A null text has no words; documents without words have every count
-zero and fail the base rule. Repeated rows vote each for themselves. Other columns pass through; the columns that this
-module adds replace old ones of the same name.
+zero and fail the base rule. Repeated rows vote each for themselves. Columns to keep pass through; columns that this
+module adds replace old ones of the same name, so keep those inside a struct.
 """
 
 from __future__ import annotations
@@ -115,12 +115,14 @@ def estimate(voted: DataFrame, iterations: int = ITERATIONS) -> tuple[float, dic
     return bias, weights
 
 
-def judge(docs: DataFrame, text: str = "text", least: float = LEAST, iterations: int = ITERATIONS) -> DataFrame:
-    """``docs`` with COUNTS, votes, ``quality`` (posterior), ``base_failed`` and ``kept``.
+def judge(
+    docs: DataFrame, keep: list[str], text: str = "text", least: float = LEAST, iterations: int = ITERATIONS
+) -> DataFrame:
+    """The columns ``keep`` with COUNTS, votes, ``quality`` (posterior), ``base_failed`` and ``kept``.
 
     Texts are counted once and the result is written, as the estimate and the verdict both read it.
     """
-    voted = votes(cut_lineage(counts(docs, text)))
+    voted = votes(cut_lineage(counts(docs, text).select(*keep, *COUNTS)))
     bias, weights = estimate(voted, iterations)
     judged = voted.withColumn("quality", F.round(_posterior(bias, weights), 6)).withColumn("base_failed", F.expr(BASE_FAILED))
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= least))
@@ -128,7 +130,7 @@ def judge(docs: DataFrame, text: str = "text", least: float = LEAST, iterations:
 
 def verdicts(docs: DataFrame) -> DataFrame:
     """doc_id, the base counts, base_failed, quality and kept."""
-    judged = judge(docs.select("doc_id", "text").withColumn("_text", F.col("text")).drop("text"), "_text")
+    judged = judge(docs.select("doc_id", "text"), ["doc_id"])
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "quality", "kept"
     )
