@@ -123,7 +123,7 @@ class _Stretches:
         order = np.lexsort((at, doc, key))
         a, h, doc, at = a[order], h[order], doc[order], at[order]
         first = starts_of(a, h)
-        again = ~first
+        again = ~first & starts_of(a, h, doc, at)  # rows of a repeated document are one
         cells = [a[first], h[first], doc[first], at[first]]
         if again.any():
             d, t, begin, end = repeats(doc[again], at[again], a[again])
@@ -219,8 +219,9 @@ def meet(found: DataFrame) -> DataFrame:
             first = starts_of(a, h)
             group = np.cumsum(starts_of(a >> 14)) - 1
             several = np.bincount(group, weights=first) > 1
-            if not first.all():
-                yield _intervals(*repeats(doc[~first], at[~first], a[~first]))
+            again = ~first & starts_of(a, h, doc, at)
+            if again.any():
+                yield _intervals(*repeats(doc[again], at[again], a[again]))
             ask = first & several[group]
             if ask.any():
                 yield pa.RecordBatch.from_arrays([pa.array(x[ask]) for x in (doc, at, a)], ["doc", "at", "a"])
