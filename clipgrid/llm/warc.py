@@ -128,7 +128,7 @@ def inflated(stream: memoryview) -> Iterator[bytes]:
         piece = stream[at : at + PIECE]
         while len(piece):
             yield engine.decompress(piece, 4 * PIECE)
-            while engine.unconsumed_tail:
+            while engine.unconsumed_tail and not engine.eof:
                 yield engine.decompress(engine.unconsumed_tail, 4 * PIECE)
             piece = b""
             if engine.eof:
