@@ -177,11 +177,8 @@ def mask_resize(spark, folder):
     WITH {PIXELS}, {MASK_FRAMES},
     ordered AS (SELECT *, row_number() OVER (PARTITION BY vid, tube_id, frame_idx ORDER BY y, x) - 1 AS i,
       count(*) OVER (PARTITION BY vid, tube_id, frame_idx) AS n FROM pixels),
-    wanted AS (SELECT DISTINCT vid, tube_id, frame_idx, n, CASE WHEN j = 4 THEN n - 1 ELSE CAST(floor(j * ((n - 1) / 4::DOUBLE)) AS BIGINT) END AS i
-      FROM ordered, range(5) t(j) WHERE n > 5),
-    picked AS (SELECT o.vid, o.tube_id, o.frame_idx, o.i AS point, o.x, o.y FROM ordered o
-      JOIN wanted w ON o.vid = w.vid AND o.tube_id = w.tube_id AND o.frame_idx = w.frame_idx AND o.i = w.i
-      UNION ALL SELECT vid, tube_id, frame_idx, i, x, y FROM ordered WHERE n <= 5)
+    picked AS (SELECT vid, tube_id, frame_idx, i AS point, x, y FROM ordered WHERE n <= 5 OR i = n - 1 OR i IN (0,
+      CAST(floor((n - 1) / 4::DOUBLE) AS BIGINT), CAST(floor(2 * ((n - 1) / 4::DOUBLE)) AS BIGINT), CAST(floor(3 * ((n - 1) / 4::DOUBLE)) AS BIGINT)))
     SELECT * FROM picked
     UNION ALL SELECT f.vid, f.tube_id, f.frame_idx, 0, {WIDTH // 2}, {HEIGHT // 2} FROM mask_frames f
       ANTI JOIN pixels p ON f.vid = p.vid AND f.tube_id = p.tube_id AND f.frame_idx = p.frame_idx

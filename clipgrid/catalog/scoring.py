@@ -238,19 +238,19 @@ def propagate_plugin(spark, folder):
 
 # A flow over orders: the line items of an order are tubes of its tube set, on frames 0 to 3.
 _FLOW = """
-items AS (SELECT DISTINCT l_orderkey AS k, l_linenumber % 3 AS tube, l_suppkey % 4 AS frame FROM lineitem WHERE l_orderkey % 3 > 0),
+items AS (SELECT DISTINCT l_orderkey AS k, l_linenumber % 3 AS tube, l_suppkey % 4 AS frame FROM lineitem),
 pixels AS (SELECT DISTINCT k, tube, frame, y, unnest(range(x0, x1)) AS x FROM (
   SELECT l_orderkey AS k, l_linenumber % 3 AS tube, l_suppkey % 4 AS frame, l_partkey % 5 AS y, l_partkey % 20 AS x0,
-    least(64, l_partkey % 20 + CAST(l_quantity AS BIGINT)) AS x1 FROM lineitem WHERE l_orderkey % 3 > 0)),
-clips AS (SELECT o_orderkey AS k, o_orderstatus = 'F' AS box_ok, o_orderkey % 4 AS frame, 4 AS n, o_orderkey % 3 > 0 AND o_orderkey IN (SELECT k FROM items) AS tubes_ok,
+    least(64, l_partkey % 20 + CAST(l_quantity AS BIGINT)) AS x1 FROM lineitem)),
+clips AS (SELECT o_orderkey AS k, o_orderstatus = 'F' AS box_ok, o_orderkey % 4 AS frame, 4 AS n, o_orderkey % 11 > 0 AND o_orderkey % 13 > 0 AS listed, o_orderkey % 13 > 0 AND o_orderkey % 3 > 0 AND o_orderkey IN (SELECT k FROM items) AS tubes_ok,
   o_orderstatus = 'F' AND o_orderkey % 7 > 0 AS has_box, greatest(0, o_custkey % 60 - 5) AS x1, greatest(0, o_custkey % 9 - 1) AS y1,
   least(64, o_custkey % 60 - 5 + o_orderkey % 50) AS x2, least(12, o_custkey % 9 + o_orderkey % 12) AS y2 FROM orders),
 scored AS (SELECT c.k, i.tube, count(p.x) AS area, count(p.x) FILTER (p.x >= x1 AND p.x < x2 AND p.y >= y1 AND p.y < y2) AS inter
   FROM clips c JOIN items i ON c.k = i.k AND c.frame = i.frame LEFT JOIN pixels p ON p.k = i.k AND p.tube = i.tube AND p.frame = i.frame
-  WHERE has_box AND tubes_ok GROUP BY ALL),
+  WHERE listed AND has_box AND tubes_ok GROUP BY ALL),
 picked AS (SELECT k, arg_max(tube, (CASE WHEN area > 0 THEN inter / area::DOUBLE ELSE 0 END, -tube)) AS tube,
   max(CASE WHEN area > 0 THEN inter / area::DOUBLE ELSE 0 END) AS ratio FROM scored GROUP BY k),
-decided AS (SELECT c.*, p.tube, CASE WHEN box_ok AND tubes_ok THEN CASE WHEN p.tube IS NULL AND has_box THEN 'box_propagation' ELSE 'tube_selection' END
+decided AS (SELECT c.*, p.tube, CASE WHEN NOT listed THEN 'no_output' WHEN box_ok AND tubes_ok THEN CASE WHEN p.tube IS NULL AND has_box THEN 'box_propagation' ELSE 'tube_selection' END
   WHEN box_ok THEN 'box_propagation' ELSE 'no_output' END AS method FROM clips c LEFT JOIN (FROM picked WHERE ratio >= 0.2) p ON c.k = p.k),
 masks AS (SELECT d.k, count(*) AS m FROM decided d JOIN items i ON d.k = i.k AND d.tube = i.tube WHERE method = 'tube_selection' GROUP BY d.k
   UNION ALL SELECT k, n FROM decided WHERE method = 'box_propagation' AND has_box)"""
@@ -263,7 +263,7 @@ def _flow(spark, folder):
     key_frames = orders.select(
         F.concat(F.lit("o"), k).alias("vid"),
         k,
-        F.concat(F.lit("/v/"), k).alias("video_path"),
+        F.when(k % 13 > 0, F.concat(F.lit("/v/"), k)).alias("video_path"),
         F.lit("a thing").alias("text_query"),
         F.lit("thing").alias("target_object"),
         (k % 4).alias("original_frame_idx"),
@@ -275,7 +275,8 @@ def _flow(spark, folder):
         .join(boxes, "vid")
         .withColumn("bbox", F.when(k % 7 > 0, F.col("bbox")))
     )
-    media = key_frames.select(
+    # Some clips have no path, some paths are not listed.
+    media = key_frames.filter("o_orderkey % 11 > 0 AND video_path IS NOT NULL").select(
         "video_path", *[F.lit(v).cast("long").alias(n) for n, v in (("num_frames", 4), ("height", 12), ("width", 64))]
     )
     sets = orders.filter("o_orderkey % 3 > 0").select(
@@ -285,7 +286,7 @@ def _flow(spark, folder):
         F.concat(F.lit("/v/"), k).alias("video_path"),
         F.lit(3).alias("num_tubes"),
     )
-    items = table(spark, folder, "lineitem").filter("l_orderkey % 3 > 0")
+    items = table(spark, folder, "lineitem")
     tube = [
         F.col("l_orderkey").alias("set_id"),
         (F.col("l_linenumber") % 3).cast("long").alias("tube_id"),
@@ -309,7 +310,7 @@ def _flow(spark, folder):
     f"""
     WITH {_FLOW},
     joined AS (SELECT d.*, coalesce(m, 0) AS m FROM decided d LEFT JOIN masks USING (k)),
-    f AS (SELECT *, CASE WHEN m = 1 THEN 'insufficient_masks_propagation_failed' WHEN m = 0 THEN
+    f AS (SELECT *, CASE WHEN NOT listed THEN 'video_not_found' WHEN m = 1 THEN 'insufficient_masks_propagation_failed' WHEN m = 0 THEN
       CASE WHEN method = 'box_propagation' OR (box_ok AND NOT tubes_ok) THEN 'oom_or_propagation_failed' ELSE 'no_masks_generated' END END AS failure_reason FROM joined)
     SELECT 'o' || k AS vid, method, tube AS selected_tube_id, failure_reason, CASE WHEN failure_reason IS NULL THEN m ELSE 0 END AS num_masks,
       CASE WHEN failure_reason IS NULL THEN 'success' ELSE 'failed' END AS status FROM f

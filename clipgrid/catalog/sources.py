@@ -221,9 +221,12 @@ def media_catalog(spark, folder):
     CASES,
     rf"""
     WITH {_FILES.replace(chr(92) * 2, chr(92))}
-    SELECT dir AS video_path, count(*) AS num_frames, CASE WHEN length(min(name)) % 2 = 0 THEN length(arg_min(path, name)) ELSE 0 END AS width,
+    SELECT 'text' AS rule, dir AS video_path, count(*) AS num_frames, CASE WHEN length(min(name)) % 2 = 0 THEN length(arg_min(path, name)) ELSE 0 END AS width,
       CASE WHEN length(min(name)) % 2 = 0 THEN 2 * length(arg_min(path, name)) ELSE 0 END AS height
     FROM images GROUP BY dir
+    UNION ALL SELECT 'number', dir, n, CASE WHEN length(name) % 2 = 0 THEN length(path) ELSE 0 END, CASE WHEN length(name) % 2 = 0 THEN 2 * length(path) ELSE 0 END
+    FROM (SELECT *, count(*) OVER (PARTITION BY dir) AS n, row_number() OVER (PARTITION BY dir ORDER BY CASE WHEN digits THEN TRY_CAST(stem AS HUGEINT) END, name) AS r
+      FROM (SELECT *, bool_and(regexp_full_match(stem, '[0-9]+')) OVER (PARTITION BY dir) AS digits FROM images WHERE lower(name) NOT LIKE '%.bmp')) WHERE r = 1
     """,
 )
 def clip_metadata(spark, folder):
@@ -232,7 +235,8 @@ def clip_metadata(spark, folder):
     sizes = files.filter(F.length(F.substring_index("path", "/", -1)) % 2 == 0).select(
         "path", length.alias("width"), (length * 2).alias("height")
     )
-    return M.clip_metadata(files, sizes)
+    found = [M.clip_metadata(files, sizes, rule).select(F.lit(rule).alias("rule"), "*") for rule in ("text", "number")]
+    return found[0].unionByName(found[1])
 
 
 _EXTENSIONS = ("mp4", "avi", "mov", "mkv", "txt", "jpg")
@@ -453,14 +457,14 @@ def tube_state(spark, folder):
 @register(
     CASES,
     """
-    WITH sets AS (SELECT o_custkey AS base_vid, o_orderkey AS set_id, CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority || o_orderkey END AS object_name FROM orders
-      WHERE o_orderkey % 3 > 0 UNION ALL SELECT c_custkey, -c_custkey, NULL FROM customer)
+    WITH sets AS (SELECT o_custkey AS base_vid, o_orderkey AS set_id, o_orderpriority || o_orderkey AS object_name FROM orders
+      UNION ALL SELECT c_custkey, -c_custkey, NULL FROM customer)
     SELECT base_vid, arg_min(set_id, (object_name IS NULL, coalesce(object_name, ''))) AS set_id FROM sets GROUP BY base_vid
     """,
 )
 def tube_set_choice(spark, folder):
     k = F.col("o_orderkey")
-    named = table(spark, folder, "orders").filter("o_orderkey % 3 > 0").select(
+    named = table(spark, folder, "orders").select(
         F.col("o_custkey").alias("base_vid"), k.alias("set_id"), F.concat("o_orderpriority", k).alias("object_name")
     )
     old = table(spark, folder, "customer").select(

@@ -1,6 +1,6 @@
 """Attention weights as rows: averaging, grids, fusion and thresholds.
 
-A map or vector is bounded by the grid or sequence it comes from, so joins by clip and layer need no salt.
+A map or vector is bounded by the grid or sequence it comes from, so windows over a clip or layer gather no more.
 """
 
 from __future__ import annotations
@@ -9,9 +9,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from clipgrid.operators.sampling import normalise_by_group
-from clipgrid.operators.skew import with_group_stats
 from clipgrid.operators.spans import pixels_to_runs
 
 # Fewest image positions assumed in a sequence (a grid of 16 by 16).
@@ -30,10 +30,10 @@ def image_positions(
 
     The leading run of weights above the mean, at least ``at_least`` (or all there are), cut to a square number.
     """
-    stats = [F.count(F.lit(1)).alias("_n"), F.avg("w").alias("_mean")]
+    whole = Window.partitionBy(*keys)
     low = F.when(F.col("w") <= F.col("_mean"), F.col("pos"))
     run = (
-        with_group_stats(vectors, keys, stats, ["pos"])
+        vectors.withColumns({"_n": F.count(F.lit(1)).over(whole), "_mean": F.avg("w").over(whole)})
         .groupBy(*keys)
         .agg(F.min(low).alias("_low"), F.max("_n").alias("_n"))
     )
@@ -71,22 +71,23 @@ def fuse_layers(
 
     Fails when a clip does not have exactly the given layers. The weights are configuration and travel as a literal.
     """
-    if not 0 < len(layers) == len(weights) <= 1000:
+    if not 0 < len(layers) == len(weights):
         raise ValueError(f"{len(weights)} weights for {len(layers)} layers")
     total = float(sum(weights))
     table = F.create_map(*[F.lit(v) for layer, w in zip(layers, weights) for v in (int(layer), float(w) / total)])
     weight = F.try_element_at(table, F.col("layer").cast("int"))
     key = list(keys)
-    stats = maps.groupBy(*key, "layer").agg(F.min("w").alias("_low"), F.max("w").alias("_high"))
-    found = stats.groupBy(*key).agg(F.count_if(weight.isNotNull()).alias("_known"), F.count(F.lit(1)).alias("_found"))
-    wrong = (F.col("_known") != len(layers)) | (F.col("_found") != len(layers))
-    checked = stats.join(found, key).withColumn(
-        "_weight", F.when(wrong, F.raise_error(F.lit("layers of a clip do not match the weights"))).otherwise(weight)
+    clip, layer = Window.partitionBy(*key), Window.partitionBy(*key, "layer")
+    found = F.size(F.collect_set(F.coalesce(F.col("layer").cast("int"), F.lit(-1))).over(clip))
+    wrong = (found != len(layers)) | F.bool_or(weight.isNull()).over(clip)
+    # All that follows stays in the partitions of the clips.
+    rows = maps.repartition(*key).withColumns(
+        {"_low": F.min("w").over(layer), "_high": F.max("w").over(layer), "_wrong": wrong, "_weight": weight}
     )
+    checked = F.when(F.col("_wrong"), F.raise_error(F.lit("layers of a clip do not match the weights"))).otherwise(F.col("_weight"))
     extent = F.col("_high") - F.col("_low")
     scaled = F.when(extent > 1e-8, (F.col("w") - F.col("_low")) / extent).otherwise(F.lit(0.0))
-    weighted = maps.join(checked.drop("_known", "_found"), [*key, "layer"])
-    return weighted.groupBy(*key, "y", "x").agg(F.sum(F.col("_weight") * scaled).alias("w"))
+    return rows.groupBy(*key, "y", "x").agg(F.sum(checked * scaled).alias("w"))
 
 
 def threshold_runs(maps: DataFrame, threshold: float, keys: Sequence[str] = ("vid",)) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 TUBE_SELECTION = "tube_selection"
 BOX_PROPAGATION = "box_propagation"
 NO_OUTPUT = "no_output"
+# Reason of a clip whose media file is not known.
+VIDEO_NOT_FOUND = "video_not_found"
 
 
 def propagation_method(

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from clipgrid.operators.skew import SALTS, number_rows, unfold, with_group_stats
 
@@ -107,23 +108,30 @@ def normalise_by_group(
     scaled = (F.col(value) - F.col("_low")) / extent
     # Scores count as constant below 1e-8, maps at or below it.
     varies = extent > 1e-8 if constant == 0 else extent >= 1e-8
-    return (
-        with_group_stats(rows, keys, stats, spread, salts)
-        .withColumn(name, F.when(varies, scaled).otherwise(F.lit(constant)))
-        .drop("_low", "_high")
-    )
+    if salts == 1:  # a bounded group
+        group = Window.partitionBy(*keys)
+        ranged = rows.withColumns({"_low": F.min(value).over(group), "_high": F.max(value).over(group)})
+    else:
+        ranged = with_group_stats(rows, keys, stats, spread, salts)
+    return ranged.withColumn(name, F.when(varies, scaled).otherwise(F.lit(constant))).drop("_low", "_high")
 
 
 def number_sentences(
     clips: DataFrame,
     keys: Sequence[str] = ("vid",),
-    order: Sequence[str] = ("ann_pos", "kind", "cap_pos"),
+    order: Sequence[str] | None = None,
     segment: Column | None = None,
     name: str = "sentence_index",
 ) -> DataFrame:
-    """Number the sentences of a video from 1 in input order.
+    """Number the sentences of a video from 1 in input order: file, block, position, kind, place in its list.
 
-    Numbers are given before finished work is removed, so they stay the same from run to run.
+    Numbers are given before finished work is removed, so they stay the same from run to run; file and block come
+    first, as positions alone follow how files are packed into tasks.
     """
+    if order is None:
+        order = [c for c in ("ann_file", "ann_block", "ann_pos", "kind", "cap_pos") if c in clips.columns]
+    if segment is None and "ann_pos" in order:
+        lead = [F.col(c) for c in order[: order.index("ann_pos")]]
+        segment = F.struct(*lead, F.floor(F.col("ann_pos") / 4096).alias("_part"))
     cut = segment if segment is not None else F.floor(F.col(order[0]) / 4096)
     return number_rows(clips, keys, [F.col(c) for c in order], cut, name)

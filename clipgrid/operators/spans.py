@@ -242,13 +242,12 @@ def sample_points(
     few = F.col("_total") <= num_points
     ranks = F.when(few, F.sequence(F.lit(0).cast("long"), F.col("_total") - 1)).otherwise(spaced)
     here = F.filter(ranks, lambda r: (r >= F.col("_before")) & (r < F.col("_before") + length))
-    points = ranked.withColumn("_rank", F.explode(here)).select(
-        *key, F.col("_rank").alias("point"), (F.col("x0") + F.col("_rank") - F.col("_before")).alias("x"), "y"
-    )
-    empty = frames.join(spans.select(*key), key, "left_anti").select(
+    centre = F.col("y").isNull()
+    chosen = frames.select(*key, "height", "width").join(not_broadcast(ranked), key, "full")
+    ranks = F.when(centre, F.array(F.lit(0).cast("long"))).otherwise(here)
+    return chosen.withColumn("_rank", F.explode(ranks)).select(
         *key,
-        F.lit(0).cast("long").alias("point"),
-        F.floor(F.col("width") / 2).cast("long").alias("x"),
-        F.floor(F.col("height") / 2).cast("long").alias("y"),
+        F.col("_rank").alias("point"),
+        F.when(centre, F.floor(F.col("width") / 2)).otherwise(F.col("x0") + F.col("_rank") - F.col("_before")).cast("long").alias("x"),
+        F.when(centre, F.floor(F.col("height") / 2)).otherwise(F.col("y")).cast("long").alias("y"),
     )
-    return points.unionByName(empty)

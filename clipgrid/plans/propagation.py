@@ -12,7 +12,14 @@ from clipgrid.functions.boxes import clamp_box
 from clipgrid.functions.choices import prompt_by_type, read_frame
 from clipgrid.functions.names import base_vid
 from clipgrid.operators.joins import with_grounding
-from clipgrid.operators.outcomes import BOX_PROPAGATION, TUBE_SELECTION, outcome_rows, propagation_method
+from clipgrid.operators.outcomes import (
+    BOX_PROPAGATION,
+    NO_OUTPUT,
+    TUBE_SELECTION,
+    VIDEO_NOT_FOUND,
+    outcome_rows,
+    propagation_method,
+)
 from clipgrid.operators.overlap import pick_tubes, tube_scores
 from clipgrid.operators.skew import join_by_group
 from clipgrid.operators.spans import box_runs
@@ -44,6 +51,8 @@ def propagate(
 ) -> Propagation:
     """Pick a ready tube where one fits the box, else hold the box over the clip; clips without a box fail.
 
+    Every key frame has an outcome: a clip whose path is null or not listed in ``media`` fails as ``video_not_found``.
+
     The state and the decision of a clip are one small row each that several results start from, so ``settle`` writes
     them out once.
 
@@ -58,7 +67,8 @@ def propagate(
             ),
         }
     )
-    sized = joined.join(media.select("video_path", "num_frames", "height", "width"), "video_path")
+    listed = media.select("video_path", "num_frames", "height", "width", F.lit(True).alias("_listed"))
+    sized = joined.join(listed, "video_path", "left").withColumn("has_media", F.coalesce("_listed", F.lit(False))).drop("_listed")
     clips = settle(
         attach_tube_sets(sized, tube_sets, tube_frames).withColumns(
             {
@@ -68,7 +78,7 @@ def propagate(
             }
         )
     )
-    at = clips.filter("box_ok AND tubes_ok AND bbox IS NOT NULL").select(
+    at = clips.filter("has_media AND box_ok AND tubes_ok AND bbox IS NOT NULL").select(
         "set_id", "vid", F.col("key_frame_idx").alias("frame_idx"), "bbox"
     )
     place = at.select("set_id", "vid", "frame_idx")
@@ -79,6 +89,7 @@ def propagate(
     method = propagation_method(
         F.col("box_ok"), F.col("bbox").isNotNull(), F.col("tubes_ok"), F.col("selected_tube_id")
     )
+    method = F.when(F.col("has_media"), method).otherwise(F.lit(NO_OUTPUT))
     decided = settle(clips.join(picks, "vid", "left").withColumn("method", method))
     chosen = decided.filter((F.col("method") == TUBE_SELECTION) & F.col("selected_tube_id").isNotNull()).select(
         "vid", "set_id", F.col("selected_tube_id").alias("tube_id")
@@ -92,4 +103,6 @@ def propagate(
     held_frames, held_spans = hold(boxed, box_runs(boxed, ["vid"]))
     frames = picked_frames.unionByName(held_frames.drop("forward"))
     spans = picked_spans.unionByName(held_spans)
-    return Propagation(outcome_rows(decided.drop("set_id"), frames), frames, spans)
+    outcomes = outcome_rows(decided.drop("set_id"), frames)
+    reason = F.when(F.col("has_media"), F.col("failure_reason")).otherwise(F.lit(VIDEO_NOT_FOUND))
+    return Propagation(outcomes.withColumn("failure_reason", reason).drop("has_media"), frames, spans)

@@ -7,13 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clipgrid.functions.names import base_vid, clip_idx, object_key
+from clipgrid.functions.names import base_vid, object_key
 from clipgrid.operators.report import frames_per_tube, tubes_per_set
-from clipgrid.operators.skew import hash_salt
 from clipgrid.schemas import GROUNDING_COLUMNS, KEY_FRAME
 
 BUCKETS = 64
-FILES_PER_BUCKET = 4
+RECORDS_PER_FILE = 5_000_000
 
 
 def video_bucket(vid: Column, buckets: int = BUCKETS) -> Column:
@@ -24,25 +23,31 @@ def _write(
     rows: DataFrame,
     path: str,
     order: Sequence[str],
-    spread: Sequence[str],
     mode: str,
     fmt: str = "parquet",
     buckets: int = BUCKETS,
+    records: int = RECORDS_PER_FILE,
 ) -> None:
-    tagged = rows.withColumn("bucket", video_bucket(F.col("vid"), buckets)).withColumn(
-        "_salt", hash_salt(spread, FILES_PER_BUCKET)
-    )
-    writer = (
-        tagged.repartition("bucket", "_salt").sortWithinPartitions("bucket", *order).drop("_salt").write.mode(mode)
-    )
+    """Folders by bucket. A bucket goes to as many tasks as its size asks for: the adaptive execution splits large
+    partitions of a rebalance and joins small ones, so neither a hot video nor the number of buckets is a limit."""
+    tagged = rows.withColumn("bucket", video_bucket(F.col("vid"), buckets))
+    dealt = tagged.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", *order)
+    writer = dealt.write.mode(mode).option("maxRecordsPerFile", records)
     if fmt == "json":
         writer = writer.option("ignoreNullFields", "false")
     writer.partitionBy("bucket").format(fmt).save(path)
 
 
-def write_grounding(rows: DataFrame, path: str, mode: str = "append", fmt: str = "json") -> None:
-    """The twelve columns in their fixed order; null fields are written out."""
-    _write(rows.select(*GROUNDING_COLUMNS), path, ["vid"], ["vid"], mode, fmt)
+def _of_run(rows: DataFrame, run: int | None) -> DataFrame:
+    """Adds the number of the run: given, or the time of writing in microseconds. Readers take the last one."""
+    return rows.withColumn("run", F.unix_micros(F.current_timestamp()) if run is None else F.lit(run).cast("long"))
+
+
+def write_grounding(
+    rows: DataFrame, path: str, mode: str = "append", fmt: str = "json", run: int | None = None, buckets: int = BUCKETS
+) -> None:
+    """The twelve columns in their fixed order, and the run; null fields are written out."""
+    _write(_of_run(rows.select(*GROUNDING_COLUMNS), run), path, ["vid"], mode, fmt, buckets)
 
 
 def legacy_grounding_rows(rows: DataFrame) -> DataFrame:
@@ -68,8 +73,10 @@ def key_frame_rows(rows: DataFrame) -> DataFrame:
     )
 
 
-def write_key_frames(rows: DataFrame, path: str, mode: str = "append") -> None:
-    _write(key_frame_rows(rows), path, ["vid"], ["vid"], mode)
+def write_key_frames(
+    rows: DataFrame, path: str, mode: str = "append", run: int | None = None, buckets: int = BUCKETS
+) -> None:
+    _write(_of_run(key_frame_rows(rows), run), path, ["vid"], mode, buckets=buckets)
 
 
 def foreground(value: Column) -> Column:
@@ -77,11 +84,11 @@ def foreground(value: Column) -> Column:
     return value > 0
 
 
-def write_masks(frames: DataFrame, spans: DataFrame, path: str, mode: str = "append") -> None:
+def write_masks(frames: DataFrame, spans: DataFrame, path: str, mode: str = "append", buckets: int = BUCKETS) -> None:
     """Mask frames and runs, sorted so that one mask is contiguous in its file."""
     tube = ["tube_id"] if "tube_id" in frames.columns else []
-    _write(frames, f"{path}/mask_frames", ["vid", *tube, "frame_idx"], ["vid", "frame_idx"], mode)
-    _write(spans, f"{path}/mask_spans", ["vid", *tube, "frame_idx", "y", "x0"], ["vid", "frame_idx"], mode)
+    _write(frames, f"{path}/mask_frames", ["vid", *tube, "frame_idx"], mode, buckets=buckets)
+    _write(spans, f"{path}/mask_spans", ["vid", *tube, "frame_idx", "y", "x0"], mode, buckets=buckets)
 
 
 def tube_set_tables(sets: DataFrame, frames: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -105,17 +112,18 @@ def tube_set_tables(sets: DataFrame, frames: DataFrame) -> tuple[DataFrame, Data
     return header, frames_per_tube(frames, ["set_id"])
 
 
-def write_tube_sets(sets: DataFrame, frames: DataFrame, path: str, mode: str = "append") -> None:
+def write_tube_sets(sets: DataFrame, frames: DataFrame, path: str, mode: str = "append", run: int | None = None) -> None:
     header, tubes = tube_set_tables(sets, frames)
-    header.write.mode(mode).parquet(f"{path}/tube_sets")
-    tubes.write.mode(mode).parquet(f"{path}/tubes")
+    _of_run(header, run).write.mode(mode).parquet(f"{path}/tube_sets")
+    _of_run(tubes, run).write.mode(mode).parquet(f"{path}/tubes")
 
 
-def write_outcomes(rows: DataFrame, path: str, stage: str, mode: str = "append") -> None:
-    """Outcomes with the step they belong to and the time of writing."""
-    _write(
-        rows.withColumn("stage", F.lit(stage)).withColumn("ts", F.current_timestamp()), path, ["vid"], ["vid"], mode
-    )
+def write_outcomes(
+    rows: DataFrame, path: str, stage: str, mode: str = "append", run: int | None = None, buckets: int = BUCKETS
+) -> None:
+    """Outcomes with the step they belong to, the time of writing and the run."""
+    timed = rows.withColumn("stage", F.lit(stage)).withColumn("ts", F.current_timestamp())
+    _write(_of_run(timed, run), path, ["vid"], mode, buckets=buckets)
 
 
 def run_summaries(key_frames: DataFrame, masks: DataFrame, outcomes: DataFrame) -> DataFrame:
@@ -140,8 +148,3 @@ def run_summaries(key_frames: DataFrame, masks: DataFrame, outcomes: DataFrame)
         "error_message",
     )
     return rows.select("vid", F.to_json(body, {"ignoreNullFields": "false"}).alias("summary"))
-
-
-def keyed(rows: DataFrame) -> DataFrame:
-    """Add the key columns of the folder layout."""
-    return rows.withColumn("base_vid", base_vid(F.col("vid"))).withColumn("idx", clip_idx(F.col("vid")))

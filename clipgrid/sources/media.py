@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from clipgrid.functions.names import base_name, file_extension, file_stem
 from clipgrid.operators.skew import join_by_group, number_rows
+from clipgrid.session import cut_lineage
 
 # Accepted extensions and sizes.
 IMAGE_EXTENSIONS = (".jpg", ".jpeg", ".png", ".bmp")
@@ -64,38 +65,43 @@ def frame_number(name: Column, order: str) -> Column:
     raise ValueError(f"unknown frame order {order!r}")
 
 
-def order_frames(files: DataFrame, order: str = "first_number", prefix: int = 8) -> DataFrame:
+def order_frames(files: DataFrame, order: str = "first_number") -> DataFrame:
     """Number the image files of every directory from 0.
 
     ``order`` is ``first_number``, ``all_digits`` or ``text``; equal numbers and names without one are ordered by
-    name. A directory of any size is numbered in segments of 4096 numbers, or of names with a common beginning.
+    name. Files are dealt out by ranges of directory and place, so a directory of any size and naming is numbered in
+    as many segments as it has ranges; the ranges are written out, as a lost task could draw them anew.
     """
     images = files.filter(is_image(F.col("path"))).select(
         parent_dir(F.col("path")).alias("dir"), base_name(F.col("path")).alias("name"), "path"
     )
     name = F.col("name")
     if order == "text":
-        return number_rows(images, ["dir"], [name], F.substring(name, 1, prefix), "frame_idx", start=0)
-    numbered = images.withColumn("_number", frame_number(name, order))
-    number = F.col("_number")
-    segment = F.struct(
-        number.isNull().alias("unnumbered"),
-        F.floor(number / 4096).alias("range"),
-        F.when(number.isNull(), F.substring(name, 1, prefix)).alias("begins"),
-    )
-    rank = [number.isNull(), number, name]
-    return number_rows(numbered, ["dir"], rank, segment, "frame_idx", start=0).drop("_number")
+        rank = [name]
+    else:
+        images = images.withColumn("_number", frame_number(name, order))
+        rank = [F.col("_number").isNull(), F.col("_number"), name]
+    ranged = images.repartitionByRange("dir", *rank).withColumn("_range", F.spark_partition_id())
+    settled = cut_lineage(ranged)
+    return number_rows(settled, ["dir"], rank, F.col("_range"), "frame_idx", start=0).drop("_number", "_range")
 
 
-def clip_metadata(files: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Frame count of every image directory with the size of its first file by name.
+def clip_metadata(files: DataFrame, sizes: DataFrame, rule: str = "text") -> DataFrame:
+    """Frame count of every image directory with the size of its first file.
 
-    ``sizes`` has ``path, width, height``.
+    ``text`` takes all image files and the first name; ``number`` leaves out ``.bmp`` and takes the lowest number, or
+    the first name where a name of the directory is not a number. ``sizes`` has ``path, width, height``.
     """
+    if rule not in ("text", "number"):
+        raise ValueError(f"unknown rule {rule!r}")
+    name = base_name(F.col("path"))
     images = files.filter(is_image(F.col("path"))).withColumn("dir", parent_dir(F.col("path")))
-    counted = images.groupBy("dir").agg(
-        F.count(F.lit(1)).alias("num_frames"), F.min_by("path", base_name(F.col("path"))).alias("_first")
-    )
+    first = F.min_by("path", name)
+    if rule == "number":
+        images = images.filter(file_extension(F.col("path")) != ".bmp")
+        number = frame_number(name, "all_digits")
+        first = F.when(F.bool_and(number.isNotNull()), F.min_by("path", F.struct(number, name))).otherwise(first)
+    counted = images.groupBy("dir").agg(F.count(F.lit(1)).alias("num_frames"), first.alias("_first"))
     first = sizes.select(F.col("path").alias("_first"), "width", "height")
     return counted.join(first, "_first", "left").select(
         F.col("dir").alias("video_path"),

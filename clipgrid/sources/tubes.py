@@ -14,16 +14,15 @@ def attach_tube_sets(clips: DataFrame, tube_sets: DataFrame, tube_frames: DataFr
     """
     key = ["base_vid", "prompt", "video_path"]
     sets = tube_sets.select(*key, "set_id", F.coalesce("num_tubes", F.lit(0)).alias("num_tubes"))
+    if tube_frames is not None:  # before the clips, most of which may have no set
+        have = tube_frames.groupBy("set_id").agg(F.lit(True).alias("_have"))
+        sets = sets.join(have, "set_id", "left")
     joined = clips.join(sets, key, "left")
     state = F.when(F.col("num_tubes").isNull(), F.lit("not_found")).when(F.col("num_tubes") == 0, F.lit("zero"))
     if tube_frames is None:
         return joined.withColumn("tube_state", state.otherwise(F.lit("tubes")))
-    have = tube_frames.groupBy("set_id").agg(F.lit(True).alias("_have"))
-    return (
-        joined.join(have, "set_id", "left")
-        .withColumn("tube_state", state.when(F.col("_have"), F.lit("tubes")).otherwise(F.lit("not_found")))
-        .drop("_have")
-    )
+    found = state.when(F.col("_have"), F.lit("tubes")).otherwise(F.lit("not_found"))
+    return joined.withColumn("tube_state", found).drop("_have")
 
 
 def find_tube_set(tube_sets: DataFrame, object_name: str | None = None) -> DataFrame:
