@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from clipgrid.catalog import attention, identity, masks, scoring, sources, text, timeline, work
+from clipgrid.catalog import attention, flows, identity, masks, scoring, sources, text, timeline, work
 
-MODULES = (identity, text, sources, timeline, masks, attention, work, scoring)
+MODULES = (identity, text, sources, timeline, masks, attention, work, scoring, flows)
 
 
 def all_queries() -> dict:

@@ -1,7 +1,7 @@
 """Inputs shared by the registered queries, in Spark and in SQL.
 
-Clips, sentences, replies, boxes and masks are derived from the given tables row by row; nothing is made up and no
-row is left out.
+Clips, sentences, replies, boxes and masks are derived from the given tables row by row; nothing is made up. These
+inputs hold every row; a query leaves rows out only where a missing side or a drop rule is what it tests.
 """
 
 from __future__ import annotations
@@ -189,6 +189,13 @@ def runs(spark: SparkSession, folder: str) -> DataFrame:
     return union_runs(raw_runs(spark, folder))
 
 
+def runs_at_boxes(spark: SparkSession, folder: str, boxes: DataFrame) -> DataFrame:
+    """Masks on the frames that have a box: those runs are picked before overlapping ones are united."""
+    from clipgrid.operators.spans import union_runs
+
+    return union_runs(raw_runs(spark, folder).join(boxes.select("vid", "frame_idx"), ["vid", "frame_idx"], "left_semi"))
+
+
 def mask_frames(spark: SparkSession, folder: str) -> DataFrame:
     """One row per mask; every order also has an empty mask of tube 9 on its first frame."""
     have = (

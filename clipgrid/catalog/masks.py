@@ -17,6 +17,7 @@ from clipgrid.catalog.base import (
     mask_frames,
     register,
     runs,
+    runs_at_boxes,
     table,
 )
 from clipgrid.operators import chunks as K
@@ -76,7 +77,8 @@ def mask_area_box(spark, folder):
     """,
 )
 def mask_iou(spark, folder):
-    scores = O.mask_box_iou(runs(spark, folder), mask_frames(spark, folder), key_boxes(spark, folder))
+    boxes = key_boxes(spark, folder)
+    scores = O.mask_box_iou(runs_at_boxes(spark, folder, boxes), mask_frames(spark, folder), boxes)
     return scores.select("vid", "tube_id", "frame_idx", "area", "inter", F.round("iou", 6).alias("iou"))
 
 
@@ -95,7 +97,8 @@ ratios AS (SELECT f.vid, f.tube_id, f.frame_idx,
 
 
 def _ratios(spark, folder, mode):
-    return O.tube_scores(runs(spark, folder), mask_frames(spark, folder), key_boxes(spark, folder), mode)
+    boxes = key_boxes(spark, folder)
+    return O.tube_scores(runs_at_boxes(spark, folder, boxes), mask_frames(spark, folder), boxes, mode)
 
 
 @register(CASES, f"WITH {_RATIOS} SELECT vid, tube_id, frame_idx, round(relative, 6) AS ratio FROM ratios")
@@ -140,7 +143,8 @@ def best_tube(spark, folder):
     """,
 )
 def best_candidate(spark, folder):
-    scores = O.mask_box_iou(runs(spark, folder), mask_frames(spark, folder), key_boxes(spark, folder))
+    boxes = key_boxes(spark, folder)
+    scores = O.mask_box_iou(runs_at_boxes(spark, folder, boxes), mask_frames(spark, folder), boxes)
     return O.pick_candidates(scores).select("vid", "tube_id", F.round("iou", 6).alias("iou"), "num_candidates")
 
 
@@ -226,11 +230,11 @@ _TUBES = f"""
 {PIXELS},
 shifted AS (SELECT vid, tube_id, frame_idx + 2 AS frame_idx, y, x FROM pixels),
 owned AS (SELECT DISTINCT 'o' || l_orderkey AS vid, CAST(l_linenumber % 2 AS BIGINT) AS tube_id, l_linenumber // 4 + 2 AS frame_idx
-  FROM lineitem)"""
+  FROM lineitem UNION ALL SELECT 'o' || o_orderkey, 9, 2 FROM orders)"""
 
 
 def _tubes(spark, folder):
-    frames = mask_frames(spark, folder).filter("tube_id < 9").withColumn("frame_idx", F.col("frame_idx") + 2)
+    frames = mask_frames(spark, folder).withColumn("frame_idx", F.col("frame_idx") + 2)
     spans = runs(spark, folder).withColumn("frame_idx", F.col("frame_idx") + 2)
     clips = table(spark, folder, "orders").select(
         F.concat(F.lit("o"), "o_orderkey").alias("vid"), F.lit(6).cast("long").alias("num_frames")
@@ -293,15 +297,14 @@ def tube_extend_frames(spark, folder):
 @register(
     CASES,
     f"""
-    WITH {PIXELS},
-    owned AS (SELECT DISTINCT vid, frame_idx, tube_id FROM raw_runs),
-    last AS (SELECT vid, frame_idx, max(tube_id) AS tube_id FROM owned GROUP BY ALL)
+    WITH {PIXELS}, {MASK_FRAMES},
+    last AS (SELECT vid, frame_idx, max(tube_id) AS tube_id FROM mask_frames GROUP BY ALL)
     SELECT p.vid, p.frame_idx, count(*) AS area, CAST(sum(x) AS BIGINT) AS x_sum, CAST(sum(y) AS BIGINT) AS y_sum
     FROM pixels p JOIN last l ON p.vid = l.vid AND p.frame_idx = l.frame_idx AND p.tube_id = l.tube_id GROUP BY ALL
     """,
 )
 def later_write_wins(spark, folder):
-    frames = mask_frames(spark, folder).filter("tube_id < 9").withColumnRenamed("tube_id", "write_rank")
+    frames = mask_frames(spark, folder).withColumnRenamed("tube_id", "write_rank")
     spans = runs(spark, folder).withColumnRenamed("tube_id", "write_rank")
     _, kept = T.later_write_wins(frames, spans)
     length = F.col("x1") - F.col("x0")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from clipgrid.operators.skew import join_by_group, not_broadcast, unfold
 from clipgrid.operators.spans import covered_runs
-from clipgrid.session import cut_lineage
+from clipgrid.session import cut_lineage, remove_folder, settled, shared_folder
 
 
 def check_chunking(size: int, overlap: int) -> int:
@@ -157,8 +157,9 @@ def propagate_in_chunks(
     Chunks depend on their neighbour, clips do not: wave ``k`` handles the chunk ``k`` steps away from the main
     chunk of all clips in one job, first toward the start, then toward the end. A chunk is prompted with the merged
     mask at its boundary frame and skipped if that frame has no mask. Only frames the next wave can still read or
-    change stay in the loop, so a wave costs one chunk per clip; each is written to the checkpoint folder, so
-    neither lineage nor a lost executor makes earlier waves run again.
+    change stay in the loop, so a wave costs one chunk per clip. Each wave is written, so neither lineage nor a lost
+    executor makes earlier waves run again; finished rows are appended to one folder, which is read once at the end,
+    and a wave's own tables go when the next one is written.
 
     ``clips`` has ``vid, num_frames, key_frame_idx``; prompts hold the mask at the key frame. ``propagate(chunks,
     frames, spans)`` gets chunk rows (``vid, chunk_id, chunk_start, chunk_end, prompt_idx``) with prompt masks and
@@ -192,20 +193,22 @@ def propagate_in_chunks(
         chunk_rows(main, F.col("main_chunk"), F.col("key_frame_idx")), prompt_frames, prompt_spans
     )
     place = main.select("vid", *_CARRY)
-    frames = cut_lineage(join_by_group(frames.select(*_FRAME_COLS), place, ["vid"], ["frame_idx"]))
-    spans = cut_lineage(join_by_group(spans.select(*_SPAN_COLS), place, ["vid"], ["frame_idx", "y", "x0"]))
-    done_f, done_s = [frames], [spans]
+    spark = clips.sparkSession
+    work = shared_folder(spark, "chunks")
+    frames = settled(join_by_group(frames.select(*_FRAME_COLS), place, ["vid"], ["frame_idx"]), f"{work}/wave-f")
+    spans = settled(join_by_group(spans.select(*_SPAN_COLS), place, ["vid"], ["frame_idx", "y", "x0"]), f"{work}/wave-s")
+    used = [f"{work}/wave-f", f"{work}/wave-s"]
     for backward, waves in ((True, before), (False, after)):
+        if not waves:
+            continue
+        way = "back" if backward else "on"
         for wave in range(1, waves + 1):
             chunk = F.col("main_chunk") + F.lit(-wave if backward else wave)
             start = chunk_start(chunk, size, overlap)
             # The frames this chunk can meet; they include its prompt frame.
             live = (chunk >= 0) & (chunk <= last) & ((frame < start + size) if backward else (frame >= start))
-            if wave == 1:
-                frames, spans = _union(done_f), _union(done_s)
-                done_f, done_s = [], []
-            done_f.append(frames.filter(~live))
-            done_s.append(spans.filter(~live))
+            frames.filter(~live).write.mode("append").parquet(f"{work}/{way}-f")
+            spans.filter(~live).write.mode("append").parquet(f"{work}/{way}-s")
             frames, spans = frames.filter(live), spans.filter(live)
             if backward:
                 boundary = chunk_start(chunk + 1, size, overlap)
@@ -218,18 +221,20 @@ def propagate_in_chunks(
             new_f, new_s = propagate(ready, at.select(*_FRAME_COLS), spans.filter(frame == prompt_idx).select(*_SPAN_COLS))
             edges = at.select("vid", *_CARRY, boundary.alias("boundary"), F.lit(backward).alias("backward"))
             new_f = join_by_group(new_f.select(*_FRAME_COLS), edges, ["vid"], ["frame_idx"])
+            here = f"{work}/{way}-{wave}"
             frames, spans = merge_chunk_masks(
-                frames, spans, new_f, new_s.select(*_SPAN_COLS), overlap, carry=_CARRY, settle=cut_lineage
-            )
-            spans = cut_lineage(spans)
-        if waves:
-            done_f.append(frames)
-            done_s.append(spans)
-    return _union(done_f).select(*_FRAME_COLS), _union(done_s).select(*_SPAN_COLS)
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+                frames, spans, new_f, new_s.select(*_SPAN_COLS), overlap, carry=_CARRY,
+                settle=lambda df, to=f"{here}-c": settled(df, to),
+            )
+            frames, spans = settled(frames, f"{here}-f"), settled(spans, f"{here}-s")
+            for folder in used:
+                remove_folder(spark, folder)
+            used = [f"{here}-c", f"{here}-f", f"{here}-s"]
+        frames.write.mode("append").parquet(f"{work}/{way}-f")
+        spans.write.mode("append").parquet(f"{work}/{way}-s")
+        for folder in used:
+            remove_folder(spark, folder)
+        frames = spark.read.schema(frames.schema).parquet(f"{work}/{way}-f")
+        spans = spark.read.schema(spans.schema).parquet(f"{work}/{way}-s")
+        used = [f"{work}/{way}-f", f"{work}/{way}-s"]
+    return frames.select(*_FRAME_COLS), spans.select(*_SPAN_COLS)

@@ -15,7 +15,9 @@ from pyspark.sql import types as T
 import clipgrid
 from clipgrid.functions.scores import confidence, dot, match_probability
 from clipgrid.operators.skew import join_by_group
+from clipgrid.operators.spans import union_runs
 from clipgrid.schemas import GROUNDING_COLUMNS, RAW_GROUNDING
+from clipgrid.session import cut_lineage
 
 DEFAULT_REASON = "scorer_failed"
 
@@ -205,6 +207,29 @@ def run_propagators(
     return known.repartition(tasks).mapInPandas(propagate, RUNS)
 
 
+def chunk_propagator(registry: Registry, backend: str, boxes: DataFrame | None = None, partitions: int | None = None):
+    """A registered propagator as the function that chunks are propagated with.
+
+    Its input row is a chunk (``vid, chunk_id, chunk_start, chunk_end, prompt_idx, height, width``) with ``prompt``, the
+    runs of the prompt mask, and the columns of ``boxes`` for its ``vid``. A row with an empty run (``x1 <= x0``, or
+    none) stands for a frame without foreground. The runs are written once, as frames and masks are made from them.
+    """
+    registry.get(backend)
+
+    def propagate(chunks: DataFrame, frames: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]:
+        # One mask per chunk, so the list is bounded by an image.
+        prompts = spans.groupBy("vid").agg(F.collect_list(F.struct("y", "x0", "x1")).alias("prompt"))
+        size = frames.select("vid", "height", "width")
+        rows = chunks.join(size, "vid").join(prompts, "vid", "left").withColumn("backend", F.lit(backend))
+        if boxes is not None:
+            rows = rows.join(boxes, "vid", "left")
+        runs = cut_lineage(run_propagators(rows, registry, partitions=partitions))
+        made = runs.select("vid", "frame_idx").distinct().join(size, "vid")
+        return made, union_runs(runs.filter("x1 > x0"), ["vid", "frame_idx"])
+
+    return propagate
+
+
 def similarity_scores(frames: DataFrame, queries: DataFrame, key: str = "vid", vector: str = "vector") -> DataFrame:
     """Built-in scorer without Python: inner product of frame and query vector as a match probability.
 

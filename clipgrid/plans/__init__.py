@@ -1 +1,4 @@
-"""Whole flows, each one lazily composed chain of operators."""
+"""Whole flows, each a chain of operators.
+
+``propagate`` and ``run_flow`` write what several of their results start from, so they run jobs when called.
+"""

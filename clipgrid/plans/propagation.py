@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from clipgrid.functions.boxes import clamp_box
 from clipgrid.functions.choices import prompt_by_type, read_frame
 from clipgrid.functions.names import base_vid
+from clipgrid.operators.chunks import propagate_in_chunks
 from clipgrid.operators.joins import with_grounding
 from clipgrid.operators.outcomes import (
     BOX_PROPAGATION,
@@ -21,12 +22,16 @@ from clipgrid.operators.outcomes import (
     propagation_method,
 )
 from clipgrid.operators.overlap import pick_tubes, tube_scores
+from clipgrid.operators.scoring import Registry, chunk_propagator
 from clipgrid.operators.skew import join_by_group
 from clipgrid.operators.spans import box_runs
 from clipgrid.operators.tubes import hold
 from clipgrid.session import cut_lineage
 from clipgrid.sources.tubes import attach_tube_sets
 
+# Frames per chunk, and those that neighbouring chunks share.
+CHUNK_SIZE, CHUNK_OVERLAP = 512, 16
+
 
 @dataclass(frozen=True)
 class Propagation:
@@ -48,6 +53,10 @@ def propagate(
     threshold: float,
     sentence_type: str = "declarative",
     settle: Callable[[DataFrame], DataFrame] = cut_lineage,
+    propagators: Registry | None = None,
+    backend: str | None = None,
+    chunk_size: int = CHUNK_SIZE,
+    chunk_overlap: int = CHUNK_OVERLAP,
 ) -> Propagation:
     """Pick a ready tube where one fits the box, else hold the box over the clip; clips without a box fail.
 
@@ -56,6 +65,9 @@ def propagate(
     The state and the decision of a clip are one small row each that several results start from, so ``settle`` writes
     them out once.
 
+    With ``propagators`` the one named ``backend`` takes the place of holding the box. Every clip then goes through
+    chunks of ``chunk_size`` frames, a short one as a single chunk.
+
     ``media`` has ``video_path, num_frames, height, width``; tubes are keyed by ``set_id, tube_id, frame_idx``.
     """
     joined = with_grounding(key_frames, grounding).withColumns(
@@ -68,7 +80,7 @@ def propagate(
         }
     )
     listed = media.select("video_path", "num_frames", "height", "width", F.lit(True).alias("_listed"))
-    sized = joined.join(listed, "video_path", "left").withColumn("has_media", F.coalesce("_listed", F.lit(False))).drop("_listed")
+    sized = joined.drop("num_frames", "height", "width").join(listed, "video_path", "left").withColumn("has_media", F.coalesce("_listed", F.lit(False))).drop("_listed")
     clips = settle(
         attach_tube_sets(sized, tube_sets, tube_frames).withColumns(
             {
@@ -100,8 +112,15 @@ def propagate(
         "vid", "frame_idx", "y", "x0", "x1"
     )
     boxed = decided.filter((F.col("method") == BOX_PROPAGATION) & F.col("bbox").isNotNull())
-    held_frames, held_spans = hold(boxed, box_runs(boxed, ["vid"]))
-    frames = picked_frames.unionByName(held_frames.drop("forward"))
+    if propagators is None:
+        held_frames, held_spans = hold(boxed, box_runs(boxed, ["vid"]))
+        held_frames = held_frames.drop("forward")
+    else:
+        prompt = boxed.select("vid", F.col("key_frame_idx").alias("frame_idx"), "height", "width")
+        runs = box_runs(boxed.withColumn("frame_idx", F.col("key_frame_idx")), ["vid", "frame_idx"])
+        apply = chunk_propagator(propagators, backend, boxed.select("vid", "video_path", F.col("prompt").alias("prompt_text")))
+        held_frames, held_spans = propagate_in_chunks(boxed, prompt, runs, apply, chunk_size, chunk_overlap)
+    frames = picked_frames.unionByName(held_frames)
     spans = picked_spans.unionByName(held_spans)
     outcomes = outcome_rows(decided.drop("set_id"), frames)
     reason = F.when(F.col("has_media"), F.col("failure_reason")).otherwise(F.lit(VIDEO_NOT_FOUND))

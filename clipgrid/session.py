@@ -16,6 +16,9 @@ def build_session(app_name: str = "clipgrid", master: str | None = None, **conf:
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Start from many partitions; the adaptive execution joins those below the advisory size.
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "2000",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     }
     settings.update(conf)
     builder = SparkSession.builder.appName(app_name)
@@ -50,12 +53,22 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def settled(df: DataFrame, folder: str) -> DataFrame:
+    """Write ``df`` to a folder and read it back."""
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and read it back.
 
     A lost executor then costs no recomputation of the past. A written table is computed once, where a checkpoint
     would run its job twice, and later reads can prune its columns.
     """
-    folder = shared_folder(df.sparkSession, "cut")
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    return settled(df, shared_folder(df.sparkSession, "cut"))
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Remove a folder that a finished step has written, on whatever store it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

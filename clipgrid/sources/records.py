@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql import types as T
 
 from clipgrid.functions.names import compose_vid
@@ -120,7 +121,37 @@ def typed_grounding(rows: DataFrame) -> DataFrame:
     return rows.select(*[defaults.get(f.name, F.col(f.name)).alias(f.name) for f in GROUNDING.fields])
 
 
+def latest_rows(rows: DataFrame, keys: Sequence[str], run: str = "run") -> DataFrame:
+    """The row of the last run per key, without the run; a row without a run is older than any."""
+    rest = [c for c in rows.columns if c not in (*keys, run)]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.coalesce(F.col(run), F.lit(-1))).alias("_row"))
+    return last.select(*keys, "_row.*")
+
+
+def of_last_run(rows: DataFrame, keys: Sequence[str], run: str = "run") -> DataFrame:
+    """All rows that the last run of their key has written, without the run."""
+    last = rows.groupBy(*keys).agg(F.max(run).alias(run))
+    return rows.join(last, [*keys, run], "left_semi").drop(run)
+
+
 def read_grounding(spark: SparkSession, path: str) -> DataFrame:
-    """Grounding rows from JSON, one object per line or per file."""
-    rows = spark.read.schema(GROUNDING).option("recursiveFileLookup", "true").json(path)
-    return typed_grounding(rows)
+    """Grounding rows from JSON, one object per line or per file; of several runs of a clip the last one counts."""
+    schema = StructType([*GROUNDING.fields, StructField("run", LongType())])
+    rows = spark.read.schema(schema).option("recursiveFileLookup", "true").json(path)
+    return typed_grounding(latest_rows(rows, ["vid"]))
+
+
+def read_key_frame_table(spark: SparkSession, path: str) -> DataFrame:
+    """Key frames that were written as a table, one per clip."""
+    return latest_rows(spark.read.parquet(path).drop("bucket"), ["vid"])
+
+
+def read_outcomes(spark: SparkSession, path: str) -> DataFrame:
+    """One outcome per clip and step."""
+    return latest_rows(spark.read.parquet(path).drop("bucket"), ["vid", "stage"])
+
+
+def read_tube_sets(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Headers and tubes of the last run of every set."""
+    header, tubes = (spark.read.parquet(f"{path}/{name}") for name in ("tube_sets", "tubes"))
+    return latest_rows(header, ["set_id"]), of_last_run(tubes, ["set_id"])
