@@ -12,12 +12,8 @@ from clipgrid.sources.media import inline_image, mime_type
 
 CASES: dict[str, Case] = {}
 
-_PREPOSITIONS = "in|on|at|under|beneath|behind|above|next|near|with|towards|watching|biting|facing"
-_STOP = (
-    "['the','a','an','this','that','these','those','another','other','others','one','two','three','four','five','six',"
-    "'seven','eight','nine','ten','yes','no','none','target','object','subject','some','many','few','several','all',"
-    "'both','first','second','third','last','next','previous']"
-)
+_PREPOSITIONS = "|".join(X.PREPOSITIONS)
+_STOP = str(list(X.ANSWER_STOP_WORDS))
 
 
 def _noun_sql(text: str) -> str:
@@ -97,7 +93,7 @@ def _noun_replies(spark, folder):
     return sentences(spark, folder).withColumn("reply", reply)
 
 
-_QUESTION = r"""(trim(sentence) LIKE '%?' OR regexp_matches(lower(trim(sentence)), '^(what|where|who|which|when|how|why|whose|whom)[ ?]'))"""
+_QUESTION = f"""(trim(sentence) LIKE '%?' OR regexp_matches(lower(trim(sentence)), '^({"|".join(X.QUESTION_WORDS)})[ ?]'))"""
 
 
 @register(
@@ -167,6 +163,7 @@ def conversation_questions(spark, folder):
     )
 
 
+# The four box notations in this dialect.
 _TOKENS = r"(?:<\|box_start\|>|<tool_call>)\s*\(\d+\s*,\s*\d+\)\s*,\s*\(\d+\s*,\s*\d+\)\s*<\|box_end\|>"
 _PLAIN = r"\(\d+\s*,\s*\d+\)\s*,\s*\(\d+\s*,\s*\d+\)"
 _TARGET = r"[Tt]arget\s*:\s*\d+\s*,\s*\d+\s*,\s*\d+\s*,\s*\d+"

@@ -41,22 +41,13 @@ GROUNDING_COLUMNS = (
     "extras",
 )
 
-GROUNDING = T.StructType(
-    [
-        T.StructField("vid", T.StringType()),
-        T.StructField("text_query", T.StringType()),
-        T.StructField("target_object", T.StringType()),
-        T.StructField("method", T.StringType()),
-        T.StructField("success", T.BooleanType()),
-        T.StructField("bbox", BOX),
-        T.StructField("confidence", T.DoubleType()),
-        T.StructField("answer", T.StringType()),
-        T.StructField("mask_path", T.StringType()),
-        T.StructField("raw_output", T.StringType()),
-        T.StructField("failure_reason", T.StringType()),
-        T.StructField("extras", T.MapType(T.StringType(), T.DoubleType())),
-    ]
-)
+_NOT_TEXT = {
+    "success": T.BooleanType(),
+    "bbox": BOX,
+    "confidence": T.DoubleType(),
+    "extras": T.MapType(T.StringType(), T.DoubleType()),
+}
+GROUNDING = T.StructType([T.StructField(c, _NOT_TEXT.get(c, T.StringType())) for c in GROUNDING_COLUMNS])
 
 # What a scorer returns for one row; everything else of the grounding row is filled in by the job.
 RAW_GROUNDING = T.StructType(

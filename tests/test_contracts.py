@@ -26,10 +26,10 @@ def one(spark, *columns):
 
 
 def test_box_truncates_and_measures(spark):
-    box = B.box_of(F.lit(10.9), F.lit(20.0), F.lit(110.2), F.lit("220"))
+    box = B.box_of(F.lit(12.9), F.lit(34.0), F.lit(56.2), F.lit("78"))
     row = one(spark, box.alias("b"), B.box_width(box).alias("w"), B.box_height(box).alias("h"), B.box_area(box).alias("a"))
-    assert tuple(row["b"]) == (10, 20, 110, 220)
-    assert (row["w"], row["h"], row["a"]) == (100, 200, 20000)
+    assert tuple(row["b"]) == (12, 34, 56, 78)
+    assert (row["w"], row["h"], row["a"]) == (44, 44, 1936)
 
 
 def test_inverted_box_is_an_error(spark):
@@ -121,7 +121,7 @@ KEY_FRAMES = "vid string, video_path string, key_frame_path string, original_fra
 GROUNDED = "vid string, text_query string, target_object string, answer string, success boolean, method string"
 
 
-def joined(spark, key_frame, box=(10, 20, 110, 220), answer=None, target="dog"):
+def joined(spark, key_frame, box=(12, 34, 56, 78), answer=None, target="dog"):
     left = spark.createDataFrame([key_frame], KEY_FRAMES)
     right = spark.createDataFrame([(key_frame[0], "where is it?", target, answer, True, "m")], GROUNDED)
     return propagation_inputs(left, right.withColumn("bbox", F.lit(box).cast(BOX) if box is None else F.struct(

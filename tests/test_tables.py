@@ -216,10 +216,77 @@ def test_grounding_sink(spark, tmp_path):
     df = spark.createDataFrame(data, GROUNDING)
     sinks.write_grounding(df, str(tmp_path / "g"))
     text = [json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "g")).collect()]
-    assert all(list(t) == list(GROUNDING.fieldNames()) for t in text)
+    assert all(list(t) == [*GROUNDING.fieldNames(), "run"] for t in text)
     assert sorted(map(str, R.read_grounding(spark, str(tmp_path / "g")).collect())) == sorted(map(str, df.collect()))
 
 
+def test_a_forced_rerun_replaces_rows(spark, tmp_path):
+    rows_of = lambda ok: [(f"v_{i}", "q", None, "m", ok, None, None, None, None, None, None, {}) for i in range(5)]
+    for ok in (False, True):
+        sinks.write_grounding(spark.createDataFrame(rows_of(ok), GROUNDING), str(tmp_path / "g"))
+        sinks.write_outcomes(spark.createDataFrame([(f"v_{i}", ok) for i in range(5)], "vid string, success boolean"), str(tmp_path / "o"), "s")
+    assert [r["success"] for r in R.read_grounding(spark, str(tmp_path / "g")).collect()] == [True] * 5
+    assert [r["success"] for r in R.read_outcomes(spark, str(tmp_path / "o")).collect()] == [True] * 5
+    sets = spark.createDataFrame([(1, "dog", None, "v")], "set_id long, prompt string, object_name string, video_path string")
+    for tubes in (3, 2):
+        frames = spark.createDataFrame([("v_1", t, 0, 4, 4, 1) for t in range(tubes)], "vid string, tube_id long, frame_idx long, height long, width long, set_id long")
+        sinks.write_tube_sets(sets, frames, str(tmp_path / "t"), run=9 - tubes)
+    header, tubes = R.read_tube_sets(spark, str(tmp_path / "t"))
+    assert header.first()["num_tubes"] == 2 and tubes.count() == 2
+
+
+def test_a_hot_video_is_written_by_many_tasks(spark, tmp_path):
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        frames = spark.range(200_000).select(F.lit("v_1").alias("vid"), F.col("id").alias("frame_idx"), F.lit(4).alias("height"), F.lit(4).alias("width"))
+        sinks.write_masks(frames.repartition(8), spark.createDataFrame([("v_1", 0, 0, 0, 1)], "vid string, frame_idx long, y long, x0 long, x1 long"), str(tmp_path / "m"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert len(list((tmp_path / "m/mask_frames").glob("*/part-*"))) > 4
+    assert spark.read.parquet(str(tmp_path / "m/mask_frames")).count() == 200_000
+
+
+def test_clips_without_media_fail_and_stay(spark):
+    from clipgrid.plans.propagation import propagate
+
+    keys = spark.createDataFrame(
+        [("a_1", "/a", "dog", "q", 0, 0), ("b_1", None, "dog", "q", 0, 0), ("c_1", "/c", "dog", "q", 0, 0)],
+        "vid string, video_path string, target_object string, text_query string, original_frame_idx long, key_frame_idx long",
+    )
+    box = spark.createDataFrame([(v, True, (0, 0, 2, 2), None) for v in ("a_1", "b_1", "c_1")], "vid string, success boolean, bbox struct<xmin:int,ymin:int,xmax:int,ymax:int>, answer string")
+    media = spark.createDataFrame([("/a", 3, 4, 4)], "video_path string, num_frames long, height long, width long")
+    sets = spark.createDataFrame([], "set_id long, base_vid string, prompt string, video_path string, num_tubes int")
+    frames = spark.createDataFrame([], "set_id long, tube_id long, frame_idx long, height long, width long")
+    spans = spark.createDataFrame([], "set_id long, tube_id long, frame_idx long, y long, x0 long, x1 long")
+    found = propagate(keys, box, media, sets, frames, spans, "relative", 0.2).outcomes
+    got = {r["vid"]: (r["method"], r["failure_reason"], r["num_masks"]) for r in found.collect()}
+    assert got == {"a_1": ("box_propagation", None, 3), "b_1": ("no_output", "video_not_found", 0), "c_1": ("no_output", "video_not_found", 0)}
+
+
+def test_sentence_numbers_do_not_follow_the_packing_of_files(spark, tmp_path):
+    schema = T.StructType([T.StructField("vid", T.StringType()), T.StructField("captions", T.ArrayType(T.StringType())), T.StructField("fps", T.DoubleType())])
+    for name in ("a", "b"):
+        lines = [json.dumps({"vid": "v", "captions": [f"{name}{i}"], "fps": 1.0}) for i in range(300)]
+        write(tmp_path / f"ann/{name}.json", "\n".join(lines))
+    found = []
+    for size in ("1m", "2k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            clips = N.string_captions(N.read_annotations(spark, str(tmp_path / "ann"), schema, lines=True))
+            found.append({r["text_query"]: r["sentence_index"] for r in number_sentences(clips).collect()})
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert found[0] == found[1] == {f"{n}{i}": 300 * (n == "b") + i + 1 for n in "ab" for i in range(300)}
+
+
+def test_clip_metadata_by_number(spark):
+    names = ["10.jpg", "2.jpg", "1.bmp"]
+    files = spark.createDataFrame([(f"/v/a/{n}",) for n in names] + [("/v/b/x.png",), ("/v/b/10.png",)], "path string")
+    sizes = spark.createDataFrame([("/v/a/2.jpg", 2, 2), ("/v/a/1.bmp", 1, 1), ("/v/b/10.png", 9, 9)], "path string, width int, height int")
+    assert rows(M.clip_metadata(files, sizes, "number")) == [("/v/a", 2, 2, 2), ("/v/b", 2, 9, 9)]
+    assert rows(M.clip_metadata(files, sizes, "text")) == [("/v/a", 3, 1, 1), ("/v/b", 2, 9, 9)]
+
+
 def test_key_frame_sink(spark, tmp_path):
     row = ("v_1", "v.mp4", "q", "dog", 3, 90, 10, 0.5, 3.0, 1, {}, "", "", "seg")
     sinks.write_key_frames(spark.createDataFrame([row], KEY_FRAME), str(tmp_path / "k"))

@@ -70,20 +70,20 @@ def test_questions(spark):
 
 def test_subject_nouns(spark):
     values = [
-        "There is a blue chair behind a child.",
+        "There is a green bicycle near a wall.",
         "there are the two dogs interesting people",
-        "The lamp is above the table",
-        "an adult opens an oven",
+        "The kettle is under the shelf",
+        "an adult carries a crate",
         "adults run",
         "apple",
         "adult",
         "123",
         "there is  an  old adult near me",
     ]
-    expected = ["chair", "dogs", "lamp", "person", "run", "pple", "dult", "object", "person"]
+    expected = ["bicycle", "dogs", "kettle", "person", "run", "pple", "dult", "object", "person"]
     assert apply(spark, X.subject_noun, values) == expected
     strict = apply(spark, lambda c: X.subject_noun(c, strict=True), values)
-    assert strict == ["chair", "are", "lamp", "opens", "run", "apple", "person", "object", "person"]
+    assert strict == ["bicycle", "are", "kettle", "carries", "run", "apple", "person", "object", "person"]
 
 
 def test_words_are_normalised(spark):
@@ -93,7 +93,7 @@ def test_words_are_normalised(spark):
 
 def test_noun_replies(spark):
     values = [
-        'Output: {"target_prompt": "blue chair"}',
+        'Output: {"target_prompt": "green bicycle"}',
         '{"target_prompt": "x"} and {more}',
         '{"target_prompt": 7}',
         '{"target_prompt": ""}',
@@ -102,19 +102,8 @@ def test_noun_replies(spark):
         "{}",
         None,
     ]
-    got = apply(spark, lambda c: X.noun_from_reply(c, F.lit("The lamp is on.")), values)
-    assert got == ["chair", "more", "7", "prompt:", "toy", "a]", "lamp", "lamp"]
-
-
-def python_answer(text):
-    match = re.search(r"[Aa]nswer[:\s]+(.*?)(?:\n|Reasoning|Target|$)", text, re.I | re.S)
-    if not match:
-        return None
-    words = re.sub(r"[^\w\s]", "", match.group(1).strip().lower()).split()
-    telling = [w for w in words if w not in X.ANSWER_STOP_WORDS]
-    if not telling:
-        return None
-    return words[-1] if words[-1] not in X.ANSWER_STOP_WORDS else words[-2]
+    got = apply(spark, lambda c: X.noun_from_reply(c, F.lit("The kettle is on.")), values)
+    assert got == ["bicycle", "more", "7", "prompt:", "toy", "a]", "kettle", "kettle"]
 
 
 def test_answers(spark):
@@ -129,7 +118,8 @@ def test_answers(spark):
         "ANSWER: Ünï çafé!",
         "Answer:",
     ]
-    assert apply(spark, X.question_answer, values) == [python_answer(v) for v in values]
+    expected = ["dogs", "boy", "one", None, "boy", None, None, "çafé", None]
+    assert apply(spark, X.question_answer, values) == expected
     assert apply(spark, X.statement_answer, ["Answer: dog2", "answer 9", "x"]) == ["dog", None, None]
 
 
