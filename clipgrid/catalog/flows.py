@@ -19,7 +19,7 @@ from clipgrid.sources.records import read_grounding, read_outcomes
 CASES: dict[str, Case] = {}
 
 # The flow: an eighth of a label's vectors is a clip of one chunk, the others are one of several chunks.
-SIZE, OVERLAP = 12, 4
+SIZE, OVERLAP = 24, 8
 STEP = SIZE - OVERLAP
 
 
@@ -65,8 +65,9 @@ scored AS (SELECT s.*, total, 1 / (1 + exp(-2 * list_dot_product(CAST(embedding
 keys AS (SELECT vid, f AS key, total, f % 7 > 0 AS found FROM (SELECT *, row_number() OVER (PARTITION BY vid ORDER BY score DESC, sample_idx) AS r FROM scored) WHERE r = 1),
 mains AS (SELECT *, greatest(0, (key - {SIZE} + {STEP}) // {STEP}) AS main FROM keys WHERE found AND vid <> 'c3'),
 frames AS (SELECT *, unnest(range(total)) AS j FROM mains),
-placed AS (SELECT *, j // {STEP} AS later, j % {STEP} AS deep FROM frames),
+placed AS (SELECT *, j // {STEP} AS later, j % {STEP} AS deep, (greatest(0, total - {SIZE}) + {STEP} - 1) // {STEP} AS last FROM frames),
 shifted AS (SELECT vid, j, key, CASE
+    WHEN later > last THEN [abs(j - key)]
     WHEN later > 0 AND deep < {OVERLAP} AND later <= main THEN
       CASE WHEN 2 * deep > {OVERLAP} THEN [key - later * {STEP} + deep] WHEN 2 * deep < {OVERLAP} THEN [abs(j - key)] ELSE [abs(j - key), key - later * {STEP} + deep] END
     WHEN later > main AND deep < {OVERLAP} THEN
