@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from clipgrid.llm.common import small_slices
 
 #: Distinct matches after which a task forgets what it has encoded.
-REMEMBERED = 600_000
+REMEMBERED = 250_000
 # Letters, digits and white space of the first 256 characters; general punctuation holds none of them.
 _L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
 _UNUSUAL = re.compile("[^\x00-\xff\u2010-\u2027]")
@@ -118,18 +118,22 @@ def offsets(ids: np.ndarray, text: bytes, lengths: np.ndarray) -> tuple[np.ndarr
 
 
 def encode(
-    docs: DataFrame, keep: list[str], vocabulary: str | None = None, text: str = "text", with_offsets: bool = False
+    docs: DataFrame, keep: list[str], vocabulary: str | None = None, text: str = "text", with_offsets: bool = False, verify: bool = False
 ) -> DataFrame:
-    """The columns ``keep``, ``ids array<int>`` and, if asked for, ``byte_starts`` and ``char_starts``."""
+    """The columns ``keep``, ``ids array<int>`` and, if asked for, ``byte_starts`` and ``char_starts``.
+
+    With ``verify`` each text's ids are decoded at once, and ``decodes`` tells whether they give back its bytes.
+    """
     vocabulary = vocabulary or default_vocabulary()
-    kept = [c for c in keep if c not in ("ids", "byte_starts", "char_starts")]
+    kept = [c for c in keep if c not in ("ids", "byte_starts", "char_starts", "decodes")]
     source = docs.select(*kept, F.col(text).cast("string").alias("_text"))
     extra = [("ids", pa.int32())] + [("byte_starts", pa.int32()), ("char_starts", pa.int32())] * with_offsets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary)
-        lengths = np.array([len(b) for b in token_bytes(vocabulary)], np.int64)
-        for batch in small_slices(batches, "_text", 4 << 20):
+        table = token_bytes(vocabulary)
+        lengths = np.array([len(b) for b in table], np.int64)
+        for batch in small_slices(batches, "_text", 1 << 20):
             columns: list[list[np.ndarray]] = [[] for _ in extra]
             texts = [x or "" for x in batch.column(len(kept)).to_pylist()]
             for cell, ids in zip(texts, encoder.encode(texts), strict=True):
@@ -138,10 +142,18 @@ def encode(
                     for column, found in zip(columns[1:], offsets(ids, cell.encode(), lengths), strict=True):
                         column.append(found)
             lists = [pa.ListArray.from_arrays(_ends(c), pa.array(np.concatenate(c), pa.int32())) for c in columns]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *lists], [*kept, *(n for n, _ in extra)])
+            names = [*kept, *(n for n, _ in extra)]
+            if verify:
+                lists.append(pa.array([_joined(table, i) == t.encode() for i, t in zip(columns[0], texts, strict=True)], pa.bool_()))
+                names.append("decodes")
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *lists], names)
 
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept]
-    return source.mapInArrow(run, ", ".join([*fields, *(f"{n} array<int>" for n, _ in extra)]))
+    return source.mapInArrow(run, ", ".join([*fields, *(f"{n} array<int>" for n, _ in extra), *["decodes boolean"] * verify]))
+
+
+def _joined(table: list[bytes], ids: np.ndarray) -> bytes:
+    return b"".join(map(table.__getitem__, ids.tolist()))
 
 
 def _ends(parts: list[np.ndarray]) -> pa.Array:
@@ -156,9 +168,9 @@ def decode(encoded: DataFrame, keep: list[str], vocabulary: str | None = None, i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = token_bytes(vocabulary)
         for batch in batches:
-            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
+            for part in (batch.slice(i, 64) for i in range(0, batch.num_rows, 64)):
                 cells = part.column(len(kept))
-                out = [b"".join(map(table.__getitem__, c.values.to_pylist())) if c.is_valid else b"" for c in cells]
+                out = [_joined(table, c.values.to_numpy()) if c.is_valid else b"" for c in cells]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(out, pa.binary())], [*kept, "decoded"])
 
     fields = [f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in kept]
