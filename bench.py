@@ -39,6 +39,10 @@ HEADLINE = (
     "clip_outcomes",
     "score_plugin",
     "propagation_flow",
+    "sample_points",
+    "threshold_runs",
+    "propagation_masks",
+    "chunk_waves",
 )
 
 
