@@ -16,8 +16,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +26,9 @@ from pyspark.sql import functions as F
 
 from clipgrid.llm.common import small_slices
 
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
 #: Distinct matches after which a task forgets what it has encoded.
 REMEMBERED = 250_000
 # Letters, digits and white space of the first 256 characters; general punctuation holds none of them.
@@ -49,13 +52,16 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in printable else chr(next(spare)) for b in range(256)]
 
 
-@lru_cache(maxsize=2)
 def token_bytes(vocabulary: str) -> list[bytes]:
     """The bytes of each id."""
     from tokenizers import Tokenizer
 
+    return _token_bytes(Tokenizer.from_file(vocabulary))
+
+
+def _token_bytes(library: Tokenizer) -> list[bytes]:
     back = {c: b for b, c in enumerate(byte_characters())}
-    names = Tokenizer.from_file(vocabulary).get_vocab(with_added_tokens=False)
+    names = library.get_vocab(with_added_tokens=False)
     found = [b""] * (max(names.values()) + 1)
     for name, i in names.items():
         found[i] = bytes(back[c] for c in name)
@@ -70,7 +76,8 @@ class Encoder:
         import regex
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(vocabulary).model
+        library = Tokenizer.from_file(vocabulary)
+        self.model, self.table = library.model, _token_bytes(library)
         self.names = dict(enumerate(byte_characters()))
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.forget()
@@ -131,7 +138,7 @@ def encode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary)
-        table = token_bytes(vocabulary)
+        table = encoder.table
         lengths = np.array([len(b) for b in table], np.int64)
         for batch in small_slices(batches, "_text", 1 << 20):
             columns: list[list[np.ndarray]] = [[] for _ in extra]

@@ -7,8 +7,14 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+import clipgrid
+
+# Functions of this package travel to the workers with the job, so it need not be installed there.
+cloudpickle.register_pickle_by_value(clipgrid)
+
 #: Bytes of ASCII white space that separate words everywhere in this package.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
