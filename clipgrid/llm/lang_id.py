@@ -162,9 +162,11 @@ def fold(doc_id: Column) -> Column:
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     """Trains on the driver; ``sample`` and LONGEST bound what it gets. Rows of fold 0 are not used."""
     fit = docs.where(F.col("lang").isNotNull() & (fold(F.col("doc_id")) != 0) & F.col("text").rlike(r"\p{L}") & (F.length("text") <= LONGEST))
-    order = [F.xxhash64(F.col("doc_id").cast("string"), F.lit(SEED)), F.xxhash64("text"), F.col("lang")]
-    chosen = fit.select("text", "lang", *(o.alias(f"_o{i}") for i, o in enumerate(order))).orderBy("_o0", "_o1", "_o2").limit(sample)
-    rows = [(r.text, r.lang) for r in chosen.collect()]
+    place = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(SEED))
+    # First where the sample ends, from hashes alone; then the texts up to there.
+    last = fit.select(place.alias("o")).orderBy("o").limit(sample).agg(F.max("o")).first()[0]
+    chosen = fit.select(place.alias("o"), "text", "lang").where(F.col("o") <= F.lit(last)).collect() if last is not None else []
+    rows = [(r.text, r.lang) for r in sorted(chosen, key=lambda r: (r.o, r.text, r.lang))[:sample]]
     return train(rows) if rows else None
 
 
