@@ -15,7 +15,9 @@ One suffix array of everything fits no task, so suffixes are dealt out such that
    ones are asked for. A few hundredths of the text are.
 3. The documents hand over the bytes of those stretches.
 4. Stretches of one anchor meet in a task, whose strings are sorted (suffixes, up to LENGTH bytes), and previous and next
-   smaller positions give the matches.
+   smaller positions give the matches. An anchor with more than ``CROWD`` different stretches (a common line with ever
+   other surroundings) would make a large task; each of its strings is dealt out by its own hash instead, and all but
+   the first of equal ones repeat.
 5. All found intervals return to their documents.
 
 Texts are handled as UTF-8 bytes, whole; very long ones in chunks that overlap. Null texts are empty, and texts below LENGTH
@@ -39,6 +41,9 @@ from clipgrid.session import cut_lineage
 LENGTH, GRAM = 100, 20
 #: K-grams of a string; bytes that are hashed at once; anchors that are combined before they are shuffled.
 SPAN, CHUNK, COMBINED = LENGTH - GRAM + 1, 1 << 19, 1_000_000
+FOUND = ["doc", "at", "a", "many"]
+#: Different stretches of an anchor that meet in one task.
+CROWD = 256
 _LAST = (1 << 63) - 1
 _SEED = 42
 _U = np.uint64
@@ -204,7 +209,8 @@ def _anchor_rows(ids: np.ndarray, texts: list[bytes], some: list[tuple[int, int,
 
 
 def meet(found: DataFrame) -> DataFrame:
-    """doc, at, a: with a < 0 an interval of -a bytes from ``at`` that repeats; else a stretch that is asked for."""
+    """doc, at, a, many: with a < 0 an interval of -a bytes from ``at`` that repeats; else a stretch that is asked for, and
+    how many different ones its anchor has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, lambda t: t.column("a").to_numpy() >> 14):
@@ -218,21 +224,21 @@ def meet(found: DataFrame) -> DataFrame:
                 continue
             first = starts_of(a, h)
             group = np.cumsum(starts_of(a >> 14)) - 1
-            several = np.bincount(group, weights=first) > 1
+            many = np.bincount(group, weights=first).astype(np.int64)[group]
             again = ~first & starts_of(a, h, doc, at)
             if again.any():
                 yield _intervals(*repeats(doc[again], at[again], a[again]))
-            ask = first & several[group]
+            ask = first & (many > 1)
             if ask.any():
-                yield pa.RecordBatch.from_arrays([pa.array(x[ask]) for x in (doc, at, a)], ["doc", "at", "a"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[ask]) for x in (doc, at, a, many)], FOUND)
 
     dealt = found.repartition(F.shiftright("a", 14)).sortWithinPartitions("a", "hash", "doc", "at")
-    return dealt.mapInArrow(run, "doc long, at long, a long")
+    return dealt.mapInArrow(run, ", ".join(f"{c} long" for c in FOUND))
 
 
 def _intervals(doc: np.ndarray, tag: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
-    cells = (doc, tag << 31 | begin, begin - end)
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in cells], ["doc", "at", "a"])
+    cells = (doc, tag << 31 | begin, begin - end, np.zeros(len(doc), np.int64))
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in cells], FOUND)
 
 
 def with_texts(docs: DataFrame, wanted: DataFrame, rest: list[str]) -> DataFrame:
@@ -252,34 +258,61 @@ def with_texts(docs: DataFrame, wanted: DataFrame, rest: list[str]) -> DataFrame
 
     kinds = ", ".join(["doc long, tag long, size long, packed binary", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest)])
     texts = docs.select("doc", "text", *rest).mapInArrow(pack, kinds)
-    asked = wanted.select("doc", F.shiftright("at", 31).alias("tag"), "at", "a")
+    asked = wanted.select("doc", F.shiftright("at", 31).alias("tag"), "at", "a", "many")
     both = texts.unionByName(asked, allowMissingColumns=True)
     return both.repartition("doc", "tag").sortWithinPartitions("doc", "tag", F.col("size").isNull(), "at")
 
 
 def hand_over(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """k, doc, at, a and the bytes of every stretch that is asked for."""
+    """k, hash, doc, at, a and the bytes of every stretch that is asked for.
+
+    Of an anchor with a crowd of stretches come single strings by their hashes (k < 0, no bytes); those of one task are
+    combined, and what repeats in it comes as intervals (a < 0).
+    """
+    names = ["k", "hash", "doc", "at", "a", "bytes"]
+    crowd = CROWD
+
+    def strings(held: _Stretches) -> pa.RecordBatch:
+        a, h, d, p = (c.to_numpy() for c in held.flush().columns)
+        known = a < 0
+        cells = (np.where(known, a, -2 - (a >> 14)), np.where(known, 0, h), d, p, np.where(known, (p & 0x7FFFFFFF) - h, 0))
+        return pa.RecordBatch.from_arrays([*(pa.array(c) for c in cells), pa.nulls(len(a), pa.binary())], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = pa.Codec("zstd")
+        from xxhash import xxh3_64_intdigest, xxh64_intdigest
+
+        codec, held = pa.Codec("zstd"), _Stretches()
         text, packed, size = b"", None, 0
         for batch in batches:
-            doc, sizes, at, a = (batch.column(batch.schema.get_field_index(c)) for c in ("doc", "size", "at", "a"))
+            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc", "size", "at", "a", "many")]
             cells = batch.column(batch.schema.get_field_index("packed"))
             out: tuple[list, ...] = ([], [], [], [], [])
-            for i, (d, n, p, x) in enumerate(zip(doc.to_pylist(), sizes.to_pylist(), at.to_pylist(), a.to_pylist(), strict=True)):
+            for i, (d, n, p, x, many) in enumerate(zip(*columns, strict=True)):
                 if n is not None:
                     packed, size = cells[i], n
                     continue
                 if packed is not None:
                     text, packed = codec.decompress(packed.as_buffer(), size, asbytes=True), None
                 begin = (p & 0x7FFFFFFF) - (x >> 7 & 127)
+                if many > crowd:
+                    own = [text[s : s + LENGTH] for s in range(begin, begin + (x & 127) + 1)]
+                    first = np.array([xxh64_intdigest(s) >> 16 << 14 for s in own], np.int64)
+                    other = np.array([xxh3_64_intdigest(s) for s in own], _U).view(np.int64)
+                    place = (p >> 31 << 31) + np.arange(begin, begin + len(own))
+                    held.parts.append((first, other, np.full(len(own), d, np.int64), place))
+                    held.count += len(own)
+                    continue
                 for column, value in zip(out, (x >> 14, d, p, x, text[begin : begin + (x & 127) + LENGTH]), strict=True):
                     column.append(value)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:4]), pa.array(out[4], pa.binary())], ["k", "doc", "at", "a", "bytes"])
+                k, d, p, x = (pa.array(c, pa.int64()) for c in out[:4])
+                yield pa.RecordBatch.from_arrays([k, pa.array(np.zeros(len(k), np.int64)), d, p, x, pa.array(out[4], pa.binary())], names)
+            if held.count >= COMBINED:
+                yield strings(held)
+        if held.count:
+            yield strings(held)
 
-    return with_texts(docs, asked, []).mapInArrow(run, "k long, doc long, at long, a long, bytes binary")
+    return with_texts(docs, asked, []).mapInArrow(run, "k long, hash long, doc long, at long, a long, bytes binary")
 
 
 def smaller_before(position: np.ndarray) -> np.ndarray:
@@ -350,16 +383,28 @@ def previous_factors(table: pa.Table) -> pa.RecordBatch | None:
 
 
 def match(stretches: DataFrame) -> DataFrame:
-    """doc, at, a: intervals that repeat, from stretches of the same anchor."""
+    """doc, at, a: intervals that repeat, from stretches of the same anchor and from single strings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "k", 60_000, 8 << 20):
-            found = previous_factors(table)
+            k, h, doc, at, a = (table.column(c).to_numpy() for c in ("k", "hash", "doc", "at", "a"))
+            known = a < 0
+            if known.any():
+                begin = at[known] & 0x7FFFFFFF
+                yield _intervals(doc[known], at[known] >> 31, begin, begin - a[known])
+            single = (k < 0) & ~known
+            if single.any():
+                k, h, doc, at, a = (x[single] for x in (k, h, doc, at, a))
+                again = ~starts_of(k, h) & starts_of(k, h, doc, at)
+                if again.any():
+                    yield _intervals(*repeats(doc[again], at[again], a[again]))
+            rest = table.filter(pa.array(~known & ~single))
+            found = previous_factors(rest) if rest.num_rows else None
             if found is not None:
                 yield found
 
-    dealt = stretches.repartition("k").sortWithinPartitions("k", "doc", "at")
-    return dealt.mapInArrow(run, "doc long, at long, a long")
+    dealt = stretches.repartition("k").sortWithinPartitions("k", "hash", "doc", "at")
+    return dealt.mapInArrow(run, ", ".join(f"{c} long" for c in FOUND))
 
 
 def _whole_characters(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

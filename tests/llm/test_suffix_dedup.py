@@ -43,6 +43,15 @@ def test_planted_passages(documents):
     assert report(documents(rows)) == brute(rows)
 
 
+@pytest.mark.parametrize("crowd", [0, 5, 256])
+def test_a_common_line_in_many_surroundings(documents, monkeypatch, crowd):
+    monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
+    monkeypatch.setattr(suffix_dedup, "COMBINED", 400)
+    line = prose(9, 24)
+    rows = [(i, f"{prose(i, 12)}\n{line}\n{prose(500 + i % 7, 12)}") for i in range(60)]
+    assert report(documents(rows)) == brute(rows)
+
+
 def test_chunks_of_a_long_text(documents, monkeypatch):
     rows = [(0, prose(1, 400)), (1, prose(2, 300) + prose(1, 400)[200:1200] + prose(3, 100))]
     monkeypatch.setattr(suffix_dedup, "CHUNK", 512)
