@@ -36,20 +36,23 @@ def run_summary(all_clips: DataFrame, pending: DataFrame, results: DataFrame, su
 
     Clips that were tried but left no result count as failed.
     """
-    given = all_clips.agg(F.count(F.lit(1)).alias("total"), F.lit(1).alias("_one"))
-    tried = pending.agg(F.count(F.lit(1)).alias("processed"), F.lit(1).alias("_one"))
-    good = results.agg(F.count_if(F.coalesce(success, F.lit(False))).alias("succeeded"), F.lit(1).alias("_one"))
-    return (
-        given.join(tried, "_one")
-        .join(good, "_one")
-        .select(
-            "total",
-            (F.col("total") - F.col("processed")).alias("skipped"),
-            "processed",
-            "succeeded",
-            (F.col("processed") - F.col("succeeded")).alias("failed"),
-            (F.try_divide(F.col("succeeded"), F.col("processed")) * 100).alias("success_rate"),
-        )
+    parts = (
+        all_clips.select(F.lit("given").alias("_part"), F.lit(False).alias("_good"))
+        .unionByName(pending.select(F.lit("tried").alias("_part"), F.lit(False).alias("_good")))
+        .unionByName(results.select(F.lit("done").alias("_part"), F.coalesce(success, F.lit(False)).alias("_good")))
+    )
+    counts = parts.agg(
+        F.count_if(F.col("_part") == "given").alias("total"),
+        F.count_if(F.col("_part") == "tried").alias("processed"),
+        F.count_if("_good").alias("succeeded"),
+    )
+    return counts.select(
+        "total",
+        (F.col("total") - F.col("processed")).alias("skipped"),
+        "processed",
+        "succeeded",
+        (F.col("processed") - F.col("succeeded")).alias("failed"),
+        (F.try_divide(F.col("succeeded"), F.col("processed")) * 100).alias("success_rate"),
     )
 
 

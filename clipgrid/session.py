@@ -16,10 +16,11 @@ def build_session(app_name: str = "clipgrid", master: str | None = None, **conf:
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        # Start from many partitions; the adaptive execution joins those below the advisory size.
-        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "2000",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     }
+    if not (master or "").startswith("local"):
+        # A cluster starts from many partitions; the adaptive execution joins those below the advisory size.
+        settings["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] = "2000"
+        settings["spark.sql.adaptive.advisoryPartitionSizeInBytes"] = "128m"
     settings.update(conf)
     builder = SparkSession.builder.appName(app_name)
     if master:
