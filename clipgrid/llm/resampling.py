@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from clipgrid.llm.common import small_slices, utf8
 from clipgrid.llm.ranks import global_rank
+from clipgrid.session import cut_lineage
 
 BUCKETS, TARGETS, REFERENCE, SHARE, SEED = 1 << 14, 20_000, 64.0, 0.8, 3
 #: Distinct words after which a task forgets their hashes.
@@ -110,7 +111,8 @@ def weigh(docs: DataFrame, ratios: np.ndarray, reference: float = REFERENCE) ->
 def resample(docs: DataFrame, labels: DataFrame, share: float = SHARE, most: int = TARGETS) -> DataFrame:
     """doc_id, log_weight, key (weight plus noise), rank (from 1) and kept, one row per document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    weighed = weigh(docs, log_ratios(docs, target_ids(labels, most)))
+    # Written, as dealing rows out by range reads them twice.
+    weighed = cut_lineage(weigh(docs, log_ratios(docs, target_ids(labels, most))))
     u = (F.shiftright("noise_key", 10) + F.lit(0.5)) / F.lit(float(1 << 53))
     keyed = weighed.withColumn("key", F.col("log_weight") - F.log(-F.log(u)))
     ranked = global_rank(keyed, -F.coalesce("key", F.lit(float("-inf"))), F.col("doc_id"), F.col("noise_key"))
