@@ -132,7 +132,8 @@ def search(
     seed: int = SEED,
 ) -> DataFrame:
     """q, cid, score: the ``nearest`` classes that the windows of each class in ``asked`` (cid) hold, itself included."""
-    ranked = global_rank(placed_on_curves(classes, curves, dims, bits, seed), F.col("curve"), F.col("key"), F.col("cid"))
+    placed = cut_lineage(placed_on_curves(classes, curves, dims, bits, seed))
+    ranked = global_rank(placed, F.col("curve"), F.col("key"), F.col("cid"))
     bounds = ranked.groupBy("curve").agg(F.min("rank").alias("_first"), F.count(F.lit(1)).alias("_n"))
     ranked = ranked.join(bounds, "curve").withColumn("rank", F.col("rank") - F.col("_first"))
     window = F.greatest(F.lit(least), F.ceil(F.col("_n") * share))
