@@ -20,7 +20,7 @@ a null doc_id take part; a group with no other id has the component null. Column
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -185,10 +185,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
-def representatives(docs: DataFrame) -> DataFrame:
+def representatives(docs: DataFrame, groups: Callable[[DataFrame], DataFrame] = grouped) -> DataFrame:
     """The rows of ``docs`` that stay: of each group that of the smallest doc_id, one row where it repeats."""
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tag")
-    first = grouped(docs).groupBy("root").agg(F.min(place).alias("p")).select("p.doc_id", "p.tag")
+    first = groups(docs).groupBy("root").agg(F.min(place).alias("p")).select("p.doc_id", "p.tag")
     first = cut_lineage(first.select(F.col("doc_id").alias("_doc"), F.col("tag").alias("_tag")))
     own = docs.select(F.struct(*docs.columns).alias("_row")).withColumn("_text", F.xxhash64(F.coalesce(F.col("_row.text").cast("string"), F.lit(""))))
     same = (F.coalesce(F.col("_row.doc_id"), F.lit(-1)) == F.coalesce("_doc", F.lit(-1))) & (F.col("_text") == F.col("_tag"))
