@@ -5,8 +5,10 @@ styles, menus, page headers and footers, sidebars, forms, notices, adverts, read
 words of class and id) and lines made mostly of links count as lines of length zero. The lengths are then summed over
 sliding windows of ``WINDOW`` lines. A span of text surges where a window sum rises from zero and dives where the sum
 falls back to zero; a line of zero length inside a span is left out, so text that an advert interrupts stays one span.
-If the page marks its article (``article`` or ``main``), only spans inside it are taken; else the spans whose
-longest window reaches ``SURGE`` characters, or the longest span where none does.
+The spans count whose longest window reaches ``SURGE`` characters, or the longest span where none does, and with them
+spans between two of them and later ones that end a sentence. ``article`` and ``main`` are a hint: where the longest span
+lies in a marked article, its spans are taken whatever their length, and the others left. Where a longer one that
+surges lies outside, the hint is void and all spans of the page count alike.
 
 Each page is handled by itself, whole, in one pass over its tags. Nulls and pages without text give the empty text.
 """
@@ -45,6 +47,7 @@ _NOISE = re.compile(
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[A-Za-z][^>]*(?:>|$)", re.DOTALL)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
+_STOPS, _QUOTES = (".", "!", "?", "…", "。"), " \"')]»”’"
 _SPACE = re.compile(r"\s+")
 _ENDS = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in _RAW}
 
@@ -130,21 +133,35 @@ def spans(lengths: np.ndarray, window: int = WINDOW) -> list[tuple[int, int, int
     return found
 
 
+def _chosen(found: list[tuple[int, int, int]], texts: list[str], lengths: np.ndarray, surge: int) -> list[tuple[int, int, int]]:
+    """The spans that surge, or the longest where none does, with those between them and those after them that end a sentence."""
+    if not found:
+        return []
+    least = min(surge, max(s for *_, s in found))
+    high = [i for i, t in enumerate(found) if t[2] >= least]
+    sentence = lambda a, b: any(lengths[i] and texts[i].rstrip(_QUOTES).endswith(_STOPS) for i in range(a, b))
+    return [t for i, t in enumerate(found) if high[0] <= i <= high[-1] or i > high[-1] and sentence(t[0], t[1])]
+
+
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     """The article's blocks in page order, joined by line feeds."""
     if not page:
         return ""
     found = list(lines(page))
-    marked = any(inside and not noisy for _, _, noisy, inside in found)
-    lengths = np.array(
-        [0 if noisy or marked and not inside or not inside and linked > LINKED * len(line) else len(line) for line, linked, noisy, inside in found],
-        np.int64,
-    )
-    taken = spans(lengths, window)
-    if taken and not marked:
-        best = max(s for *_, s in taken)
-        taken = [t for t in taken if t[2] >= min(surge, best)]
-    return "\n".join(found[i][0] for a, b, _ in taken for i in range(a, b) if lengths[i])
+    texts = [line for line, *_ in found]
+    marks = np.array([inside for *_, inside in found], bool)
+    lengths = np.array([0 if noisy or not inside and linked > LINKED * len(line) else len(line) for line, linked, noisy, inside in found], np.int64)
+    within, beyond = (spans(np.where(marks == side, lengths, 0), window) for side in (True, False))
+    longest = max((lengths[a:b][marks[a:b]].sum() for a, b, _ in within), default=0)
+    if not within:
+        kept = np.ones(len(found), bool)
+        taken = _chosen(beyond, texts, lengths, surge)
+    elif any(s >= surge and lengths[a:b][~marks[a:b]].sum() > longest for a, b, s in beyond):
+        kept = np.ones(len(found), bool)  # the mark is not round the longest text: all spans count alike
+        taken = _chosen(spans(lengths, window), texts, lengths, surge)
+    else:
+        kept, taken = marks, within
+    return "\n".join(texts[i] for a, b, _ in taken for i in range(a, b) if lengths[i] and kept[i])
 
 
 def extract(pages: DataFrame, keep: list[str], text: str = "html", window: int = WINDOW, surge: int = SURGE) -> DataFrame:

@@ -54,3 +54,15 @@ def test_table(spark):
     found = sorted((tuple(r) for r in extract(df, ["page_id", "url"]).collect()), key=lambda r: r[0])
     assert found == [(1, "u", "é x", 3), (2, None, "", 0), (2, None, "", 0), (3, "v", ("word " * 200000).strip(), 999999)]
     assert extract(df.limit(0), ["page_id", "url"]).collect() == []
+
+
+def test_the_longest_text_counts_wherever_the_mark_is():
+    teasers = "".join(f"<article class=card><h2>Teaser {i}</h2><p>Read what happened next.</p></article>" for i in range(3))
+    found = main_text(page(f"{teasers}<div class=body><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div>"))
+    assert found.count(LONG) == 3
+    assert main_text(page(f"<article><p>{LONG}</p></article><p>Short text outside.</p>")) == LONG
+
+
+def test_short_paragraphs_between_and_after_spans():
+    menu = "<ul>" + "<li><a>one</a></li>" * 3 + "</ul>"
+    assert main_text(page(f"<p>{LONG}</p>{menu}<p>In short</p>{menu}<p>{LONG}</p>{menu}<p>The end.</p>{menu}<p>imprint</p>")) == f"{LONG}\nIn short\n{LONG}\nThe end."
