@@ -38,20 +38,33 @@ _INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "input", "ins", "kbd", "label",
     "mark", "meter", "picture", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
 }
-_NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|adbox|banner|sponsored|promo|promoted|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side-bar"
-    r"|comments?|commentlist|disqus|respond|replies|cookies?|consent|notice|notices|notification|alert|newsletter|subscribe|signup|popup|modal|share|sharing"
-    r"|social|related|recommended|footer|masthead|site-header|page-header|skip-link|pagination|pager|widget)(?:$|[\s_-])",
-    re.IGNORECASE,
+#: Words that name what is not the article, and words that only say which part or place of it; a class or id of such words alone is noise.
+_NOISE = set(
+    "ad ads advert adverts advertisement advertisements adbox banner sponsored promo promoted nav navbar navigation menu breadcrumb breadcrumbs sidebar"
+    " comment comments commentlist disqus respond replies cookie cookies consent notice notices notification alert newsletter subscribe signup popup modal"
+    " share sharing social related recommended footer masthead pagination pager widget".split()
 )
+_PARTS = set(
+    "site page main global top bottom left right primary secondary inner outer header footer area bar box block list item items link links section"
+    " wrapper wrap container slot unit zone row col group form button buttons icon icons media post posts article articles stories entry user reader text bar".split()
+)
+_WHOLE = {"side-bar", "site-header", "page-header", "skip-link"}
+_WORD = re.compile(r"[a-z]+")
+_STOPS, _QUOTES = (".", "!", "?", "…", "。"), " \"')]»”’"
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[A-Za-z][^>]*(?:>|$)", re.DOTALL)
-_ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
-_STOPS, _QUOTES = (".", "!", "?", "…", "。"), " \"')]»”’"
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=][^\s\"'>/=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?|\"[^\"]*\"|'[^']*'")
 _SPACE = re.compile(r"\s+")
 _ENDS = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in _RAW}
 
 
+def _names_noise(token: str) -> bool:
+    """Whether a class or id is made of noise words and words of place only: ``site-footer``, but not ``has-sidebar``."""
+    token = token.lower()
+    words = _WORD.findall(token)
+    return token in _WHOLE or any(w in _NOISE for w in words) and all(w in _NOISE or w in _PARTS for w in words)
+
+
 def _is_noise(name: str, attributes: str, inside: bool) -> bool:
     if name in _NEVER or name == "header" and not inside:
         return True
@@ -61,7 +74,9 @@ def _is_noise(name: str, attributes: str, inside: bool) -> bool:
         key, value = key.lower(), next((v for v in values if v), "")
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
             return True
-        if key in ("class", "id") and _NOISE.search(value) or key == "role" and value.lower() in _ROLES or key == "itemprop" and value == "comment":
+        if key in ("class", "id") and any(map(_names_noise, value.split())):
+            return True
+        if key == "role" and value.lower() in _ROLES or key == "itemprop" and value == "comment":
             return True
     return False
 

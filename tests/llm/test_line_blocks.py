@@ -66,3 +66,17 @@ def test_the_longest_text_counts_wherever_the_mark_is():
 def test_short_paragraphs_between_and_after_spans():
     menu = "<ul>" + "<li><a>one</a></li>" * 3 + "</ul>"
     assert main_text(page(f"<p>{LONG}</p>{menu}<p>In short</p>{menu}<p>{LONG}</p>{menu}<p>The end.</p>{menu}<p>imprint</p>")) == f"{LONG}\nIn short\n{LONG}\nThe end."
+
+
+@pytest.mark.parametrize(
+    "attributes",
+    ['style="overflow: hidden"', 'title="The hidden cost of X"', "class='content has-sidebar'", "class='page no-sidebar'", "class='post comments-open'"]
+    + ["class=elementor-widget-theme-post-content", "class=social-science", "data-x='class=\"ad\"'", "data-hidden=1"],
+)
+def test_attributes_that_are_no_noise(attributes):
+    assert main_text(page(f"<article><div {attributes}><p>x</p></div></article>")) == "x"
+
+
+@pytest.mark.parametrize("attributes", ["hidden", "class='a hidden' hidden=''", "class=site-footer", "class='x post-comments'", "id=comments", "aria-hidden=true"])
+def test_attributes_that_are_noise(attributes):
+    assert main_text(page(f"<article><p>x</p><div {attributes}><p>y</p></div></article>")) == "x"
