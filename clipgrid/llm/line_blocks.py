@@ -30,6 +30,8 @@ from clipgrid.llm.common import small_slices
 WINDOW, SURGE = 3, 86
 #: Share of a line's characters inside links from which it counts as a menu.
 LINKED = 0.6
+#: Open elements that a tag can end; deeper ones stay open, so that a page of unclosed tags takes linear time.
+DEPTH = 512
 
 _RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "noembed", "noframes", "xmp"}
 _NEVER = {"nav", "footer", "aside", "form", "head", "menu", "dialog", "button", "select", "option", "object", "svg", "math", "canvas", "audio", "video", "map"}
@@ -54,6 +56,25 @@ _STOPS, _QUOTES = (".", "!", "?", "…", "。"), " \"')]»”’"
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[A-Za-z][^>]*(?:>|$)", re.DOTALL)
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=][^\s\"'>/=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?|\"[^\"]*\"|'[^']*'")
+_BARE_END = re.compile(r"=\s*[^\s\"'>]*/$")
+#: Elements whose start ends an open element of these names, up to the nearest of those.
+_P_ENDS = set(
+    "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu"
+    " nav ol p pre search section summary table ul li dt dd".split()
+)
+_CELLS = {"table", "td", "th", "caption"}
+_IMPLIED = {
+    "li": ({"li"}, {"ul", "ol", "menu"} | _CELLS),
+    "dt": ({"dt", "dd"}, {"dl"} | _CELLS),
+    "dd": ({"dt", "dd"}, {"dl"} | _CELLS),
+    "tr": ({"tr"}, {"table"}),
+    "td": ({"td", "th"}, {"table", "tr"}),
+    "th": ({"td", "th"}, {"table", "tr"}),
+    "tbody": ({"thead", "tbody", "tfoot"}, {"table"}),
+    "tfoot": ({"thead", "tbody", "tfoot"}, {"table"}),
+    "option": ({"option"}, {"select", "datalist"}),
+    "optgroup": ({"option", "optgroup"}, {"select"}),
+}
 _SPACE = re.compile(r"\s+")
 _ENDS = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in _RAW}
 
@@ -81,29 +102,56 @@ def _is_noise(name: str, attributes: str, inside: bool) -> bool:
     return False
 
 
-def lines(page: str) -> Iterator[tuple[str, int, bool, bool]]:
-    """The blocks of a page: text, characters inside links, whether in a noise element, whether in a marked article."""
-    text: list[str] = []
-    linked = links = articles = noise = 0
-    noise_name, at, inner = "", 0, 0
-
-    def block() -> Iterator[tuple[str, int, bool, bool]]:
-        nonlocal linked
-        line = _SPACE.sub(" ", html.unescape("".join(text))).strip()
-        text.clear()
-        if line:
-            yield line, linked, noise > 0, articles > 0
-        linked = 0
+class _Element:
+    __slots__ = ("name", "parent", "noise", "articles")
+
+    def __init__(self, name: str, parent: _Element | None, noise: bool) -> None:
+        self.name, self.parent, self.noise = name, parent, noise
+        self.articles = (parent.articles if parent else 0) + (name in ("article", "main"))
 
+
+def _open(stack: list[_Element], name: str) -> None:
+    """Ends the open elements that the start of ``name`` implies to be over."""
+    ends, border = _IMPLIED.get(name, (set(), set()))
+    for at in range(len(stack) - 1, max(0, len(stack) - DEPTH), -1):
+        if stack[at].name in border:
+            break
+        if stack[at].name in ends:
+            del stack[at:]
+            break
+    if name in _P_ENDS:
+        _close(stack, "p")
+        for at in range(len(stack) - 1, max(0, len(stack) - DEPTH), -1):  # a block of HTML breaks out of a drawing
+            if stack[at].name == "foreignobject":
+                break
+            if stack[at].name in ("svg", "math"):
+                del stack[at:]
+                break
+
+
+def _close(stack: list[_Element], name: str) -> None:
+    """Ends the nearest open ``name`` and what is open in it; an end tag without one, or across a table cell, counts for nothing."""
+    for at in range(len(stack) - 1, max(0, len(stack) - DEPTH), -1):
+        here = stack[at].name
+        if here == name:
+            del stack[at:]
+            return
+        if name in _INLINE and here not in _INLINE or here in _CELLS and name not in ("table", "tr", "tbody", "thead", "tfoot"):
+            return
+
+
+def _parse(page: str) -> tuple[list[list[tuple[str, bool, _Element]]], list[_Element]]:
+    """The blocks of a page, as pieces of text (whether in a link, element), and all elements, parents first."""
+    root = _Element("", None, False)
+    stack, elements, blocks = [root], [root], [[]]
+    links, at = False, 0
     while True:
         match = _TAG.search(page, at)
         piece = page[at : match.start()] if match else page[at:]
         if piece:
-            text.append(piece)
-            if links:
-                linked += len(piece.strip())
+            blocks[-1].append((piece, links, stack[-1]))
         if not match:
-            break
+            return blocks, elements
         at = match.end()
         closing, name, attributes = match.group(1), match.group(2), match.group(3)
         if name is None:
@@ -113,24 +161,69 @@ def lines(page: str) -> Iterator[tuple[str, int, bool, bool]]:
             end = _ENDS[name].search(page, at)
             at = end.end() if end else len(page)
             continue
-        if name not in _INLINE:
-            yield from block()
+        if name not in _INLINE and blocks[-1]:
+            blocks.append([])
+        empty = not closing and attributes.endswith("/") and not _BARE_END.search(attributes)
         if name == "a":
-            links = 0 if closing else 1
-        if name in _VOID:
+            links = not closing and not empty
+        if closing:
+            _close(stack, name)
             continue
-        if noise:
-            if name == noise_name:
-                inner += -1 if closing else 1
-                noise = int(inner > 0)
+        _open(stack, name)
+        if name in _VOID or empty:
             continue
-        if not closing and _is_noise(name, attributes, articles > 0):
-            if name in _INLINE:
-                yield from block()
-            noise, noise_name, inner = 1, name, 1
-        elif name in ("article", "main"):
-            articles = max(0, articles - 1) if closing else articles + 1
-    yield from block()
+        element = _Element(name, stack[-1], _is_noise(name, attributes, stack[-1].articles > 0))
+        stack.append(element)
+        elements.append(element)
+
+
+def _settle(elements: list[_Element]) -> None:
+    """Lets noise reach what is inside it, but never the marked article.
+
+    An outermost article is not noise, nor is what holds it; only where another stands outside all noise may one that
+    stands inside noise (a teaser, a comment) go with it. The same holds for ``main``, which always stays.
+    """
+    outer, clean = [], False
+    for e in elements:
+        if e.name == "main" or e.name == "article" and not _within(e, "article"):
+            e.noise = False
+            above, noisy = e.parent, False
+            while above:
+                noisy, above = noisy or above.noise, above.parent
+            outer.append((e, noisy))
+            clean |= e.name == "article" and not noisy
+    for e, noisy in outer:
+        if noisy and (e.name == "main" or not clean):
+            above = e.parent
+            while above:
+                above.noise, above = False, above.parent
+    for e in elements[1:]:
+        e.noise |= e.parent.noise
+
+
+def _within(element: _Element, name: str) -> bool:
+    above = element.parent
+    while above and above.articles:
+        if above.name == name:
+            return True
+        above = above.parent
+    return False
+
+
+def lines(page: str) -> Iterator[tuple[str, int, bool, bool]]:
+    """The blocks of a page: text, characters inside links, whether in a noise element, whether in a marked article.
+
+    Noise within a line of text is a line of its own after it.
+    """
+    blocks, elements = _parse(page)
+    _settle(elements)
+    for block in blocks:
+        for noisy in (False, True):
+            pieces = [x for x in block if x[2].noise == noisy]
+            line = _SPACE.sub(" ", html.unescape("".join(text for text, *_ in pieces))).strip()
+            if line:
+                linked = sum(len(text.strip()) for text, link, _ in pieces if link)
+                yield line, linked, noisy, any(e.articles for _, _, e in pieces)
 
 
 def spans(lengths: np.ndarray, window: int = WINDOW) -> list[tuple[int, int, int]]:

@@ -80,3 +80,22 @@ def test_attributes_that_are_no_noise(attributes):
 @pytest.mark.parametrize("attributes", ["hidden", "class='a hidden' hidden=''", "class=site-footer", "class='x post-comments'", "id=comments", "aria-hidden=true"])
 def test_attributes_that_are_noise(attributes):
     assert main_text(page(f"<article><p>x</p><div {attributes}><p>y</p></div></article>")) == "x"
+
+
+@pytest.mark.parametrize(
+    ("body", "want"),
+    [
+        ("<article><p class=notice>x<p>text</article>", "text"),
+        ("<article><ul><li class=share>a<li>b</ul><p>c</article>", "b\nc"),
+        ("<article><svg class=icon/><math/><p>text</p></article>", "text"),
+        ("<article><div><section class=ad>x</div><p>text</p></article>", "text"),
+        ("<article><table><tr class=ad><td>x<tr><td>y</table><dl><dt class=ad>s<dd>t</dl></article>", "y\nt"),
+        ("<article><div class=ad><p>x</div>y<p>read <span class=share>tweet</span> more</article>", "y\nread more"),
+        ("<article class='post sidebar'><p>text</p></article>", "text"),
+        ("<div class=widget><article><p>text</p></article></div>", "text"),
+        ("<article><p>text</p></article><section id=comments><article><p>first</p></article></section>", "text"),
+        ("<div class=banner><main><p>text</p></main></div>", "text"),
+    ],
+)
+def test_noise_ends_and_spares_the_article(body, want):
+    assert main_text(page(body)) == want
