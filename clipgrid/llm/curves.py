@@ -7,8 +7,10 @@ that of a query in any order is a candidate: queries are sent to the blocks of r
 each block hands on its nearest by exact cosine.
 
 *Size.* Equal vectors are one row that keeps only as many of the smallest ids as can ever be returned, so any number of
-copies costs nothing. Blocks hold ranks, not keys, so their size is fixed however the keys cluster. A window is the
-larger of ``LEAST`` ranks and a share of all ranks; see the README for the recall that goes with it.
+copies costs nothing. Blocks hold ranks, not keys, and at most ``BLOCK`` of them, however the keys cluster and however
+large the table is: more rows make more blocks, and a query goes to every block that its window touches. A task holds one
+block at a time; its queries pass by in batches. A window is the larger of ``LEAST`` ranks and a share of all ranks; see the
+README for the recall that goes with it.
 
 Vectors that are null, empty, zero, or hold a null or non-finite component, or whose vec_id is null, take no part. Vectors
 of another length than most take no part in distances to those: they are searched among their own kind. Repeated rows
@@ -25,11 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clipgrid.llm.common import starts_of, whole_groups
+from clipgrid.llm.common import starts_of
 from clipgrid.llm.ranks import global_rank
 from clipgrid.session import cut_lineage
 
 DIMS, BITS, CURVES, SHARE, LEAST, SEED, NEAREST, EVERY = 8, 7, 32, 0.015, 256, 11, 5, 50
+#: Ranks that one block holds at most.
+BLOCK = 4096
+#: Cosines of a matrix product that differ by less may stand in the other order when they are computed exactly.
+NEARLY = 1e-9
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -130,6 +136,7 @@ def search(
     dims: int = DIMS,
     bits: int = BITS,
     seed: int = SEED,
+    most: int = BLOCK,
 ) -> DataFrame:
     """q, cid, score: the ``nearest`` classes that the windows of each class in ``asked`` (cid) hold, itself included."""
     placed = cut_lineage(placed_on_curves(classes, curves, dims, bits, seed))
@@ -137,51 +144,74 @@ def search(
     bounds = ranked.groupBy("curve").agg(F.min("rank").alias("_first"), F.count(F.lit(1)).alias("_n"))
     ranked = ranked.join(bounds, "curve").withColumn("rank", F.col("rank") - F.col("_first"))
     window = F.greatest(F.lit(least), F.ceil(F.col("_n") * share))
-    ranked = ranked.withColumn("window", window).withColumn("block", 2 * F.col("window") + 1)
-    ranked = cut_lineage(ranked.join(classes.select("cid", "v"), "cid").select("cid", "v", "curve", "rank", "window", "block"))
+    ranked = ranked.withColumn("window", window).withColumn("block", F.least(F.lit(most), 2 * F.col("window") + 1))
+    ranked = cut_lineage(ranked.join(classes.select("cid", "v"), "cid").select("cid", "v", "curve", "rank", "window", "block", F.col("_n").alias("n")))
     block = lambda r: F.floor(r / F.col("block"))
     own = ranked.select("cid", "v", "curve", "rank", "window", block(F.col("rank")).alias("at"), F.lit(False).alias("asks"))
-    reach = F.sequence(block(F.greatest(F.col("rank") - F.col("window"), F.lit(0))), block(F.col("rank") + F.col("window")))
+    last = F.least(F.col("rank") + F.col("window"), F.col("n") - 1)
+    reach = F.sequence(block(F.greatest(F.col("rank") - F.col("window"), F.lit(0))), block(last))
     queries = ranked.join(asked, "cid", "left_semi")
     queries = queries.select("cid", "v", "curve", "rank", "window", F.explode(reach).alias("at"), F.lit(True).alias("asks"))
     dealt = own.unionByName(queries).withColumn("task", F.shiftleft(F.col("curve"), 32) + F.col("at"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, "task", 10_000):
-            task, asks, cid, rank, window = (table.column(c).to_numpy() for c in ("task", "asks", "cid", "rank", "window"))
-            asks = asks.astype(bool)
-            begins = np.flatnonzero(starts_of(task))
-            lists = table.column("v").combine_chunks()
-            lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-            for a, b in zip(begins.tolist(), [*begins[1:].tolist(), len(task)], strict=True):
-                if not asks[a:b].any() or asks[a:b].all():
-                    continue
-                part = lists.slice(a, b - a)
-                v = part.flatten().to_numpy().reshape(b - a, -1)
-                for found in _nearest_in_block(v, asks[a:b], cid[a:b], rank[a:b], int(window[a]), nearest):
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["q", "cid", "score"])
-
-    near = dealt.repartition("task").sortWithinPartitions("task").mapInArrow(run, "q long, cid long, score double")
+        for found in _nearest_by_task(batches, nearest):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["q", "cid", "score"])
+
+    sorted_tasks = dealt.repartition("task").sortWithinPartitions("task", "asks")  # the rows of a block before its queries
+    near = sorted_tasks.mapInArrow(run, "q long, cid long, score double")
     best = near.groupBy("q", "cid").agg(F.max("score").alias("score"))
     order = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "cid"))
     return best.withColumn("_rank", order).where(F.col("_rank") <= nearest).drop("_rank")
 
 
-def _nearest_in_block(v, asks, cid, rank, window, nearest):
-    """The nearest candidates of each query of one block, by exact cosine among those within the window."""
-    unit = v / np.sqrt((v * v).sum(axis=1, keepdims=True))
-    asking, offered = np.flatnonzero(asks), np.flatnonzero(~asks)
-    for at in range(0, len(asking), 256):
-        q = asking[at : at + 256]
-        close = unit[q] @ unit[offered].T
-        close[np.abs(rank[q][:, None] - rank[offered][None, :]) > window] = -np.inf
-        take = min(nearest + 8, len(offered))  # spare ones, as these cosines are rounded in another way
-        columns = np.argpartition(-close, take - 1, axis=1)[:, :take]
-        i, j = np.repeat(np.arange(len(q)), take), columns.ravel()
-        good = close[i, j] > -np.inf
-        i, j = i[good], j[good]
-        score = cosine(v[q[i]], v[offered[j]])
-        yield cid[q[i]], cid[offered[j]], score
+def _nearest_by_task(batches: Iterator[pa.RecordBatch], nearest: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Passes the queries of each task by its block, which is held, in sorted batches where the block comes first."""
+    current, held, block = None, [], None
+    for batch in batches:
+        task, asks, cid, rank, window = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("task", "asks", "cid", "rank", "window"))
+        lists = batch.column(batch.schema.get_field_index("v"))
+        begins = np.flatnonzero(starts_of(task, asks.astype(bool)))
+        for a, b in zip(begins.tolist(), [*begins[1:].tolist(), len(task)], strict=True):
+            v = lists.slice(a, b - a).flatten().to_numpy().reshape(b - a, -1)
+            if task[a] != current:
+                current, held, block = task[a], [], None
+            if not asks[a]:
+                held.append((v, cid[a:b], rank[a:b]))
+                continue
+            if block is None and held:
+                block, held = tuple(np.concatenate(x) for x in zip(*held, strict=True)), []
+            if block is not None:
+                yield from _nearest_in_block(v, cid[a:b], rank[a:b], *block, int(window[a]), nearest)
+
+
+def _nearest_in_block(v, cid, rank, offered, ids, ranks, window, nearest):
+    """The nearest candidates of each query among the rows of a block within the window, by exact cosine and then by id."""
+    scale = lambda x: x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    others = scale(offered)
+    take = min(nearest, len(ids))
+    for at in range(0, len(cid), 256):
+        part = slice(at, at + 256)
+        close = scale(v[part]) @ others.T
+        close[np.abs(rank[part][:, None] - ranks[None, :]) > window] = -np.inf
+        least = np.partition(close, len(ids) - take, axis=1)[:, len(ids) - take]
+        picked = (close >= least[:, None] - NEARLY) & (close > -np.inf)  # these cosines are rounded in another way
+        found = []
+        for i in range(len(close)):
+            j, many = np.flatnonzero(picked[i]), take
+            while True:
+                score = cosine(v[at + i][None, :], offered[j])
+                order = np.lexsort((ids[j], -score))
+                once = np.sort(np.unique(ids[j[order]], return_index=True)[1])[:nearest]  # the best row of each id
+                if len(once) == nearest or many == len(ids):
+                    break
+                many = min(4 * many, len(ids))
+                j = np.flatnonzero((close[i] >= np.partition(close[i], len(ids) - many)[len(ids) - many] - NEARLY) & (close[i] > -np.inf))
+            first = order[once]
+            if len(first):
+                found.append((np.full(len(first), cid[at + i]), ids[j[first]], score[first]))
+        if found:
+            yield tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def nearest_neighbours(vectors: DataFrame, every: int = EVERY, nearest: int = NEAREST, vector: str = "embedding", **options: float) -> DataFrame:

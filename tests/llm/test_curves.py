@@ -74,3 +74,24 @@ def test_few_or_no_candidates(spark):
     assert search(spark, [(50, [1.0, 0.0]), (2, [1.0, 1.0])]) == brute([(50, [1.0, 0.0]), (2, [1.0, 1.0])])
     clash = spark.createDataFrame([(50, [1.0], "a", 1), (3, [2.0], "b", 2)], "vec_id long, embedding array<float>, v string, cid int")
     assert [(r.vec_id, r.score) for r in curves.nearest_neighbours(clash).collect()] == [(3, 1.0)]
+
+
+def test_small_blocks_find_what_windows_hold(spark):
+    rows = vectors(600)
+    assert search(spark, rows, least=700, most=16) == brute(rows)
+
+
+def test_blocks_stay_small(spark, monkeypatch):
+    """No block is larger than ``most``, though the window is."""
+    df = spark.createDataFrame([(i, v, 0) for i, v in vectors(400, 8)], SCHEMA)
+    sizes, real = [], curves._nearest_in_block
+    v = np.random.default_rng(1).standard_normal((8, 4))
+    near = lambda *x: sizes.append(len(x[4])) or real(*x)
+    monkeypatch.setattr(curves, "_nearest_in_block", near)
+    import pyarrow as pa
+
+    cells = [[7] * 8, [False] * 5 + [True] * 3, range(8), range(8), [9] * 8, v.tolist()]
+    batch = pa.RecordBatch.from_arrays([pa.array(list(c)) for c in cells], ["task", "asks", "cid", "rank", "window", "v"])
+    found = list(curves._nearest_by_task(iter([batch.slice(0, 3), batch.slice(3, 4), batch.slice(7)]), 2))
+    assert sizes == [5, 5] and sum(len(q) for q, *_ in found) == 6
+    assert curves.nearest_neighbours(df, least=300, most=32).count() == 40
