@@ -95,3 +95,9 @@ def test_blocks_stay_small(spark, monkeypatch):
     found = list(curves._nearest_by_task(iter([batch.slice(0, 3), batch.slice(3, 4), batch.slice(7)]), 2))
     assert sizes == [5, 5] and sum(len(q) for q, *_ in found) == 6
     assert curves.nearest_neighbours(df, least=300, most=32).count() == 40
+
+
+def test_ties_of_scaled_copies_go_to_the_smaller_id(spark):
+    rows = [(50, [1.0] * 8)] + [(i, [float(2 ** (i % 60))] * 8) for i in range(51, 111) if i != 100]
+    assert search(spark, rows, least=400) == brute(rows)
+    assert [i for i, _ in search(spark, rows, least=400)[50]] == [51, 52, 53, 54, 55]
