@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
-from conftest import pixels, rows
+from helpers import pixels, rows
 from pyspark.sql import functions as F
 
 from clipgrid.operators import overlap as O
