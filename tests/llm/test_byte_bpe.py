@@ -23,6 +23,7 @@ def reference():
 
 
 ENCODER = byte_bpe.Encoder(byte_bpe.default_vocabulary())
+PIECES = byte_bpe.token_bytes(byte_bpe.default_vocabulary())
 
 
 @settings(max_examples=300, deadline=None)
@@ -30,7 +31,7 @@ ENCODER = byte_bpe.Encoder(byte_bpe.default_vocabulary())
 def test_agrees_with_tiktoken(reference, text):
     ids = ENCODER.encode([text])[0].tolist()
     assert ids == reference.encode_ordinary(text)
-    assert b"".join(byte_bpe.token_bytes(byte_bpe.default_vocabulary())[i] for i in ids) == text.encode()
+    assert b"".join(PIECES[i] for i in ids) == text.encode()
 
 
 def test_agrees_over_the_first_characters(reference):
@@ -51,7 +52,7 @@ def test_forgets_when_full(monkeypatch, reference):
 def test_offsets_of_split_characters(documents):
     text = "aé日😀 b"
     row = byte_bpe.encode(documents([(1, text)]), ["doc_id"], with_offsets=True).first()
-    pieces = [byte_bpe.token_bytes(byte_bpe.default_vocabulary())[i] for i in row.ids]
+    pieces = [PIECES[i] for i in row.ids]
     assert row.byte_starts == np.cumsum([0, *map(len, pieces)])[:-1].tolist()
     characters = [len(text.encode()[:b].decode("utf-8", "ignore")) for b in row.byte_starts]
     assert row.char_starts == characters and len(row.ids) > len({*characters})
