@@ -100,7 +100,7 @@ def usable(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
 
 def classes_of(rows: DataFrame, ids: int) -> DataFrame:
     """One row per distinct vector: v, the smallest ids, and the smallest as cid. Spark limits the ids before it shuffles."""
-    rank = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
+    rank = F.dense_rank().over(Window.partitionBy("v").orderBy("vec_id"))  # repeated rows do not use up the ids
     few = rows.withColumn("_rank", rank).where(F.col("_rank") <= ids)
     found = few.groupBy("v").agg(F.sort_array(F.collect_set("vec_id")).alias("ids"))
     return found.withColumn("cid", F.get("ids", F.lit(0)))

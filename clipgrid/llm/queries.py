@@ -6,7 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clipgrid.llm import byte_bpe, curves, lang_id, line_blocks, mixing, resampling, simhash, suffix_dedup, warc, weak_rules
+from clipgrid.llm import (
+    byte_bpe,
+    curves,
+    inner_products,
+    lang_id,
+    line_blocks,
+    mixing,
+    resampling,
+    simhash,
+    suffix_dedup,
+    turn_repair,
+    warc,
+    weak_rules,
+)
 from clipgrid.llm.common import table
 
 
@@ -50,6 +63,14 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     return lang_id.identify(table(spark, folder, "documents"))
 
 
+def op11_turn_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return turn_repair.repair(table(spark, folder, "conversations"))
+
+
+def op13_inner_products(spark: SparkSession, folder: str) -> DataFrame:
+    return inner_products.top_products(table(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -63,6 +84,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_line_blocks,
         op9_byte_bpe,
         op10_language,
+        op11_turn_repair,
+        op13_inner_products,
     )
 }
-SQL: dict[str, str] = {"op4_weak_rules": weak_rules.verdicts_sql(), "op7_mixing": mixing.MIX_SQL}
+SQL: dict[str, str] = {"op4_weak_rules": weak_rules.verdicts_sql(), "op7_mixing": mixing.MIX_SQL, "op13_inner_products": inner_products.SQL}

@@ -101,3 +101,9 @@ def test_ties_of_scaled_copies_go_to_the_smaller_id(spark):
     rows = [(50, [1.0] * 8)] + [(i, [float(2 ** (i % 60))] * 8) for i in range(51, 111) if i != 100]
     assert search(spark, rows, least=400) == brute(rows)
     assert [i for i, _ in search(spark, rows, least=400)[50]] == [51, 52, 53, 54, 55]
+
+
+def test_repeated_rows_do_not_hide_other_copies(spark):
+    v = vectors(3)
+    rows = [*v, *[(50, v[1][1])] * 30, *[(51 + i, v[1][1]) for i in range(8)]]
+    assert search(spark, rows) == brute(rows)
