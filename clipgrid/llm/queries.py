@@ -15,6 +15,7 @@ from clipgrid.llm import (
     mixing,
     resampling,
     simhash,
+    spelling,
     suffix_dedup,
     turn_repair,
     warc,
@@ -67,6 +68,10 @@ def op11_turn_repair(spark: SparkSession, folder: str) -> DataFrame:
     return turn_repair.repair(table(spark, folder, "conversations"))
 
 
+def op12_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(table(spark, folder, "documents"))
+
+
 def op13_inner_products(spark: SparkSession, folder: str) -> DataFrame:
     return inner_products.top_products(table(spark, folder, "embeddings"))
 
@@ -85,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_byte_bpe,
         op10_language,
         op11_turn_repair,
+        op12_spelling,
         op13_inner_products,
     )
 }
