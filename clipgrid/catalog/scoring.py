@@ -16,7 +16,7 @@ from clipgrid.plans.grounding import ground
 from clipgrid.plans.keyframes import find_key_frames, score_frames
 from clipgrid.plans.propagation import propagate
 from clipgrid.session import shared_folder
-from clipgrid.streaming.incremental import run_incremental
+from clipgrid.streaming.incremental import current_rows, run_incremental, run_stateful
 
 CASES: dict[str, Case] = {}
 
@@ -367,3 +367,48 @@ def incremental(spark, folder):
         F.max_by("key_frame_idx", rank).alias("key_frame_idx"),
         F.round(F.max("max_similarity"), 6).alias("max_similarity"),
     )
+
+
+#: Days of a month that arrive together, and files of a batch.
+_ARRIVALS, _BATCH_FILES = ((1, 10), (11, 20), (21, 31)), 4
+
+
+@register(
+    CASES,
+    """
+    SELECT arrival, user_id, count(*) AS num_frames, arg_max(event_id, (value, -event_id)) AS key_frame_idx,
+      round(max(value), 6) AS max_similarity, round(sum(value), 2) AS sum_similarity
+    FROM events JOIN (SELECT unnest([0, 1, 2]) AS arrival, unnest([10, 20, 31]) AS last) ON day(ts) <= last
+    GROUP BY arrival, user_id
+    """,
+)
+def incremental_state(spark, folder):
+    """Events arrive as one file per day, in three turns of several batches; after each turn: all clips over all files so far."""
+    run = shared_folder(spark, "incremental")
+    days = table(spark, folder, "events").select("user_id", "event_id", "value", F.dayofmonth("ts").alias("day"))
+    schema = days.drop("day").schema
+
+    def summarise(events):
+        scores = events.select("user_id", F.col("event_id").alias("sample_idx"), F.col("value").alias("score"))
+        return pick_key_frames(scores, ["user_id"], carry=())
+
+    turns = []
+    for turn, (first, last) in enumerate(_ARRIVALS):
+        new = days.filter(F.col("day").between(first, last)).repartition("day")
+        new.write.mode("append").partitionBy("day").parquet(f"{run}/in")
+        batches = run_stateful(
+            spark, f"{run}/in/*", schema, summarise, f"{run}/out", f"{run}/state", fmt="parquet", max_files=_BATCH_FILES
+        )
+        turns.append((turn, batches[-1]))
+    totals = None
+    for turn, upto in turns:
+        part = current_rows(spark, f"{run}/out", ["user_id"], upto).select(
+            F.lit(turn).alias("arrival"),
+            "user_id",
+            F.col("num_sampled_frames").alias("num_frames"),
+            "key_frame_idx",
+            F.round("max_similarity", 6).alias("max_similarity"),
+            F.round(F.col("mean_similarity") * F.col("num_sampled_frames"), 2).alias("sum_similarity"),
+        )
+        totals = part if totals is None else totals.unionByName(part)
+    return totals

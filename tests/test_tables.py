@@ -13,14 +13,14 @@ from pyspark.sql import types as T
 from clipgrid import sinks
 from clipgrid.operators import resume as W
 from clipgrid.operators.joins import attach_existing, filter_existing, lookup_fps
-from clipgrid.operators.sampling import number_sentences
+from clipgrid.operators.sampling import number_sentences, pick_key_frames
 from clipgrid.schemas import ANNOTATION_STRINGS, ANNOTATION_STRUCTS, GROUNDING, KEY_FRAME, MASK_FRAMES, MASK_SPANS
 from clipgrid.session import cut_lineage, ensure_checkpoint_dir
 from clipgrid.sources import annotations as N
 from clipgrid.sources import media as M
 from clipgrid.sources import records as R
 from clipgrid.sources import tubes as TB
-from clipgrid.streaming.incremental import run_incremental
+from clipgrid.streaming.incremental import current_rows, run_incremental, run_stateful
 
 
 def write(path, content):
@@ -339,6 +339,49 @@ def test_incremental_runs_see_each_file_once(spark, tmp_path):
     assert rows(spark.read.parquet(out).select("vid", "twice")) == [("a", 2), ("b", 4), ("c", 6), ("d", 8)]
 
 
+def _totals(events):
+    """Per clip: number of samples, best score, and the first sample that has it."""
+    found = {}
+    for vid, sample, score in events:
+        found.setdefault(vid, []).append((score, -sample))
+    return sorted((vid, len(own), max(own)[0], -max(own)[1]) for vid, own in found.items())
+
+
+def test_totals_live_across_batches_and_a_repeated_batch_changes_nothing(spark, tmp_path):
+    schema = "vid string, sample_idx long, score double"
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    waves = [
+        [[("a", 1, 0.5), ("b", 2, 0.1)], [("a", 3, 0.5)]],
+        [[("a", 0, 0.5), ("c", 4, 0.9)], [("b", 5, 0.7)], [("b", 6, 0.2)]],
+        [[("c", 7, 1.0)]],
+    ]
+
+    def run():
+        return run_stateful(spark, source, schema, lambda s: pick_key_frames(s, carry=()), out, state, max_files=1)
+
+    def seen(upto=None):
+        found = current_rows(spark, out, ["vid"], upto)
+        return rows(found.select("vid", "num_sampled_frames", "max_similarity", "key_frame_idx"))
+
+    so_far, batch, history = [], -1, []
+    for w, wave in enumerate(waves):
+        for f, events in enumerate(wave):
+            write(tmp_path / f"in/{w}{f}.json", "\n".join(json.dumps(dict(zip(("vid", "sample_idx", "score"), e, strict=True))) for e in events))
+        before = batch
+        ran = run()
+        so_far += [e for events in wave for e in events]
+        batch = ran[-1]
+        assert len(ran) >= len(wave) and ran[0] == before + 1
+        assert seen() == _totals(so_far)
+        history.append((batch, _totals(so_far)))
+    assert all(seen(upto) == want for upto, want in history)
+    assert run() == []
+    for f in (tmp_path / f"state/commits/{batch}", tmp_path / f"state/commits/.{batch}.crc"):
+        f.unlink(missing_ok=True)  # as if the job had been lost after it wrote its rows
+    assert batch in run()
+    assert seen() == _totals(so_far)
+
+
 def test_cut_lineage_keeps_rows(spark):
     df = spark.range(10).withColumn("x", F.col("id") * 2)
     cut = cut_lineage(df)
