@@ -248,9 +248,9 @@ def top_products(vectors: DataFrame, every: int = EVERY, nearest: int = NEAREST,
 
 SQL = f"""
 WITH whole AS (
-  SELECT DISTINCT vec_id, list_transform(embedding, x -> floor({SCALE} * CAST(x AS DOUBLE))) AS v
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor({SCALE} * CAST(x AS DOUBLE))) AS v
   FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ),
 pairs AS (
   SELECT q.vec_id AS query_id, q.v AS q, c.vec_id AS vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
