@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from clipgrid.catalog.base import Case, register, table
 from clipgrid.operators.joins import lookup_fps
 from clipgrid.operators.report import caption_types as distinct_types
+from clipgrid.operators.sampling import number_sentences
+from clipgrid.session import shared_folder
+from clipgrid.sinks.tables import write_json_arrays
 from clipgrid.sources import annotations as N
 from clipgrid.sources import media as M
 from clipgrid.sources import records as R
 from clipgrid.sources import tubes as T
 
 CASES: dict[str, Case] = {}
+#: Bytes of a range in the query that reads arrays in ranges; small, so that even the smallest tables have many.
+_RANGE = 1 << 16
 
 
 def _conversation_annotations(spark, folder):
@@ -86,6 +92,28 @@ def caption_filters(spark, folder):
     return result
 
 
+@register(
+    CASES,
+    """
+    SELECT 'c' || conv_id AS vid, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS sentence_index, turn AS place,
+      text AS text_query, nullif(role, 'system') AS caption_type, role = 'user' AS is_interrogative FROM conversations
+    """,
+)
+def annotation_ranges(spark, folder):
+    """Annotations written as JSON arrays and read back in byte ranges far smaller than a file, numbered in input order."""
+    path = shared_folder(spark, "annotations")
+    rows = _conversation_annotations(spark, folder).withColumn("conv", F.substring("vid", 2, 20).cast("long"))
+    rows = rows.repartitionByRange(3, "conv", "ann_pos").sortWithinPartitions("conv", "ann_pos")
+    write_json_arrays(rows.drop("conv").withColumnRenamed("ann_pos", "place"), path)
+    session = spark.newSession()
+    session.conf.set("spark.sql.files.maxPartitionBytes", str(_RANGE))
+    sentence = T_.ArrayType(T_.StructType.fromDDL("description string, type string, target_id string"))
+    schema = T_.StructType.fromDDL("vid string, place long, temporal_gt map<string,string>, used_relation string, used_segment string")
+    found = N.struct_captions(N.read_annotations(session, path, schema.add("captions", sentence).add("questions", sentence)))
+    numbered = number_sentences(found)
+    return numbered.select("vid", F.col("sentence_index").cast("long").alias("sentence_index"), "place", "text_query", "caption_type", "is_interrogative")
+
+
 @register(
     CASES,
     f"WITH {_CAPTIONS} SELECT coalesce(caption_type, 'None') AS caption_type, count(*) AS num_captions FROM captions GROUP BY ALL",

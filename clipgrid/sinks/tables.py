@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -148,3 +148,20 @@ def run_summaries(key_frames: DataFrame, masks: DataFrame, outcomes: DataFrame)
         "error_message",
     )
     return rows.select("vid", F.to_json(body, {"ignoreNullFields": "false"}).alias("summary"))
+
+
+def write_json_arrays(rows: DataFrame, path: str, mode: str = "append") -> None:
+    """One JSON array per partition, in its order."""
+    import pyarrow as pa
+
+    def framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead = "["
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            if texts:
+                framed_texts = [lead + texts[0], *("," + t for t in texts[1:])]
+                lead = ","
+                yield pa.RecordBatch.from_arrays([pa.array(framed_texts, pa.string())], ["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["]" if lead == "," else "[]"])], ["value"])
+
+    rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).mapInArrow(framed, "value string").write.mode(mode).text(path)

@@ -11,16 +11,19 @@ from pyspark.sql import types as T
 from clipgrid.functions.names import file_stem
 from clipgrid.functions.text import is_blank
 from clipgrid.operators.sampling import SOURCE_FPS
+from clipgrid.sources.json_ranges import json_elements
 
 
 def read_annotations(spark: SparkSession, path: str, schema: T.StructType, lines: bool = False) -> DataFrame:
     """List-form annotations with their position in the input.
 
-    A file holding one JSON array is parsed by one task; large inputs come as one object per line (``lines``), which
-    splits. Rows are ordered by file, block and position.
+    Files hold one JSON array each, of any size: byte ranges are parsed side by side. With ``lines`` they hold one object per
+    line. Rows are ordered by file, block and position.
     """
-    rows = spark.read.schema(schema).option("multiLine", not lines).json(path)
-    return rows.select(
+    if not lines:
+        elements = json_elements(spark, path).select(F.from_json("text", schema).alias("_row"), "file", "number")
+        return elements.select("_row.*", F.col("file").alias("ann_file"), F.lit(0).cast("long").alias("ann_block"), F.col("number").alias("ann_pos"))
+    return spark.read.schema(schema).json(path).select(
         "*",
         F.col("_metadata.file_path").alias("ann_file"),
         F.col("_metadata.file_block_start").alias("ann_block"),
@@ -29,8 +32,10 @@ def read_annotations(spark: SparkSession, path: str, schema: T.StructType, lines
 
 
 def read_annotation_map(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """Map-form annotations as raw JSON text in ``json``; one map per file, or one per line."""
-    return spark.read.option("wholetext", not lines).text(path).select(F.col("value").alias("json"))
+    """Map-form annotations as raw JSON text in ``json``: one small map per entry of a file, or per line (``lines``)."""
+    if lines:
+        return spark.read.text(path).select(F.col("value").alias("json"))
+    return json_elements(spark, path).select(F.concat(F.lit("{"), "text", F.lit("}")).alias("json"))
 
 
 def _carried(annotations: DataFrame) -> list[str]:
