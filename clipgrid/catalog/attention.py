@@ -48,26 +48,26 @@ def map_normalise(spark, folder):
 _LAYERS = f"""
 {DENSE_MAPS},
 layers AS (SELECT 'c' || label AS vid, vec_id % 4 AS layer, y, x, avg(w) AS w FROM maps GROUP BY ALL),
-full_clips AS (SELECT vid FROM layers GROUP BY vid HAVING count(DISTINCT layer) = 4),
+found AS (SELECT vid, count(DISTINCT layer) AS layers FROM layers GROUP BY vid),
 scaled AS (SELECT *, CASE WHEN high - low > 1e-8 THEN (w - low) / (high - low) ELSE 0 END AS s
   FROM (SELECT *, min(w) OVER (PARTITION BY vid, layer) AS low, max(w) OVER (PARTITION BY vid, layer) AS high
-        FROM layers WHERE vid IN (FROM full_clips))),
-fused AS (SELECT vid, y, x, sum(s * [0.1, 0.2, 0.3, 0.4][layer + 1]::DOUBLE) AS w FROM scaled GROUP BY ALL)"""
+        FROM layers)),
+fused AS (SELECT vid, y, x, CASE WHEN layers = 4 THEN sum(s * [0.1, 0.2, 0.3, 0.4][layer + 1]::DOUBLE) END AS w
+  FROM scaled JOIN found USING (vid) GROUP BY vid, y, x, layers)"""
 
 
 def _layers(spark, folder):
-    layers = (
+    """Some labels have vectors of fewer than four layers; those clips stay and come out without values."""
+    return (
         dense_maps(spark, folder)
         .groupBy(F.concat(F.lit("c"), "label").alias("vid"), (F.col("vec_id") % 4).alias("layer"), "y", "x")
         .agg(F.avg("w").alias("w"))
     )
-    complete = layers.groupBy("vid").agg(F.countDistinct("layer").alias("n")).filter("n = 4")
-    return layers.join(complete.select("vid"), "vid", "left_semi")
 
 
 @register(CASES, f"WITH {_LAYERS} SELECT vid, y, x, round(w, 6) AS w FROM fused")
 def attention_fuse(spark, folder):
-    fused = A.fuse_layers(_layers(spark, folder), [0, 1, 2, 3], [1, 2, 3, 4])
+    fused = A.fuse_layers(_layers(spark, folder), [0, 1, 2, 3], [1, 2, 3, 4], incomplete="null")
     return fused.withColumn("w", F.round("w", 6))
 
 
@@ -79,11 +79,14 @@ def attention_fuse(spark, folder):
     kept AS (SELECT vid, y, x FROM norm WHERE CASE WHEN high - low > 1e-8 THEN (w - low) / (high - low) ELSE 0 END >= 0.4)
     SELECT vid, y, min(x) AS x0, max(x) + 1 AS x1
     FROM (SELECT *, x - row_number() OVER (PARTITION BY vid, y ORDER BY x) AS g FROM kept) GROUP BY vid, y, g
+    UNION ALL SELECT vid, NULL, NULL, NULL FROM found WHERE layers < 4
     """,
 )
 def threshold_runs(spark, folder):
-    fused = A.fuse_layers(_layers(spark, folder), [0, 1, 2, 3], [1, 2, 3, 4])
-    return A.threshold_runs(fused, 0.4)
+    """Clips without a fused map are rows without a run."""
+    fused = A.fuse_layers(_layers(spark, folder), [0, 1, 2, 3], [1, 2, 3, 4], incomplete="null")
+    none = fused.groupBy("vid").agg(F.count("w").alias("n")).filter("n = 0").select("vid")
+    return A.threshold_runs(fused, 0.4).unionByName(none, allowMissingColumns=True)
 
 
 _PREFIX = f"""

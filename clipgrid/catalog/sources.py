@@ -482,6 +482,32 @@ def tube_state(spark, folder):
     return T.attach_tube_sets(clips, sets, frames).select("o_orderkey", "tube_state")
 
 
+@register(
+    CASES,
+    f"""
+    WITH {_SETS}
+    SELECT o_orderkey, CASE WHEN s.set_id IS NULL THEN 'not_found' WHEN o_orderkey % 2 = 0 THEN 'tubes' WHEN coalesce(num_tubes, 0) = 0 THEN 'zero'
+      ELSE 'tubes' END AS tube_state, CASE WHEN o_orderkey % 2 = 0 THEN -s.set_id ELSE s.set_id END AS set_id
+    FROM orders o LEFT JOIN sets s ON s.base_vid = 'o' || o_orderkey AND s.video_path = 'y.mp4' AND s.prompt = o_orderpriority
+    """,
+)
+def tube_state_rerun(spark, folder):
+    """Sets of even orders were computed anew under another set_id; the last run counts, and no clip comes twice."""
+    k = F.col("o_orderkey")
+    orders = table(spark, folder, "orders")
+    clips = orders.select("o_orderkey", F.concat(F.lit("o"), k).alias("base_vid"), F.col("o_orderpriority").alias("prompt"), F.lit("y.mp4").alias("video_path"))
+    first = orders.filter("o_orderkey % 5 > 0").select(
+        k.alias("set_id"),
+        F.concat(F.lit("o"), k).alias("base_vid"),
+        F.col("o_orderpriority").alias("prompt"),
+        F.when(k % 3 == 0, "x.mp4").otherwise("y.mp4").alias("video_path"),
+        F.when(k % 4 == 0, 0).when(k % 4 > 1, 3).alias("num_tubes"),
+        F.lit(1).alias("run"),
+    )
+    again = first.filter("set_id % 2 = 0").withColumns({"set_id": -F.col("set_id"), "num_tubes": F.lit(5), "run": F.lit(2)})
+    return T.attach_tube_sets(clips, first.unionByName(again)).select("o_orderkey", "tube_state", "set_id")
+
+
 @register(
     CASES,
     """

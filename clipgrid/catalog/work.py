@@ -222,35 +222,23 @@ def limit_before_after(spark, folder):
 @register(
     CASES,
     """
-    SELECT count(*) AS total, count(DISTINCT o_orderkey) AS clips, TRUE AS sizes_ok, TRUE AS dense FROM orders
+    WITH counts AS (SELECT o_custkey % 8 AS bucket, count(*) AS total FROM orders GROUP BY ALL),
+    batches AS (SELECT bucket, total, unnest(range((total + 31) // 32)) AS batch_id FROM counts)
+    SELECT bucket, batch_id, least(32, total - 32 * batch_id) AS size, least(32, total - 32 * batch_id) AS clips FROM batches
     """,
 )
 def request_batches(spark, folder):
     """Batches are full except the last of a bucket, and their numbers have no gaps."""
-    rows = table(spark, folder, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("vid"))
-    batched = W.request_batches(rows, 32, buckets=8)
-    sizes = batched.groupBy("bucket", "batch_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("vid").alias("v"))
-    buckets = sizes.groupBy("bucket").agg(
-        F.sum("n").alias("total"),
-        F.sum("v").alias("clips"),
-        F.count(F.lit(1)).alias("batches"),
-        F.max("batch_id").alias("last"),
-        F.max("n").alias("largest"),
-    )
-    full = F.ceil(F.col("total") / 32) == F.col("batches")
-    return buckets.agg(
-        F.sum("total").alias("total"),
-        F.sum("clips").alias("clips"),
-        F.bool_and(full & (F.col("largest") <= 32)).alias("sizes_ok"),
-        F.bool_and(F.col("last") == F.col("batches") - 1).alias("dense"),
-    )
+    rows = table(spark, folder, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("vid"), "o_custkey")
+    batched = W.request_batches(rows, 32, bucket=F.col("o_custkey") % 8)
+    return batched.groupBy("bucket", "batch_id").agg(F.count(F.lit(1)).alias("size"), F.countDistinct("vid").alias("clips"))
 
 
 @register(
     CASES,
     f"""
     WITH {MASK_FRAMES},
-    counts AS (SELECT vid, count(*) - 1 AS n FROM mask_frames GROUP BY vid),
+    counts AS (SELECT vid, count(*) AS n FROM mask_frames GROUP BY vid),
     r AS (SELECT 'o' || o_orderkey AS vid, o_orderstatus = 'F' AS box_ok, o_orderkey % 3 = 0 AS tubes_ok, o_orderkey % 2 = 0 AS has_box,
       CASE WHEN o_orderkey % 4 = 0 THEN 1 END AS tube FROM orders),
     m AS (SELECT r.*, coalesce(n, 0) AS masks, CASE WHEN box_ok AND tubes_ok THEN CASE WHEN tube IS NULL AND has_box THEN 'box_propagation' ELSE 'tube_selection' END
@@ -276,7 +264,7 @@ def _outcomes(spark, folder):
         "o_orderpriority",
     )
     method = U.propagation_method(F.col("box_ok"), F.col("has_box"), F.col("tubes_ok"), F.col("tube"))
-    return U.outcome_rows(clips.withColumn("method", method), mask_frames(spark, folder).filter("tube_id < 9"))
+    return U.outcome_rows(clips.withColumn("method", method), mask_frames(spark, folder))
 
 
 @register(

@@ -65,12 +65,19 @@ def to_grid(vectors: DataFrame, counts: DataFrame, keys: Sequence[str] = ("vid",
 
 
 def fuse_layers(
-    maps: DataFrame, layers: Sequence[int], weights: Sequence[float], keys: Sequence[str] = ("vid",)
+    maps: DataFrame,
+    layers: Sequence[int],
+    weights: Sequence[float],
+    keys: Sequence[str] = ("vid",),
+    incomplete: str = "fail",
 ) -> DataFrame:
     """Weighted sum of the min-max scaled maps of all layers, weights scaled to sum 1.
 
-    Fails when a clip does not have exactly the given layers. The weights are configuration and travel as a literal.
+    Fails when a clip does not have exactly the given layers; with ``incomplete="null"`` its cells are null instead. The
+    weights are configuration and travel as a literal.
     """
+    if incomplete not in ("fail", "null"):
+        raise ValueError(f"unknown treatment {incomplete!r} of incomplete clips")
     if not 0 < len(layers) == len(weights):
         raise ValueError(f"{len(weights)} weights for {len(layers)} layers")
     total = float(sum(weights))
@@ -84,7 +91,8 @@ def fuse_layers(
     rows = maps.repartition(*key).withColumns(
         {"_low": F.min("w").over(layer), "_high": F.max("w").over(layer), "_wrong": wrong, "_weight": weight}
     )
-    checked = F.when(F.col("_wrong"), F.raise_error(F.lit("layers of a clip do not match the weights"))).otherwise(F.col("_weight"))
+    failure = F.raise_error(F.lit("layers of a clip do not match the weights")) if incomplete == "fail" else F.lit(None).cast("double")
+    checked = F.when(F.col("_wrong"), failure).otherwise(F.col("_weight"))
     extent = F.col("_high") - F.col("_low")
     scaled = F.when(extent > 1e-8, (F.col("w") - F.col("_low")) / extent).otherwise(F.lit(0.0))
     return rows.groupBy(*key, "y", "x").agg(F.sum(checked * scaled).alias("w"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clipgrid.functions.names import base_vid, clip_idx
@@ -73,15 +73,15 @@ def drop_then_limit(
     return take_first(drop_by_status(clips, outcomes, retry_failed), limit, numeric=False)
 
 
-def request_batches(rows: DataFrame, size: int, buckets: int = 64, key: str = "vid") -> DataFrame:
+def request_batches(rows: DataFrame, size: int, buckets: int = 64, key: str = "vid", bucket: Column | None = None) -> DataFrame:
     """Number rows into batches of at most ``size`` per bucket: ``bucket``, ``batch_id``.
 
-    Order inside a bucket follows the hash of the key, whose leading bits cut it into small segments.
+    The bucket is a hash of the key, or a column of the caller (a device, a customer). Order inside a bucket follows the hash of the key, whose leading bits cut it into small segments.
     """
     if size < 1:
         raise ValueError("batch size must be positive")
     hashed = rows.withColumn("_hash", F.xxhash64(key)).withColumn(
-        "bucket", F.pmod(F.col("_hash"), F.lit(buckets)).cast("int")
+        "bucket", F.pmod(F.col("_hash"), F.lit(buckets)).cast("int") if bucket is None else bucket
     )
     segment = F.shiftright(F.col("_hash"), 48)
     numbered = number_rows(hashed, ["bucket"], [F.col("_hash"), F.col(key)], segment, "_n", start=0)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from clipgrid.operators.skew import SALTS, number_rows, unfold, with_group_stats
+from clipgrid.operators.skew import number_rows, unfold, with_group_stats
 
 SOURCE_FPS = 30.0
 TARGET_FPS = 3.0
@@ -100,7 +100,7 @@ def normalise_by_group(
     name: str,
     constant: float,
     spread: Sequence[str],
-    salts: int = SALTS,
+    salts: int | None = None,
 ) -> DataFrame:
     """Min-max scale ``value`` per group; a constant group gives ``constant`` (0.5 for scores, 0 for maps)."""
     stats = [F.min(value).alias("_low"), F.max(value).alias("_high")]

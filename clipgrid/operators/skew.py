@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Salts of a session that does not set ``spark.clipgrid.salts``.
 SALTS = 16
 BLOCK = 32768
 
@@ -36,6 +37,11 @@ def not_broadcast(rows: DataFrame) -> DataFrame:
     return rows.hint("merge")
 
 
+def session_salts(rows: DataFrame) -> int:
+    """Ways to split a hot key: about as many as the tasks that should share it, a setting of the session."""
+    return int(rows.sparkSession.conf.get("spark.clipgrid.salts", str(SALTS)))
+
+
 def hash_salt(spread: Sequence[str | Column], salts: int = SALTS) -> Column:
     """A salt computed from row content: a re-run task assigns the same salt again."""
     return F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
@@ -47,7 +53,7 @@ def join_by_group(
     keys: Sequence[str],
     spread: Sequence[str | Column],
     how: str = "inner",
-    salts: int = SALTS,
+    salts: int | None = None,
 ) -> DataFrame:
     """Join many rows per key with the few rows of that key in ``groups``.
 
@@ -58,6 +64,7 @@ def join_by_group(
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how!r}")
+    salts = session_salts(rows) if salts is None else salts
     if salts == 1:
         return rows.join(groups, list(keys), how)
     left = rows.withColumn("_salt", hash_salt(spread, salts))
@@ -70,7 +77,7 @@ def with_group_stats(
     keys: Sequence[str],
     stats: Sequence[Column],
     spread: Sequence[str | Column],
-    salts: int = SALTS,
+    salts: int | None = None,
 ) -> DataFrame:
     """Add per-key aggregates to every row (what an unordered window would do) without gathering a key.
 

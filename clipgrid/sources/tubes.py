@@ -9,11 +9,15 @@ from pyspark.sql import functions as F
 def attach_tube_sets(clips: DataFrame, tube_sets: DataFrame, tube_frames: DataFrame | None = None) -> DataFrame:
     """Tube state of every clip: ``not_found``, ``zero`` or ``tubes``.
 
-    A set belongs to a clip only if video, prompt and media path all match. A set that claims tubes but has no mask
-    counts as not found.
+    A set belongs to a clip only if video, prompt and media path all match. Of several sets with the same three the one of the
+    last run counts (column ``run``, if there is one), then that of the greatest ``set_id``. A set that claims tubes but has no
+    mask counts as not found.
     """
     key = ["base_vid", "prompt", "video_path"]
-    sets = tube_sets.select(*key, "set_id", F.coalesce("num_tubes", F.lit(0)).alias("num_tubes"))
+    age = F.coalesce("run", F.lit(-1)) if "run" in tube_sets.columns else F.lit(-1)
+    claim = F.struct("set_id", F.coalesce("num_tubes", F.lit(0)).alias("num_tubes"))
+    last = tube_sets.groupBy(*key).agg(F.max_by(claim, F.struct(age.alias("age"), "set_id")).alias("_set"))
+    sets = last.select(*key, "_set.*")
     if tube_frames is not None:  # before the clips, most of which may have no set
         have = tube_frames.groupBy("set_id").agg(F.lit(True).alias("_have"))
         sets = sets.join(have, "set_id", "left")
