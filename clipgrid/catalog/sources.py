@@ -15,6 +15,8 @@ from clipgrid.sources import annotations as N
 from clipgrid.sources import media as M
 from clipgrid.sources import records as R
 from clipgrid.sources import tubes as T
+from clipgrid.sources.headers import header_facts
+from clipgrid.sources.listing import walk_files
 
 CASES: dict[str, Case] = {}
 #: Bytes of a range in the query that reads arrays in ranges; small, so that even the smallest tables have many.
@@ -525,3 +527,63 @@ def tube_set_choice(spark, folder):
         F.col("c_custkey").alias("base_vid"), (-F.col("c_custkey")).alias("set_id"), F.lit(None).cast("string").alias("object_name")
     )
     return T.find_tube_set(named.unionByName(old)).select("base_vid", "set_id")
+
+
+def _hex(value, digits):
+    return F.lpad(F.hex(value), digits, "0")
+
+
+def _little(value, size):
+    return F.concat(*(_hex(F.shiftright(value, 8 * i).bitwiseAND(255), 2) for i in range(size)))
+
+
+def _headers(spark, folder):
+    """A part is a file: a picture, a video or a picture whose header is cut off; size, frames and rate come from its row."""
+    k, size = F.col("p_partkey"), F.col("p_size").cast("long")
+    w, h, frames = size * 16, k % 1000 + 1, k % 5000 + 1
+    text = lambda t: F.lit(t.encode().hex())
+    box = lambda name, length, *content: F.concat(_hex(F.lit(length), 8), text(name), *content)
+    zeros = lambda n: F.lit("00" * n)
+    png = F.concat(F.lit("89504E470D0A1A0A0000000D"), text("IHDR"), _hex(w, 8), _hex(h, 8), F.lit("0802000000"))
+    gif = F.concat(text("GIF89a"), _little(w, 2), _little(h, 2))
+    bmp = F.concat(text("BM"), zeros(12), _little(F.lit(40), 4), _little(w, 4), _little(h, 4))
+    entry = box("avc1", 36, zeros(24), _hex(w, 4), _hex(h, 4))
+    stbl = box("stbl", 84, box("stsd", 52, zeros(7), F.lit("01"), entry), box("stts", 24, zeros(7), F.lit("01"), _hex(frames, 8), _hex(F.lit(100), 8)))
+    times = box("mdhd", 32, zeros(12), _hex((size + 20) * 100, 8), _hex(frames * 100, 8), zeros(4))
+    mdia = box("mdia", 156, times, box("hdlr", 24, zeros(8), text("vide"), zeros(4)), box("minf", 92, stbl))
+    mp4 = F.concat(box("ftyp", 16, zeros(8)), box("moov", 172, box("trak", 164, mdia)))
+    kind = k % 5
+    data = F.when(kind == 0, png).when(kind == 1, gif).when(kind == 2, bmp).when(kind == 3, mp4).otherwise(F.substring(png, 1, 44))
+    return table(spark, folder, "part").select("p_partkey", F.unhex(data).alias("content"))
+
+
+@register(
+    CASES,
+    """
+    SELECT p_partkey, CASE p_partkey % 5 WHEN 1 THEN 'gif' WHEN 2 THEN 'bmp' WHEN 3 THEN 'mp4' ELSE 'png' END AS kind,
+      CASE WHEN p_partkey % 5 < 4 THEN p_size * 16 END AS width, CASE WHEN p_partkey % 5 < 4 THEN p_partkey % 1000 + 1 END AS height,
+      CASE p_partkey % 5 WHEN 3 THEN p_partkey % 5000 + 1 WHEN 4 THEN NULL ELSE 1 END AS num_frames,
+      CASE WHEN p_partkey % 5 = 3 THEN (20 + p_size)::DOUBLE END AS fps, p_partkey % 5 < 4 AS readable FROM part
+    """,
+)
+def media_headers(spark, folder):
+    return header_facts(_headers(spark, folder))
+
+
+@register(
+    CASES,
+    """
+    SELECT event_type || '/' || day(ts) AS place, 1 AS num_files FROM events GROUP BY event_type, day(ts)
+    UNION ALL SELECT 'types', count(DISTINCT event_type) FROM events
+    """,
+)
+def folder_walk(spark, folder):
+    """Events written by type and day into folders, and the folders listed by tasks."""
+    path = shared_folder(spark, "walk")
+    events = table(spark, folder, "events").select("event_type", F.dayofmonth("ts").alias("day"), "event_id")
+    events.repartition("event_type", "day").write.partitionBy("event_type", "day").parquet(path)
+    files = walk_files(spark, [path], ["*.parquet"])
+    place = F.regexp_extract("path", "event_type=([^/]+)/day=([^/]+)/[^/]+$", 1)
+    day = F.regexp_extract("path", "event_type=([^/]+)/day=([^/]+)/[^/]+$", 2)
+    counted = files.groupBy(F.concat(place, F.lit("/"), day).alias("place")).agg(F.count(F.lit(1)).alias("num_files"))
+    return counted.unionByName(files.agg(F.lit("types").alias("place"), F.countDistinct(place).alias("num_files")))

@@ -85,10 +85,10 @@ def scan_key_frames(
 
 
 def read_key_frames(spark: SparkSession, root: str, step: str = "stage1", limit: int | None = None) -> DataFrame:
-    from clipgrid.sources.media import list_files
+    from clipgrid.sources.listing import walk_files
 
     records = read_json_tree(spark, f"{root}/{step}", KEY_FRAME)
-    return scan_key_frames(records, list_files(spark, [f"{root}/{step}"]), step, limit)
+    return scan_key_frames(records, walk_files(spark, [f"{root}/{step}"]), step, limit)
 
 
 def preferred_records(

@@ -20,6 +20,7 @@ from clipgrid.sources import annotations as N
 from clipgrid.sources import media as M
 from clipgrid.sources import records as R
 from clipgrid.sources import tubes as TB
+from clipgrid.sources.listing import walk_files
 from clipgrid.streaming.incremental import current_rows, run_incremental, run_stateful
 
 
@@ -339,6 +340,21 @@ def test_incremental_runs_see_each_file_once(spark, tmp_path):
     assert rows(spark.read.parquet(out).select("vid", "twice")) == [("a", 2), ("b", 4), ("c", 6), ("d", 8)]
 
 
+def test_walk_lists_every_file_once(spark, tmp_path):
+    names = ["a.png", "deep/er/and/deeper/b.png", "deep/c.txt", "deep/er/empty.png", "sp ace/ü+%41.png", "other/_x.png", "_hidden/y.png", ".z/w.png"]
+    for root in ("one", "two"):
+        for n in names[: 8 if root == "one" else 3]:
+            write(tmp_path / root / n, "" if "empty" in n else n)
+    (tmp_path / "one/no/files").mkdir(parents=True)
+    roots = [str(tmp_path / r) for r in ("one", "two", "missing")]
+    found = rows(walk_files(spark, roots))
+    want = [(str(tmp_path / r / n), 0 if "empty" in n else len(n.encode()), i) for i, r in enumerate(("one", "two")) for n in names[: 5 if r == "one" else 3]]
+    assert found == sorted(want)
+    assert rows(walk_files(spark, [f"file://{r}/" for r in roots], ["*.txt"])) == [r for r in sorted(want) if r[0].endswith(".txt")]
+    listed = M.list_files(spark, roots[:2]).select("path", "length", "root_rank")
+    assert rows(listed) == [r for r in sorted(want) if r[1]]  # Spark's own listing leaves empty files out
+
+
 def _totals(events):
     """Per clip: number of samples, best score, and the first sample that has it."""
     found = {}
