@@ -24,9 +24,11 @@ from clipgrid.operators import chunks as K
 from clipgrid.operators import overlap as O
 from clipgrid.operators import spans as S
 from clipgrid.operators import tubes as T
+from clipgrid.operators.packed import pack_masks, packed_box_iou, packed_stats
 from clipgrid.operators.report import frames_per_tube as tube_frame_counts
 from clipgrid.operators.report import tubes_per_set as set_counts
-from clipgrid.sinks.tables import tube_set_tables
+from clipgrid.session import shared_folder
+from clipgrid.sinks.tables import tube_set_tables, write_packed_masks
 
 CASES: dict[str, Case] = {}
 
@@ -45,25 +47,15 @@ def mask_union(spark, folder):
     return runs(spark, folder)
 
 
-@register(
-    CASES,
-    f"""
+_AREAS = f"""
     WITH {PIXELS}, {MASK_FRAMES},
     sums AS (SELECT vid, tube_id, frame_idx, count(*) AS area, min(x) AS xmin, min(y) AS ymin, max(x) AS xmax, max(y) AS ymax
       FROM pixels GROUP BY ALL)
     SELECT f.vid, f.tube_id, f.frame_idx, coalesce(area, 0) AS area, round(coalesce(area, 0) * 100 / ({HEIGHT} * {WIDTH})::DOUBLE, 6) AS coverage,
       xmin, ymin, xmax, ymax
     FROM mask_frames f LEFT JOIN sums s ON f.vid = s.vid AND f.tube_id = s.tube_id AND f.frame_idx = s.frame_idx
-    """,
-)
-def mask_area_box(spark, folder):
-    stats = S.mask_stats(runs(spark, folder), mask_frames(spark, folder))
-    return stats.withColumn("coverage", F.round("coverage", 6))
-
-
-@register(
-    CASES,
-    f"""
+    """
+_IOUS = f"""
     WITH {PIXELS}, {MASK_FRAMES}, {KEY_BOXES},
     clamped AS (SELECT vid, frame_idx, greatest(0, least(xmin, {WIDTH} - 1)) AS x1, greatest(0, least(ymin, {HEIGHT} - 1)) AS y1,
       greatest(0, least(xmax, {WIDTH})) AS x2, greatest(0, least(ymax, {HEIGHT})) AS y2 FROM boxes),
@@ -74,14 +66,40 @@ def mask_area_box(spark, folder):
       round(CASE WHEN x2 <= x1 OR y2 <= y1 THEN 0 ELSE coalesce(inter, 0) / (coalesce(area, 0) + (x2 - x1) * (y2 - y1) - coalesce(inter, 0))::DOUBLE END, 6) AS iou
     FROM mask_frames f JOIN clamped b ON f.vid = b.vid AND f.frame_idx = b.frame_idx
     LEFT JOIN sums s ON f.vid = s.vid AND f.tube_id = s.tube_id AND f.frame_idx = s.frame_idx
-    """,
-)
+    """
+
+
+@register(CASES, _AREAS)
+def mask_area_box(spark, folder):
+    stats = S.mask_stats(runs(spark, folder), mask_frames(spark, folder))
+    return stats.withColumn("coverage", F.round("coverage", 6))
+
+
+@register(CASES, _IOUS)
 def mask_iou(spark, folder):
     boxes = key_boxes(spark, folder)
     scores = O.mask_box_iou(runs_at_boxes(spark, folder, boxes), mask_frames(spark, folder), boxes)
     return scores.select("vid", "tube_id", "frame_idx", "area", "inter", F.round("iou", 6).alias("iou"))
 
 
+def _packed(spark, folder):
+    """All masks packed, written and read back."""
+    path = shared_folder(spark, "packed")
+    write_packed_masks(pack_masks(runs(spark, folder), mask_frames(spark, folder)), path)
+    return spark.read.parquet(path)
+
+
+@register(CASES, _AREAS)
+def mask_area_packed(spark, folder):
+    return packed_stats(_packed(spark, folder)).withColumn("coverage", F.round("coverage", 6))
+
+
+@register(CASES, _IOUS)
+def mask_iou_packed(spark, folder):
+    scores = packed_box_iou(_packed(spark, folder), key_boxes(spark, folder))
+    return scores.select("vid", "tube_id", "frame_idx", "area", "inter", F.round("iou", 6).alias("iou"))
+
+
 _RATIOS = f"""
 {PIXELS}, {MASK_FRAMES}, {KEY_BOXES},
 clamped AS (SELECT vid, frame_idx, greatest(0, xmin) AS x1, greatest(0, ymin) AS y1, least({WIDTH}, xmax) AS x2,

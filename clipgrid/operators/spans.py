@@ -167,21 +167,49 @@ def resize_runs(spans: DataFrame, to_height: Column, to_width: Column, keys: Seq
     )
 
 
+#: Lines to either side that the first sweep of a growth takes at once.
+FIRST_REACH = 2
+
+
+def sweeps(radius: int) -> list[int]:
+    """How far each sweep shifts lines to reach ``radius``: the first takes all lines near by, each further one about triples
+    the reach with two shifted copies, so their number grows with the logarithm of the radius."""
+    steps = [min(radius, FIRST_REACH)]
+    while sum(steps) < radius:
+        steps.append(min(2 * sum(steps) + 1, radius - sum(steps)))
+    return steps
+
+
+def _shifted(spans: DataFrame, mask: Sequence[str], step: int) -> DataFrame:
+    """Every line for itself and for the lines ``step`` above and below; a line beyond the image stands for the first or last."""
+    y, last = F.col("y"), F.col("height") - 1
+    none = F.array().cast("array<bigint>")
+    one = lambda c: F.array(c.cast("long"))
+    whole = lambda a, b: F.sequence(a.cast("long"), b.cast("long"))
+    up = F.when(y == 0, whole(F.lit(0), F.least(F.lit(step), last))).when(y + step <= last, one(y + step)).otherwise(none)
+    down = F.when(y == last, whole(F.greatest(F.lit(0), last - step), last)).when(y - step >= 0, one(y - step)).otherwise(none)
+    return spans.select(*mask, F.explode(F.concat(up, one(y), down)).alias("y"), "x0", "x1")
+
+
 def dilate(spans: DataFrame, radius: int, keys: Sequence[str] = MASK_KEYS) -> DataFrame:
     """Grow by a square of side ``2 * radius + 1``; pixels outside the image stay outside.
 
     ``spans`` carries ``height`` and ``width``.
     """
     mask = [*keys, "height", "width"]
-    first = F.greatest(F.lit(0), F.col("y") - radius)
-    last = F.least(F.col("height") - 1, F.col("y") + radius)
+    reach, *further = sweeps(radius)
+    first = F.greatest(F.lit(0), F.col("y") - reach)
+    last = F.least(F.col("height") - 1, F.col("y") + reach)
     grown = spans.select(
         *mask,
         F.explode(F.sequence(first, last)).alias("y"),
         F.greatest(F.lit(0), F.col("x0") - radius).alias("x0"),
         F.least(F.col("width"), F.col("x1") + radius).alias("x1"),
     )
-    return joined_runs(grown, [*mask, "y"])
+    grown = joined_runs(grown, [*mask, "y"])
+    for step in further:
+        grown = joined_runs(_shifted(grown, mask, step), [*mask, "y"])
+    return grown
 
 
 def erode(spans: DataFrame, radius: int, keys: Sequence[str] = MASK_KEYS) -> DataFrame:
@@ -193,12 +221,16 @@ def erode(spans: DataFrame, radius: int, keys: Sequence[str] = MASK_KEYS) -> Dat
     mask = [*keys, "height", "width"]
     x0 = F.when(F.col("x0") <= 0, F.lit(0)).otherwise(F.col("x0") + radius)
     x1 = F.when(F.col("x1") >= F.col("width"), F.col("width")).otherwise(F.col("x1") - radius)
-    first = F.greatest(F.lit(0), F.col("y") - radius)
-    last = F.least(F.col("height") - 1, F.col("y") + radius)
+    reach, *further = sweeps(radius)
+    first = F.greatest(F.lit(0), F.col("y") - reach)
+    last = F.least(F.col("height") - 1, F.col("y") + reach)
     shrunk = spans.select(
         *mask, F.explode(F.sequence(first, last)).alias("y"), x0.cast("long").alias("x0"), x1.cast("long").alias("x1")
     )
-    return covered_runs(shrunk, [*mask, "y"], last - first + 1)
+    shrunk = covered_runs(shrunk, [*mask, "y"], last - first + 1)
+    for step in further:
+        shrunk = covered_runs(_shifted(shrunk, mask, step), [*mask, "y"], F.lit(3))
+    return shrunk
 
 
 def close_open(

@@ -91,6 +91,12 @@ def write_masks(frames: DataFrame, spans: DataFrame, path: str, mode: str = "app
     _write(spans, f"{path}/mask_spans", ["vid", *tube, "frame_idx", "y", "x0"], mode, buckets=buckets)
 
 
+def write_packed_masks(packed: DataFrame, path: str, mode: str = "append", buckets: int = BUCKETS) -> None:
+    """One row per mask, sorted by clip, tube and frame."""
+    tube = ["tube_id"] if "tube_id" in packed.columns else []
+    _write(packed, path, ["vid", *tube, "frame_idx"], mode, buckets=buckets)
+
+
 def tube_set_tables(sets: DataFrame, frames: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Header and tubes of every set.
 

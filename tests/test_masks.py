@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from clipgrid.operators import overlap as O
 from clipgrid.operators import spans as S
+from clipgrid.operators import packed as PK
 from clipgrid.operators import tubes as T
 from clipgrid.operators.outcomes import mask_count_reason, outcome_rows, propagation_method, refine_reason
 from clipgrid.schemas import MASK_FRAMES, MASK_SPANS
@@ -245,3 +246,84 @@ def test_method_choice(spark):
     assert list(row) == [expected for _, expected in cases]
     reason = spark.range(1).select(refine_reason(mask_count_reason(F.lit(0)), F.lit("x"), t, f)).first()[0]
     assert reason == "oom_or_propagation_failed"
+
+
+def _random_masks(spark, seed, count=25, height=14, width=17):
+    """Canonical runs, frames, and the pixels as arrays."""
+    rng = np.random.default_rng(seed)
+    dense = {i: rng.random((height, width)) < rng.choice([0, 0.1, 0.5, 0.9, 1]) for i in range(count)}
+    cells = [(f"v{i % 5}", i // 5, 0, int(y), int(x), int(x) + 1) for i, a in dense.items() for y, x in zip(*np.nonzero(a), strict=True)]
+    spans = S.union_runs(spark.createDataFrame(cells, MASK_SPANS))
+    frames = spark.createDataFrame([(f"v{i % 5}", i // 5, 0, height, width) for i in dense], MASK_FRAMES)
+    return spans, frames, {(f"v{i % 5}", i // 5): a for i, a in dense.items()}
+
+
+def test_packed_masks_equal_dense_arrays(spark):
+    spans, frames, dense = _random_masks(spark, 3)
+    packed = PK.pack_masks(spans, frames).cache()
+    assert {(r.vid, r.tube_id) for r in packed.collect()} == set(dense)
+    assert rows(PK.unpack_masks(packed)) == rows(spans.select("vid", "tube_id", "frame_idx", "y", "x0", "x1"))
+    stats = S.mask_stats(spans, frames)
+    assert rows(PK.packed_stats(packed).select(stats.columns)) == rows(stats)
+    two = packed.alias("a").join(packed.alias("b"), F.expr("a.vid = b.vid AND a.tube_id < b.tube_id"))
+    a, b = F.col("a.rects"), F.col("b.rects")
+    found = two.select("a.vid", "a.tube_id", F.col("b.tube_id").alias("other"), PK.shared_area(a, b).alias("i"), PK.joint_area(a, b).alias("u")).collect()
+    assert len(found) == 50
+    for r in found:
+        left, right = dense[r.vid, r.tube_id], dense[r.vid, r.other]
+        assert (r.i, r.u) == ((left & right).sum(), (left | right).sum())
+    one = PK.unite_packed(packed, ["vid", "frame_idx"])
+    for r in one.withColumn("area", PK.area(F.col("rects"))).collect():
+        assert r.area == np.any([a for (v, _), a in dense.items() if v == r.vid], axis=0).sum()
+
+
+def test_packed_overlap_with_boxes_does_not_unfold(spark):
+    spans, frames, dense = _random_masks(spark, 4)
+    box = "struct<xmin:int,ymin:int,xmax:int,ymax:int>"
+    boxes = spark.createDataFrame([("v0", 0, (2, 3, 9, 12)), ("v1", 0, (-5, -5, 100, 100)), ("v2", 0, (5, 5, 5, 9))], f"vid string, frame_idx long, bbox {box}")
+    packed = PK.pack_masks(spans, frames)
+    want = O.mask_box_iou(spans, frames, boxes)
+    columns = ["vid", "tube_id", "frame_idx", "area", "inter", "box_pixels", "iou"]
+    assert rows(PK.packed_box_iou(packed, boxes).select(columns)) == rows(want.select(columns))
+    stored = spark.createDataFrame(packed.collect(), packed.schema)
+    for df in (PK.packed_box_iou(stored, boxes), PK.packed_stats(stored)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert not any("Generate" in line and "rects" in line.split("],")[0] for line in plan.splitlines())
+
+
+def test_packed_masks_are_smaller(spark, tmp_path):
+    from clipgrid.sinks.tables import write_masks, write_packed_masks
+
+    height, width = 200, 300
+    cells = [(f"v{i % 40}", i % 3, i // 120, 20 + i % 50 + y, 30 + i % 70, 130 + i % 90) for i in range(600) for y in range(90)]
+    spans = S.union_runs(spark.createDataFrame(cells, MASK_SPANS))
+    frames = spark.createDataFrame(sorted({(*c[:3], height, width) for c in cells}), MASK_FRAMES)
+    write_masks(frames, spans, str(tmp_path / "runs"), buckets=2)
+    write_packed_masks(PK.pack_masks(spans, frames), str(tmp_path / "packed"), buckets=2)
+    size = {n: sum(f.stat().st_size for f in (tmp_path / n).rglob("*.parquet")) for n in ("runs", "packed")}
+    assert size["packed"] < 0.7 * size["runs"], size
+    assert spark.read.parquet(str(tmp_path / "packed")).count() == frames.count()
+
+
+def test_growth_takes_few_sweeps():
+    assert len(S.sweeps(16)) <= 5 and len(S.sweeps(1000)) <= 8
+    for radius in range(1, 200):
+        steps, reach = S.sweeps(radius), S.sweeps(radius)[0]
+        for step in steps[1:]:
+            assert step <= 2 * reach + 1  # no line between the copies is missed
+            reach += step
+        assert reach == radius
+
+
+@pytest.mark.parametrize("radii", [(1, 2, 3, 4), (5, 7, 8), (11, 16, 20)])
+def test_growth_at_borders_equals_dense_arrays(spark, radii):
+    spans, frames, dense = _random_masks(spark, 6, count=15)
+    sized = spans.join(frames, ["vid", "tube_id", "frame_idx"]).cache()
+    for radius in radii:
+        for operation, outside in ((S.dilate, False), (S.erode, True)):
+            found = pixels(operation(sized, radius), "vid", "tube_id")
+            for key, a in dense.items():
+                padded = np.pad(a, radius, constant_values=outside)
+                windows = np.lib.stride_tricks.sliding_window_view(padded, (2 * radius + 1, 2 * radius + 1))
+                want = windows.all(axis=(2, 3)) if outside else windows.any(axis=(2, 3))
+                assert found.get(key, set()) == {(int(y), int(x)) for y, x in zip(*np.nonzero(want), strict=True)}, (key, radius)
