@@ -12,7 +12,9 @@ from clipgrid.operators.scoring import Plugin, Registry
 from clipgrid.operators.skew import number_rows
 from clipgrid.operators.spans import mask_stats
 from clipgrid.plans.flow import run_flow
+from clipgrid.schemas import GROUNDING
 from clipgrid.session import shared_folder
+from clipgrid.sinks.compaction import compact
 from clipgrid.sinks.tables import write_grounding, write_masks, write_outcomes
 from clipgrid.sources.records import read_grounding, read_outcomes
 
@@ -192,6 +194,24 @@ def outcome_rerun(spark, folder):
     return counts.select("o_orderpriority", "total", "succeeded", "failed")
 
 
+@register(
+    CASES,
+    """
+    SELECT 'o' || o_orderkey AS vid, o_orderstatus = 'F' AS success, 1 AS stored, CASE WHEN o_orderstatus <> 'F' THEN 'first' END AS failure_reason
+    FROM orders
+    """,
+)
+def compacted_runs(spark, folder):
+    """Four runs are written and compacted: one stored row per clip is left, and it is the one that readers took before."""
+    path = shared_folder(spark, "grounding")
+    first, again = _two_runs(spark, folder)
+    for run, rows in enumerate((first, first.filter("o_orderkey % 2 = 0"), again, again.filter("o_orderkey % 3 = 0"))):
+        write_grounding(rows, path, run=run, buckets=8)
+    compact(spark, path, ["vid"], "json", GROUNDING)
+    stored = spark.read.schema(GROUNDING).json(path).groupBy("vid").agg(F.count(F.lit(1)).alias("stored"))
+    return read_grounding(spark, path).join(stored, "vid").select("vid", "success", "stored", "failure_reason")
+
+
 @register(
     CASES,
     f"""

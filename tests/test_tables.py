@@ -16,6 +16,8 @@ from clipgrid.operators.joins import attach_existing, filter_existing, lookup_fp
 from clipgrid.operators.sampling import number_sentences, pick_key_frames
 from clipgrid.schemas import ANNOTATION_STRINGS, ANNOTATION_STRUCTS, GROUNDING, KEY_FRAME, MASK_FRAMES, MASK_SPANS
 from clipgrid.session import cut_lineage, ensure_checkpoint_dir
+from clipgrid.sinks import compaction
+from clipgrid.sinks.compaction import compact
 from clipgrid.sources import annotations as N
 from clipgrid.sources import media as M
 from clipgrid.sources import records as R
@@ -398,6 +400,48 @@ def test_totals_live_across_batches_and_a_repeated_batch_changes_nothing(spark,
     assert seen() == _totals(so_far)
 
 
+def _stored_files(path):
+    return {str(f.relative_to(path)): f.stat().st_mtime_ns for f in path.rglob("part-*")}
+
+
+def test_compaction_leaves_one_row_per_clip(spark, tmp_path):
+    path = tmp_path / "outcomes"
+    clips = spark.range(60).select(F.concat(F.lit("v"), "id").alias("vid"), F.col("id"))
+    for run in range(10):
+        done = clips.filter(F.col("id") % (run + 1) == 0).select("vid", F.lit(f"run {run}").alias("reason"))
+        sinks.write_outcomes(done, str(path), "a", run=run, buckets=4)
+    before = rows(R.read_outcomes(spark, str(path)).select("vid", "reason"))
+    assert spark.read.parquet(str(path)).count() > 150
+    assert compact(spark, str(path), ["vid", "stage"]) == [0, 1, 2, 3]
+    assert spark.read.parquet(str(path)).count() == 60
+    assert rows(R.read_outcomes(spark, str(path)).select("vid", "reason")) == before
+    assert compact(spark, str(path), ["vid", "stage"]) == []
+
+    one = clips.filter("vid = 'v7'").select("vid", F.lit("late").alias("reason"))
+    sinks.write_outcomes(one, str(path), "a", run=99, buckets=4)
+    assert dict(rows(R.read_outcomes(spark, str(path)).select("vid", "reason")))["v7"] == "late"
+
+
+def test_compaction_touches_changed_buckets_only_and_fails_whole(spark, tmp_path, monkeypatch):
+    path = tmp_path / "tubes"
+    table = spark.createDataFrame([(f"v{i}", i, i % 4) for i in range(40)], "vid string, n int, bucket int")
+    for run, part in enumerate((table, table.filter("bucket = 2"))):
+        part.withColumn("run", F.lit(run).cast("long")).write.mode("append").partitionBy("bucket").parquet(str(path))
+    before = _stored_files(path)
+    failing = lambda df, *rest: swap(df.withColumn("n", F.raise_error(F.lit("lost")).cast("int")), *rest)
+    swap = compaction.swap_buckets
+    monkeypatch.setattr(compaction, "swap_buckets", failing)
+    with pytest.raises(Exception, match="lost"):
+        compact(spark, str(path), ["vid"])
+    assert _stored_files(path) == before and spark.read.parquet(str(path)).count() == 50
+    monkeypatch.setattr(compaction, "swap_buckets", swap)
+    assert compact(spark, str(path), ["vid"], many=True) == [2]
+    after = _stored_files(path)
+    assert {f: t for f, t in after.items() if "bucket=2" not in f} == {f: t for f, t in before.items() if "bucket=2" not in f}
+    assert rows(spark.read.parquet(str(path)).select("vid", "n", "bucket")) == rows(table)
+    assert compact(spark, str(path), ["vid"]) == []
+
+
 def test_cut_lineage_keeps_rows(spark):
     df = spark.range(10).withColumn("x", F.col("id") * 2)
     cut = cut_lineage(df)
