@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from clipgrid.catalog.base import MASK_FRAMES, Case, key_boxes, mask_frames, register, table
@@ -11,7 +13,8 @@ from clipgrid.operators import outcomes as U
 from clipgrid.operators import report as R
 from clipgrid.operators import resume as W
 from clipgrid.operators.validate import propagation_error, split_valid
-from clipgrid.sinks.tables import key_frame_rows, run_summaries
+from clipgrid.session import shared_folder
+from clipgrid.sinks.tables import key_frame_rows, run_summaries, store_by_key
 
 CASES: dict[str, Case] = {}
 
@@ -151,9 +154,7 @@ def attach_existing(spark, folder):
     )
 
 
-@register(
-    CASES,
-    """
+_LEFT = """
     WITH files AS (SELECT DISTINCT l_orderkey, CASE l_linenumber % 4 WHEN 0 THEN 'metadata.json' WHEN 1 THEN 'key_frame.png' WHEN 2 THEN 'similarity_scores.npy'
       ELSE 'other.txt' END AS name FROM lineitem),
     finished AS (SELECT l_orderkey FROM files WHERE name <> 'other.txt' GROUP BY ALL HAVING count(*) = 3)
@@ -163,9 +164,10 @@ def attach_existing(spark, folder):
     UNION ALL SELECT 'success and mask', o_orderkey FROM orders WHERE o_orderstatus <> 'F' OR o_orderkey % 3 > 0
     UNION ALL SELECT 'status', o_orderkey FROM orders WHERE o_orderstatus <> 'F' AND (o_orderstatus = 'P' OR o_orderkey % 4 = 0)
     UNION ALL SELECT 'status retry', o_orderkey FROM orders WHERE o_orderstatus <> 'O' OR o_orderkey % 4 = 0
-    """,
-)
-def resume_policies(spark, folder):
+    """
+
+
+def _resume_inputs(spark, folder):
     orders = table(spark, folder, "orders")
     k, status = F.col("o_orderkey"), F.col("o_orderstatus")
     clips = orders.select(k.alias("vid"))
@@ -182,13 +184,17 @@ def resume_policies(spark, folder):
         F.when(status == "F", "failed").when(status == "O", "success").alias("status"),
         F.when(status == "O", F.when(k % 4 > 0, 5).otherwise(0)).alias("num_masks"),
     )
+    return {"clips": clips, "files": files, "grounding": grounding, "flags": flags, "masks": masks, "outcomes": outcomes}
+
+
+def _left_by_policy(t):
     left = {
-        "key frames": W.drop_finished_key_frames(clips, files, ["vid"]),
-        "grounding": W.drop_grounded(clips, grounding),
-        "forced": W.drop_grounded(clips, grounding, force=True),
-        "success and mask": W.drop_succeeded(clips, flags, masks),
-        "status": W.drop_by_status(clips, outcomes),
-        "status retry": W.drop_by_status(clips, outcomes, retry_failed=True),
+        "key frames": W.drop_finished_key_frames(t["clips"], t["files"], ["vid"]),
+        "grounding": W.drop_grounded(t["clips"], t["grounding"]),
+        "forced": W.drop_grounded(t["clips"], t["grounding"], force=True),
+        "success and mask": W.drop_succeeded(t["clips"], t["flags"], t["masks"]),
+        "status": W.drop_by_status(t["clips"], t["outcomes"]),
+        "status retry": W.drop_by_status(t["clips"], t["outcomes"], retry_failed=True),
     }
     result = None
     for policy, rows in left.items():
@@ -197,6 +203,20 @@ def resume_policies(spark, folder):
     return result
 
 
+@register(CASES, _LEFT)
+def resume_policies(spark, folder):
+    return _left_by_policy(_resume_inputs(spark, folder))
+
+
+@register(CASES, _LEFT)
+def resume_stored(spark, folder):
+    """The same over tables that were stored by clip, so that neither side of an anti-join is shuffled."""
+    path, name = shared_folder(spark, "stored"), f"stored_{uuid.uuid4().hex}"
+    inputs = _resume_inputs(spark, folder)
+    return _left_by_policy({k: store_by_key(rows, f"{name}_{k}", f"{path}/{k}", buckets=8) for k, rows in inputs.items()})
+
+
+
 _LIMIT = """
 clips AS (SELECT 'v' || o_custkey || '_' || o_orderkey AS vid, 'v' || o_custkey AS base, o_orderkey AS idx, o_orderstatus FROM orders)"""
 

@@ -73,6 +73,17 @@ def key_frame_rows(rows: DataFrame) -> DataFrame:
     )
 
 
+def store_by_key(rows: DataFrame, name: str, path: str, key: str = "vid", buckets: int = BUCKETS) -> DataFrame:
+    """Append rows to a table whose files are bucketed by a key, and return the table.
+
+    Tables of one key and number of buckets meet without a shuffle of either side: what is finished is dealt out once, when it
+    is stored, and not by every run that asks what is left.
+    """
+    dealt = rows.repartition(buckets, key)
+    dealt.write.mode("append").option("path", path).bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+    return rows.sparkSession.table(name)
+
+
 def write_key_frames(
     rows: DataFrame, path: str, mode: str = "append", run: int | None = None, buckets: int = BUCKETS
 ) -> None:

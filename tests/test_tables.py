@@ -442,6 +442,25 @@ def test_compaction_touches_changed_buckets_only_and_fails_whole(spark, tmp_path
     assert compact(spark, str(path), ["vid"]) == []
 
 
+def test_stored_tables_meet_without_a_shuffle(spark, tmp_path):
+    clips = spark.range(300).select(F.concat(F.lit("v"), "id").alias("vid"), F.col("id").alias("n"))
+    done = clips.filter("n % 3 = 0").select("vid", (F.col("n") % 2 == 0).alias("success"))
+    have = clips.filter("n % 4 = 0").select("vid")
+    stored = [sinks.tables.store_by_key(t, f"resume_{n}", str(tmp_path / n), buckets=4) for n, t in (("clips", clips), ("done", done), ("have", have))]
+    stored[1] = sinks.tables.store_by_key(spark.createDataFrame([("v1", True)], "vid string, success boolean"), "resume_done", str(tmp_path / "done"), buckets=4)
+    added = done.unionByName(spark.createDataFrame([("v1", True)], "vid string, success boolean"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for own, plain in ((W.drop_grounded(*stored[:2]), W.drop_grounded(clips, added)), (W.drop_succeeded(*stored), W.drop_succeeded(clips, added, have))):
+            plan = own._jdf.queryExecution().executedPlan().toString()
+            assert "LeftAnti" in plan and "Exchange" not in plan
+            assert rows(own) == rows(plain)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for n in ("clips", "done", "have"):
+            spark.sql(f"DROP TABLE resume_{n}")
+
+
 def test_cut_lineage_keeps_rows(spark):
     df = spark.range(10).withColumn("x", F.col("id") * 2)
     cut = cut_lineage(df)
