@@ -42,8 +42,9 @@ LENGTH, GRAM = 100, 20
 #: K-grams of a string; bytes that are hashed at once; anchors that are combined before they are shuffled.
 SPAN, CHUNK, COMBINED = LENGTH - GRAM + 1, 1 << 19, 1_000_000
 FOUND = ["doc", "at", "a", "many"]
-#: Different stretches of an anchor that meet in one task.
-CROWD = 256
+#: Different stretches of an anchor that meet in one task, by memory: some 40 strings each, 6 numbers a string, about 60 MB. Beyond it
+#: a stretch becomes some 40 rows, so this path is for what one task cannot hold.
+CROWD = 16_384
 _LAST = (1 << 63) - 1
 _SEED = 42
 _U = np.uint64
