@@ -6,7 +6,8 @@ character. Offsets are kept both in bytes and in characters; a token that begins
 of that character.
 
 Texts are split by the pattern of the vocabulary, and each distinct match goes through the library's model once per
-task: most matches of a batch repeat.
+task: most matches of a batch repeat. Characters that the splitter of the vocabulary does not know yet, but the regular
+expressions here do, count as neither letters nor digits.
 
 Nulls count as empty texts and give no tokens. Repeated rows, ties and clashing column names do not matter: each row
 is encoded by itself and new columns replace old ones of the same name.
@@ -34,6 +35,18 @@ REMEMBERED = 250_000
 # Letters, digits and white space of the first 256 characters; general punctuation holds none of them.
 _L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
 _UNUSUAL = re.compile("[^\x00-\xff\u2010-\u2027]")
+# Letters and digits of the ``regex`` module that the splitter of tiktoken takes for neither, as ranges.
+_LATER = [
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF),
+    (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D), (0x107BB, 0x107BF), (0x10940, 0x10959),
+    (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB), (0x11DE0, 0x11DE9), (0x11DF1, 0x11DF1), (0x1246F, 0x1246F), (0x12475, 0x1247F),
+    (0x12550, 0x12686), (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF6), (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2),
+    (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96),
+    (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F),
+    (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+]
+_UNKNOWN = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in _LATER) + "]")
+_NEITHER = "\ue000"  # a character for private use
 _MARKS = "'s|'t|'re|'ve|'m|'ll|'d"
 #: The splitting pattern for texts without unusual characters, which the standard library matches faster.
 _USUAL = re.compile(f"{_MARKS}| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
@@ -83,7 +96,12 @@ class Encoder:
         self.forget()
 
     def split(self, text: str) -> list[str]:
-        return (self.pattern if _UNUSUAL.search(text) else _USUAL).findall(text)
+        if not _UNUSUAL.search(text):
+            return _USUAL.findall(text)
+        shown = _UNKNOWN.sub(_NEITHER, text)  # character by character, so that places stay
+        if shown == text:
+            return self.pattern.findall(text)
+        return [text[slice(*m.span())] for m in self.pattern.finditer(shown)]
 
     def forget(self) -> None:
         """Known pieces are numbered; piece i has the ids ``pool[ends[i]:ends[i + 1]]``."""

@@ -41,6 +41,22 @@ def test_agrees_over_the_first_characters(reference):
     assert [x.tolist() for x in ENCODER.encode(texts)] == [reference.encode_ordinary(t) for t in texts]
 
 
+def test_every_character_counts_as_in_tiktoken(reference):
+    mark, wrong = reference.encode_ordinary("'t"), []
+    for code in (*range(0xD800), *range(0xE000, 0x110000)):
+        text = f"{chr(code)}'t"
+        if (ENCODER.split(text)[-1] == "'t") != (reference.encode_ordinary(text)[-1:] == mark):
+            wrong.append(hex(code))
+    assert wrong == []
+
+
+def test_later_letters_in_a_text(reference):
+    for text in ("\U00010ee3't", "ab\u088fcd 1\U00018e00\U000323b02 x", " \ua7ce\ua7ce's \U00012550", "a\U0001df90b!\U0001df90?"):
+        ids = ENCODER.encode([text])[0].tolist()
+        assert ids == reference.encode_ordinary(text)
+        assert b"".join(PIECES[i] for i in ids) == text.encode()
+
+
 def test_forgets_when_full(monkeypatch, reference):
     monkeypatch.setattr(byte_bpe, "REMEMBERED", 5)
     encoder = byte_bpe.Encoder(byte_bpe.default_vocabulary())
