@@ -21,9 +21,10 @@ One suffix array of everything fits no task, so suffixes are dealt out such that
 5. All found intervals return to their documents.
 
 Texts are handled as UTF-8 bytes, whole; very long ones in chunks that overlap. Null texts are empty, and texts below LENGTH
-bytes lose nothing. Documents with a null id come after all others, those with equal ids in the order of a hash of
-their text; of rows equal in both the first counts and the others are copies. Hash widths: 48 bits bring strings
-together, 64 bits stand for equal stretches. All other columns pass through.
+bytes lose nothing. A document with a null id counts as one with an id of 2^62 or more, 62 bits of a hash of its text; such
+documents come after all others unless real ids are as large. Those with equal ids come in the order of 32 bits of a hash of
+their text, which also tells them apart; of rows equal in both the first counts and the others are copies. Hash widths: 48 bits
+bring strings together, 64 bits stand for equal stretches. All other columns pass through.
 """
 
 from __future__ import annotations
@@ -45,7 +46,8 @@ FOUND = ["doc", "at", "a", "many"]
 #: Different stretches of an anchor that meet in one task, by memory: some 40 strings each, 6 numbers a string, about 60 MB. Beyond it
 #: a stretch becomes some 40 rows, so this path is for what one task cannot hold.
 CROWD = 16_384
-_LAST = (1 << 63) - 1
+#: Ids of documents without one begin here.
+_NAMELESS = 1 << 62
 _SEED = 42
 _U = np.uint64
 
@@ -428,8 +430,10 @@ def remove_repeats(docs: DataFrame, text: str = "text", keep: list[str] | None =
     """
     rest = [c for c in (keep if keep is not None else docs.columns) if c not in (text, "n_bytes", "spans", "kept")]
     names = [f"_c{i}" for i in range(len(rest))]
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc")
-    rows = docs.select(doc, F.col(text).cast("string").alias("text"), *(F.col(c).alias(n) for c, n in zip(rest, names, strict=True)))
+    content = F.col(text).cast("string")
+    nameless = F.xxhash64(content).bitwiseAND(F.lit(_NAMELESS - 1)).bitwiseOR(F.lit(_NAMELESS))
+    doc = F.coalesce(F.col("doc_id").cast("long"), nameless).alias("doc")
+    rows = docs.select(doc, content.alias("text"), *(F.col(c).alias(n) for c, n in zip(rest, names, strict=True)))
     known = cut_lineage(meet(find_anchors(rows.select("doc", "text"))))
     matched = match(hand_over(rows, known.where("a >= 0")))
     intervals = known.where("a < 0").unionByName(matched)

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+import xxhash
 
 from clipgrid.llm import suffix_dedup
 from corpus_samples import ODD, prose
@@ -74,6 +75,21 @@ def test_odd_rows(documents):
     assert nulls == [(0, 0), (long, long)]
 
 
+def test_nulls_of_equal_short_hashes_are_different_rows(documents):
+    seen, texts = {}, None
+    for i in range(1 << 20):
+        text = f"{i} " + "abcdefghij" * 12
+        tag = xxhash.xxh64_intdigest(text.encode(), 42) & 0xFFFFFFFF
+        if tag in seen:
+            texts = seen[tag], text
+            break
+        seen[tag] = text
+    tails = [t.split(" ")[0] for t in texts]
+    found = suffix_dedup.remove_repeats(documents([(None, t) for t in texts]), keep=["doc_id"]).collect()
+    kept = sorted(bytes(r.kept).decode() for r in found)
+    assert tails[0] != tails[1] and all(any(k.startswith(t) for k in kept) for t in tails)
+
+
 def test_empty_table_and_clashing_columns(spark, documents):
     assert suffix_dedup.removal_report(documents([])).count() == 0
     df = spark.createDataFrame([(1, "t" * 10, 5, "a")], "doc_id long, text string, spans int, at string")
