@@ -1,8 +1,8 @@
 """Quality by importance resampling.
 
 Two generative models over hashed word uni- and bigrams, one of the target texts and one of all raw texts, give each
-document the logarithm of how much likelier the target model makes it. Long texts would win or lose by their length alone,
-so a text counts as at most ``REFERENCE`` n-grams of its own mean. Adding seeded Gumbel noise and taking the
+document the logarithm of how much likelier the target model makes it: the sum over all its n-grams. Where length should weigh
+less, ``reference`` lets a text count as at most so many n-grams of its own mean. Adding seeded Gumbel noise and taking the
 ``share`` of documents with the largest sums draws without replacement in proportion to those importance weights.
 
 Raw counts cover every text: each task sends one row per bucket, whatever it read. The target is a bounded sample of the
@@ -28,7 +28,7 @@ from clipgrid.llm.common import small_slices, utf8
 from clipgrid.llm.ranks import global_rank
 from clipgrid.session import cut_lineage
 
-BUCKETS, TARGETS, REFERENCE, SHARE, SEED = 1 << 14, 20_000, 64.0, 0.8, 3
+BUCKETS, TARGETS, SHARE, SEED = 1 << 14, 20_000, 0.8, 3
 #: Distinct words after which a task forgets their hashes.
 REMEMBERED = 500_000
 
@@ -91,7 +91,7 @@ def log_ratios(docs: DataFrame, targets: list[int]) -> np.ndarray:
     return np.log(target / target.sum()) - np.log(raw / raw.sum())
 
 
-def weigh(docs: DataFrame, ratios: np.ndarray, reference: float = REFERENCE) -> DataFrame:
+def weigh(docs: DataFrame, ratios: np.ndarray, reference: float | None = None) -> DataFrame:
     """doc_id, log_weight (null without words) and noise_key, an XXH64 of id and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,18 +101,18 @@ def weigh(docs: DataFrame, ratios: np.ndarray, reference: float = REFERENCE) ->
         for batch in small_slices(batches, "text"):
             texts = utf8(batch.column(1))
             found = [grams(t) for t in texts]
-            weights = [float(ratios[g].mean() * min(len(g), reference)) if len(g) else None for g in found]
+            weights = [float(ratios[g].mean() * min(len(g), reference or len(g))) if len(g) else None for g in found]
             keys = [xxh64_intdigest(b"%d:" % i + t if i is not None else t, SEED) >> 1 for i, t in zip(batch.column(0).to_pylist(), texts, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(weights, pa.float64()), pa.array(keys, pa.int64())], ["doc_id", "log_weight", "noise_key"])
 
     return docs.mapInArrow(run, "doc_id long, log_weight double, noise_key long")
 
 
-def resample(docs: DataFrame, labels: DataFrame, share: float = SHARE, most: int = TARGETS) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, share: float = SHARE, most: int = TARGETS, reference: float | None = None) -> DataFrame:
     """doc_id, log_weight, key (weight plus noise), rank (from 1) and kept, one row per document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # Written, as dealing rows out by range reads them twice.
-    weighed = cut_lineage(weigh(docs, log_ratios(docs, target_ids(labels, most))))
+    weighed = cut_lineage(weigh(docs, log_ratios(docs, target_ids(labels, most)), reference))
     u = (F.shiftright("noise_key", 10) + F.lit(0.5)) / F.lit(float(1 << 53))
     keyed = weighed.withColumn("key", F.col("log_weight") - F.log(-F.log(u)))
     ranked = global_rank(keyed, -F.coalesce("key", F.lit(float("-inf"))), F.col("doc_id"), F.col("noise_key"))

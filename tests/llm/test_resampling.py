@@ -21,7 +21,7 @@ def brute_buckets(text):
     return [(x ^ x >> 13) % resampling.BUCKETS for x in both]
 
 
-def brute(rows, targets, share):
+def brute(rows, targets, share, reference=None):
     """Weight, key and whether kept, by plain loops."""
     raw, target = np.ones(resampling.BUCKETS), np.ones(resampling.BUCKETS)
     for doc, text in rows:
@@ -32,7 +32,7 @@ def brute(rows, targets, share):
     found = {}
     for doc, text in rows:
         own = brute_buckets(text)
-        weight = sum(ratio[b] for b in own) / len(own) * min(len(own), resampling.REFERENCE) if own else None
+        weight = sum(ratio[b] for b in own) / len(own) * min(len(own), reference or len(own)) if own else None
         noise = xxhash.xxh64_intdigest(b"%d:" % doc + (text or "").encode(), resampling.SEED) >> 1
         u = ((noise >> 10) + 0.5) / 2.0**53
         found[doc] = (weight, None if weight is None else weight - math.log(-math.log(u)))
@@ -41,12 +41,12 @@ def brute(rows, targets, share):
     return {d: (*x, d in kept) for d, x in found.items()}
 
 
-@pytest.mark.parametrize("share", [0.3, 0.8])
-def test_against_brute_force(spark, documents, share):
+@pytest.mark.parametrize("share, reference", [(0.3, None), (0.8, None), (0.8, 64)])
+def test_against_brute_force(spark, documents, share, reference):
     rows = [(i, prose(i, 5 + 3 * i)) for i in range(40)] + [(40 + i, "## " * 30 + prose(i, 9)) for i in range(12)] + [(60, ""), (61, None)]
     labels = [(i, 1, 0) for i in range(0, 40, 2)] + [(i, 0, 0) for i in (4, 41, 42)] + [(4, 1, 1), (999, 1, 0), (None, 1, 0)]
-    want = brute(rows, set(range(0, 40, 2)) - {4}, share)
-    found = resampling.resample(documents(rows), spark.createDataFrame(labels, LABELS), share).collect()
+    want = brute(rows, set(range(0, 40, 2)) - {4}, share, reference)
+    found = resampling.resample(documents(rows), spark.createDataFrame(labels, LABELS), share, reference=reference).collect()
     assert len(found) == len(rows) and sorted(r["rank"] for r in found) == list(range(1, len(rows) + 1))
     for r in found:
         weight, key, kept = want[r.doc_id]
