@@ -3,7 +3,7 @@
 A text is the mean of the embeddings of its byte n-grams, hashed into ``BUCKETS``; a linear layer and a softmax give the
 probability of each language. Embeddings and layer are trained together by stochastic gradient descent in numpy on
 stretches of a bounded sample of labelled texts: ``SAMPLE`` documents of at most ``LONGEST`` characters, the smallest by a
-hash of their id. A part of the sample stays out of the training and calibrates the result: a temperature that makes the
+hash of their id and then of the row (equal rows once). A part of the sample stays out of the training and calibrates the result: a temperature that makes the
 probabilities fit, and the score below which a prediction is rejected, so that of the accepted ones at most ``ERRORS``
 are wrong.
 
@@ -162,12 +162,16 @@ def fold(doc_id: Column) -> Column:
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     """Trains on the driver; ``sample`` and LONGEST bound what it gets. Rows of fold 0 are not used."""
     fit = docs.where(F.col("lang").isNotNull() & (fold(F.col("doc_id")) != 0) & F.col("text").rlike(r"\p{L}") & (F.length("text") <= LONGEST))
-    place = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(SEED))
-    # First where the sample ends, from hashes alone; then the texts up to there.
-    last = fit.select(place.alias("o")).orderBy("o").limit(sample).agg(F.max("o")).first()[0]
-    chosen = fit.select(place.alias("o"), "text", "lang").where(F.col("o") <= F.lit(last)).collect() if last is not None else []
-    rows = [(r.text, r.lang) for r in sorted(chosen, key=lambda r: (r.o, r.text, r.lang))[:sample]]
-    return train(rows) if rows else None
+    # Ordered by a hash of the id, then by one of the row, so that no id that repeats can stand for very many rows.
+    place = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(SEED)).alias("o"), F.xxhash64("text", "lang", F.lit(SEED)).alias("p")
+    # First where the sample ends, from hashes alone; then the texts up to there, equal ones once.
+    last = fit.select(*place).distinct().orderBy("o", "p").limit(sample).agg(F.max(F.struct("o", "p")).alias("last")).first()["last"]
+    if last is None:
+        return None
+    upto = (F.col("o") < last.o) | (F.col("o") == last.o) & (F.col("p") <= last.p)
+    chosen = fit.select(*place, "text", "lang").where(upto).dropDuplicates(["o", "p"]).collect()
+    rows = [(r.text, r.lang) for r in sorted(chosen, key=lambda r: (r.o, r.p))]
+    return train(rows)
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:

@@ -40,6 +40,17 @@ def test_held_out_labels_are_not_learnt(corpus, documents):
     assert sorted(map(tuple, lang_id.identify(documents(wrong)).collect())) == sorted(map(tuple, lang_id.identify(df).collect()))
 
 
+def test_one_id_in_very_many_rows_does_not_pass_the_sample(spark, documents, monkeypatch):
+    got = []
+    monkeypatch.setattr(lang_id, "train", lambda rows, seed=0: got.append(rows))
+    same = next(i for i in range(9) if zlib.crc32(str(i).encode()) % 5)
+    texts = [(same, sentence("aa", i, 6), "aa", "s") for i in range(3000)] + [(same, "once more", "bb", "s")] * 3000
+    lang_id.learn(documents(texts), sample=50)
+    lang_id.learn(documents(texts).repartition(11), sample=50)
+    assert len(got[0]) == 50 and got[0] == got[1]
+    assert len({*got[0]}) == 50
+
+
 def test_other_scripts_are_rejected_more(corpus, documents):
     rows, df = corpus
     model = lang_id.learn(df)
