@@ -1,6 +1,10 @@
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from clipgrid.llm.line_blocks import extract, lines, main_text, spans
@@ -99,3 +103,16 @@ def test_attributes_that_are_noise(attributes):
 )
 def test_noise_ends_and_spares_the_article(body, want):
     assert main_text(page(body)) == want
+
+
+def test_line_blocks_alone_find_the_article():
+    """Without names, roles and marks, surge and dive alone give nearly the same texts."""
+    pages = pq.read_table("/root/testdata/sf0.001/pages.parquet", columns=["html"])["html"].to_pylist()
+    scores = []
+    for page in pages:
+        bare = re.sub(r"<(/?)(?:article|main|nav|footer|aside|header|form|menu|dialog)\b[^>]*>", r"<\1div>", page)
+        bare = re.sub(r"\s(?:class|id|role|itemprop)=\"[^\"]*\"", "", bare)
+        own, want = Counter(main_text(bare)), Counter(main_text(page))
+        both = own.total() + want.total()
+        scores.append(2 * (own & want).total() / both if both else 1.0)
+    assert sum(scores) / len(scores) >= 0.9
