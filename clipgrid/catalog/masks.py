@@ -24,6 +24,7 @@ from clipgrid.operators import chunks as K
 from clipgrid.operators import overlap as O
 from clipgrid.operators import spans as S
 from clipgrid.operators import tubes as T
+from clipgrid.operators.tiles import tiled_overlaps
 from clipgrid.operators.packed import pack_masks, packed_box_iou, packed_stats
 from clipgrid.operators.report import frames_per_tube as tube_frame_counts
 from clipgrid.operators.report import tubes_per_set as set_counts
@@ -166,6 +167,57 @@ def best_candidate(spark, folder):
     return O.pick_candidates(scores).select("vid", "tube_id", F.round("iou", 6).alias("iou"), "num_candidates")
 
 
+# Crowded frames: the line items of many orders on few frames of full size, odd ones as masks and even ones as boxes.
+def _scene(spark, folder):
+    x, y = F.col("l_partkey") * 37 % 1860, (F.col("l_suppkey") * 53 + F.col("l_orderkey") * 7) % 1070
+    return table(spark, folder, "lineitem").select(
+        F.concat(F.lit("s"), (F.col("l_suppkey") % 40).cast("string")).alias("vid"),
+        F.floor((F.col("l_linenumber") - 1) / 2).alias("frame_idx"),
+        F.col("l_orderkey").alias("item"),
+        (F.col("l_linenumber") % 2 == 1).alias("is_mask"),
+        x.alias("x"),
+        y.alias("y"),
+        F.col("l_quantity").cast("long").alias("w"),
+    )
+
+
+@register(
+    CASES,
+    f"""
+    WITH scene AS (SELECT 's' || l_suppkey % 40 AS vid, (l_linenumber - 1) // 2 AS frame_idx, l_orderkey AS item, l_linenumber % 2 = 1 AS is_mask,
+      l_partkey * 37 % 1860 AS x, (l_suppkey * 53 + l_orderkey * 7) % 1070 AS y, CAST(l_quantity AS BIGINT) AS w FROM lineitem),
+    lines AS (SELECT vid, item AS tube_id, frame_idx, unnest(range(y, y + 3)) AS y, x AS x0, x + w AS x1 FROM scene WHERE is_mask),
+    pixels AS (SELECT DISTINCT vid, tube_id, frame_idx, y, unnest(range(x0, x1)) AS x FROM lines),
+    runs AS ({_islands("pixels")}),
+    areas AS (SELECT vid, tube_id, frame_idx, sum(x1 - x0) AS area FROM runs GROUP BY ALL),
+    boxes AS (SELECT vid, frame_idx, item AS box_id, greatest(0, min(x) - 10) AS xmin, greatest(0, min(y) - 5) AS ymin,
+      least(1920, max(x + w) + 10) AS xmax, least(1080, max(y) + 20) AS ymax FROM scene WHERE NOT is_mask GROUP BY ALL),
+    pairs AS (SELECT r.vid, r.tube_id, r.frame_idx, box_id, (xmax - xmin) * (ymax - ymin) AS box_pixels,
+        sum(least(x1, xmax) - greatest(x0, xmin)) AS inter
+      FROM runs r JOIN boxes b ON r.vid = b.vid AND r.frame_idx = b.frame_idx AND y >= ymin AND y < ymax AND x0 < xmax AND x1 > xmin
+      GROUP BY ALL)
+    SELECT p.vid, p.tube_id, p.frame_idx, box_id, CAST(area AS BIGINT) AS area, box_pixels, CAST(inter AS BIGINT) AS inter,
+      round(inter / (area + box_pixels - inter)::DOUBLE, 6) AS iou
+    FROM pairs p JOIN areas a ON p.vid = a.vid AND p.tube_id = a.tube_id AND p.frame_idx = a.frame_idx
+    """,
+)
+def crowded_overlaps(spark, folder):
+    scene = _scene(spark, folder)
+    items = scene.filter("is_mask").select("vid", F.col("item").alias("tube_id"), "frame_idx", "x", "y", "w")
+    lines = items.withColumn("y", F.explode(F.sequence(F.col("y"), F.col("y") + 2)))
+    spans = S.union_runs(lines.select("vid", "tube_id", "frame_idx", "y", F.col("x").alias("x0"), (F.col("x") + F.col("w")).alias("x1")))
+    size = {"height": F.lit(1080).cast("long"), "width": F.lit(1920).cast("long")}
+    frames = items.select("vid", "tube_id", "frame_idx").distinct().withColumns(size)
+    bbox = F.struct(
+        (F.min("x") - 10).cast("int").alias("xmin"),
+        (F.min("y") - 5).cast("int").alias("ymin"),
+        (F.max(F.col("x") + F.col("w")) + 10).cast("int").alias("xmax"),
+        (F.max("y") + 20).cast("int").alias("ymax"),
+    )
+    boxes = scene.filter("NOT is_mask").groupBy("vid", "frame_idx", F.col("item").alias("box_id")).agg(bbox.alias("bbox"))
+    return tiled_overlaps(spans, frames, boxes).withColumn("iou", F.round("iou", 6))
+
+
 @register(
     CASES,
     f"""

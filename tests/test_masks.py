@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pytest
 from helpers import pixels, rows
@@ -11,6 +13,7 @@ from clipgrid.operators import overlap as O
 from clipgrid.operators import spans as S
 from clipgrid.operators import packed as PK
 from clipgrid.operators import tubes as T
+from clipgrid.operators.tiles import meetings, tiled_overlaps
 from clipgrid.operators.outcomes import mask_count_reason, outcome_rows, propagation_method, refine_reason
 from clipgrid.schemas import MASK_FRAMES, MASK_SPANS
 
@@ -327,3 +330,60 @@ def test_growth_at_borders_equals_dense_arrays(spark, radii):
                 windows = np.lib.stride_tricks.sliding_window_view(padded, (2 * radius + 1, 2 * radius + 1))
                 want = windows.all(axis=(2, 3)) if outside else windows.any(axis=(2, 3))
                 assert found.get(key, set()) == {(int(y), int(x)) for y, x in zip(*np.nonzero(want), strict=True)}, (key, radius)
+
+
+def _crowd(spark, seed, count, side=512, most=40):
+    """Masks of a few rectangles and boxes on one frame, as rows and as sets of pixels."""
+    rng = random.Random(seed)
+    spans, masks, boxes = set(), {}, []
+    for tube in range(count):
+        cells = set()
+        for _ in range(2):
+            x, y, w, h = rng.randrange(side - 4), rng.randrange(side - 4), rng.randrange(1, most), rng.randrange(1, 6)
+            cells |= {(i, j) for i in range(y, min(side, y + h)) for j in range(x, min(side, x + w))}
+        masks[tube] = cells
+        for y in {i for i, _ in cells}:
+            row = sorted(j for i, j in cells if i == y)
+            cuts = [k for k in range(1, len(row)) if row[k] != row[k - 1] + 1]
+            for a, b in zip([0, *cuts], [*cuts, len(row)], strict=True):
+                spans.add(("v", tube, 0, y, row[a], row[b - 1] + 1))
+        x, y = rng.randrange(-20, side), rng.randrange(-20, side)
+        boxes.append((tube, x, y, x + rng.randrange(0, most), y + rng.randrange(0, most)))
+    boxes += [(count, -9, -9, 10**9, 10**9), (count + 1, 0, 0, side, 3), (count + 2, 5, 5, 5, 9), (count + 3, 9, 9, 2, 2)]
+    runs = spark.createDataFrame(sorted(spans), "vid string, tube_id long, frame_idx long, y long, x0 long, x1 long")
+    frames = spark.createDataFrame([("v", t, 0, side, side) for t in masks], "vid string, tube_id long, frame_idx long, height long, width long")
+    rows = [("v", 0, b, corners) for b, *corners in boxes] + [("v", 0, 999, None), ("w", 0, 1, (0, 0, 9, 9)), (None, 0, 1, (0, 0, 9, 9))]
+    kind = "vid string, frame_idx long, box_id long, bbox struct<xmin:int,ymin:int,xmax:int,ymax:int>"
+    return runs, frames, spark.createDataFrame(rows, kind), masks, boxes
+
+
+@pytest.mark.parametrize("tile", [(64, 64), (7, 13), (1, 1000), (512, 512)])
+def test_tiles_count_each_shared_pixel_once(spark, tile):
+    runs, frames, boxes, masks, corners = _crowd(spark, 3, 25, side=120)
+    want = {}
+    for b, x0, y0, x1, y1 in corners:
+        x0, y0, x1, y1 = max(0, x0), max(0, y0), min(120, x1), min(120, y1)
+        for t, cells in masks.items():
+            shared = sum(y0 <= i < y1 and x0 <= j < x1 for i, j in cells)
+            if shared:
+                pixels = (x1 - x0) * (y1 - y0)
+                want[t, b] = (len(cells), pixels, shared, round(shared / (len(cells) + pixels - shared), 9))
+    found = {(r.tube_id, r.box_id): (r.area, r.box_pixels, r.inter, round(r.iou, 9)) for r in tiled_overlaps(runs, frames, boxes, tile=tile).collect()}
+    assert found == want
+
+
+def test_fewer_rows_meet_in_tiles(spark):
+    runs, _, boxes, _, _ = _crowd(spark, 4, 150)
+    small = boxes.filter("box_id < 150 AND bbox IS NOT NULL").select("vid", "frame_idx", "box_id", "bbox.*")
+    small = small.filter("xmin >= 0 AND ymin >= 0 AND xmax <= 512 AND ymax <= 512")
+    keys = ["vid", "tube_id", "frame_idx"]
+    whole, tiled = (meetings(runs, small, keys, "box_id", t).count() for t in ((512, 512), (64, 64)))
+    assert whole >= 15 * tiled
+
+
+def test_tiles_need_a_pixel_and_empty_tables_give_nothing(spark):
+    runs, frames, boxes, _, _ = _crowd(spark, 5, 3)
+    with pytest.raises(ValueError, match="at least one pixel"):
+        tiled_overlaps(runs, frames, boxes, tile=(0, 8))
+    assert tiled_overlaps(runs.limit(0), frames, boxes).count() == 0
+    assert tiled_overlaps(runs, frames, boxes.limit(0)).count() == 0
