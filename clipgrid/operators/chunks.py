@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from clipgrid.operators.skew import join_by_group, not_broadcast, unfold
 from clipgrid.operators.spans import covered_runs
-from clipgrid.session import cut_lineage, remove_folder, settled, shared_folder
+from clipgrid.session import cut_lineage, remove_folder, shared_folder
 
 
 def check_chunking(size: int, overlap: int) -> int:
@@ -157,9 +157,10 @@ def propagate_in_chunks(
     Chunks depend on their neighbour, clips do not: wave ``k`` handles the chunk ``k`` steps away from the main
     chunk of all clips in one job, first toward the start, then toward the end. A chunk is prompted with the merged
     mask at its boundary frame and skipped if that frame has no mask. Only frames the next wave can still read or
-    change stay in the loop, so a wave costs one chunk per clip. Each wave is written, so neither lineage nor a lost
-    executor makes earlier waves run again; finished rows are appended to one folder, which is read once at the end,
-    and a wave's own tables go when the next one is written.
+    change stay in the loop, so a wave costs one chunk per clip, and a direction ends as soon as no frame is left in it.
+    A wave writes its frames and its runs once, what is over apart from what goes on; so neither lineage nor a lost
+    executor makes earlier waves run again. What is over stays where it was written and is read once at the end; what
+    went on is removed when the next wave is written.
 
     ``clips`` has ``vid, num_frames, key_frame_idx``; prompts hold the mask at the key frame. ``propagate(chunks,
     frames, spans)`` gets chunk rows (``vid, chunk_id, chunk_start, chunk_end, prompt_idx``) with prompt masks and
@@ -195,21 +196,38 @@ def propagate_in_chunks(
     place = main.select("vid", *_CARRY)
     spark = clips.sparkSession
     work = shared_folder(spark, "chunks")
-    frames = settled(join_by_group(frames.select(*_FRAME_COLS), place, ["vid"], ["frame_idx"]), f"{work}/wave-f")
-    spans = settled(join_by_group(spans.select(*_SPAN_COLS), place, ["vid"], ["frame_idx", "y", "x0"]), f"{work}/wave-s")
-    used = [f"{work}/wave-f", f"{work}/wave-s"]
+    frames = join_by_group(frames.select(*_FRAME_COLS), place, ["vid"], ["frame_idx"])
+    spans = join_by_group(spans.select(*_SPAN_COLS), place, ["vid"], ["frame_idx", "y", "x0"])
+
+    def step(wave: int, backward: bool) -> tuple[Column, Column]:
+        """The chunk of a wave, and the frames that it can meet; they include its prompt frame."""
+        chunk = F.col("main_chunk") + F.lit(-wave if backward else wave)
+        start = chunk_start(chunk, size, overlap)
+        return chunk, (chunk >= 0) & (chunk <= last) & ((frame < start + size) if backward else (frame >= start))
+
+    def stored(rows: DataFrame, folder: str, live: Column) -> DataFrame:
+        """Rows written with what is over (1) apart from what goes on (0), and all read back."""
+        told = rows.withColumn("over", F.when(live, 0).otherwise(1))
+        told.write.partitionBy("over").parquet(folder)
+        return spark.read.schema(told.schema).parquet(folder)
+
+    def goes_on(rows: DataFrame) -> DataFrame:
+        return rows.filter("over = 0").drop("over")
+
     for backward, waves in ((True, before), (False, after)):
-        if not waves:
+        if not waves and not backward:
             continue
-        way = "back" if backward else "on"
+        home = f"{work}/{'back' if backward else 'on'}"
+        live = step(1, backward)[1] if waves else F.lit(False)
+        frames = stored(frames, f"{home}-f/wave=0", live)
+        spans = stored(spans, f"{home}-s/wave=0", live)
+        kinds = frames.schema, spans.schema
+        frames, spans = goes_on(frames), goes_on(spans)
         for wave in range(1, waves + 1):
-            chunk = F.col("main_chunk") + F.lit(-wave if backward else wave)
-            start = chunk_start(chunk, size, overlap)
-            # The frames this chunk can meet; they include its prompt frame.
-            live = (chunk >= 0) & (chunk <= last) & ((frame < start + size) if backward else (frame >= start))
-            frames.filter(~live).write.mode("append").parquet(f"{work}/{way}-f")
-            spans.filter(~live).write.mode("append").parquet(f"{work}/{way}-s")
-            frames, spans = frames.filter(live), spans.filter(live)
+            if frames.isEmpty():
+                break
+            chunk, _ = step(wave, backward)
+            live = step(wave + 1, backward)[1] if wave < waves else F.lit(False)
             if backward:
                 boundary = chunk_start(chunk + 1, size, overlap)
                 prompt_idx = boundary
@@ -221,20 +239,15 @@ def propagate_in_chunks(
             new_f, new_s = propagate(ready, at.select(*_FRAME_COLS), spans.filter(frame == prompt_idx).select(*_SPAN_COLS))
             edges = at.select("vid", *_CARRY, boundary.alias("boundary"), F.lit(backward).alias("backward"))
             new_f = join_by_group(new_f.select(*_FRAME_COLS), edges, ["vid"], ["frame_idx"])
-            here = f"{work}/{way}-{wave}"
-            frames, spans = merge_chunk_masks(
+            here = f"{home}-f/wave={wave}"
+            _, spans = merge_chunk_masks(
                 frames, spans, new_f, new_s.select(*_SPAN_COLS), overlap, carry=_CARRY,
-                settle=lambda df, to=f"{here}-c": settled(df, to),
+                settle=lambda df, to=here, live=live: stored(df, to, live),
             )
-            frames, spans = settled(frames, f"{here}-f"), settled(spans, f"{here}-s")
-            for folder in used:
-                remove_folder(spark, folder)
-            used = [f"{here}-c", f"{here}-f", f"{here}-s"]
-        frames.write.mode("append").parquet(f"{work}/{way}-f")
-        spans.write.mode("append").parquet(f"{work}/{way}-s")
-        for folder in used:
-            remove_folder(spark, folder)
-        frames = spark.read.schema(frames.schema).parquet(f"{work}/{way}-f")
-        spans = spark.read.schema(spans.schema).parquet(f"{work}/{way}-s")
-        used = [f"{work}/{way}-f", f"{work}/{way}-s"]
+            frames = goes_on(spark.read.schema(kinds[0]).parquet(here))
+            spans = goes_on(stored(spans, f"{home}-s/wave={wave}", live))
+            for side in ("f", "s"):
+                remove_folder(spark, f"{home}-{side}/wave={wave - 1}/over=0")
+        ended = (spark.read.schema(kind).parquet(f"{home}-{side}") for kind, side in zip(kinds, "fs", strict=True))
+        frames, spans = (rows.filter("over = 1").drop("over") for rows in ended)
     return frames.select(*_FRAME_COLS), spans.select(*_SPAN_COLS)
