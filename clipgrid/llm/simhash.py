@@ -186,13 +186,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def representatives(docs: DataFrame, groups: Callable[[DataFrame], DataFrame] = grouped) -> DataFrame:
-    """The rows of ``docs`` that stay: of each group that of the smallest doc_id, one row where it repeats."""
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tag")
-    first = groups(docs).groupBy("root").agg(F.min(place).alias("p")).select("p.doc_id", "p.tag")
-    first = cut_lineage(first.select(F.col("doc_id").alias("_doc"), F.col("tag").alias("_tag")))
+    """The rows of ``docs`` that stay: of each group that of the smallest doc_id, one row where it repeats.
+
+    Of rows with equal doc_id and text the one with the least hash of its other columns (maps left out) stays. Only such rows are
+    shuffled with their texts, as long as the ids of those that stay are few enough to be sent to the tasks.
+    """
+    rows = groups(docs).groupBy("root", "doc_id", "tag").agg(F.count(F.lit(1)).alias("times"))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tag", "times")
+    first = rows.groupBy("root").agg(F.min(place).alias("p")).select("p.doc_id", "p.tag", "p.times")
+    first = cut_lineage(first.select(F.col("doc_id").alias("_doc"), F.col("tag").alias("_tag"), "times"))
     own = docs.select(F.struct(*docs.columns).alias("_row")).withColumn("_text", F.xxhash64(F.coalesce(F.col("_row.text").cast("string"), F.lit(""))))
-    same = (F.coalesce(F.col("_row.doc_id"), F.lit(-1)) == F.coalesce("_doc", F.lit(-1))) & (F.col("_text") == F.col("_tag"))
-    same = same & F.col("_row.doc_id").eqNullSafe(F.col("_doc"))
-    found = own.join(first, same, "left_semi")
-    once = F.row_number().over(Window.partitionBy("_row.doc_id", "_text").orderBy(F.lit(1)))
-    return found.withColumn("_once", once).where("_once = 1").select("_row.*")
+    same = F.col("_row.doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.col("_text") == F.col("_tag"))
+    single = own.join(first.where("times = 1"), same, "left_semi")
+    several = own.join(first.where("times > 1"), same, "left_semi")
+    hashed = [F.col("_row")[f.name] for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    least = F.row_number().over(Window.partitionBy("_row.doc_id", "_text").orderBy(F.xxhash64(*hashed)))
+    several = several.withColumn("_once", least).where("_once = 1").drop("_once")
+    return single.unionByName(several).select("_row.*")
