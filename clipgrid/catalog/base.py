@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipgrid.operators.skew import spread
+from clipgrid.operators.skew import join_by_key, spread
 
 Case = tuple[Callable[[SparkSession, str], DataFrame], str | None]
 
@@ -193,7 +193,7 @@ def runs_at_boxes(spark: SparkSession, folder: str, boxes: DataFrame) -> DataFra
     """Masks on the frames that have a box: those runs are picked before overlapping ones are united."""
     from clipgrid.operators.spans import union_runs
 
-    return union_runs(raw_runs(spark, folder).join(boxes.select("vid", "frame_idx"), ["vid", "frame_idx"], "left_semi"))
+    return union_runs(join_by_key(raw_runs(spark, folder), boxes.select("vid", "frame_idx"), ["vid", "frame_idx"], "left_semi"))
 
 
 def mask_frames(spark: SparkSession, folder: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clipgrid.functions.boxes import clamp_box, clamp_box_for_iou
-from clipgrid.operators.skew import join_by_group, not_broadcast
+from clipgrid.operators.skew import join_by_key, not_broadcast
 from clipgrid.operators.spans import box_overlap
 
 _MASK = ["vid", "tube_id", "frame_idx"]
@@ -22,7 +22,7 @@ def _sums_at_box(spans: DataFrame, frames: DataFrame, boxes: DataFrame, clamp) -
     """
     at = ["vid", "frame_idx"]
     box = boxes.select(*at, "bbox")
-    sized = join_by_group(frames.select(*_MASK, "height", "width"), box, at, ["tube_id"])
+    sized = join_by_key(frames.select(*_MASK, "height", "width"), box, at)
     clamped = clamp(F.col("bbox"), F.col("width"), F.col("height"))
     pixels = F.greatest(F.lit(0), clamped["xmax"] - clamped["xmin"]).cast("long") * F.greatest(
         F.lit(0), clamped["ymax"] - clamped["ymin"]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from clipgrid.functions.boxes import clamp_box_for_iou
-from clipgrid.operators.skew import join_by_group, not_broadcast
+from clipgrid.operators.skew import join_by_key, not_broadcast
 from clipgrid.operators.spans import union_runs
 from clipgrid.schemas import MASK_KEYS
 
@@ -99,7 +99,7 @@ def packed_stats(packed: DataFrame, keys: Sequence[str] = MASK_KEYS) -> DataFram
 def packed_box_iou(packed: DataFrame, boxes: DataFrame, keys: Sequence[str] = MASK_KEYS) -> DataFrame:
     """keys, area, inter, box_pixels and iou of every packed mask on a box's frame; 0 for a degenerate box."""
     at = ["vid", "frame_idx"]
-    met = join_by_group(packed, boxes.select(*at, "bbox"), at, ["tube_id"])
+    met = join_by_key(packed, boxes.select(*at, "bbox"), at)
     box = clamp_box_for_iou(F.col("bbox"), F.col("width"), F.col("height"))
     sides = F.greatest(F.lit(0), box["xmax"] - box["xmin"]).cast("long") * F.greatest(F.lit(0), box["ymax"] - box["ymin"])
     sums = met.select(*keys, area(F.col("rects")).alias("area"), area_in_box(F.col("rects"), box).alias("inter"), sides.alias("box_pixels"))

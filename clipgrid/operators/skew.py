@@ -57,10 +57,11 @@ def join_by_group(
 ) -> DataFrame:
     """Join many rows per key with the few rows of that key in ``groups``.
 
-    ``groups`` is repeated once per salt and the rows of a key are dealt over the salts. When ``groups`` is below the
-    session's broadcast threshold the salt costs nothing; else a hot key is split ``salts`` ways, and further by the
-    adaptive skew join. ``how`` must keep the left side. ``groups`` should hold whole rows per key, not unfolded
-    ones; mark it with :func:`not_broadcast` if its size is not known.
+    ``groups`` is repeated once per salt and the rows of a key are dealt over the salts. The copies come from a product, whose
+    size the planner multiplies, where an ``explode`` would be planned as if it made none and be broadcast far too large. When the
+    copies are below the session's broadcast threshold the salt costs nothing; else a hot key is split ``salts`` ways, and further
+    by the adaptive skew join. ``how`` must keep the left side. ``groups`` should hold whole rows per key, not unfolded ones. Where
+    groups are about as many as rows, copies cost more than they save: :func:`join_by_key` has none.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how!r}")
@@ -68,10 +69,19 @@ def join_by_group(
     if salts == 1:
         return rows.join(groups, list(keys), how)
     left = rows.withColumn("_salt", hash_salt(spread, salts))
-    right = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    copies = rows.sparkSession.range(salts).select(F.col("id").cast("int").alias("_salt"))
+    right = groups.crossJoin(F.broadcast(copies))
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
+def join_by_key(rows: DataFrame, groups: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join rows with the rows of their key where a key is bounded, such as one frame or one mask, and keys are many.
+
+    Neither side is copied or broadcast, whatever the planner takes its size to be; the adaptive skew join splits a hot key.
+    """
+    return rows.join(not_broadcast(groups), list(keys), how)
+
+
 def with_group_stats(
     rows: DataFrame,
     keys: Sequence[str],

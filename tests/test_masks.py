@@ -13,6 +13,7 @@ from clipgrid.operators import overlap as O
 from clipgrid.operators import spans as S
 from clipgrid.operators import packed as PK
 from clipgrid.operators import tubes as T
+from clipgrid.operators.skew import join_by_group
 from clipgrid.operators.tiles import meetings, tiled_overlaps
 from clipgrid.operators.outcomes import mask_count_reason, outcome_rows, propagation_method, refine_reason
 from clipgrid.schemas import MASK_FRAMES, MASK_SPANS
@@ -387,3 +388,27 @@ def test_tiles_need_a_pixel_and_empty_tables_give_nothing(spark):
         tiled_overlaps(runs, frames, boxes, tile=(0, 8))
     assert tiled_overlaps(runs.limit(0), frames, boxes).count() == 0
     assert tiled_overlaps(runs, frames, boxes.limit(0)).count() == 0
+
+
+def test_boxes_of_all_clips_are_not_broadcast(spark):
+    frames = spark.range(40).select(
+        F.concat(F.lit("v"), "id").alias("vid"), F.lit(0).cast("long").alias("tube_id"), F.lit(0).cast("long").alias("frame_idx"),
+        F.lit(9).cast("long").alias("height"), F.lit(9).cast("long").alias("width"),
+    )
+    runs = frames.select("vid", "tube_id", "frame_idx", F.lit(1).cast("long").alias("y"), F.lit(2).cast("long").alias("x0"), F.lit(5).cast("long").alias("x1"))
+    box = F.struct(*[F.lit(v).alias(n) for n, v in (("xmin", 0), ("ymin", 0), ("xmax", 4), ("ymax", 4))])
+    boxes = frames.select("vid", "frame_idx", box.alias("bbox"))
+    for scores in (O.mask_box_iou(runs, frames, boxes), O.tube_scores(runs, frames, boxes, "absolute"), PK.packed_box_iou(PK.pack_masks(runs, frames), boxes)):
+        assert {r.inter for r in scores.collect()} == {2}
+        assert "Broadcast" not in scores._jdf.queryExecution().executedPlan().toString()
+
+
+def test_salted_groups_are_broadcast_only_by_their_real_size(spark, tmp_path):
+    # Compressed to far less than the threshold, copied and in memory to more.
+    spark.range(60000).select(F.concat(F.lit("group-of-one-name-"), "id").alias("k"), F.lit("x" * 40).alias("v")).write.parquet(f"{tmp_path}/g")
+    groups = spark.read.parquet(f"{tmp_path}/g")
+    for few, wanted in ((False, "SortMergeJoin"), (True, "BroadcastHashJoin")):
+        joined = join_by_group(groups.select("k"), groups.filter("k < 'group-of-one-name-10'") if few else groups, ["k"], ["k"], "left")
+        joined.write.mode("overwrite").parquet(f"{tmp_path}/out")
+        joined.collect()
+        assert wanted in joined._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
