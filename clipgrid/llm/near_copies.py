@@ -1,14 +1,16 @@
 """Groups of near copies: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-One 64-bit SimHash cannot find these. At a similarity of 0.8 two fingerprints differ in about 10 bits of 64, and in 17 or more
-for one pair in a hundred, which no cut of 64 bits into equal segments can tell from chance. Candidates therefore come from
-``BANDS`` fingerprints of ``ROWS`` minimal shingle hashes each: a pair at 0.8 shares none of them once in 17,000 times, a closer
-one less often. Every candidate pair is then compared by its whole shingle sets, so nothing below 0.8 is linked.
+``simhash_and_copies`` first groups documents by their SimHash fingerprints as in ``simhash``, with pigeonring candidates and the
+Hamming check; all these links stay. ``grouped`` goes without. One 64-bit SimHash does not find every near copy: at a similarity of
+0.8 two fingerprints differ in about 10 bits of 64, and in 17 or more for one pair in a hundred, which no cut of 64 bits into equal
+segments can tell from chance. Further candidates therefore come from ``BANDS`` fingerprints of ``ROWS`` minimal shingle hashes
+each: a pair at 0.8 shares none of them once in 17,000 times, a closer one less often. Every one of these pairs is then compared by
+its whole shingle sets, so none below 0.8 is linked.
 
 *Size.* Texts of the same words are one row before any of this. The smallest text of a bucket of equal fingerprints is its pivot.
-Every text is first compared with the smallest of its pivots, which joins a large group of copies with one pair per row; then
-with those of its other pivots that are still in another group. Only buckets whose rows are after that in several groups are
-compared pair by pair, in blocks, between groups and where the minima promise ``PROMISE`` or more; what a block hands on is a
+Every text that is not yet in the group of the smallest of its pivots is first compared with that one, which joins a large group
+of copies with one pair per row; then with those of its other pivots that are still in another group. Only buckets whose rows are
+after that in several groups are compared pair by pair, in blocks, between groups and where the minima promise ``PROMISE`` or more; what a block hands on is a
 spanning forest of its links, not its pairs. Shingle sets are made once, and only of
 texts that share a bucket with another; the minima travel with these last buckets only.
 
@@ -20,7 +22,7 @@ one task holds one text's hashes at a time.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,8 @@ from pyspark.sql import functions as F
 
 from clipgrid.llm.common import small_slices, starts_of, utf8, whole_groups
 from clipgrid.llm.components import components
+from clipgrid.llm.simhash import fingerprint
+from clipgrid.llm.simhash import links as simhash_links
 from clipgrid.session import cut_lineage
 
 SHINGLE, SEED, BANDS, ROWS = 5, 42, 32, 6
@@ -70,29 +74,30 @@ def minima(hashes: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, tag (a hash of the text), cid (a hash of its words), n shingles, a byte per minimum, keys of the bands."""
+    """doc_id, tag (a hash of the text), cid (a hash of its words), SimHash fp, n shingles, a byte per minimum, keys of the bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
         for batch in small_slices(batches, "text"):
-            tags, cids, sizes, marks, keys = [], [], [], [], []
+            tags, cids, prints, sizes, marks, keys = [], [], [], [], [], []
             for text in utf8(batch.column(1)):
                 whole, hashes = shingles(text)
                 least = minima(hashes)
                 tags.append(xxh64_intdigest(text, SEED))
                 cids.append(whole)
+                prints.append(fingerprint(text))
                 sizes.append(len(hashes))
                 marks.append((least * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(56)).astype(np.uint8).tobytes())
                 keys.append((least * _MIX).reshape(BANDS, ROWS).sum(axis=1, dtype=np.uint64) + _SALT)
             signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
             ends = pa.array(np.arange(len(keys) + 1) * BANDS, pa.int32())
             lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(keys).view(np.int64)))
-            cells = [batch.column(0), signed(tags), signed(cids), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()), lists]
-            yield pa.RecordBatch.from_arrays(cells, ["doc_id", "tag", "cid", "n", "marks", "keys"])
+            cells = [batch.column(0), signed(tags), signed(cids), pa.array(prints, pa.int64()), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()), lists]
+            yield pa.RecordBatch.from_arrays(cells, ["doc_id", "tag", "cid", "fp", "n", "marks", "keys"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, tag long, cid long, n long, marks binary, keys array<long>")
+    return rows.mapInArrow(run, "doc_id long, tag long, cid long, fp long, n long, marks binary, keys array<long>")
 
 
 def _sets(docs: DataFrame, prints: DataFrame, texts: DataFrame) -> DataFrame:
@@ -204,8 +209,25 @@ def _roots(links: DataFrame) -> DataFrame:
     return cut_lineage(components(links).withColumnRenamed("node", "cid"))
 
 
-def grouped(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """doc_id, tag, and root, which rows of one group share; one row per document."""
+def by_simhash(prints: DataFrame) -> DataFrame:
+    """a, b: links that connect the texts of each SimHash group, each text with the smallest of its fingerprint and these in a forest."""
+    least = cut_lineage(prints.groupBy("fp").agg(F.min("cid").alias("least")))
+    same = prints.join(least, "fp").where("cid <> least").select(F.col("least").alias("a"), F.col("cid").alias("b")).distinct()
+    of = lambda c: least.select(F.col("fp").alias(f"_{c}"), F.col("least").alias(c))
+    pairs = simhash_links(least.select("fp")).select(F.col("a").alias("_a"), F.col("b").alias("_b"))
+    return cut_lineage(same.unionByName(pairs.join(of("a"), "_a").join(of("b"), "_b").select("a", "b")))
+
+
+def simhash_and_copies(docs: DataFrame) -> DataFrame:
+    """What :func:`grouped` gives, with SimHash groups joined first and kept."""
+    return grouped(docs, first_links=by_simhash)
+
+
+def grouped(docs: DataFrame, block: int = BLOCK, first_links: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """doc_id, tag, and root, which rows of one group share; one row per document.
+
+    ``first_links`` gives links between cids from the sketches; they hold whatever the shingle sets say.
+    """
     prints = cut_lineage(sketches(docs))
     keyed = lambda rows: rows.select("cid", "n", F.explode("keys").alias("key"))
     pivots = keyed(prints).groupBy("key").agg(F.min(F.struct("cid", "n")).alias("p"), F.max("cid").alias("_last")).where("p.cid <> _last")
@@ -215,9 +237,13 @@ def grouped(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     pairs = cut_lineage(met.where(close).select(F.col("p.cid").alias("a"), F.col("cid").alias("b")).distinct())
     # Every later pair is of texts that met a pivot, so each shingle set is made once.
     sets = cut_lineage(_sets(docs, prints, met.select("cid").unionByName(pairs.select(F.col("a").alias("cid")))))
-    # First each text meets the smallest of its pivots, then the other pivots that this has not brought into its group.
+    # After SimHash each text meets the smallest of its pivots, then the other pivots that this has not brought into its group.
     first = cut_lineage(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    links = verified(sets, first)
+    if first_links is None:
+        links = verified(sets, first)
+    else:
+        near = first_links(prints)
+        links = near.unionByName(verified(sets, cut_lineage(_apart(first, _roots(near)))))
     roots = _roots(links)
     second = cut_lineage(_apart(pairs.join(first, ["a", "b"], "left_anti"), roots))
     links = links.unionByName(verified(sets, second))

@@ -20,8 +20,8 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near-duplicates: five-word Jaccard similarity of 0.8 or more."""
-    return simhash.representatives(docs, near_copies.grouped)
+    """The first document of each group of near-duplicates: SimHash groups, and five-word Jaccard similarity of 0.8 or more between them."""
+    return simhash.representatives(docs, near_copies.simhash_and_copies)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import corpus_pipeline
 import pytest
 from clipgrid.llm import near_copies
 from corpus_samples import ODD, prose
+from test_simhash import brute_groups, brute_print
 
 
 def brute(texts):
@@ -61,3 +62,19 @@ def test_one_row_of_equal_ids_and_texts_stays(spark):
         docs = spark.createDataFrame(order, "doc_id long, text string, source string, _tag string").repartition(3)
         runs.append(sorted(map(tuple, corpus_pipeline.one_of_each_group(spark, docs, "").collect()), key=str))
     assert runs[0] == runs[1] and [r[:2] for r in runs[0]] == [(4, text), (None, "other")]
+
+
+def test_simhash_groups_hold_whatever_the_shingle_sets_say(spark, documents):
+    often = "river stone cloud light morning garden window " * 60
+    rows = [(1, often + "one two three four five"), (2, prose(8, 90)), (3, often + "six seven eight nine ten"), (4, prose(9, 90))]
+    texts = [t for _, t in rows]
+    assert len(set(brute(texts))) == 4 and brute_groups([brute_print(t) for t in texts]) == [0, 1, 0, 3]
+    assert sorted(r.doc_id for r in corpus_pipeline.one_of_each_group(spark, documents(rows), "").collect()) == [1, 2, 4]
+
+
+def test_simhash_links_and_shingle_links_make_one_group(documents):
+    often = "river stone cloud light morning garden window " * 60
+    first, second = often + "one two three four five " + prose(5, 8), often + "six seven eight nine ten " + prose(6, 8)
+    copy = " ".join([*second.split()[:-1], "changed"])
+    texts = [first, prose(8, 90), second, copy]
+    assert len({r.root for r in near_copies.simhash_and_copies(documents(list(enumerate(texts)))).collect()}) == 2
