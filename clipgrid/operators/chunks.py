@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import math
+from collections.abc import Callable, Iterator, Sequence
+from typing import Any
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -137,6 +141,88 @@ def merge_chunk_masks(
     return chosen.select(*key, *extra), merged.select(*key, *carry, *runs)
 
 
+Run = tuple[int, int, int]
+Masks = dict[int, list[Run]]
+
+
+def _sweep(runs: list[Run], need: int) -> list[Run]:
+    """Maximal runs that at least ``need`` of the given runs of one mask cover, as ``covered_runs`` gives them."""
+    ends: dict[tuple[int, int], int] = {}
+    for y, x0, x1 in runs:
+        if x1 > x0:
+            ends[y, x0] = ends.get((y, x0), 0) + 1
+            ends[y, x1] = ends.get((y, x1), 0) - 1
+    found, depth = [], 0
+    for (y, x), step in sorted(ends.items()):
+        if depth < need <= depth + step:
+            start = x
+        elif depth + step < need <= depth:
+            found.append((y, start, x))
+        depth += step
+    return found
+
+
+def _chosen(old: list[Run], new: list[Run], frame: int, boundary: int, backward: bool, overlap: int) -> list[Run]:
+    """What :func:`merge_source` says of a frame that both chunks have."""
+    depth = frame - boundary if backward else boundary - frame
+    outside = frame < boundary if backward else frame >= boundary
+    if outside or 2 * depth > overlap:
+        return new
+    return old if 2 * depth < overlap else _sweep(old + new, 2)
+
+
+def walk_chunks(apply: Callable[[pd.DataFrame], Any], row: pd.DataFrame, size: int, overlap: int) -> Iterator[pd.DataFrame]:
+    """Runs of all frames of one clip, chunk by chunk outward from the main chunk, as the waves give them.
+
+    ``row`` is the row of the main chunk. Only masks that a later chunk can still read or change are held, about one chunk of
+    them; the others are handed on as they are done. A frame without foreground gives an empty run.
+    """
+    step = check_chunking(size, overlap)
+    vid, total, main = row["vid"].iloc[0], int(row["num_frames"].iloc[0]), int(row["main_chunk"].iloc[0])
+    last = -(-max(total - size, 0) // step)
+
+    def masks(at: pd.DataFrame) -> Masks:
+        out = apply(at)
+        found: Masks = {}
+        for part in [out] if isinstance(out, pd.DataFrame) else out:
+            part = part.reindex(columns=["vid", "frame_idx", "y", "x0", "x1"])
+            part = part[(part["vid"] == vid) & part["frame_idx"].notna()]
+            for frame, y, x0, x1 in zip(*(pd.to_numeric(part[c]).tolist() for c in ("frame_idx", "y", "x0", "x1")), strict=True):
+                runs = found.setdefault(int(frame), [])
+                if x1 > x0:
+                    runs.append((int(y), int(x0), int(x1)))
+        return {frame: _sweep(runs, 1) for frame, runs in found.items()}
+
+    def rows(done: Masks) -> Iterator[pd.DataFrame]:
+        cells = [(vid, frame, *run) for frame, runs in done.items() for run in runs or [(0, 0, 0)]]
+        if cells:
+            yield pd.DataFrame(cells, columns=["vid", "frame_idx", "y", "x0", "x1"])
+
+    live, aside = masks(row), {}
+    after = (main + 1) * step if main < last else math.inf
+    for backward in (True, False):
+        for chunk in range(main - 1, -1, -1) if backward else range(main + 1, last + 1):
+            start = chunk * step
+            over = {f: m for f, m in live.items() if (f >= start + size if backward else f < start)}
+            live = {f: m for f, m in live.items() if f not in over}
+            aside |= {f: m for f, m in over.items() if backward and f >= after}
+            yield from rows({f: m for f, m in over.items() if not (backward and f >= after)})
+            boundary = start + step if backward else min(start - step + size, total)
+            prompt_idx = boundary if backward else boundary - 1
+            if not live:
+                break
+            if prompt_idx not in live:
+                continue
+            at = row.assign(chunk_id=chunk, chunk_start=start, chunk_end=min(start + size, total), prompt_idx=prompt_idx)
+            prompt = [dict(zip(("y", "x0", "x1"), run, strict=True)) for run in live[prompt_idx]]
+            at["prompt"] = pd.Series([np.array(prompt, dtype=object) if prompt else None], index=at.index, dtype=object)
+            for frame, new in masks(at).items():
+                live[frame] = _chosen(live[frame], new, frame, boundary, backward, overlap) if frame in live else new
+        if backward:
+            live |= aside
+    yield from rows(live)
+
+
 Propagate = Callable[[DataFrame, DataFrame, DataFrame], tuple[DataFrame, DataFrame]]
 
 _FRAME_COLS = ["vid", "frame_idx", "height", "width"]
@@ -165,6 +251,9 @@ def propagate_in_chunks(
     ``clips`` has ``vid, num_frames, key_frame_idx``; prompts hold the mask at the key frame. ``propagate(chunks,
     frames, spans)`` gets chunk rows (``vid, chunk_id, chunk_start, chunk_end, prompt_idx``) with prompt masks and
     returns mask frames and canonical runs keyed by ``vid, frame_idx``, with frame numbers of the clip.
+
+    A propagator of single rows (one with ``along``) needs no wave: each clip walks through its chunks in one task, which holds
+    about a chunk of masks (:func:`walk_chunks`), so the number of jobs does not grow with the length of a clip.
     """
     total, frame = F.col("num_frames"), F.col("frame_idx")
     main = cut_lineage(
@@ -190,9 +279,11 @@ def propagate_in_chunks(
             prompt_idx.alias("prompt_idx"),
         )
 
-    frames, spans = propagate(
-        chunk_rows(main, F.col("main_chunk"), F.col("key_frame_idx")), prompt_frames, prompt_spans
-    )
+    first = chunk_rows(main, F.col("main_chunk"), F.col("key_frame_idx"))
+    if hasattr(propagate, "along"):
+        frames, spans = propagate.along(lambda apply, row: walk_chunks(apply, row, size, overlap), first, prompt_frames, prompt_spans)
+        return frames.select(*_FRAME_COLS), spans.select(*_SPAN_COLS)
+    frames, spans = propagate(first, prompt_frames, prompt_spans)
     place = main.select("vid", *_CARRY)
     spark = clips.sparkSession
     work = shared_folder(spark, "chunks")

@@ -207,26 +207,43 @@ def run_propagators(
     return known.repartition(tasks).mapInPandas(propagate, RUNS)
 
 
+#: Leads a propagator (a function of one input row) over all chunks of a clip, from the row of its first chunk.
+Walk = Callable[[Callable[[pd.DataFrame], Any], pd.DataFrame], Iterable[pd.DataFrame]]
+
+
 def chunk_propagator(registry: Registry, backend: str, boxes: DataFrame | None = None, partitions: int | None = None):
     """A registered propagator as the function that chunks are propagated with.
 
     Its input row is a chunk (``vid, chunk_id, chunk_start, chunk_end, prompt_idx, height, width``) with ``prompt``, the
     runs of the prompt mask, and the columns of ``boxes`` for its ``vid``. A row with an empty run (``x1 <= x0``, or
     none) stands for a frame without foreground. The runs are written once, as frames and masks are made from them.
+
+    ``along`` of the result has a clip walk through its chunks inside one task, so that no job is needed per chunk.
     """
     registry.get(backend)
 
-    def propagate(chunks: DataFrame, frames: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def inputs(chunks: DataFrame, frames: DataFrame, spans: DataFrame) -> DataFrame:
         # One mask per chunk, so the list is bounded by an image.
         prompts = spans.groupBy("vid").agg(F.collect_list(F.struct("y", "x0", "x1")).alias("prompt"))
         size = frames.select("vid", "height", "width")
         rows = chunks.join(size, "vid").join(prompts, "vid", "left").withColumn("backend", F.lit(backend))
-        if boxes is not None:
-            rows = rows.join(boxes, "vid", "left")
-        runs = cut_lineage(run_propagators(rows, registry, partitions=partitions))
-        made = runs.select("vid", "frame_idx").distinct().join(size, "vid")
+        return rows if boxes is None else rows.join(boxes, "vid", "left")
+
+    def propagate(chunks: DataFrame, frames: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]:
+        runs = cut_lineage(run_propagators(inputs(chunks, frames, spans), registry, partitions=partitions))
+        made = runs.select("vid", "frame_idx").distinct().join(frames.select("vid", "height", "width"), "vid")
         return made, union_runs(runs.filter("x1 > x0"), ["vid", "frame_idx"])
 
+    def along(walk: Walk, chunks: DataFrame, frames: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """All chunks of a clip one after another in one task, which ``walk`` leads from the row of the first one."""
+        plugin = registry.subset()[backend]
+        walking = registry.subset() | {backend: Plugin(lambda model, row: walk(lambda at: plugin.apply(model, at), row), plugin.load, plugin.close)}
+        rows = inputs(chunks, frames, spans)
+        runs = cut_lineage(run_propagators(rows, Registry(walking), partitions=partitions))
+        made = join_by_group(runs.select("vid", "frame_idx").distinct(), frames.select("vid", "height", "width"), ["vid"], ["frame_idx"])
+        return made, runs.filter("x1 > x0")
+
+    propagate.along = along
     return propagate
 
 

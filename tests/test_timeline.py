@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pytest
 from helpers import rows
 from pyspark.sql import functions as F
 
 from clipgrid.operators import chunks as K
 from clipgrid.operators import sampling as P
+from clipgrid.operators.scoring import Plugin, Registry, chunk_propagator
 from clipgrid.operators.skew import join_by_group, number_rows, unfold
 from clipgrid.operators.spans import union_runs
 
@@ -180,3 +182,50 @@ def test_waves_equal_the_sequential_loop(spark, size, overlap):
                 expected[(vid, f)] = mask
     assert have == set(expected)
     assert got == {k: m for k, m in expected.items() if m}
+
+
+@pytest.mark.parametrize(("size", "overlap"), [(6, 0), (6, 2), (6, 3), (6, 4), (50, 8)])
+def test_a_walk_through_chunks_equals_the_sequential_loop(size, overlap):
+    prompt = {(0, 0), (0, 1), (1, 3)}
+
+    def apply(row):
+        at = row.iloc[0]
+        mask = {(r["y"], x) for r in at["prompt"] for x in range(r["x0"], r["x1"])}
+        masks = drift(at["chunk_id"], at["chunk_start"], at["chunk_end"], at["prompt_idx"], mask)
+        yield from (pd.DataFrame([("v", f, y, x, x + 1) for y, x in m], columns=["vid", "frame_idx", "y", "x0", "x1"]) for f, m in masks.items())
+
+    for n, key in ((17, 9), (5, 0), (13, 12), (40, 3), (40, 39), (1, 0)):
+        chunks = loop_chunks(n, size, overlap)
+        main = next(i for i, (a, b) in enumerate(chunks) if a <= key < b)
+        first = {"vid": "v", "num_frames": n, "main_chunk": main, "chunk_id": main, "chunk_start": chunks[main][0], "chunk_end": chunks[main][1], "prompt_idx": key}
+        row = pd.DataFrame([first | {"prompt": [{"y": y, "x0": x, "x1": x + 1} for y, x in prompt]}])
+        got = {}
+        for part in K.walk_chunks(apply, row, size, overlap):
+            for r in part.itertuples():
+                assert len(part) > 0 and r.vid == "v"
+                got.setdefault(r.frame_idx, []).extend((r.y, x) for x in range(r.x0, r.x1))
+        assert all(len(set(m)) == len(m) for m in got.values())
+        if overlap:
+            assert {f: set(m) for f, m in got.items()} == sequential(n, key, prompt, size, overlap)
+        else:  # without a shared frame nothing is handed on
+            assert set(got) == set(range(*chunks[main]))
+
+
+def test_jobs_do_not_grow_with_the_length_of_a_clip(spark):
+    def hold(model, row):
+        at = row.iloc[0]
+        frames = range(at["chunk_start"], at["chunk_end"])
+        return pd.DataFrame([("v", f, r["y"], r["x0"], r["x1"]) for f in frames for r in at["prompt"]], columns=["vid", "frame_idx", "y", "x0", "x1"])
+
+    jobs = []
+    for n in (20, 300):
+        spark.sparkContext.setJobGroup(f"walk {n}", "")
+        clips = spark.createDataFrame([("v", n, 9)], "vid string, num_frames long, key_frame_idx long")
+        frames = spark.createDataFrame([("v", 9, 4, 40)], "vid string, frame_idx long, height long, width long")
+        spans = spark.createDataFrame([("v", 9, 2, 3, 7)], "vid string, frame_idx long, y long, x0 long, x1 long")
+        out_frames, out_spans = K.propagate_in_chunks(clips, frames, spans, chunk_propagator(Registry({"p": Plugin(hold)}), "p"), 8, 2)
+        assert sorted(r.frame_idx for r in out_frames.collect()) == list(range(n))
+        assert {tuple(r) for r in out_spans.collect()} == {("v", f, 2, 3, 7) for f in range(n)}
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"walk {n}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert abs(jobs[0] - jobs[1]) <= 3  # adaptive plans differ by a job or two; a wave has several, and the long clip has 49 chunks more
