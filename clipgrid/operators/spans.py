@@ -65,13 +65,17 @@ def joined_runs(spans: DataFrame, line: Sequence[str], together: Sequence[str] |
         runs = runs.repartition(*together)
     along = Window.partitionBy(*line).orderBy("x0")
     reach = F.max("x1").over(along.rowsBetween(Window.unboundedPreceding, -1))
-    begins = (reach.isNull() | (F.col("x0") > reach)).cast("int")
+    so_far = F.max("x1").over(along.rowsBetween(Window.unboundedPreceding, 0))
+    # One order serves all steps, so no table of runs is built beside it. A run begins beyond the reach of what came before and
+    # ends at the reach of its last row, the one before the next run or before the end of the line.
     return (
-        runs.withColumn("_begins", begins)
-        .withColumn("_island", F.sum("_begins").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy(*line, "_island")
-        .agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"))
-        .drop("_island")
+        runs.withColumns({"_reach": reach, "_so_far": so_far, "_follows": F.lead("x0").over(along)})
+        .withColumn("_begins", F.col("_reach").isNull() | (F.col("x0") > F.col("_reach")))
+        .withColumn("_ends", F.col("_follows").isNull() | (F.col("_follows") > F.col("_so_far")))
+        .filter("_begins OR _ends")
+        .withColumn("x1", F.when(F.col("_ends"), F.col("_so_far")).otherwise(F.lead("_so_far").over(along)))
+        .filter("_begins")
+        .select(*line, "x0", "x1")
     )
 
 

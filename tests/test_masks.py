@@ -434,3 +434,23 @@ def test_pairs_of_small_masks_are_not_shuffled(spark):
     plan = tiled_overlaps(spans, frames, boxes)._jdf.queryExecution().executedPlan().toString()
     above = plan.split("SortMergeJoin")[0]
     assert "Union" in above and "Exchange" not in above and "Aggregate" not in above
+
+
+def test_runs_are_united_in_one_order_without_a_table_of_runs(spark):
+    kind = "vid string, tube_id long, frame_idx long, y long, x0 long, x1 long"
+    rng = random.Random(9)
+    parts = [("v", 0, f, y, x, x + rng.randrange(0, 9)) for f in range(3) for y in range(4) for x in rng.sample(range(60), 14)]
+    spans = spark.createDataFrame([*parts, ("v", 0, 9, 0, 0, 50), ("v", 0, 9, 0, 5, 8), ("v", 0, 9, 0, 50, 51), ("v", 0, 9, 0, 60, 61)], kind)
+    united = S.union_runs(spans)
+    want = {}
+    for r in spans.collect():
+        want.setdefault((r.frame_idx, r.y), set()).update(range(r.x0, r.x1))
+    expected = [("v", 0, f, y, a, b) for (f, y), cells in want.items() for a, b in _stretches(sorted(cells))]
+    assert rows(united) == sorted(expected)
+    assert "Aggregate" not in united._jdf.queryExecution().executedPlan().toString().rsplit("Initial Plan", 1)[-1].split("Window", 1)[0]
+
+
+def _stretches(cells):
+    begins = [x for x in cells if x - 1 not in cells]
+    ends = [x + 1 for x in cells if x + 1 not in cells]
+    return zip(begins, ends, strict=True)
