@@ -16,6 +16,8 @@ from pyspark.sql.window import Window
 #: Salts of a session that does not set ``spark.clipgrid.salts``.
 SALTS = 16
 BLOCK = 32768
+#: Integers that a row may unfold into where it lies, where a caller allows it.
+NEAR = 1024
 
 
 def spread(rows: DataFrame) -> DataFrame:
@@ -127,17 +129,23 @@ def number_rows(
     )
 
 
-def unfold(rows: DataFrame, count: Column, name: str, keys: Sequence[str], block: int = BLOCK) -> DataFrame:
+def unfold(rows: DataFrame, count: Column, name: str, keys: Sequence[str], block: int = BLOCK, near: int = 0) -> DataFrame:
     """One row per integer ``0 .. count-1``, named ``name``.
 
     Blocks of integers are dealt over the cluster first, so a clip with a huge count is unfolded by many tasks. The
     partition number is given explicitly: the block rows are tiny and would otherwise be coalesced before they grow.
+
+    Blocks of at most ``near`` integers stay where they are and only larger ones move. ``rows`` is then gone through twice,
+    which pays where most counts are small and its shuffles can be used again.
     """
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counted = rows.withColumn("_count", count.cast("long")).filter("_count > 0")
     blocks = counted.withColumn(
         "_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_count") - 1) / block)))
-    ).repartition(partitions, *keys, "_block")
+    )
     first = F.col("_block") * block
     last = F.least(F.col("_count"), first + block) - 1
-    return blocks.withColumn(name, F.explode(F.sequence(first, last))).drop("_count", "_block")
+    far = last - first >= near
+    dealt = (blocks.filter(far) if near else blocks).repartition(partitions, *keys, "_block")
+    spread_out = blocks.filter(~far).unionByName(dealt) if near else dealt
+    return spread_out.withColumn(name, F.explode(F.sequence(first, last))).drop("_count", "_block")

@@ -14,7 +14,7 @@ from clipgrid.operators import spans as S
 from clipgrid.operators import packed as PK
 from clipgrid.operators import tubes as T
 from clipgrid.operators import tiles as tiling
-from clipgrid.operators.skew import join_by_group
+from clipgrid.operators.skew import NEAR, join_by_group
 from clipgrid.operators.tiles import meetings, tiled_overlaps
 from clipgrid.operators.outcomes import mask_count_reason, outcome_rows, propagation_method, refine_reason
 from clipgrid.schemas import MASK_FRAMES, MASK_SPANS
@@ -454,3 +454,19 @@ def _stretches(cells):
     begins = [x for x in cells if x - 1 not in cells]
     ends = [x + 1 for x in cells if x + 1 not in cells]
     return zip(begins, ends, strict=True)
+
+
+def test_extending_copies_no_tube_and_deals_out_long_ones(spark):
+    long, short = 3 * NEAR, 5
+    clips = spark.createDataFrame([("a", long), ("b", short)], "vid string, num_frames long")
+    frames = spark.createDataFrame([("a", 0, 2 * NEAR, 9, 9), ("a", 1, 7, 9, 9), ("a", 1, 9, 9, 9), ("b", 0, 0, 9, 9), ("b", 0, 4, 9, 9)], MASK_FRAMES)
+    spans = spark.createDataFrame(
+        [("a", 0, 2 * NEAR, 0, 0, 1), ("a", 0, 2 * NEAR, 0, 4, 6), ("a", 1, 7, 3, 1, 2), ("a", 1, 9, 4, 2, 3), ("b", 0, 0, 1, 1, 3), ("b", 0, 4, 1, 5, 6)], MASK_SPANS
+    )
+    _, grown = T.extend_tubes(clips, frames, S.union_runs(spans))
+    want = [("a", 0, f, 0, *x) for f in range(long) for x in ((0, 1), (4, 6))]
+    want += [("a", 1, f, 3, 1, 2) for f in range(8)] + [("a", 1, f, 4, 2, 3) for f in range(9, long)]
+    want += [("b", 0, 0, 1, 1, 3), ("b", 0, 4, 1, 5, 6)]
+    assert rows(grown) == sorted(want)
+    plan = grown._jdf.queryExecution().optimizedPlan().toString()
+    assert "_salt" not in plan and "Join Cross" not in plan
