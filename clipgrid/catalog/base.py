@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clipgrid.operators.skew import join_by_key, spread
@@ -223,18 +223,21 @@ mask_frames AS (
   UNION ALL SELECT 'o' || o_orderkey, 9, 0 FROM orders)"""
 
 
-def key_boxes(spark: SparkSession, folder: str) -> DataFrame:
-    """One box per order on one of its two frames; some reach outside the image, some are empty."""
+def order_box() -> Column:
+    """The box of an order; some reach outside the image, some are empty."""
     x, y = F.col("o_custkey") % 60 - 5, F.col("o_custkey") % 9 - 1
+    return F.struct(
+        x.cast("int").alias("xmin"),
+        y.cast("int").alias("ymin"),
+        (x + F.col("o_orderkey") % 50).cast("int").alias("xmax"),
+        (y + 1 + F.col("o_orderkey") % 12).cast("int").alias("ymax"),
+    )
+
+
+def key_boxes(spark: SparkSession, folder: str) -> DataFrame:
+    """One box per order on one of its two frames."""
     return table(spark, folder, "orders").select(
-        F.concat(F.lit("o"), "o_orderkey").alias("vid"),
-        (F.col("o_orderkey") % 2).alias("frame_idx"),
-        F.struct(
-            x.cast("int").alias("xmin"),
-            y.cast("int").alias("ymin"),
-            (x + F.col("o_orderkey") % 50).cast("int").alias("xmax"),
-            (y + 1 + F.col("o_orderkey") % 12).cast("int").alias("ymax"),
-        ).alias("bbox"),
+        F.concat(F.lit("o"), "o_orderkey").alias("vid"), (F.col("o_orderkey") % 2).alias("frame_idx"), order_box().alias("bbox")
     )
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from clipgrid.catalog.base import EVENT_CLIPS, Case, event_clips, key_boxes, register, table
+from clipgrid.catalog.base import EVENT_CLIPS, Case, event_clips, order_box, register, table
 from clipgrid.functions.boxes import box_of
 from clipgrid.operators.sampling import pick_key_frames
 from clipgrid.operators.scoring import Plugin, Registry, grounding_rows, run_propagators, run_scorers
@@ -15,7 +15,7 @@ from clipgrid.operators.spans import mask_stats, union_runs
 from clipgrid.plans.grounding import ground
 from clipgrid.plans.keyframes import find_key_frames, score_frames
 from clipgrid.plans.propagation import propagate
-from clipgrid.session import shared_folder
+from clipgrid.session import cut_lineage, shared_folder
 from clipgrid.streaming.incremental import current_rows, run_incremental, run_stateful
 
 CASES: dict[str, Case] = {}
@@ -259,7 +259,6 @@ masks AS (SELECT d.k, count(*) AS m FROM decided d JOIN items i ON d.k = i.k AND
 def _flow(spark, folder):
     k = F.col("o_orderkey")
     orders = table(spark, folder, "orders")
-    boxes = key_boxes(spark, folder).select("vid", "bbox")
     key_frames = orders.select(
         F.concat(F.lit("o"), k).alias("vid"),
         k,
@@ -269,11 +268,11 @@ def _flow(spark, folder):
         (k % 4).alias("original_frame_idx"),
         F.lit(0).alias("key_frame_idx"),
     )
-    grounding = (
-        orders.filter("o_orderstatus <> 'P'")
-        .select(F.concat(F.lit("o"), k).alias("vid"), (F.col("o_orderstatus") == "F").alias("success"), k, F.lit("").alias("answer"))
-        .join(boxes, "vid")
-        .withColumn("bbox", F.when(k % 7 > 0, F.col("bbox")))
+    grounding = orders.filter("o_orderstatus <> 'P'").select(
+        F.concat(F.lit("o"), k).alias("vid"),
+        (F.col("o_orderstatus") == "F").alias("success"),
+        F.lit("").alias("answer"),
+        F.when(k % 7 > 0, order_box()).alias("bbox"),
     )
     # Some clips have no path, some paths are not listed.
     media = key_frames.filter("o_orderkey % 11 > 0 AND video_path IS NOT NULL").select(
@@ -293,7 +292,7 @@ def _flow(spark, folder):
         (F.col("l_suppkey") % 4).alias("frame_idx"),
     ]
     size = {"height": F.lit(12).cast("long"), "width": F.lit(64).cast("long")}
-    frames = items.select(*tube).distinct().withColumns(size)
+    frames = cut_lineage(items.select(*tube).distinct()).withColumns(size)
     left = F.col("l_partkey") % 20
     spans = items.select(
         *tube,

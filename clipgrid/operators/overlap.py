@@ -12,6 +12,8 @@ from clipgrid.operators.skew import join_by_key, not_broadcast
 from clipgrid.operators.spans import box_overlap
 
 _MASK = ["vid", "tube_id", "frame_idx"]
+#: Key of a mask of a tube set.
+SET_MASK = ["set_id", "tube_id", "frame_idx"]
 
 
 def _sums_at_box(spans: DataFrame, frames: DataFrame, boxes: DataFrame, clamp) -> DataFrame:
@@ -21,17 +23,21 @@ def _sums_at_box(spans: DataFrame, frames: DataFrame, boxes: DataFrame, clamp) -
     image. The sums follow the join in the same partitions, and masks without runs keep their row.
     """
     at = ["vid", "frame_idx"]
-    box = boxes.select(*at, "bbox")
-    sized = join_by_key(frames.select(*_MASK, "height", "width"), box, at)
+    return _sums_of_masks(spans, join_by_key(frames.select(*_MASK, "height", "width"), boxes.select(*at, "bbox"), at), clamp)
+
+
+def _sums_of_masks(spans: DataFrame, masks: DataFrame, clamp, key: Sequence[str] = _MASK) -> DataFrame:
+    """The same for masks that have found their ``bbox``, with the key of a mask."""
     clamped = clamp(F.col("bbox"), F.col("width"), F.col("height"))
     pixels = F.greatest(F.lit(0), clamped["xmax"] - clamped["xmin"]).cast("long") * F.greatest(
         F.lit(0), clamped["ymax"] - clamped["ymin"]
     )
-    sized = sized.select(*_MASK, clamped.alias("bbox"), pixels.alias("box_pixels"))
+    group = [*dict.fromkeys([*key, *_MASK]), "box_pixels"]
+    sized = masks.withColumn("box_pixels", pixels).select(*group, clamped.alias("bbox"))
     length, shared = box_overlap(spans, F.col("bbox"))
     return (
-        sized.join(not_broadcast(spans), _MASK, "left")
-        .groupBy(*_MASK, "box_pixels")
+        sized.join(not_broadcast(spans), list(key), "left")
+        .groupBy(*group)
         .agg(F.coalesce(F.sum(length), F.lit(0)).alias("area"), F.coalesce(F.sum(shared), F.lit(0)).alias("inter"))
     )
 
@@ -53,9 +59,20 @@ def tube_scores(spans: DataFrame, frames: DataFrame, boxes: DataFrame, mode: str
     ``relative`` divides by the mask, ``absolute`` by the box. There is no default: the two answer different
     questions.
     """
+    return _with_ratio(_sums_at_box(spans, frames, boxes, clamp_box), mode)
+
+
+def set_scores(spans: DataFrame, masks: DataFrame, mode: str) -> DataFrame:
+    """The same for tubes of sets that clips share: ``masks`` has ``vid, bbox`` beside the key and size of each mask.
+
+    Runs find their mask by ``set_id, tube_id, frame_idx`` and are not shuffled again where they are distributed by it.
+    """
+    return _with_ratio(_sums_of_masks(spans, masks, clamp_box, SET_MASK), mode)
+
+
+def _with_ratio(sums: DataFrame, mode: str) -> DataFrame:
     if mode not in ("relative", "absolute"):
         raise ValueError(f"mode must be 'relative' or 'absolute', got {mode!r}")
-    sums = _sums_at_box(spans, frames, boxes, clamp_box)
     base = F.col("area") if mode == "relative" else F.col("box_pixels")
     return sums.withColumn("ratio", F.when(base > 0, F.col("inter") / base).otherwise(F.lit(0.0)))
 

@@ -21,11 +21,11 @@ from clipgrid.operators.outcomes import (
     outcome_rows,
     propagation_method,
 )
-from clipgrid.operators.overlap import pick_tubes, tube_scores
+from clipgrid.operators.overlap import SET_MASK, pick_tubes, set_scores
 from clipgrid.operators.scoring import Registry, chunk_propagator
-from clipgrid.operators.skew import join_by_group
+from clipgrid.operators.skew import join_by_key
 from clipgrid.operators.spans import box_runs
-from clipgrid.operators.tubes import hold
+from clipgrid.operators.tubes import hold_boxes
 from clipgrid.session import cut_lineage
 from clipgrid.sources.tubes import attach_tube_sets
 
@@ -62,8 +62,8 @@ def propagate(
 
     Every key frame has an outcome: a clip whose path is null or not listed in ``media`` fails as ``video_not_found``.
 
-    The state and the decision of a clip are one small row each that several results start from, so ``settle`` writes
-    them out once.
+    The state of a clip, its pick, its box to be held and the masks of a picked tube are one small row each that several results
+    start from, so ``settle`` writes them out once.
 
     With ``propagators`` the one named ``backend`` takes the place of holding the box. Every clip then goes through
     chunks of ``chunk_size`` frames, a short one as a single chunk.
@@ -93,33 +93,33 @@ def propagate(
     at = clips.filter("has_media AND box_ok AND tubes_ok AND bbox IS NOT NULL").select(
         "set_id", "vid", F.col("key_frame_idx").alias("frame_idx"), "bbox"
     )
-    place = at.select("set_id", "vid", "frame_idx")
-    on_key = join_by_group(tube_frames, place, ["set_id", "frame_idx"], ["tube_id"])
-    runs_on_key = join_by_group(tube_spans, place, ["set_id", "frame_idx"], ["tube_id", "y", "x0"])
-    scores = tube_scores(runs_on_key, on_key, at.select("vid", "frame_idx", "bbox"), mode)
-    picks = pick_tubes(scores, threshold).select("vid", F.col("tube_id").alias("selected_tube_id"), "score")
+    # A frame of a set bounds the masks that meet there. Runs find them by the key of the mask, so united runs do not move again.
+    on_key = join_by_key(tube_frames.select(*SET_MASK, "height", "width"), at, ["set_id", "frame_idx"])
+    runs = tube_spans.select(*SET_MASK, "y", "x0", "x1")
+    scores = set_scores(runs, on_key, mode)
+    picks = settle(pick_tubes(scores, threshold).select("vid", F.col("tube_id").alias("selected_tube_id"), "score"))
     method = propagation_method(
         F.col("box_ok"), F.col("bbox").isNotNull(), F.col("tubes_ok"), F.col("selected_tube_id")
     )
     method = F.when(F.col("has_media"), method).otherwise(F.lit(NO_OUTPUT))
-    decided = settle(clips.join(picks, "vid", "left").withColumn("method", method))
-    chosen = decided.filter((F.col("method") == TUBE_SELECTION) & F.col("selected_tube_id").isNotNull()).select(
+    decided = clips.join(picks, "vid", "left").withColumn("method", method)
+    # What a method implies of the clip alone is asked for again, so that other clips are not shuffled to the picks.
+    with_box = decided.filter("has_media AND box_ok AND bbox IS NOT NULL")
+    chosen = with_box.filter(F.col("tubes_ok") & (F.col("method") == TUBE_SELECTION) & F.col("selected_tube_id").isNotNull()).select(
         "vid", "set_id", F.col("selected_tube_id").alias("tube_id")
     )
-    tube = ["set_id", "tube_id"]
-    picked_frames = join_by_group(tube_frames, chosen, tube, ["frame_idx"]).select("vid", "frame_idx", "height", "width")
-    picked_spans = join_by_group(tube_spans, chosen, tube, ["frame_idx", "y", "x0"]).select(
-        "vid", "frame_idx", "y", "x0", "x1"
-    )
-    boxed = decided.filter((F.col("method") == BOX_PROPAGATION) & F.col("bbox").isNotNull())
+    # The masks of the picked tubes, one row each; their runs come by the key of the mask too, so a long tube is no large group.
+    picked = settle(join_by_key(tube_frames.select(*SET_MASK, "height", "width"), chosen, ["set_id", "tube_id"]))
+    picked_frames = picked.select("vid", "frame_idx", "height", "width")
+    picked_spans = join_by_key(runs, picked.select("vid", *SET_MASK), SET_MASK).select("vid", "frame_idx", "y", "x0", "x1")
+    boxed = settle(with_box.filter(F.col("method") == BOX_PROPAGATION))
     if propagators is None:
-        held_frames, held_spans = hold(boxed, box_runs(boxed, ["vid"]))
-        held_frames = held_frames.drop("forward")
+        held_frames, held_spans = hold_boxes(boxed)
     else:
         prompt = boxed.select("vid", F.col("key_frame_idx").alias("frame_idx"), "height", "width")
-        runs = box_runs(boxed.withColumn("frame_idx", F.col("key_frame_idx")), ["vid", "frame_idx"])
+        box = box_runs(boxed.withColumn("frame_idx", F.col("key_frame_idx")), ["vid", "frame_idx"])
         apply = chunk_propagator(propagators, backend, boxed.select("vid", "video_path", F.col("prompt").alias("prompt_text")))
-        held_frames, held_spans = propagate_in_chunks(boxed, prompt, runs, apply, chunk_size, chunk_overlap)
+        held_frames, held_spans = propagate_in_chunks(boxed, prompt, box, apply, chunk_size, chunk_overlap)
     frames = picked_frames.unionByName(held_frames)
     spans = picked_spans.unionByName(held_spans)
     outcomes = outcome_rows(decided.drop("set_id"), frames)

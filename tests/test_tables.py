@@ -14,6 +14,7 @@ from clipgrid import sinks
 from clipgrid.operators import resume as W
 from clipgrid.operators.joins import attach_existing, filter_existing, lookup_fps
 from clipgrid.operators.sampling import number_sentences, pick_key_frames
+from clipgrid.operators.spans import union_runs
 from clipgrid.schemas import ANNOTATION_STRINGS, ANNOTATION_STRUCTS, GROUNDING, KEY_FRAME, MASK_FRAMES, MASK_SPANS
 from clipgrid.session import cut_lineage, ensure_checkpoint_dir
 from clipgrid.sinks import compaction
@@ -266,6 +267,38 @@ def test_clips_without_media_fail_and_stay(spark):
     assert got == {"a_1": ("box_propagation", None, 3), "b_1": ("no_output", "video_not_found", 0), "c_1": ("no_output", "video_not_found", 0)}
 
 
+def test_clips_share_a_set_and_its_tubes_are_not_copied(spark):
+    from clipgrid.plans.propagation import propagate
+
+    # Two sentences pick the same tube, one the other, one none and is held, one has an empty box.
+    picks = [("v_1", 0, (0, 0, 3, 3)), ("v_2", 1, (0, 0, 3, 3)), ("v_3", 0, (5, 5, 8, 8)), ("v_4", 0, (3, 3, 4, 5)), ("v_5", 0, (0, 0, 0, 0))]
+    keys = spark.createDataFrame(
+        [(v, "/v", "dog", "q", f, 0) for v, f, _ in picks], "vid string, video_path string, target_object string, text_query string, original_frame_idx long, key_frame_idx long"
+    )
+    boxes = spark.createDataFrame([(v, True, b, None) for v, _, b in picks], "vid string, success boolean, bbox struct<xmin:int,ymin:int,xmax:int,ymax:int>, answer string")
+    media = spark.createDataFrame([("/v", 40, 9, 9)], "video_path string, num_frames long, height long, width long")
+    sets = spark.createDataFrame([(7, "v", "dog", "/v", 2), (3, "v", "dog", "/v", 2)], "set_id long, base_vid string, prompt string, video_path string, num_tubes int")
+    frames = [(7, 0, f, 9, 9) for f in range(30)] + [(7, 1, f, 9, 9) for f in range(3)] + [(3, 0, 0, 9, 9)]
+    spans = [(7, 0, f, y, 0, 2) for f in range(29) for y in (0, 1)] + [(7, 1, f, 6, 5, 8) for f in range(3)] + [(3, 0, 0, 0, 0, 9)]
+    found = propagate(
+        keys, boxes, media, sets,
+        spark.createDataFrame(frames, "set_id long, tube_id long, frame_idx long, height long, width long"),
+        union_runs(spark.createDataFrame(spans, "set_id long, tube_id long, frame_idx long, y long, x0 long, x1 long"), ["set_id", "tube_id", "frame_idx"]),
+        "relative", 0.5,
+    )
+    tube = {"v_1": 0, "v_2": 0, "v_3": 1}
+    want_frames = [(v, f[2], 9, 9) for v, t in tube.items() for f in frames if f[:2] == (7, t)]
+    want_spans = [(v, *s[2:]) for v, t in tube.items() for s in spans if s[:2] == (7, t)]
+    held = {r["vid"] for r in found.outcomes.filter("method = 'box_propagation'").collect()}
+    assert "v_4" in held and not held & set(tube)
+    assert rows(found.frames) == sorted(want_frames + [(v, f, 9, 9) for v in held for f in range(40)])
+    assert rows(found.spans.filter("vid <> 'v_5'")) == sorted(want_spans + [("v_4", f, y, 3, 4) for f in range(40) for y in (3, 4)])
+    assert {r["vid"]: r["selected_tube_id"] for r in found.outcomes.collect()} == {"v_4": None, "v_5": None, **tube}
+    for side in (found.frames, found.spans):
+        plan = side._jdf.queryExecution().optimizedPlan().toString()
+        assert "_salt" not in plan and "Join Cross" not in plan
+
+
 def test_sentence_numbers_do_not_follow_the_packing_of_files(spark, tmp_path):
     schema = T.StructType([T.StructField("vid", T.StringType()), T.StructField("captions", T.ArrayType(T.StringType())), T.StructField("fps", T.DoubleType())])
     for name in ("a", "b"):
