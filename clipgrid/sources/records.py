@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql import types as T
 
 from clipgrid.functions.names import compose_vid
 from clipgrid.operators.resume import take_first
-from clipgrid.operators.skew import join_by_group
+from clipgrid.operators.skew import join_by_key
 from clipgrid.schemas import GROUNDING, KEY_FRAME
 
+#: Name of the image beside a record.
+KEY_FRAME_IMAGE = "key_frame.png"
+
 
 def read_json_tree(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
     """All ``metadata.json`` files below a folder with their plain ``path``; one small object per file."""
@@ -28,20 +31,39 @@ def read_json_tree(spark: SparkSession, root: str, schema: T.StructType) -> Data
     return rows.select("*", F.regexp_replace(F.url_decode(raw), "^file:/+", "/").alias("path"))
 
 
+def folder_of(path: Column) -> Column:
+    """The path without its last name; one without a slash stays."""
+    name = F.substring_index(path, "/", -1)
+    return F.when(F.contains(path, F.lit("/")), F.substring(path, F.lit(1), F.length(path) - F.length(name) - 1)).otherwise(path)
+
+
 def place_records(rows: DataFrame, step: str) -> DataFrame:
     """Split the path of a file into ``root``, ``base_vid``, ``idx`` and ``name``.
 
-    Layouts are ``root/step/base/idx/name`` and ``root/step/base/name``; ``idx`` is null in the flat one.
+    Layouts are ``root/step/base/idx/name`` and ``root/step/base/name``; ``idx`` is null in the flat one. The names are cut off
+    the end of the path in one generated row: a filter on them then stays behind it, where it would else be moved to the input with
+    all that makes up the path, once for every use of it.
     """
-    pattern = rf"(?s)^(.*?)/?{step}/([^/]+)(?:/([^/]+))?/([^/]+)\z"
-    path = F.col("path")
-    return rows.select(
-        "*",
-        F.regexp_extract(path, pattern, 1).alias("root"),
-        F.regexp_extract(path, pattern, 2).alias("base_vid"),
-        F.nullif(F.regexp_extract(path, pattern, 3), F.lit("")).alias("idx"),
-        F.regexp_extract(path, pattern, 4).alias("name"),
-    ).filter("base_vid <> ''")
+    parts = F.col("_parts")
+    last = lambda k: F.get(parts, F.size(parts) - k)
+    lead, *rest = step.split("/")
+
+    def below_step(depth: int) -> Column:
+        """Whether the last ``depth`` names are names and what is before them ends with the step."""
+        found = F.endswith(last(depth + 1 + len(rest)), F.lit(lead))
+        for i, name in enumerate(reversed(rest)):
+            found = found & (last(depth + 1 + i) == name)
+        for k in range(1, depth + 1):
+            found = found & (last(k) != "")
+        return found
+
+    numbered, flat = below_step(3), below_step(2)
+    names = {"base_vid": F.when(numbered, last(3)).when(flat, last(2)), "idx": F.when(numbered, last(2)), "name": last(1)}
+    cut = rows.withColumn("_parts", F.split("path", "/")).select("*", F.stack(F.lit(1), *names.values()).alias(*names))
+    path, below = F.col("path"), F.concat_ws("/", "base_vid", "idx", "name")
+    before = F.substring(path, F.lit(1), F.length(path) - F.length(below) - len(step) - 1)
+    root = F.when(F.endswith(before, F.lit("/")), F.substring(before, F.lit(1), F.length(before) - 1)).otherwise(before)
+    return cut.filter("base_vid IS NOT NULL").select(*rows.columns, root.alias("root"), *names)
 
 
 def select_layout(placed: DataFrame, files: DataFrame) -> DataFrame:
@@ -51,20 +73,21 @@ def select_layout(placed: DataFrame, files: DataFrame) -> DataFrame:
     """
     numbered = F.coalesce(F.col("idx").rlike("^[0-9]+$"), F.lit(False))
     layout = files.groupBy("base_vid").agg(F.max(numbered).alias("_has_numbered"))
-    joined = join_by_group(placed, layout, ["base_vid"], ["path"])
+    # One row per video joins a few rows each, without copies; a video of very many sentences is left to the adaptive skew join.
+    joined = join_by_key(placed, layout, ["base_vid"])
     kept = joined.filter(F.when(F.col("_has_numbered"), numbered).otherwise(F.col("idx").isNull()))
     return kept.drop("_has_numbered")
 
 
-def complete_records(placed: DataFrame, files: DataFrame, image: str = "key_frame.png") -> DataFrame:
+def complete_records(placed: DataFrame, files: DataFrame, image: str = KEY_FRAME_IMAGE) -> DataFrame:
     """Records that have a sentence and a key-frame image beside them, with its path; others are dropped."""
+    # Placed rows have a path; told so, the planner does not work it out once more to look for nulls.
+    folder = F.coalesce(folder_of(F.col("path")), F.lit(""))
     images = files.filter(F.col("name") == image).select(
-        F.col("path").alias("key_frame_path"), F.regexp_replace("path", r"(?s)/[^/]*\z", "").alias("_dir")
-    )
-    records = placed.filter(F.col("text_query").isNotNull()).withColumn(
-        "_dir", F.regexp_replace("path", r"(?s)/[^/]*\z", "")
+        F.col("path").alias("key_frame_path"), folder.alias("_dir")
     )
-    return records.join(images, "_dir").drop("_dir")
+    records = placed.filter(F.col("text_query").isNotNull()).withColumn("_dir", folder)
+    return join_by_key(records, images, ["_dir"]).drop("_dir")
 
 
 def scan_key_frames(
@@ -75,9 +98,10 @@ def scan_key_frames(
     ``records`` are the parsed metadata files and ``files`` the listing of all files, both with ``path``. Videos are
     taken in text order and their sentences in number order; without ``ordered`` the limit takes any.
     """
-    placed_files = place_records(files.select("path"), step)
     placed = place_records(records.drop("vid"), step)
-    rows = complete_records(select_layout(placed, placed_files), placed_files)
+    rows = select_layout(placed, place_records(files.select("path"), step))
+    # Only images are placed a second time; where they are is that of the record beside them.
+    rows = complete_records(rows, place_records(files.select("path").filter(F.endswith("path", F.lit(f"/{KEY_FRAME_IMAGE}"))), step))
     rows = rows.withColumn("vid", compose_vid(F.col("base_vid"), F.col("idx"))).drop("root", "name", "path")
     if limit is None:
         return rows

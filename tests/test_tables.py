@@ -112,6 +112,30 @@ def test_record_scan(spark, tree):
     assert [r["vid"] for r in R.read_key_frames(spark, str(tree), limit=4).collect()] == ["mixed_1", "v_1", "v_2", "v_10"]
 
 
+def test_paths_are_placed_without_patterns(spark):
+    from itertools import product
+
+    parts = ["stage1", "xstage1", "a", "", "7", "über", "n\nl"]
+    paths = ["/".join(p) for n in range(1, 7) for p in product(parts[: 7 if n < 5 else 4], repeat=n)] + ["/x", None]
+    files = spark.createDataFrame([(p,) for p in paths], "path string")
+    pattern = r"(?s)^(.*?)/?stage1/([^/]+)(?:/([^/]+))?/([^/]+)\z"
+    part = lambda i: F.regexp_extract("path", pattern, i)
+    want = files.select("path", part(1), part(2), F.nullif(part(3), F.lit("")), part(4)).filter(part(2) != "")
+    placed = R.place_records(files, "stage1")
+    assert placed.columns == ["path", "root", "base_vid", "idx", "name"]
+    assert rows(placed) == rows(want) and len(rows(want)) > 100
+    deep = files.select(F.concat(F.lit("/r/out/"), "path").alias("path"))
+    part = lambda i: F.regexp_extract("path", pattern.replace("stage1", "out/stage1"), i)
+    assert rows(R.place_records(deep, "out/stage1")) == rows(deep.select("path", part(1), part(2), F.nullif(part(3), F.lit("")), part(4)).filter(part(2) != ""))
+    folder = F.regexp_replace("path", r"(?s)/[^/]*\z", "")
+    assert files.filter(~R.folder_of(F.col("path")).eqNullSafe(folder)).count() == 0
+    records = files.select("path", F.lit("?").alias("vid"), F.lit("q").alias("text_query"))
+    plan = R.scan_key_frames(records, files, limit=3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan and "_salt" not in plan
+    # The names are made in a row of their own, so no filter makes the path again on the way to the input.
+    assert "stack(1" in plan
+
+
 def test_preferred_layout(spark):
     records = spark.createDataFrame(
         [("/b/stage1/a/1/metadata.json", "x", "new"), ("/b/p/stage1/a/1/metadata.json", "x", "old"), ("/b/p/stage1/c/2/metadata.json", "x", "old"), ("/b/q/stage1/c/2/metadata.json", "x", "other")],
