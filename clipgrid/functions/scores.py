@@ -33,6 +33,15 @@ def clean_score(score: Column) -> Column:
     ).otherwise(score)
 
 
+def round_half_up(value: Column, places: int) -> Column:
+    """A double that is not negative, rounded in doubles as SQL engines do; ``F.round`` makes a decimal of every value.
+
+    Twice the scaled value is exact, so a half goes up if and only if the scaled value is one.
+    """
+    scale = 10.0**places
+    return F.shiftright(F.floor(value * (2 * scale)) + 1, 1) / F.lit(scale)
+
+
 def sample_time(sample_idx: Column, fps: Column) -> Column:
     """Seconds from the start of the clip."""
     return F.try_divide(sample_idx, fps)

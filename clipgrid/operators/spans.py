@@ -8,6 +8,8 @@ extent are plain aggregates; union, intersection, dilation and erosion all come
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -88,6 +90,36 @@ def union_runs(spans: DataFrame, keys: Sequence[str] = MASK_KEYS) -> DataFrame:
     return joined_runs(spans, [*keys, "y"], together=keys)
 
 
+def solid_masks(rects: DataFrame, keys: Sequence[str] = MASK_KEYS) -> tuple[DataFrame, DataFrame]:
+    """Masks given as any number of rectangles ``y0, y1, x0, x1``: those of a single one as it is, and canonical runs of the others.
+
+    A mask of a single rectangle is canonical already and needs no lines. Ends are found with map-side combine, so copies of a
+    rectangle make no mask larger. Rows with a null key belong to no mask.
+    """
+    sides = ["y0", "y1", "x0", "x1"]
+    known = reduce(and_, (F.col(k).isNotNull() for k in keys))
+    held = rects.filter("y1 > y0 AND x1 > x0").filter(known).select(*keys, *sides)
+    ends = held.groupBy(*keys).agg(*[F.min(s).alias(s) for s in sides], *[F.max(s).alias(f"_{s}") for s in sides])
+    single = reduce(and_, (F.col(s) == F.col(f"_{s}") for s in sides))
+    several = held.join(ends.filter(~single).select(*keys), list(keys), "left_semi")
+    # Dealt by rectangle: a mask of many is unfolded by many tasks, and what reads the runs more than once does not join again.
+    lines = several.repartition(*keys, *sides).withColumn("y", F.explode(F.sequence(F.col("y0"), F.col("y1") - 1)))
+    return ends.filter(single).select(*keys, *sides), union_runs(lines.select(*keys, "y", "x0", "x1"), keys)
+
+
+def rectangles(spans: DataFrame, keys: Sequence[str] = MASK_KEYS) -> DataFrame:
+    """Canonical runs as disjoint rectangles ``y0, y1, x0, x1``: equal runs on consecutive lines become one."""
+    column = [*keys, "x0", "x1"]
+    island = F.col("y") - F.row_number().over(Window.partitionBy(*column).orderBy("y"))
+    return (
+        spans.filter("x1 > x0")
+        .withColumn("_island", island)
+        .groupBy(*column, "_island")
+        .agg(F.min("y").alias("y0"), (F.max("y") + 1).alias("y1"))
+        .select(*keys, "y0", "y1", "x0", "x1")
+    )
+
+
 def intersect_runs(left: DataFrame, right: DataFrame, keys: Sequence[str] = MASK_KEYS) -> DataFrame:
     """Pixels set in both of two canonical masks."""
     columns = [*keys, "y", "x0", "x1"]

@@ -4,18 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from operator import add
+from operator import add, and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clipgrid.functions.boxes import clamp_box
 from clipgrid.operators.skew import join_by_group, not_broadcast
-from clipgrid.operators.spans import MASK_KEYS
+from clipgrid.operators.spans import MASK_KEYS, rectangles
 
 _AT = ["vid", "frame_idx"]
 _TILE = ["_ty", "_tx"]
-#: Runs and tiles up to which a mask travels whole to each of its tiles.
+_EXTENT = ["_top", "_bottom", "_left", "_right"]
+#: Rectangles and tiles up to which a mask travels whole to each of its tiles.
 WHOLE_RUNS, WHOLE_TILES = 64, 16
 FEW_RUNS = 4
 
@@ -53,31 +54,44 @@ def tiled_overlaps(
     box: str = "box_id",
     tile: tuple[int, int] = (64, 64),
     keys: Sequence[str] = MASK_KEYS,
+    solid: DataFrame | None = None,
 ) -> DataFrame:
     """Masks and boxes of a frame that share a pixel: ``keys``, ``box``, ``area``, ``box_pixels``, ``inter``, ``iou``.
 
     Joining by frame alone makes every run meet every box of it; here they meet in tiles of ``tile`` (height, width)
-    pixels only. A mask of few runs and tiles goes whole to each tile and is compared there in its row, so its pairs, which may be as
-    many as masks times boxes, are neither shuffled nor kept; a larger one is cut by tiles and its parts are summed. Boxes are cut to the image first, so a box has at
+    pixels only. Runs of a mask that repeat from line to line are taken as one rectangle. A mask of few rectangles and tiles goes whole
+    to each tile and is compared there in its row, so its pairs, which may be as many as masks times boxes, are neither shuffled nor
+    kept; the rectangles of others travel one by one and what they share is summed. Boxes are cut to the image first, so a box has at
     most as many tiles as the image. Boxes that are null or hold no pixel of the image, and masks that no box meets, give
     no row. ``spans`` are canonical masks of ``keys``, among them ``vid`` and ``frame_idx``; ``frames`` has the image size
-    of each mask; ``boxes`` has one ``bbox`` per ``vid, frame_idx`` and ``box``.
+    of each mask; ``boxes`` has one ``bbox`` per ``vid, frame_idx`` and ``box``. ``solid`` are further masks of ``keys``, each a
+    single rectangle ``y0, y1, x0, x1`` (see :func:`clipgrid.operators.spans.solid_masks`).
     """
     if min(tile) < 1:
         raise ValueError(f"tiles need at least one pixel, got {tile}")
     sizes = frames.groupBy(*_AT).agg(F.max("height").alias("height"), F.max("width").alias("width"))
     sized = join_by_group(boxes.select(*_AT, box, "bbox"), sizes, _AT, [box])
     inside = sized.select(*_AT, box, clamp_box(F.col("bbox"), F.col("width"), F.col("height")).alias("bbox")).select(*_AT, box, "bbox.*")
-    masks = spans.filter("x1 > x0").groupBy(*keys).agg(
-        F.sum(F.col("x1") - F.col("x0")).cast("long").alias("area"),
-        F.collect_list(F.struct("y", "x0", "x1")).alias("_runs"),
-        F.min("y").alias("_top"), (F.max("y") + 1).alias("_bottom"), F.min("x0").alias("_left"), F.max("x1").alias("_right"),
+    high, wide = F.col("y1") - F.col("y0"), F.col("x1") - F.col("x0")
+    masks = rectangles(spans, keys).groupBy(*keys).agg(
+        F.sum(high * wide).cast("long").alias("area"),
+        F.collect_list(F.struct("y0", "y1", "x0", "x1")).alias("_parts"),
+        F.min("y0").alias("_top"), F.max("y1").alias("_bottom"), F.min("x0").alias("_left"), F.max("x1").alias("_right"),
     )
     height, width = tile
     across = F.floor((F.col("_right") - 1) / width) - F.floor(F.col("_left") / width) + 1
     down = F.floor((F.col("_bottom") - 1) / height) - F.floor(F.col("_top") / height) + 1
-    small = (F.size("_runs") <= WHOLE_RUNS) & (across * down <= WHOLE_TILES)
-    pairs = _whole_pairs(masks.filter(small), inside, keys, box, tile).unionByName(_summed_pairs(masks.filter(~small), inside, keys, box, tile))
+    small = (F.size("_parts") <= WHOLE_RUNS) & (across * down <= WHOLE_TILES)
+    one = small & (F.size("_parts") == 1)
+    plain = masks.filter(one).drop("_parts")
+    if solid is not None:
+        sides = [F.col(side).cast("long").alias(name) for side, name in zip(("y0", "y1", "x0", "x1"), _EXTENT, strict=True)]
+        plain = solid.filter((high > 0) & (wide > 0)).select(*keys, (high * wide).cast("long").alias("area"), *sides).unionByName(plain)
+    pairs = (
+        _solid_pairs(plain, inside, keys, box, tile)
+        .unionByName(_whole_pairs(masks.filter(small & ~one), inside, keys, box, tile))
+        .unionByName(_summed_pairs(masks.filter(~small), inside, keys, box, tile))
+    )
     iou = F.col("inter") / (F.col("area") + F.col("box_pixels") - F.col("inter"))
     return pairs.select(*keys, box, "area", "box_pixels", "inter", iou.alias("iou"))
 
@@ -86,31 +100,67 @@ def _pixels() -> Column:
     return (F.col("xmax") - F.col("xmin")).cast("long") * (F.col("ymax") - F.col("ymin"))
 
 
-def _whole_pairs(masks: DataFrame, boxes: DataFrame, keys: Sequence[str], box: str, tile: tuple[int, int]) -> DataFrame:
-    """Pairs of masks that travel whole: each pair is found in one tile, that of the first corner of what their extents share."""
+def _shared(top: Column, bottom: Column, left: Column, right: Column) -> tuple[Column, Column]:
+    """Lines and columns that a rectangle shares with the box; none where one of them is not positive."""
+    return F.least(bottom, "ymax") - F.greatest(top, "ymin"), F.least(right, "xmax") - F.greatest(left, "xmin")
+
+
+def _meet(masks: DataFrame, boxes: DataFrame, box: str, tile: tuple[int, int]) -> DataFrame:
+    """Rectangles and boxes that share a pixel: each pair is found in one tile, that of the first corner of what they share.
+
+    A crowded tile compares each with each, so what is compared there is plain numbers only. Frame and tile are two hashes of 64 bits:
+    rows are sorted by one, in a fraction of the time of names, and the other tells apart what might share it. ``boxes`` have no
+    null frame.
+    """
     height, width = tile
+    names = [*_AT, *_TILE]
+    cell, also = F.xxhash64(*names), F.xxhash64(*reversed(names))
+    # Both extents touch the tile, so what they share begins in it unless both begin before it.
+    first = [
+        F.when(F.col(begin) >= F.col(at) * size, F.lit(0).cast("long")).otherwise(F.col(at) * size).alias(name)
+        for begin, at, size, name in (("_top", "_ty", height, "_from_y"), ("_left", "_tx", width, "_from_x"))
+    ]
     cut = masks.withColumn("_ty", _tiles("_top", "_bottom", height)).withColumn("_tx", _tiles("_left", "_right", width))
-    left, top = F.greatest("_left", "xmin"), F.greatest("_top", "ymin")
-    meet = (left < F.least("_right", "xmax")) & (top < F.least("_bottom", "ymax"))
-    here = (F.floor(top / height) == F.col("_ty")) & (F.floor(left / width) == F.col("_tx"))
-    met = cut.join(not_broadcast(_placed(boxes, box, tile)), [*_AT, *_TILE]).filter(meet & here)
+    cut = cut.select(*masks.columns, cell.alias("_cell"), also.alias("_also"), *first)
+    sides = [F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long")).alias(c) for c in ("xmin", "ymin", "xmax", "ymax")]
+    placed = _placed(boxes, box, tile).select(cell.alias("_cell"), also.alias("_box_also"), box, *sides)
+    meet = (
+        (F.col("ymin") >= F.col("_from_y")) & (F.col("ymin") < F.col("_bottom")) & (F.col("ymax") > F.col("_top"))
+        & (F.col("xmin") >= F.col("_from_x")) & (F.col("xmin") < F.col("_right")) & (F.col("xmax") > F.col("_left"))
+    )
+    # An equality would make the second hash one more column to sort by.
+    same = (F.col("_also") <= F.col("_box_also")) & (F.col("_also") >= F.col("_box_also"))
+    return cut.join(not_broadcast(placed), "_cell").filter(meet & same)
 
+
+def _solid_pairs(masks: DataFrame, boxes: DataFrame, keys: Sequence[str], box: str, tile: tuple[int, int]) -> DataFrame:
+    """Pairs of rectangles. Their corners are all there is to compare, which Spark makes part of the join's own loop, in code that is
+    short enough for the JVM to compile.
+    """
+    high, wide = _shared(*map(F.col, _EXTENT))
+    inter = (high * wide).cast("long").alias("inter")
+    return _meet(masks, boxes, box, tile).select(*keys, box, "area", _pixels().alias("box_pixels"), inter)
+
+
+def _whole_pairs(masks: DataFrame, boxes: DataFrame, keys: Sequence[str], box: str, tile: tuple[int, int]) -> DataFrame:
+    """Pairs of masks of several rectangles that travel whole."""
     none = F.lit(0).cast("long")
 
-    def shared(run: Column) -> Column:
-        length = F.least(run["x1"], F.col("xmax")) - F.greatest(run["x0"], F.col("xmin"))
-        return F.when((run["y"] >= F.col("ymin")) & (run["y"] < F.col("ymax")) & (length > 0), length.cast("long")).otherwise(none)
+    def shared(part: Column) -> Column:
+        high, wide = _shared(part["y0"], part["y1"], part["x0"], part["x1"])
+        # Least and greatest pass over nulls, so a part that is missing must be told apart.
+        return F.when(part.isNotNull() & (high > 0) & (wide > 0), (high * wide).cast("long")).otherwise(none)
 
-    # The usual mask of few runs is a plain sum, which costs a fraction of an aggregate over the array.
-    few = reduce(add, (shared(F.get("_runs", F.lit(i))) for i in range(FEW_RUNS)))
-    inter = F.when(F.size("_runs") <= FEW_RUNS, few).otherwise(F.aggregate("_runs", none, lambda total, run: total + shared(run)))
+    # The usual mask of few rectangles is a plain sum, which costs a fraction of an aggregate over the array.
+    few = reduce(add, (shared(F.get("_parts", F.lit(i))) for i in range(FEW_RUNS)))
+    inter = F.when(F.size("_parts") <= FEW_RUNS, few).otherwise(F.aggregate("_parts", none, lambda total, part: total + shared(part)))
+    met = _meet(masks, boxes, box, tile)
     return met.select(*keys, box, "area", _pixels().alias("box_pixels"), inter.alias("inter")).filter("inter > 0")
 
 
 def _summed_pairs(masks: DataFrame, boxes: DataFrame, keys: Sequence[str], box: str, tile: tuple[int, int]) -> DataFrame:
-    """Pairs of masks that are cut by tiles; what is shared is summed over the tiles."""
-    own = [*keys, "area"]
-    spans = masks.select(*own, F.explode("_runs").alias("_run")).select(*own, "_run.*")
-    shared = F.least("_x1", "xmax") - F.greatest("_x0", "xmin")
-    met = meetings(spans, boxes, own, box, tile).filter((F.col("y") >= F.col("ymin")) & (F.col("y") < F.col("ymax")) & (shared > 0))
-    return met.groupBy(*own, box, _pixels().alias("box_pixels")).agg(F.sum(shared).cast("long").alias("inter"))
+    """Pairs of masks whose rectangles travel one by one; what is shared is summed over them."""
+    sides = [F.col(f"_part.{side}").alias(name) for side, name in zip(("y0", "y1", "x0", "x1"), _EXTENT, strict=True)]
+    parts = masks.select(*keys, "area", F.explode("_parts").alias("_part")).select(*keys, "area", *sides)
+    shared = _solid_pairs(parts, boxes, keys, box, tile)
+    return shared.groupBy(*keys, box, "area", "box_pixels").agg(F.sum("inter").cast("long").alias("inter"))

@@ -9,6 +9,7 @@ import pytest
 from helpers import pixels, rows
 from pyspark.sql import functions as F
 
+from clipgrid.functions.scores import round_half_up
 from clipgrid.operators import overlap as O
 from clipgrid.operators import spans as S
 from clipgrid.operators import packed as PK
@@ -436,6 +437,74 @@ def test_pairs_of_small_masks_are_not_shuffled(spark):
     assert "Union" in above and "Exchange" not in above and "Aggregate" not in above
 
 
+def _rect_masks(spark):
+    """Masks of one, equal, touching, crossing and distant rectangles, as rows and as sets of pixels."""
+    rng = random.Random(8)
+    rects = [(t, y, y + rng.randrange(1, 9), x, x + rng.randrange(1, 30)) for t in range(12) for y, x in [(rng.randrange(90), rng.randrange(90))]]
+    rects += [(t, y, y + 3, x, x + rng.randrange(1, 30)) for t in range(12, 24) for y, x in [(rng.randrange(90), rng.randrange(90)) for _ in range(3)]]
+    rects += [(24, 5, 8, 10, 20)] * 40 + [(25, 5, 8, 10, 20), (25, 8, 11, 10, 20), (25, 6, 9, 0, 119), (26, 0, 2, 0, 2), (26, 110, 112, 110, 112)]
+    rects += [(27, 4, 4, 1, 9), (27, 4, 6, 9, 9), (28, 0, 120, 0, 120), (29, 3, 3, 0, 9), (29, 3, 5, 7, 9)]
+    masks = {}
+    for t, y0, y1, x0, x1 in rects:
+        masks.setdefault(t, set()).update((i, j) for i in range(y0, y1) for j in range(x0, x1))
+    known = [("v", t, 0, *sides) for t, *sides in rects] + [("v", None, 0, 0, 9, 0, 9), (None, 1, 0, 0, 9, 0, 9), ("v", 1, 0, None, 9, 0, 9)]
+    return spark.createDataFrame(known, "vid string, tube_id long, frame_idx long, y0 long, y1 long, x0 long, x1 long"), rects, masks
+
+
+def test_masks_of_one_rectangle_need_no_lines(spark):
+    rows_in, rects, masks = _rect_masks(spark)
+    solid, spans = S.solid_masks(rows_in)
+    distinct = {t: {r for r in rects if r[0] == t and r[2] > r[1] and r[4] > r[3]} for t in masks}
+    assert sorted((r.tube_id, r.y0, r.y1, r.x0, r.x1) for r in solid.collect()) == sorted(r for s in distinct.values() if len(s) == 1 for r in s)
+    assert pixels(spans, "tube_id") == {(t,): masks[t] for t, s in distinct.items() if len(s) > 1}
+    boxed = {}
+    for r in S.rectangles(spans).collect():
+        cells = {(i, j) for i in range(r.y0, r.y1) for j in range(r.x0, r.x1)}
+        assert not boxed.setdefault(r.tube_id, set()) & cells
+        boxed[r.tube_id] |= cells
+    assert boxed == {t: masks[t] for t, s in distinct.items() if len(s) > 1}
+
+
+@pytest.mark.parametrize("tile, runs, tiles", [((16, 16), 64, 16), ((7, 13), 2, 4), ((64, 64), 0, 0), ((16, 16), 64, 10**6)])
+def test_masks_of_one_rectangle_and_others_meet_the_same_boxes(spark, monkeypatch, tile, runs, tiles):
+    monkeypatch.setattr(tiling, "WHOLE_RUNS", runs)
+    monkeypatch.setattr(tiling, "WHOLE_TILES", tiles)
+    rows_in, _, masks = _rect_masks(spark)
+    _, _, boxes, _, corners = _crowd(spark, 9, 30, side=120)
+    frames = rows_in.selectExpr("vid", "tube_id", "frame_idx", "120L AS height", "120L AS width")
+    solid, spans = S.solid_masks(rows_in)
+    found = tiled_overlaps(spans, frames, boxes, tile=tile, solid=solid).collect()
+    want = {}
+    for b, x0, y0, x1, y1 in corners:
+        x0, y0, x1, y1 = max(0, x0), max(0, y0), min(120, x1), min(120, y1)
+        shared = {t: sum(y0 <= i < y1 and x0 <= j < x1 for i, j in cells) for t, cells in masks.items()}
+        want |= {(t, b): (len(masks[t]), (x1 - x0) * (y1 - y0), n) for t, n in shared.items() if n}
+    assert {(r.tube_id, r.box_id): (r.area, r.box_pixels, r.inter) for r in found} == want and len(found) == len(want)
+
+
+def test_pairs_of_rectangles_are_compared_in_compiled_code_and_sorted_by_one_number(spark):
+    rows_in, _, _ = _rect_masks(spark)
+    _, _, boxes, _, _ = _crowd(spark, 9, 10, side=120)
+    frames = rows_in.selectExpr("vid", "tube_id", "frame_idx", "120L AS height", "120L AS width")
+    solid, spans = S.solid_masks(rows_in)
+    pairs = tiled_overlaps(spans, frames, boxes, solid=solid)
+    pairs.collect()
+    plan = pairs._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    joins = [line for line in plan.splitlines() if "SortMergeJoin [_cell" in line]
+    assert joins and "*(" in joins[0] and "lambda" not in joins[0]
+    # Boxes are dealt to their tiles once, whichever masks meet them there.
+    assert len(joins) > 1 and "ReusedExchange" in plan
+
+
+def test_halves_go_up_in_doubles_as_in_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    pairs = [(i, u) for a in range(8) for b in range(8) for u in [2**a * 5**b] for i in range(1, min(u, 40))]
+    found = spark.createDataFrame(pairs, "i long, u long").select("i", "u", round_half_up(F.col("i") / F.col("u"), 6).alias("r")).collect()
+    values = ", ".join(f"({i}, {u})" for i, u in pairs)
+    want = duckdb.sql(f"SELECT i, u, round(i / u::DOUBLE, 6) FROM (VALUES {values}) t(i, u)").fetchall()
+    assert sorted((r.i, r.u, r.r) for r in found) == sorted((i, u, r) for i, u, r in want)
+
+
 def test_runs_are_united_in_one_order_without_a_table_of_runs(spark):
     kind = "vid string, tube_id long, frame_idx long, y long, x0 long, x1 long"
     rng = random.Random(9)
